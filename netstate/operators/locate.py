@@ -169,8 +169,9 @@ def first_hop_attach(found: DataFrame, ifs: DataFrame, lldp: DataFrame,
     Rounds are joins on the rows still moving; a switch is visited once, so the
     rounds end.
     """
-    peers = port_peers(lldp, ifs)
-    where_mac = unique_by(macs, [*NS_HOST, "macaddr", "vlan"], __oif="oif")
+    # Joined again in every round.
+    peers = cut_lineage(port_peers(lldp, ifs))
+    where_mac = cut_lineage(unique_by(macs, [*NS_HOST, "macaddr", "vlan"], __oif="oif"))
     masters = unique_by(ifs, [*NS_HOST, "ifname"], __master="master")
     start = found.withColumn(
         "port", F.when(F.col("type") == "interface", F.col("ifname")).otherwise(

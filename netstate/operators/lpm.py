@@ -70,9 +70,9 @@ def containing(
         return F.array(*map(F.lit, values)).cast("array<int>") if values else F.array().cast(
             "array<int>")
 
-    rows = addresses.withColumn("__a", ip.ip_struct(addr)).where("__a is not null").select(
-        *scope, addr, F.col("__a.fam").alias("fam"), F.col("__a.hi").alias("__hi"),
-        F.col("__a.lo").alias("__lo"))
+    rows = addresses.withColumn("__parsed", ip.ip_struct(addr)).where("__parsed is not null").select(
+        *scope, addr, F.col("__parsed.fam").alias("fam"), F.col("__parsed.hi").alias("__hi"),
+        F.col("__parsed.lo").alias("__lo"))
     candidates = F.when(F.col("fam") == 6, literal(lengths[6])).otherwise(literal(lengths[4]))
     rows = rows.withColumn("plen", F.explode(candidates))
     hi, lo = _masked(F.col("fam"), F.col("__hi"), F.col("__lo"), F.col("plen"))

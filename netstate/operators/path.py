@@ -49,54 +49,68 @@ def _vrf_of(master: Column) -> Column:
 
 
 class PathTables:
-    """The tables a trace looks things up in, keyed once."""
+    """The tables a trace looks things up in: read, keyed and written out once.
+
+    Every round joins these again, so they go to the checkpoint folder instead
+    of being derived from the logs each time.
+    """
 
     def __init__(self, ifs: DataFrame, routes: DataFrame, arp: DataFrame, macs: DataFrame,
                  mlag: DataFrame | None = None):
         none = F.array().cast("array<string>")
+        ifs = cut_lineage(ifs.select(
+            *NS_HOST, "ifname", "state", "mtu", "type", "master", "macaddr", "vlan",
+            "ipAddressList", "ip6AddressList", "timestamp"))
+        arp, macs = cut_lineage(arp), cut_lineage(macs)
         self.ifs = ifs.where("state = 'up'")
-        self.ports = unique_by(self.ifs, [*NS_HOST, "ifname"], mtu="mtu", master="master",
-                               vlan="vlan", iftype="type", mac="macaddr")
-        self.addresses = self.ifs.where("type != 'bond_slave'").select(
+        self.ports = cut_lineage(unique_by(
+            self.ifs, [*NS_HOST, "ifname"], mtu="mtu", master="master", vlan="vlan",
+            iftype="type", mac="macaddr"))
+        self.addresses = cut_lineage(self.ifs.where("type != 'bond_slave'").select(
             *NS_HOST, "ifname", "mtu", "type", "master", "macaddr", "vlan", "timestamp",
             F.explode(F.concat(F.coalesce("ipAddressList", none),
                                F.coalesce("ip6AddressList", none))).alias("cidr")
-        ).withColumn("ip", F.lower(ip.address_part("cidr")))
+        ).withColumn("ip", F.lower(ip.address_part("cidr"))))
         fine = routes.where(F.col("protocol") != IGNORED_PROTOCOL)
-        self.routes = lpm.with_prefix_key(fine).select(
+        self.routes = cut_lineage(lpm.with_prefix_key(fine).select(
             *NS_HOST, "vrf", "prefix", "nexthopIps", "oifs", "protocol", "timestamp",
-            "fam", "plen", "net_hi", "net_lo")
+            "fam", "plen", "net_hi", "net_lo"))
         self.lengths = lpm.prefix_lengths(self.routes)
-        self.arp = unique_by(
-            arpnd_with_vrf(arp, ifs).withColumn(
-                "port", F.regexp_replace("oif", r"-v0$", "")),
-            [*NS_HOST, "ipAddress", "port"], arpMac="macaddr", arpRemote="remote", arpVrf="vrf")
-        self.arp_any = unique_by(
-            arpnd_with_vrf(arp, ifs), [*NS_HOST, "ipAddress"],
-            arpOif="oif", arpMac="macaddr", arpRemote="remote", arpVrf="vrf")
+        with_vrf = cut_lineage(arpnd_with_vrf(arp, ifs))
+        self.arp = cut_lineage(unique_by(
+            with_vrf.withColumn("port", F.regexp_replace("oif", r"-v0$", "")),
+            [*NS_HOST, "ipAddress", "port"], arpMac="macaddr", arpRemote="remote", arpVrf="vrf"))
+        self.arp_any = cut_lineage(unique_by(
+            with_vrf, [*NS_HOST, "ipAddress"],
+            arpOif="oif", arpMac="macaddr", arpRemote="remote", arpVrf="vrf"))
         self.macs = macs
-        self.mac_by_vlan = unique_by(
+        self.mac_by_vlan = cut_lineage(unique_by(
             macs.withColumn("vlan", F.col("vlan").cast("bigint")),
             [*NS_HOST, "macaddr", "vlan"], macOif="oif", macVtep="remoteVtepIp",
-            macTs="timestamp")
+            macTs="timestamp"))
         self.mac_vtep = unique_by(
             macs.where("coalesce(remoteVtepIp, '') != ''"), [*NS_HOST, "macaddr"],
             macVtep="remoteVtepIp")
         self.mlag = mlag
 
-    def best_route(self, frontier: DataFrame, addr: str, vrf: str, prefix: str) -> DataFrame:
-        """Left join of each row's best route for ``addr`` in ``vrf`` of its device."""
-        wanted = frontier.select(
-            "namespace", F.col("device").alias("hostname"), F.col(vrf).alias("vrf"),
-            F.col(addr).alias("__addr")).distinct()
-        found = lpm.lpm_join(
-            wanted, self.routes, "__addr", columns=["prefix", "nexthopIps", "oifs", "protocol",
-                                                    "timestamp"], lengths=self.lengths)
-        renamed = found.select(
-            "namespace", "hostname", "vrf", "__addr",
-            F.struct("prefix", "nexthopIps", "oifs", "protocol", "timestamp").alias(prefix))
-        return _lookup(frontier, renamed, {
-            "namespace": "namespace", "device": "hostname", vrf: "vrf", addr: "__addr"})
+    def best_routes(self, *wanted: tuple[DataFrame, str, str]) -> DataFrame:
+        """Best routes of (rows, address column, VRF column) lookups on each row's device.
+
+        One pass for all of them, written out: (namespace, hostname, vrf, addr, route).
+        """
+        keys = reduce(DataFrame.unionByName, [
+            df.select("namespace", F.col("device").alias("hostname"), F.col(vrf).alias("vrf"),
+                      F.col(addr).alias("addr"))
+            for df, addr, vrf in wanted]).where("addr is not null and addr != ''").distinct()
+        fields = ["prefix", "nexthopIps", "oifs", "protocol", "timestamp"]
+        found = lpm.lpm_join(keys, self.routes, "addr", columns=fields, lengths=self.lengths)
+        return cut_lineage(found.select(
+            "namespace", "hostname", "vrf", "addr", F.struct(*fields).alias("route")))
+
+
+def _attach(df: DataFrame, found: DataFrame, addr: str, vrf: str, name: str) -> DataFrame:
+    return _lookup(df, found.withColumnRenamed("route", name), {
+        "namespace": "namespace", "device": "hostname", vrf: "vrf", addr: "addr"})
 
 
 # -- ends -------------------------------------------------------------------
@@ -104,9 +118,8 @@ class PathTables:
 def first_hop_router(requests: DataFrame, addr: str, t: PathTables) -> DataFrame:
     """Switch ports behind which an address sits: one MAC in local ARP, then local MACs."""
     local = requests.join(
-        t.arp_any, [F.col(addr) == F.col("ipAddress"),
-                    requests["namespace"] == t.arp_any["namespace"]]
-    ).drop(t.arp_any["namespace"]).where("not arpRemote")
+        t.arp_any.withColumnRenamed("ipAddress", addr), ["namespace", addr]
+    ).where("not arpRemote")
     one = local.groupBy("req").agg(F.countDistinct("arpMac").alias("__n")).where("__n = 1")
     local = local.join(one.select("req"), "req")
     entries = t.macs.where(
@@ -147,10 +160,7 @@ def svi_owners(requests: DataFrame, addr: str, t: PathTables) -> DataFrame:
 
 def resolve_end(requests: DataFrame, addr: str, t: PathTables, svis: bool) -> DataFrame:
     """Devices an address starts or ends at: owner, else first-hop router, else SVI."""
-    own = requests.join(
-        t.addresses, [F.col(addr) == F.col("ip"),
-                      requests["namespace"] == t.addresses["namespace"]]
-    ).drop(t.addresses["namespace"])
+    own = requests.join(t.addresses.withColumnRenamed("ip", addr), ["namespace", addr])
     own = keep_last(own, ["req", "hostname"], [
         (F.col("type") == "loopback").desc(), F.col("ifname").asc()])
     found = own.select(
@@ -160,7 +170,9 @@ def resolve_end(requests: DataFrame, addr: str, t: PathTables, svis: bool) -> Da
     makers = [first_hop_router] + ([svi_owners] if svis else [])
     for maker in makers:
         rest = requests.join(found.select("req").distinct(), "req", "left_anti")
-        found = found.unionByName(maker(rest, addr, t))
+        if not rest.limit(1).count():
+            break
+        found = cut_lineage(found.unionByName(maker(rest, addr, t)))
     return keep_last(found, ["req", "device"], [F.col("ifname").asc()])
 
 
@@ -195,36 +207,37 @@ def finish_at_destination(frontier: DataFrame, dests: DataFrame) -> DataFrame:
     return frontier.join(ends, ["req", "device"], "left")
 
 
-def _expand_routes(rows: DataFrame, t: PathTables) -> DataFrame:
-    """One row per next hop of the best route: ``nhip, nh_oif``; recursion resolved."""
-    out = []
-    current = rows
-    for depth in range(RECURSION + 1):
-        nhs = F.coalesce(F.col("route.nexthopIps"), F.array().cast("array<string>"))
-        oifs = F.coalesce(F.col("route.oifs"), F.array().cast("array<string>"))
-        pairs = F.when(
-            (F.size(nhs) == 0) & (F.size(oifs) == 0), F.array(F.struct(
-                F.lit("").alias("nhip"), F.lit("").alias("nh_oif")))
-        ).otherwise(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(nhs), F.size(oifs)) - 1),
-            lambda i: F.struct(
-                F.coalesce(F.get(nhs, i), F.lit("")).alias("nhip"),
-                F.coalesce(F.get(oifs, i), F.lit("")).alias("nh_oif"))))
-        parts = current.withColumn("__p", F.explode(pairs)).select("*", "__p.*").drop("__p")
+def _expand(rows: DataFrame) -> DataFrame:
+    """One row per next hop of ``route``: ``nhip`` and ``nh_oif``, blank where not given."""
+    none = F.array().cast("array<string>")
+    nhs = F.coalesce(F.col("route.nexthopIps"), none)
+    oifs = F.coalesce(F.col("route.oifs"), none)
+    blank = F.array(F.struct(F.lit("").alias("nhip"), F.lit("").alias("nh_oif")))
+    pairs = F.when(F.greatest(F.size(nhs), F.size(oifs)) == 0, blank).otherwise(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(nhs), F.size(oifs), F.lit(1)) - 1),
+        lambda i: F.struct(F.coalesce(F.get(nhs, i), F.lit("")).alias("nhip"),
+                           F.coalesce(F.get(oifs, i), F.lit("")).alias("nh_oif"))))
+    return rows.withColumn("__p", F.explode(pairs)).select("*", "__p.*").drop("__p")
+
+
+def _resolve_recursive(hops: DataFrame, t: PathTables) -> DataFrame:
+    """Next hops without a port: look the next hop itself up, two levels deep."""
+    done = hops
+    for _ in range(RECURSION):
+        open_end = (F.col("nh_oif") == "") & (F.col("nhip") != "") & (F.col("vtep") == "")
+        again = done.where(open_end)
+        if not again.limit(1).count():
+            return done
+        found = t.best_routes((again, "nhip", "lookupVrf"))
+        again = _attach(again.drop("route").withColumnRenamed("nhip", "asked"), found, "asked",
+                        "lookupVrf", "route").drop("nh_oif").where("route is not null")
         direct = F.col("route.protocol").isin("direct", "local", "connected", "kernel")
-        if depth:
-            # A connected route resolves the next hop itself; others replace it.
-            parts = parts.withColumn("nhip", F.when(
-                direct | (F.col("nhip") == ""), F.col("asked")).otherwise(F.col("nhip")))
-        open_end = (F.col("nh_oif") == "") & (F.col("nhip") != "")
-        if depth == RECURSION:
-            out.append(parts)
-            break
-        out.append(parts.where(~open_end))
-        again = parts.where(open_end).drop("route").withColumn("asked", F.col("nhip")).drop(
-            "nhip", "nh_oif")
-        current = t.best_route(again, "asked", "lookupVrf", "route")
-    return reduce(DataFrame.unionByName, out)
+        # A connected route leaves the next hop as it was; any other replaces it.
+        more = _expand(again).withColumn("nhip", F.when(
+            direct | (F.col("nhip") == ""), F.col("asked")).otherwise(F.col("nhip")))
+        done = cut_lineage(done.where(~open_end).unionByName(
+            more.withColumn("nh_arp_oif", F.col("nh_oif")).select(*done.columns)))
+    return done
 
 
 def _peers(rows: DataFrame, t: PathTables) -> DataFrame:
@@ -237,8 +250,7 @@ def _peers(rows: DataFrame, t: PathTables) -> DataFrame:
         "namespace", F.col("ip").alias("o_ip"), F.col("hostname").alias("peer"),
         F.col("ifname").alias("peerIf"), F.col("mtu").alias("peerMtu"),
         F.col("macaddr").alias("peerMac"))
-    by_ip = rows.join(owner, [rows["namespace"] == owner["namespace"],
-                              F.col("__nh") == F.col("o_ip")], "left").drop(owner["namespace"])
+    by_ip = rows.join(owner.withColumnRenamed("o_ip", "__nh"), ["namespace", "__nh"], "left")
     by_ip = by_ip.where("peer is null or peer != device")
     both = F.col("arpMac").isNotNull() & (F.col("arpMac") == F.col("peerMac"))
     by_ip = by_ip.withColumn("rank", F.when(both, 0).when(F.col("peer").isNotNull(), 2))
@@ -247,11 +259,11 @@ def _peers(rows: DataFrame, t: PathTables) -> DataFrame:
         F.col("ifname").alias("peerIf"), F.col("mtu").alias("peerMtu"),
         F.col("macaddr").alias("peerMac"))
     by_mac = rows.where("arpMac is not null").join(
-        mac_owner, [rows["namespace"] == mac_owner["namespace"],
-                    F.col("arpMac") == F.col("o_mac")]).drop(mac_owner["namespace"])
+        mac_owner.withColumnRenamed("o_mac", "arpMac"), ["namespace", "arpMac"])
     by_mac = by_mac.where("peer != device").withColumn("rank", F.lit(1))
     cols = [*rows.columns, "peer", "peerIf", "peerMtu", "peerMac", "rank"]
-    every = by_ip.where("rank is not null").select(*cols).unionByName(by_mac.select(*cols))
+    every = cut_lineage(
+        by_ip.where("rank is not null").select(*cols).unionByName(by_mac.select(*cols)))
     hop_key = ["req", "pathkey", "nhip", "nh_oif"]
     best = every.groupBy(*hop_key).agg(F.min("rank").alias("__best"))
     every = every.join(best, hop_key).where("rank = __best").drop("__best")
@@ -270,70 +282,64 @@ def _peers(rows: DataFrame, t: PathTables) -> DataFrame:
 
 
 def _next_hops(rows: DataFrame, t: PathTables) -> DataFrame:
-    """All next hops of live frontier rows, with peer and link facts.
+    """All next hops of live rows (with ``route`` attached), with peer and link facts.
 
-    Adds nhip, nh_oif, newOverlay, macLookup, protocol, ipLookup, peer columns.
+    Adds nhip, nh_oif, vtep, macLookup, protocol, ipLookup and the peer columns.
     """
     transit = F.col("overlay") != ""
-    rows = rows.withColumns({
-        "target": F.when(transit, F.col("overlay")).otherwise(F.col("dest")),
-        "lookupVrf": F.when(transit, F.lit(UNDERLAY_VRF)).otherwise(F.col("vrf")),
-    })
-    routed = t.best_route(rows, "target", "lookupVrf", "route")
-    routed = routed.withColumns({
+    routed = rows.withColumns({
         "protocol": F.when(F.col("isL2") & ~transit, F.lit("l2")).otherwise(
             _empty_if_null("route.protocol")),
         "ipLookup": _empty_if_null("route.prefix"),
         "ts": F.coalesce(F.col("route.timestamp"), F.col("ts")),
-        "asked": F.col("target"),
     })
     nhs = F.coalesce(F.col("route.nexthopIps"), F.array().cast("array<string>"))
-    has_nh = F.exists(nhs, lambda x: x != "") & (F.col("protocol") != "hmm")
-    by_route = routed.where((~F.col("isL2") | transit) & has_nh)
-    deliver = routed.where(~((~F.col("isL2") | transit) & has_nh))
+    by_route = ((~F.col("isL2") | transit) & F.exists(nhs, lambda x: x != "")
+                & (F.col("protocol") != "hmm"))
 
-    hops = _expand_routes(by_route, t)
+    hops = _expand(routed.where(by_route))
     # Overlay by route: the next hop is a VTEP of the named underlay VRF.
-    tunnel = F.col("nh_oif").startswith(NEXTHOP_VRF)
-    hops = hops.withColumn("vtep", F.when(tunnel, F.col("nhip")).otherwise(F.lit("")))
     # Overlay by ARP: the next hop is remote and its MAC sits behind a VTEP.
     hops = _lookup(hops, t.arp, {
         "namespace": "namespace", "device": "hostname", "nhip": "ipAddress", "nh_oif": "port"})
     hops = _lookup(hops, t.mac_vtep, {
         "namespace": "namespace", "device": "hostname", "arpMac": "macaddr"})
-    hops = hops.withColumn("vtep", F.when(
-        F.coalesce("arpRemote", F.lit(False)) & ~transit, _empty_if_null("macVtep")
-    ).otherwise(F.col("vtep"))).drop("arpMac", "arpRemote", "arpVrf", "macVtep")
-    hops = hops.withColumn("macLookup", F.lit(""))
+    hops = hops.withColumns({
+        "vtep": F.when(F.col("nh_oif").startswith(NEXTHOP_VRF), F.col("nhip")).when(
+            F.coalesce("arpRemote", F.lit(False)) & ~transit, _empty_if_null("macVtep")
+        ).otherwise(F.lit("")),
+        "macLookup": F.lit(""), "nh_arp_oif": F.col("nh_oif"),
+    })
 
     # Delivery on the link: ARP for the target, then the MAC table of its VLAN.
-    local = _lookup(deliver, t.arp_any, {
+    local = _lookup(routed.where(~by_route), t.arp_any, {
         "namespace": "namespace", "device": "hostname", "target": "ipAddress"})
     local = local.withColumn("__svi", F.regexp_replace("arpOif", r"-v0$", ""))
-    local = _lookup(local, t.ports.select(*NS_HOST, "ifname", F.col("vlan").alias("__vlan")), {
+    local = _lookup(local, t.ports.select(
+        *NS_HOST, "ifname", F.col("vlan").cast("bigint").alias("__vlan")), {
         "namespace": "namespace", "device": "hostname", "__svi": "ifname"})
-    local = local.withColumn("__vlan", F.col("__vlan").cast("bigint"))
     local = _lookup(local, t.mac_by_vlan, {
         "namespace": "namespace", "device": "hostname", "arpMac": "macaddr", "__vlan": "vlan"})
     local = local.where("arpMac is not null").withColumns({
         "nhip": F.lit(""), "nh_oif": F.coalesce("macOif", "__svi"),
         "vtep": _empty_if_null("macVtep"),
         "macLookup": F.when(F.col("macOif").isNotNull(), F.col("arpMac")).otherwise(F.lit("")),
-        "__arpport": F.col("__svi"),
+        "nh_arp_oif": F.col("__svi"),
     })
-    shared = [c for c in hops.columns if c in local.columns]
-    both = hops.select(*shared, F.col("nh_oif").alias("nh_arp_oif")).unionByName(
-        local.select(*shared, F.col("__arpport").alias("nh_arp_oif")))
+    cols = [*routed.columns, "nhip", "nh_oif", "vtep", "macLookup", "nh_arp_oif"]
+    both = _resolve_recursive(
+        cut_lineage(hops.select(*cols).unionByName(local.select(*cols))), t)
 
     # Entering a tunnel: the way to the VTEP is a lookup of its own.
-    plain = both.where("vtep = ''")
-    entering = both.where("vtep != ''").drop("route", "nhip", "nh_oif", "nh_arp_oif")
-    entering = entering.withColumns({"lookupVrf": F.lit(UNDERLAY_VRF), "asked": F.col("vtep"),
-                                     "target": F.col("vtep")})
-    entering = _expand_routes(t.best_route(entering, "vtep", "lookupVrf", "route"), t)
-    entering = entering.withColumn("nh_arp_oif", F.col("nh_oif"))
-    every = plain.unionByName(entering.select(*plain.columns))
-    return _peers(every, t)
+    entering = both.where("vtep != ''")
+    if entering.limit(1).count():
+        entering = entering.drop("route", "nhip", "nh_oif", "nh_arp_oif").withColumns({
+            "lookupVrf": F.lit(UNDERLAY_VRF), "target": F.col("vtep")})
+        found = t.best_routes((entering, "vtep", "lookupVrf"))
+        under = _attach(entering, found, "vtep", "lookupVrf", "route").where("route is not null")
+        under = _expand(under).withColumn("nh_arp_oif", F.col("nh_oif"))
+        both = cut_lineage(both.where("vtep = ''").unionByName(under.select(*both.columns)))
+    return _peers(both, t)
 
 
 def _lookup_vrf(rows: DataFrame, t: PathTables) -> DataFrame:
@@ -348,7 +354,8 @@ def _lookup_vrf(rows: DataFrame, t: PathTables) -> DataFrame:
     found = F.when(F.col("__m") == "bridge", _empty_if_null("__svi")).otherwise(
         _empty_if_null("__m"))
     by_port = F.when(found == "", F.lit("default")).otherwise(found)
-    keep = F.col("decap") | (F.col("overlay") != "") | F.col("__m").isNull()
+    keep = (F.col("first") | F.col("decap") | (F.col("overlay") != "")
+            | F.col("__m").isNull())
     return rows.withColumn("vrf", F.when(keep, F.col("vrf")).otherwise(by_port)).drop(
         "__m", "__v", "__svi")
 
@@ -367,7 +374,7 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         "req", "namespace", F.lower("src").alias("src"), F.lower("dest").alias("dest"),
         F.col("vrf").alias("wantedVrf"))
     requests = cut_lineage(requests)
-    starts = resolve_end(requests, "src", t, svis=True)
+    starts = cut_lineage(resolve_end(requests, "src", t, svis=True))
     dests = cut_lineage(resolve_end(requests, "dest", t, svis=False))
     begin = requests.join(starts, "req")
     in_arp = t.arp_any.select(
@@ -387,47 +394,49 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         F.array().cast(f"array<{HOP}>").alias("hops"), F.col("device").alias("pathkey"),
         F.lit(True).alias("first"))
     frontier = cut_lineage(frontier)
+    owns = t.addresses.select(
+        "namespace", F.col("hostname").alias("device"), F.col("ip").alias("overlay"),
+        F.lit(True).alias("__own")).distinct()
     done = []
     while frontier.limit(1).count():
         # Leave the tunnel on the device that owns its far end.
-        owns = t.addresses.select(
-            "namespace", F.col("hostname").alias("device"), F.col("ip").alias("overlay"),
-            F.lit(True).alias("__own")).distinct()
         rows = frontier.join(owns, ["namespace", "device", "overlay"], "left")
         out = F.coalesce("__own", F.lit(False))
         rows = rows.withColumns({
             "decap": out, "overlay": F.when(out, F.lit("")).otherwise(F.col("overlay"))}
         ).drop("__own")
-        rows = finish_at_destination(rows, dests)
-        at_end = F.col("d_ifname").isNotNull()
-        back = t.best_route(rows.where(at_end), "src", "d_vrf", "rev")
+        rows = _lookup_vrf(finish_at_destination(rows, dests), t)
+        transit = F.col("overlay") != ""
+        spot = F.concat_ws("|", "device", F.when(transit, F.lit("underlay")).otherwise(
+            F.col("vrf")), F.col("isL2").cast("string"))
+        rows = cut_lineage(rows.withColumns({
+            "spot": spot, "looped": F.array_contains("visited", spot),
+            "target": F.when(transit, F.col("overlay")).otherwise(F.col("dest")),
+            "lookupVrf": F.when(transit, F.lit(UNDERLAY_VRF)).otherwise(F.col("vrf")),
+        }))
+        ended = rows.where("d_ifname is not null")
+        stuck = rows.where("d_ifname is null and looped")
+        live = rows.where("d_ifname is null and not looped")
+        found = t.best_routes(
+            (live, "target", "lookupVrf"), (live, "src", "vrf"), (ended, "src", "d_vrf"))
+
         errors = _add_error(F.col("errors"), F.col("d_mtu") != F.col("srcMtu"),
                             "Dst MTU != Src MTU")
         errors = _add_error(errors, F.col("rev").isNull() & ~F.col("isL2"), "no reverse path")
-        arrived = _with_hop(
-            back.withColumn("errors", errors), oif=F.col("d_ifname"), vrf=F.col("d_vrf"),
-            isL2=F.lit(False), outMtu=F.col("d_mtu"))
-        done.append(cut_lineage(arrived.select(
-            "req", "namespace", "hops", F.lit("arrived").alias("end"))))
-
-        rest = rows.where(~at_end).drop("d_ifname", "d_mtu", "d_vrf")
-        rest = rest.withColumn("__first", F.col("first"))
-        handled = _lookup_vrf(rest.where("not first"), t).unionByName(rest.where("first"))
-        spot = F.concat_ws("|", "device", F.when(
-            F.col("overlay") != "", F.lit("underlay")).otherwise(F.col("vrf")),
-            F.col("isL2").cast("string"))
-        handled = cut_lineage(handled.withColumn("spot", spot).withColumn(
-            "looped", F.array_contains("visited", F.col("spot"))).drop("__first"))
-        reason = F.when(F.col("overlay") != "", F.lit("Loop in underlay")).when(
+        arrived = _attach(ended, found, "src", "d_vrf", "rev").withColumn("errors", errors)
+        arrived = _with_hop(arrived, oif=F.col("d_ifname"), vrf=F.col("d_vrf"),
+                            isL2=F.lit(False), outMtu=F.col("d_mtu"))
+        done.append(arrived.select("req", "namespace", "hops", F.lit("arrived").alias("end")))
+
+        reason = F.when(transit, F.lit("Loop in underlay")).when(
             F.col("isL2"), F.lit("L2 Loop detected")).otherwise(F.lit("L3 loop"))
-        stuck = handled.where("looped")
         stuck = stuck.withColumn("errors", F.when(F.col("errors") == "", reason).otherwise(
             F.concat("errors", F.lit(", "), reason)))
         done.append(_with_hop(stuck).select(
             "req", "namespace", "hops", F.lit("loop").alias("end")))
 
-        live = handled.where("not looped").drop("looped")
-        live = t.best_route(live, "src", "vrf", "rev")
+        live = _attach(_attach(live, found, "target", "lookupVrf", "route"), found, "src", "vrf",
+                       "rev")
         live = live.withColumn("errors", _add_error(
             F.col("errors"), F.col("rev").isNull() & ~F.col("first") & ~F.col("isL2")
             & (F.col("overlay") == ""), "no reverse path")).drop("rev")
@@ -437,10 +446,10 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
             "namespace": "namespace", "device": "hostname", "nh_oif": "ifname"}))
         dead = live.join(nexts.select("req", "pathkey").distinct(), ["req", "pathkey"],
                          "left_anti")
-        done.append(cut_lineage(_with_hop(dead).select(
-            "req", "namespace", "hops", F.lit("dead").alias("end"))))
+        done.append(_with_hop(dead).select(
+            "req", "namespace", "hops", F.lit("dead").alias("end")))
 
-        tunnel = F.when(F.col("overlay") != "", F.col("overlay")).otherwise(F.col("vtep"))
+        tunnel = F.when(transit, F.col("overlay")).otherwise(F.col("vtep"))
         nh = F.when(F.col("nhip") == "", F.col("target")).otherwise(F.col("nhip"))
         is_l2 = (F.col("nhip") == "") & (F.col("protocol") == "l2") & (tunnel == "")
         hopped = _with_hop(
@@ -518,7 +527,9 @@ def path_evidence(paths: DataFrame, t: PathTables, failed: DataFrame | None = No
     tunnels = hops.where("vtepLookup != ''").select(
         *key, F.col("vtepLookup").alias("vtep"), F.lit(UNDERLAY_VRF).alias("u_vrf"),
         F.col("hostname").alias("device"))
-    under = t.best_route(tunnels, "vtep", "u_vrf", "underlay").where("underlay is not null")
+    found_routes = t.best_routes((tunnels, "vtep", "u_vrf"))
+    under = _attach(tunnels, found_routes, "vtep", "u_vrf", "underlay").where(
+        "underlay is not null")
     parts.append(found(under, "underlay", ["vtep", "underlay"]))
     arp = t.arp.select(*NS_HOST, F.col("ipAddress").alias("nexthopIp"),
                        F.col("port").alias("oif"), "arpMac", "arpRemote")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,9 +29,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it without its history."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` under the checkpoint folder and read it back.
+
+    Unlike an RDD checkpoint the written table has a known size, so later joins
+    with it are planned well; it is computed once and survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/netstate-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
