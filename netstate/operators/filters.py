@@ -196,12 +196,17 @@ def match_vlan(words, vlan="vlan", vlan_list="vlanList") -> Column:
     """VLAN words over the scalar VLAN or any element of the list."""
     v, vs = F.col(vlan), F.coalesce(F.col(vlan_list), F.array().cast("array<bigint>"))
     alternatives, nots = number_terms(words)
-    matches = [
-        _all([compare(v, op, n) for op, n in a])
-        | F.exists(vs, lambda x, a=a: _all([compare(x, op, n) for op, n in a]))
-        for a in alternatives
-    ]
-    rejects = [(v != n) & F.forall(vs, lambda x, n=n: x != n) for _, n in nots]
+
+    def holds(terms):
+        def test(x):
+            return _all([compare(x, op, n) for op, n in terms])
+        return test(v) | F.exists(vs, test)
+
+    def lacks(n):
+        return (v != n) & F.forall(vs, lambda x: x != n)
+
+    matches = [holds(a) for a in alternatives]
+    rejects = [lacks(n) for _, n in nots]
     has_vlan = (F.size(vs) > 0) | (v != 0)
     return _all([c for c in (combine(matches, rejects), has_vlan) if c is not None])
 

@@ -136,14 +136,13 @@ def pseudonymize(df: DataFrame, columns: dict[str, str], seed: str) -> DataFrame
 
     List columns are replaced element by element.
     """
-    out = {}
-    for c, kind in columns.items():
-        fn = KINDS[kind]
-        if df.schema[c].dataType.typeName() == "array":
-            out[c] = F.transform(c, lambda x, fn=fn: fn(x, seed))
-        else:
-            out[c] = fn(c, seed)
-    return df.withColumns(out)
+    def replaced(c: str, kind: str) -> Column:
+        def one(x):
+            return KINDS[kind](x, seed)
+        is_list = df.schema[c].dataType.typeName() == "array"
+        return F.transform(c, one) if is_list else one(c)
+
+    return df.withColumns({c: replaced(c, kind) for c, kind in columns.items()})
 
 
 def _replace_all(body: Column, found: Column, anon) -> Column:
