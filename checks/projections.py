@@ -246,9 +246,83 @@ projection("macs", """
 projection("arpnd", """
     select concat('ns', c % 3) as namespace, concat('h', c) as hostname,
            concat('swp', k % 8) as oif,
-           concat('10.', cast(c % 250 as string), '.', cast(k % 8 as string), '.',
-                  cast(k % 200 as string)) as ipAddress,
+           case when k % 8 = 6 then concat('192.168.0.', cast(k % 200 as string))
+                else concat('10.', cast(c % 250 as string), '.', cast(k % 8 as string), '.',
+                            cast(k % 200 as string)) end as ipAddress,
            concat('44:38:39:00:00:', lpad(cast(k % 100 as string), 2, '0')) as macaddr,
            case when n = 0 then 'failed' when n = 1 then 'permanent' else 'reachable' end
            as state, k % 10 = 0 as remote, k as timestamp, true as active
     from (select o_custkey % 150 as c, o_orderkey as k, o_custkey % 7 as n from orders) g""")
+
+
+# Chains: supplier k is linked to k+3 where its balance is positive.
+projection("chain", """
+    select concat('ns', s_suppkey % 3) as namespace, 'lldp' as service,
+           concat('n', lpad(cast(s_suppkey as string), 9, '0')) as src,
+           concat('n', lpad(cast(s_suppkey + 3 as string), 9, '0')) as dst, s_suppkey as k
+    from supplier where s_acctbal > 0""")
+
+# Small routed networks of four hosts in a row: lo, a link to the left, one to the right.
+projection("rows4", """
+    select s_suppkey as k, @div(s_suppkey, 4) as g, s_suppkey % 4 as pos, s_nationkey,
+           cast(case when s_nationkey = 5 then 1500 else 9216 end as bigint) as mtu,
+           (select max(s_suppkey) from supplier) as top
+    from supplier""")
+
+_IP = ("concat(cast(@div({n}, 16777216) as string), '.', cast(@div({n}, 65536) % 256 as string), "
+       "'.', cast(@div({n}, 256) % 256 as string), '.', cast(({n}) % 256 as string))")
+LOOP = _IP.format(n="167772160 + {k}")
+RIGHT = _IP.format(n="2886729728 + 2 * ({k})")
+LEFT = _IP.format(n="2886729729 + 2 * ({k})")
+
+projection("path_ifs", f"""
+    select concat('b', g) as namespace, concat('r', k) as hostname, 'lo' as ifname,
+           'loopback' as type, mtu, @list(concat({LOOP.format(k="k")}, '/32')) as ipAddressList,
+           concat('lo:', k) as macaddr
+    from rows4
+    union all
+    select concat('b', g), concat('r', k), 'right', 'ethernet', mtu,
+           @list(concat({RIGHT.format(k="k")}, '/31')), concat('right:', k)
+    from rows4 where pos < 3 and k < top
+    union all
+    select concat('b', g), concat('r', k), 'left', 'ethernet', mtu,
+           @list(concat({LEFT.format(k="k - 1")}, '/31')), concat('left:', k)
+    from rows4 where pos > 0""")
+
+projection("path_routes", f"""
+    select concat('b', a.g) as namespace, concat('r', a.k) as hostname, 'default' as vrf,
+           concat({LOOP.format(k="b.k")}, '/32') as prefix, 'ospf' as protocol,
+           case when b.k > a.k then @list({LEFT.format(k="a.k")})
+                else @list({RIGHT.format(k="a.k - 1")}) end as nexthopIps,
+           case when b.k > a.k then @list('right') else @list('left') end as oifs,
+           a.k as timestamp
+    from rows4 a join rows4 b on a.g = b.g and a.k <> b.k""")
+
+projection("path_arp", f"""
+    select concat('b', g) as namespace, concat('r', k) as hostname, 'right' as oif,
+           {LEFT.format(k="k")} as ipAddress, concat('left:', k + 1) as macaddr
+    from rows4 where pos < 3 and k < top
+    union all
+    select concat('b', g), concat('r', k), 'left', {RIGHT.format(k="k - 1")},
+           concat('right:', k - 1)
+    from rows4 where pos > 0""")
+
+# One request per network: first host to the host its nation names.
+projection("path_requests", f"""
+    select concat('q', g) as req, concat('b', g) as namespace,
+           {LOOP.format(k="k")} as src,
+           {LOOP.format(k="least(k + s_nationkey % 4, top)")} as dest, k,
+           least(k + s_nationkey % 4, top) as dk
+    from rows4 where pos = 0""")
+
+# BGP rows of the first schema version: one row, a column group per family.
+projection("bgp_v1", """
+    select s_suppkey as timestamp, concat('h', s_suppkey) as hostname, '1.0' as sqvers,
+           s_nationkey % 2 = 0 as v4Enabled, s_nationkey % 3 = 0 as v6Enabled,
+           s_nationkey % 5 = 0 as evpnEnabled, s_nationkey as v4PfxRx, s_nationkey + 1 as v6PfxRx,
+           s_nationkey + 2 as evpnPfxRx, s_nationkey % 2 = 0 as v4Advertised,
+           s_nationkey % 4 = 0 as v4Received, s_nationkey % 7 = 0 as evpnAdvertised,
+           s_nationkey % 3 = 0 as evpnReceived,
+           case when s_nationkey % 4 = 0 then 'extended' when s_nationkey % 4 = 1 then 'standard'
+                else 'extendedAndStandard' end as evpnSendCommunity
+    from supplier""")

@@ -251,10 +251,10 @@ def _(i):
 
 @query("filter_address_in_own_prefix", """
     select namespace, hostname, vrf, prefix from routes
-    where plen > 0 and 3232235777 >= net and 3232235777 < net + pow(2, 32 - plen)""")
+    where plen > 0 and 2365587457 >= net and 2365587457 < net + pow(2, 32 - plen)""")
 def _(i):
     df = i.routes
-    return df.where(ip.addr_in_cidr(F.lit("192.168.1.1"), "prefix")).select(
+    return df.where(ip.addr_in_cidr(F.lit("141.0.0.1"), "prefix")).select(
         *KEYS, "vrf", "prefix")
 
 
