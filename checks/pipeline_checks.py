@@ -281,7 +281,8 @@ def _(i):
 
 @query("pick_normalizer", """
     select hostname, case when hostname = 'h7' then 'special' when os = 'eos' then
-             case when cast(string_split(version, '.')[1] as int) >= 2 then 'eos-new'
+             case when cast(string_split(version, '.')[1] as int) >= 2
+                       and version <> '2.0a' then 'eos-new'  -- a letter is older than none
                   else 'eos-old' end
              when os = 'nxos' then 'nxos' else 'nxos' end as normalizer
     from devices""")

@@ -165,6 +165,41 @@ def mask_address(addr: Column, plen: Column) -> Column:
     return let(addr, masked)
 
 
+# Address or prefix text worth parsing; cheap, and one reference to its input, so
+# that filters on it stay small when they are pushed into a scan.
+ADDRESS_TEXT = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9a-fA-F.]*:[0-9a-fA-F:.]*)(?:/\d{1,3})?$"
+
+
+def looks_like_address(c) -> Column:
+    return _col(c).rlike(ADDRESS_TEXT)
+
+
+def family(c) -> Column:
+    return F.when(_col(c).contains(":"), F.lit(6)).otherwise(F.lit(4))
+
+
+def words(c) -> tuple[Column, Column]:
+    """Upper and lower word of address text, never null (-1 if it cannot be read).
+
+    Not being null matters: a join on these adds no null test that would be
+    pushed down and parse the text once more.  IPv4 stays in generated code.
+    """
+    c = _col(c)
+    is6 = c.contains(":")
+    six = _v6_struct(address_part(c))
+    hi = F.when(is6, six["hi"]).otherwise(F.lit(0).cast("bigint"))
+    lo = F.when(is6, six["lo"]).otherwise(ipv4_num(c))
+    none = F.lit(-1).cast("bigint")
+    return F.coalesce(hi, none), F.coalesce(lo, none)
+
+
+def _same_v4_network(a: Column, b: Column, plen: Column) -> Column:
+    shift = (F.lit(32) - plen).cast("int")
+    return plen.between(0, 32) & (
+        F.call_function("shiftright", ipv4_num(a), shift)
+        == F.call_function("shiftright", ipv4_num(b), shift))
+
+
 def full_len(addr: Column) -> Column:
     return F.when(addr["fam"] == 6, F.lit(128)).otherwise(F.lit(32))
 
@@ -196,9 +231,11 @@ def cidr_bounds(cidr) -> Column:
 def same_subnet(a, b) -> Column:
     """Networks of two interface addresses are equal (length included)."""
     a, b = _col(a), _col(b)
+    la, lb = prefix_len(host_prefix(a)), prefix_len(host_prefix(b))
+    v6 = a.contains(":") | b.contains(":")
     return F.coalesce(
-        (network(a) == network(b))
-        & (prefix_len(host_prefix(a)) == prefix_len(host_prefix(b))), F.lit(False))
+        (la == lb) & F.when(v6, network(a) == network(b)).otherwise(_same_v4_network(a, b, la)),
+        F.lit(False))
 
 
 def _literal_address(n: ipaddress._BaseAddress) -> tuple[int, int, int]:
@@ -244,9 +281,21 @@ def any_in_subnet(array_col, cidr: str) -> Column:
 def addr_in_cidr(addr, cidr) -> Column:
     """Address inside the row's own prefix; the IPv4 default prefix never counts."""
     addr, cidr = _col(addr), _col(cidr)
-    masked = let(
-        ip_struct(addr), lambda a: mask_address(a, F.coalesce(prefix_len(cidr), full_len(a))))
-    return F.coalesce((masked == network(cidr)) & (cidr != "0.0.0.0/0"), F.lit(False))
+
+    def v6_inside() -> Column:
+        masked = let(ip_struct(addr), lambda a: mask_address(
+            a, F.coalesce(prefix_len(cidr), full_len(a))))
+        return masked == network(cidr)
+
+    v6 = addr.contains(":") | cidr.contains(":")
+    plen = F.coalesce(prefix_len(cidr), F.lit(32))
+    inside = F.when(v6, v6_inside()).otherwise(_same_v4_network(addr, cidr, plen))
+    return F.coalesce(inside & (cidr != "0.0.0.0/0"), F.lit(False))
+
+
+def is_default(cidr, address: str) -> Column:
+    """The prefix is the default route of the literal address's family."""
+    return _col(cidr).rlike(r"^[0:]+:[0:]*/0$" if ":" in address else r"^0\.0\.0\.0/0$")
 
 
 def addr_in_any_cidr(addr, cidrs) -> Column:

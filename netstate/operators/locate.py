@@ -263,11 +263,11 @@ def find(
 
     ``now`` holds the latest interfaces and MACs when the frames are histories.
     """
-    by_arp = find_by_arp(addresses, arp, ifs, macs, past)
+    by_arp = cut_lineage(find_by_arp(addresses, arp, ifs, macs, past))
     current = now or {"interfaces": ifs, "macs": macs}
     rest = addresses.join(
         by_arp.select(F.col("query").alias("address")).distinct(), "address", "left_anti")
-    found = by_arp.unionByName(find_by_interface(rest, current["interfaces"]))
+    found = cut_lineage(by_arp.unionByName(find_by_interface(rest, current["interfaces"])))
     out = first_hop_attach(found, current["interfaces"], lldp, current["macs"])
     if vlan is not None:
         out = out.where(F.col("vlan") == vlan)

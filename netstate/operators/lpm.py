@@ -9,6 +9,7 @@ salted so that no task gets them all.
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,13 +36,12 @@ def _is_short(fam: Column, plen: Column) -> Column:
 
 def with_prefix_key(routes: DataFrame, prefix: str = "prefix") -> DataFrame:
     """Add ``fam, plen, net_hi, net_lo``; rows whose prefix cannot be read are left out."""
-    df = routes.withColumn("__a", ip.ip_struct(prefix)).where("__a is not null")
-    df = df.withColumns({
-        "fam": F.col("__a.fam"), "__hi": F.col("__a.hi"), "__lo": F.col("__a.lo"),
-    }).drop("__a")
-    full = F.when(F.col("fam") == 6, F.lit(128)).otherwise(F.lit(32))
-    df = df.withColumn("plen", F.coalesce(ip.prefix_len(prefix), full)).where(
-        F.col("plen").between(F.lit(0), full))
+    fam = ip.family(prefix)
+    full = F.when(F.col(prefix).contains(":"), F.lit(128)).otherwise(F.lit(32))
+    plen = F.coalesce(ip.prefix_len(prefix), full)
+    hi, lo = ip.words(prefix)
+    df = routes.where(ip.looks_like_address(prefix) & (plen <= full)).withColumns({
+        "fam": fam, "plen": plen, "__hi": hi, "__lo": lo})
     hi, lo = _masked(F.col("fam"), F.col("__hi"), F.col("__lo"), F.col("plen"))
     return df.withColumns({"net_hi": hi, "net_lo": lo}).drop("__hi", "__lo")
 
@@ -70,9 +70,9 @@ def containing(
         return F.array(*map(F.lit, values)).cast("array<int>") if values else F.array().cast(
             "array<int>")
 
-    rows = addresses.withColumn("__parsed", ip.ip_struct(addr)).where("__parsed is not null").select(
-        *scope, addr, F.col("__parsed.fam").alias("fam"), F.col("__parsed.hi").alias("__hi"),
-        F.col("__parsed.lo").alias("__lo"))
+    hi, lo = ip.words(addr)
+    rows = addresses.where(ip.looks_like_address(addr)).select(
+        *scope, addr, ip.family(addr).alias("fam"), hi.alias("__hi"), lo.alias("__lo"))
     candidates = F.when(F.col("fam") == 6, literal(lengths[6])).otherwise(literal(lengths[4]))
     rows = rows.withColumn("plen", F.explode(candidates))
     hi, lo = _masked(F.col("fam"), F.col("__hi"), F.col("__lo"), F.col("plen"))
@@ -118,14 +118,11 @@ def lpm_join(
 def lpm(routes: DataFrame, address: str,
         per: tuple[str, ...] = ("namespace", "hostname", "vrf")) -> DataFrame:
     """Best route of one address per (namespace, hostname, vrf): a filter and a keep-best."""
-    keyed = with_prefix_key(routes)
-    fam, hi, lo = ip.literal_words(address)
-    want_hi, want_lo = _masked(
-        F.lit(fam), F.lit(hi).cast("bigint"), F.lit(lo).cast("bigint"), F.col("plen"))
-    hit = keyed.where(
-        (F.col("fam") == fam) & (F.col("net_hi") == want_hi) & (F.col("net_lo") == want_lo))
-    best = keep_last(hit, list(per), [F.col("plen").desc(), F.col("prefix").asc()])
-    return best.drop("fam", "plen", "net_hi", "net_lo")
+    ipaddress.ip_address(address)
+    holds = ip.looks_like_address("prefix") & (
+        ip.addr_in_cidr(F.lit(address), "prefix") | ip.is_default("prefix", address))
+    plen = F.coalesce(ip.prefix_len("prefix"), F.lit(128))
+    return keep_last(routes.where(holds), list(per), [plen.desc(), F.col("prefix").asc()])
 
 
 def routes_view(routes: DataFrame) -> DataFrame:

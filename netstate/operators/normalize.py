@@ -146,7 +146,8 @@ def extract_json(df: DataFrame, steps: list[Step], fields: list[Field | Compute]
             if f.default is not None:
                 value = F.coalesce(value, F.lit(f.default).cast(f.type))
         rows = rows.withColumn(f.name, value)
-    return rows.drop("__e")
+    return rows.select(*[c for c in keep if c in rows.columns], *keys,
+                       *[f.name for f in fields])
 
 
 # -- NRM-2, 3, 4, 5 ---------------------------------------------------------

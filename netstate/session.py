@@ -42,8 +42,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only where the optimizer's size estimate is below the limit."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = size.bigInteger().compareTo(
-        df.sparkSession._jvm.java.math.BigInteger.valueOf(limit_bytes)
-    ) <= 0
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size <= limit_bytes
     return F.broadcast(df) if small else df
