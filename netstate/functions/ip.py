@@ -12,7 +12,8 @@ import ipaddress
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
-V4_PATTERN = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!$)|$)){4}$"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+V4_PATTERN = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 V6_PATTERN = r"^(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}$"
 IP_STRUCT = "struct<fam:int,hi:bigint,lo:bigint>"
 
@@ -57,8 +58,14 @@ def host_prefix(c) -> Column:
 def ipv4_num(c) -> Column:
     """Dotted text (a length is ignored) to a long; null if not IPv4."""
     addr = address_part(c)
-    octet = [F.get(F.split(addr, r"\."), F.lit(i)).try_cast("bigint") for i in range(4)]
-    value = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
+    octets = [
+        F.substring_index(addr, ".", 1),
+        F.substring_index(F.substring_index(addr, ".", 2), ".", -1),
+        F.substring_index(F.substring_index(addr, ".", -2), ".", 1),
+        F.substring_index(addr, ".", -1),
+    ]
+    n = [o.try_cast("bigint") for o in octets]
+    value = n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3]
     return F.when(addr.rlike(V4_PATTERN), value)
 
 

@@ -85,7 +85,8 @@ def containing(
     spread = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0)))
     keyed = prefixes.withColumn("__salt", F.explode(spread))
-    on = [*scope, "fam", "plen", "net_hi", "net_lo", "__salt"]
+    # The most selective key leads, so that sorting by it settles most comparisons.
+    on = ["net_lo", "net_hi", "plen", "fam", "__salt", *scope]
     return rows.join(keyed, on).drop("__salt", "net_hi", "net_lo")
 
 
@@ -112,7 +113,7 @@ def lpm_join(
         addr, scope_cols, lengths)
     best = keep_last(pairs, [*scope_cols, addr, *per_cols], [F.col("plen").desc()])
     best = best.drop("fam").withColumnRenamed("plen", "matchedLen")
-    return addresses.join(best, [*scope_cols, addr], how)
+    return addresses.join(best, [addr, *scope_cols], how)
 
 
 def lpm(routes: DataFrame, address: str,

@@ -138,23 +138,47 @@ def spread_rows(values: DataFrame, group: list[str], value: str = "value") -> Da
         ((at(lo_rank) + at(hi_rank)) / 2).alias("median"))
 
 
-def _spread_values(df: DataFrame, s: Spread) -> DataFrame:
-    cond = _condition(s.where)
-    if cond is not None:
-        df = df.where(cond)
-    if s.per:
+def distributions(df: DataFrame, wanted: list[Distribution]) -> DataFrame:
+    """One row per group with a map column per distribution, counted in one pass.
+
+    What is collected are the distinct values of each field, i.e. the result.
+    """
+    rows = distribution_rows(df, [s.field for s in wanted])
+
+    def packed(s: Distribution) -> Column:
+        entry = F.struct(F.col("value").alias("k"), F.col("count").alias("v"))
+        return F.map_from_entries(F.array_sort(F.collect_list(
+            F.when(F.col("field") == s.field, entry)))).alias(s.name)
+
+    return rows.groupBy(_ON).agg(*[packed(s) for s in wanted])
+
+
+def _spread_values(df: DataFrame, wanted: list[Spread]) -> DataFrame:
+    """(namespace, stat, value) rows: all plain spreads in one pass, each finer one in its own."""
+    parts = []
+    plain = [s for s in wanted if not s.per]
+    if plain:
+        def value(s: Spread) -> Column:
+            c = F.col(s.field).cast("double")
+            cond = _condition(s.where)
+            return c if cond is None else F.when(cond, c)
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(s.name).alias("stat"), value(s).alias("value")) for s in plain]))
+        parts.append(df.select(_ON, pairs.alias("p")).select(_ON, "p.stat", "p.value"))
+    for s in wanted:
+        if not s.per:
+            continue
+        cond = _condition(s.where)
+        rows = df if cond is None else df.where(cond)
         agg = F.countDistinct if s.func == "nunique" else getattr(F, s.func)
-        df = df.groupBy(_ON, *s.per).agg(agg(s.field).alias("value"))
-        value = F.col("value")
-    else:
-        value = F.col(s.field)
-    return df.select(_ON, F.lit(s.name).alias("stat"), value.cast("double").alias("value"))
+        parts.append(rows.groupBy(_ON, *s.per).agg(agg(s.field).alias("value")).select(
+            _ON, F.lit(s.name).alias("stat"), F.col("value").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def spreads(df: DataFrame, wanted: list[Spread]) -> DataFrame:
     """All spreads of a sheet, ranked together: one column per spread."""
-    values = reduce(DataFrame.unionByName, [_spread_values(df, s) for s in wanted])
-    rows = spread_rows(values, [_ON, "stat"])
+    rows = spread_rows(_spread_values(df, wanted), [_ON, "stat"])
     triple = F.array("min", "max", "median")
     return rows.groupBy(_ON).agg(*[
         F.max(F.when(F.col("stat") == s.name, triple)).alias(s.name) for s in wanted])
@@ -167,9 +191,9 @@ def summarize(
     """One row per namespace; namespaces whose ``check`` is 0 are dropped."""
     scalars = [stat(s) for s in stats if isinstance(s, Stat)]
     out = df.groupBy(_ON).agg(*scalars)
-    for s in stats:
-        if isinstance(s, Distribution):
-            out = out.join(distribution(df, s.field, s.name), _ON, "left")
+    maps = [s for s in stats if isinstance(s, Distribution)]
+    if maps:
+        out = out.join(distributions(df, maps), _ON, "left")
     wanted = [s for s in stats if isinstance(s, Spread)]
     if wanted:
         zero = F.array(*[F.lit(0.0)] * 3)

@@ -180,14 +180,14 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
         *graph, "node", F.least("node", "low").alias("f")))
     while True:
         parents = state.select(*graph, F.col("node").alias("f"), F.col("f").alias("gf"))
-        known = state.join(parents, [*graph, "f"])
+        known = state.join(parents, ["f", *graph])
         neighbour = known.select(*graph, F.col("node").alias("dst"), F.col("gf").alias("ngf"))
-        hooked = both.join(neighbour, [*graph, "dst"]).groupBy(
+        hooked = both.join(neighbour, ["dst", *graph]).groupBy(
             *graph, F.col("src").alias("node")).agg(F.min("ngf").alias("m"))
-        with_low = known.join(hooked, [*graph, "node"])
+        with_low = known.join(hooked, ["node", *graph])
         proposals = with_low.select(*graph, F.col("f").alias("node"), F.col("m").alias("p"))
         best = proposals.groupBy(*graph, "node").agg(F.min("p").alias("p"))
-        nxt = with_low.join(best, [*graph, "node"], "left").select(
+        nxt = with_low.join(best, ["node", *graph], "left").select(
             *graph, "node", F.least("f", "gf", "m", F.coalesce("p", "f")).alias("nf"),
             F.col("f").alias("old"))
         nxt = cut_lineage(nxt)
@@ -221,8 +221,8 @@ def distance_sums(edges: DataFrame, graph: list[str]) -> DataFrame:
         *graph, F.explode(F.array("src", "dst")).alias("node")).distinct()
     hashed = nodes.withColumn("__h", F.xxhash64("node"))
     numbered = cut_lineage(ordered.running_sum(
-        hashed, graph, "__h", F.lit(1), "n", extra_order=["node"], chunk_ms=1 << 56
-    ).select(*graph, "node", (F.col("n") - 1).alias("n")))
+        hashed, graph, "__h", F.lit(1), "n", extra_order=["node"], chunk_ms=1 << 56,
+        hot_rows=0).select(*graph, "node", (F.col("n") - 1).alias("n")))
     batches = (numbered.agg(F.max("n")).first()[0] or 0) // BITS + 1
     total = numbered.select(*graph, "node", F.lit(0).cast("bigint").alias("total"))
     words = [f"w{i}" for i in range(WORDS)]

@@ -24,9 +24,11 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key in the given order.
 
     ``row_number() = 1`` lets Spark keep one row per key and partition before
-    the shuffle, so a key that owns a large share of the rows stays cheap.
+    the shuffle, so a key that owns a large share of the rows stays cheap.  Keys
+    run from coarse to fine; the finest leads the sort, which settles most
+    comparisons at once.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*reversed(keys)).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
@@ -86,11 +88,12 @@ def shows_active(view: str | None, start: int | None, end: int | None) -> bool:
 def as_of_join(
     left: DataFrame, right: DataFrame, keys: list[str], columns: list[str],
     ts: str = "timestamp", chunk_ms: int | None = ordered.HOUR_MS, prefix: str = "",
+    hot_rows: int = ordered.HOT_ROWS,
 ) -> DataFrame:
     """For each left row, the right-hand state valid at its time.
 
     Both sides go into one ordered pass per key in which the last right row is
-    carried forward: no range join, no pairs, and a busy key is cut into time
+    carried forward: no range join, no pairs, and a hot key is cut into time
     chunks.
     """
     state = F.struct(F.col(ts).alias("__at"), *[F.col(c) for c in columns])
@@ -100,7 +103,7 @@ def as_of_join(
     both = left_rows.unionByName(right_rows, allowMissingColumns=True)
     filled = ordered.fill_forward(
         both, keys, ts, {"__found": F.col("__state")}, extra_order=["__side"],
-        chunk_ms=chunk_ms)
+        chunk_ms=chunk_ms, hot_rows=hot_rows)
     return filled.where("__side = 1").select(
         "__left.*",
         *[F.col("__found")[c].alias(prefix + c) for c in columns],

@@ -13,6 +13,7 @@ from netstate.operators import (
 )
 from netstate.plans import getters, summaries
 from netstate.plans.getters import Scope
+from netstate.session import cut_lineage
 from netstate.sources.read import Store
 
 
@@ -61,7 +62,8 @@ class NetState:
             fields.setdefault("moves", False)
         df = filters.filter_query(
             getters.get(self.scope(view, start, end), table, **fields), query_str)
-        return summaries.SHEETS.get(table, summaries.generic)(df)
+        # A sheet makes several passes over its rows; the view is worked out once.
+        return summaries.SHEETS.get(table, summaries.generic)(cut_lineage(df))
 
     def unique(self, table: str, columns=None, count: bool = False, query_str: str = "",
                view=None, start=None, end=None, **fields) -> DataFrame:
@@ -105,20 +107,21 @@ class NetState:
             return asserts.assert_mtu(df, [int(v) for v in filters.as_list(value)], result)
         if table == "interfaces":
             out = asserts.assert_interfaces(
-                getters.interfaces(scope, type=["all"], **near), getters.lldp(scope, **near),
+                cut_lineage(getters.interfaces(scope, type=["all"], **near)),
+                getters.lldp(scope, **near),
                 getters.base(scope, "mlag", **near), "all", ignore_missing_peer,
                 filters.as_list(type) or None, state or "up")
         elif table == "bgp":
             out = asserts.assert_bgp(
-                getters.bgp(scope, **near), getters.base(scope, "interfaces", **near), "all",
+                cut_lineage(getters.bgp(scope, **near)), getters.base(scope, "interfaces", **near), "all",
                 state or "!dynamic")
         elif table == "ospf":
             out = asserts.assert_ospf(
-                getters.ospf(scope, **near), getters.base(scope, "interfaces", **near), "all")
+                cut_lineage(getters.ospf(scope, **near)), getters.base(scope, "interfaces", **near), "all")
         elif table == "evpnVni":
             svis = getters.address(scope, type=["vlan"], **near)
             out = asserts.assert_evpn(
-                getters.evpnVni(scope, **near), svis, "all",
+                cut_lineage(getters.evpnVni(scope, **near)), svis, "all",
                 getters.base(scope, "macs", **near) if check_her else None)
         else:
             raise verbs.VerbError(f"no assertions for {table}")
@@ -196,7 +199,7 @@ class NetState:
         near = {"namespace": namespace} if namespace else {}
         wanted = filters.as_list(via) or (
             ["bgp"] if asn else ["ospf"] if area else ["lldp", "bgp", "ospf"])
-        ifs = getters.interfaces(scope, state="up", modes=False, **near)
+        ifs = cut_lineage(getters.interfaces(scope, state="up", modes=False, **near))
         edges = topo.topology(
             filters.as_list(via), getters.lldp(scope, **near), ifs,
             getters.bgp(scope, **near) if "bgp" in wanted else None,

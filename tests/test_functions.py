@@ -98,9 +98,10 @@ def test_ordered_chunks_equal_plain_windows(spark):
         (ordered.previous_value, ({"x": F.col("v")},)), (ordered.next_value, ({"x": F.col("v")},)),
         (ordered.fill_forward, ({"x": maybe},)), (ordered.running_sum, (F.col("v"), "x")),
     ]:
-        a = rows(fn(df, ["k"], "t", *args, chunk_ms=100))
-        b = rows(fn(df, ["k"], "t", *args, chunk_ms=None))
-        assert a == b, fn.__name__
+        plain = rows(fn(df, ["k"], "t", *args, chunk_ms=None))
+        assert rows(fn(df, ["k"], "t", *args, chunk_ms=100, hot_rows=0)) == plain, fn.__name__
+        # Only 'hot' is chunked, the others are not.
+        assert rows(fn(df, ["k"], "t", *args, chunk_ms=100, hot_rows=500)) == plain, fn.__name__
 
 
 @settings(max_examples=5, deadline=None)
