@@ -27,6 +27,14 @@ SQL_FUNCTIONS = {
         f"shiftright({_V4.format(a='cidr')}, "
         "32 - try_cast(substring_index(cidr, '/', -1) AS INT)) ELSE false END",
     ),
+    "any_in_subnet": (
+        "(l ARRAY<STRING>, cidr STRING) RETURNS BOOLEAN",
+        "CASE WHEN " + _IS_V4.format(a="cidr") + " THEN coalesce(exists(l, a -> "
+        + _IS_V4.format(a="a") + f" AND shiftright({_V4.format(a='a')}, "
+        "32 - try_cast(substring_index(cidr, '/', -1) AS INT)) = "
+        f"shiftright({_V4.format(a='cidr')}, "
+        "32 - try_cast(substring_index(cidr, '/', -1) AS INT))), false) ELSE false END",
+    ),
     "mac_canonical": (
         "(m STRING) RETURNS STRING",
         "CASE WHEN m IS NULL THEN '00:00:00:00:00:00' "

@@ -329,10 +329,10 @@ def search(terms: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             source = tables[table]
             if name not in source.columns:
                 continue
-            value = F.col(name)
-            if isinstance(source.schema[name].dataType, T.ArrayType):
-                value = F.explode(name)
-            values = source.select("namespace", "hostname", value.cast("string").alias("value"))
+            is_list = isinstance(source.schema[name].dataType, T.ArrayType)
+            values = source.select(
+                "namespace", "hostname", (F.explode(name) if is_list else F.col(name)).alias(
+                    "value")).withColumn("value", F.col("value").cast("string"))
             if kind == "address" and name == "ipAddress":
                 values = values.withColumn("value", ip.address_part("value"))
             found.append(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netstate.functions import ip
 from netstate.operators import lpm
-from netstate.operators.enrich import NS_HOST, _lookup, arpnd_with_vrf, unique_by
+from netstate.operators.enrich import NS_HOST, _lookup, arpnd_with_vrf, mlag_peers, unique_by
 from netstate.operators.views import keep_last
 from netstate.session import cut_lineage
 
@@ -26,6 +26,8 @@ IGNORED_MAC_PORTS = ["bridge", "Vxlan1"]
 SVI_PATTERN = r"^(Vlan|vlan|irb\.)"
 NEXTHOP_VRF = "_nexthopVrf:"
 UNDERLAY_VRF = "default"
+PEER_LINK_PORT = "vPC Peer"
+SUPERVISOR_PORT = "sup-eth1"
 RECURSION = 2
 
 HOP = (
@@ -91,7 +93,20 @@ class PathTables:
         self.mac_vtep = unique_by(
             macs.where("coalesce(remoteVtepIp, '') != ''"), [*NS_HOST, "macaddr"],
             macVtep="remoteVtepIp")
-        self.mlag = mlag
+        links = mlag.select(*NS_HOST, "systemId", "peerLink") if mlag is not None else None
+        self.peer_links = cut_lineage(mlag_peers(links).select(
+            *NS_HOST, F.col("peerLink").alias("__link"))) if mlag is not None else None
+
+    def real_ports(self, df: DataFrame, host: str, port: str) -> DataFrame:
+        """Port names that stand for another port: the peer link, the supervisor port."""
+        name = F.when(F.col(port).startswith(SUPERVISOR_PORT), F.lit("loopback0")).otherwise(
+            F.col(port))
+        if self.peer_links is None:
+            return df.withColumn(port, name)
+        df = _lookup(df, self.peer_links, {"namespace": "namespace", host: "hostname"})
+        return df.withColumn(port, F.when(
+            F.col(port).startswith(PEER_LINK_PORT), F.coalesce("__link", port)
+        ).otherwise(name)).drop("__link")
 
     def best_routes(self, *wanted: tuple[DataFrame, str, str]) -> DataFrame:
         """Best routes of (rows, address column, VRF column) lookups on each row's device.
@@ -441,6 +456,7 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
             F.col("errors"), F.col("rev").isNull() & ~F.col("first") & ~F.col("isL2")
             & (F.col("overlay") == ""), "no reverse path")).drop("rev")
         nexts = _next_hops(live, t)
+        nexts = t.real_ports(t.real_ports(nexts, "device", "nh_oif"), "peer", "peerIf")
         my = t.ports.select(*NS_HOST, "ifname", F.col("mtu").alias("outMtu"))
         nexts = cut_lineage(_lookup(nexts, my, {
             "namespace": "namespace", "device": "hostname", "nh_oif": "ifname"}))

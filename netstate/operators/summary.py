@@ -19,7 +19,11 @@ _BUCKETS = 1024
 
 @dataclass(frozen=True)
 class Stat:
-    """One aggregate column, e.g. ``count`` of ``field`` where ``where`` holds."""
+    """One aggregate column, e.g. ``count`` of ``field`` where ``where`` holds.
+
+    ``func`` may be any aggregate Spark SQL knows (``stddev``, ``approx_percentile``
+    with its arguments in ``field``), or one the user registered.
+    """
 
     name: str
     field: str
@@ -62,15 +66,15 @@ def _condition(where) -> Column | None:
 
 def stat(s: Stat) -> Column:
     """Aggregate Column of a scalar statistic; no matching row counts as 0."""
-    c = F.col(s.field)
     cond = _condition(s.where)
-    if cond is not None:
-        c = F.when(cond, c)
     agg = {
         "count": F.count, "nunique": F.countDistinct, "sum": F.sum, "min": F.min, "max": F.max,
     }.get(s.func)
-    out = agg(c) if agg else F.expr(f"{s.func}({s.field})")
-    return F.coalesce(out, F.lit(0)).alias(s.name)
+    if agg is None:
+        only = f" FILTER (WHERE {s.where})" if s.where is not None else ""
+        return F.coalesce(F.expr(f"{s.func}({s.field}){only}"), F.lit(0)).alias(s.name)
+    c = F.col(s.field) if cond is None else F.when(cond, F.col(s.field))
+    return F.coalesce(agg(c), F.lit(0)).alias(s.name)
 
 
 def value_counts(df: DataFrame, field: str, group=(_ON,)) -> DataFrame:

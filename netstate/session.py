@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Settings the operators count on or profit from; a session may choose its own.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Hash joins where every partition of the smaller side is known to be small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
