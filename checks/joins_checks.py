@@ -715,13 +715,13 @@ def _(i):
 @query("head_end_replication", """
     with m as (select namespace, hostname, concat('vni', vlan) as ifname,
                       list(distinct concat('10.2.2.', vlan % 20)) as her
-               from macs where vlan < 30 group by 1, 2, 3)
+               from macs group by 1, 2, 3)
     select v.namespace, v.hostname, v.vni,
            array_to_string(list_sort(list_filter(v."remoteVtepList",
              lambda x: not list_contains(coalesce(m.her, []), x))), ',') as missing
     from vnis v left join m using (namespace, hostname, ifname)""")
 def _(i):
-    macs = i.macs.where("vlan < 30").select(
+    macs = i.macs.select(
         *KEYS, F.lit("00:00:00:00:00:00").alias("macaddr"),
         F.concat(F.lit("vni"), "vlan").alias("oif"),
         F.concat(F.lit("10.2.2."), F.col("vlan") % 20).alias("remoteVtepIp"))

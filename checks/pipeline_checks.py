@@ -13,11 +13,14 @@ MID = 1_705_276_800_000
 DAY = 86_400_000
 
 
-def _last(i, cond):
+def _snapshots(i):
+    """State before and after the middle; objects in state error are not in the second."""
     from netstate.operators.views import latest
 
-    return latest(i.log.where(cond).select(*KEYS, "timestamp", "state", "value").withColumn(
-        "active", F.lit(True)), KEYS)
+    log = i.log.select(*KEYS, "timestamp", "state").withColumn("active", F.lit(True))
+    old = latest(log.where(F.col("timestamp") < MID), KEYS)
+    new = latest(log.where(F.col("timestamp") >= MID), KEYS)
+    return old, new.where("state != 'error'")
 
 
 SNAPSHOTS = f"""
@@ -26,7 +29,7 @@ SNAPSHOTS = f"""
           where timestamp < {MID}) t where rn = 1),
     n as (select * from (select namespace, hostname, timestamp, state, value, row_number() over (
             partition by namespace, hostname order by timestamp desc) rn from log
-          where timestamp >= {MID} and hostname not like '%7') t where rn = 1)"""
+          where timestamp >= {MID}) t where rn = 1 and state <> 'error')"""
 
 
 @query("change_capture", f"""
@@ -38,8 +41,7 @@ SNAPSHOTS = f"""
     select o.namespace, o.hostname, {MID}, o.state, false
     from o left join n using (namespace, hostname) where n.hostname is null""", headline=True)
 def _(i):
-    old = _last(i, F.col("timestamp") < MID).drop("value")
-    new = _last(i, (F.col("timestamp") >= MID) & ~F.col("hostname").like("%7")).drop("value")
+    old, new = _snapshots(i)
     got = cdc.cdc_diff(old, new, KEYS, deleted_at=MID)
     return got.select(*KEYS, "timestamp", "state", "active")
 
@@ -70,15 +72,15 @@ def _(i):
 @query("restart_rewrites_all", f"""
     with {SNAPSHOTS}
     select n.namespace, n.hostname, n.state,
-           case when hostname like '%3' then 900000 else 100000 end as "deviceSession"
+           case when o.state = 'purchase' then 900000 when o.state is null then 0
+                else 100000 end as "deviceSession"
     from n left join o using (namespace, hostname)
-    where o.hostname is null or o.state <> n.state or hostname like '%3'""")
+    where o.hostname is null or o.state <> n.state or o.state = 'purchase'""")
 def _(i):
-    old = _last(i, F.col("timestamp") < MID).drop("value").withColumn(
-        "deviceSession", F.lit(100_000).cast("bigint"))
-    new = _last(i, (F.col("timestamp") >= MID) & ~F.col("hostname").like("%7")).drop(
-        "value").withColumn("deviceSession", F.lit(0).cast("bigint"))
-    boots = old.select(*KEYS, F.when(F.col("hostname").like("%3"), F.lit(900_000)).otherwise(
+    old, new = _snapshots(i)
+    old = old.withColumn("deviceSession", F.lit(100_000).cast("bigint"))
+    new = new.withColumn("deviceSession", F.lit(0).cast("bigint"))
+    boots = old.select(*KEYS, F.when(F.col("state") == "purchase", F.lit(900_000)).otherwise(
         F.lit(104_000)).cast("bigint").alias("boot"))
     again = cdc.restarted_devices(old, boots)
     rows = cdc.cdc_diff(old, new, KEYS, rewrite=again, deleted_at=MID).where("active")

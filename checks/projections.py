@@ -43,7 +43,7 @@ projection("routes", """
     select distinct concat('ns', p_partkey % 3), concat('h', p_partkey % 10), 'default',
            '0.0.0.0/0', 0, cast(0 as bigint), 'static', @list('10.0.0.254'), @list('eth0'),
            cast(20 as bigint), cast(4 as bigint), cast(1 as bigint), true
-    from part where p_partkey % 2 = 0""")
+    from part where p_size = 50""")
 
 projection("addresses", """
     select o_orderkey, num, concat('ns', o_orderkey % 3) as namespace,
@@ -162,7 +162,7 @@ projection("ospf_nbr", """
                   case when ipAddress like '%.0/31' then '1' else '0' end) as peerIP,
            '' as ipAddress, timestamp % 4 as numChanges, timestamp as lastChangeTime,
            timestamp, true as active
-    from ospf_if where timestamp % 3 <> 0""")
+    from ospf_if where helloTime = 10""")
 
 projection("vnis", """
     select concat('ns', h % 2) as namespace, concat('h', h) as hostname, 10000 + v as vni,

@@ -9,6 +9,8 @@ from netstate.operators import filters, ordered, projection, verbs, views
 KEYS = ["namespace", "hostname"]
 MID = 1_705_276_800_000  # 2024-01-15
 LATE = 1_705_881_600_000  # 2024-01-22
+# Bound low enough that the hot key of the logs is cut into chunks.
+HOT = 1000
 LOG = ["namespace", "hostname", "timestamp", "state", "value", "event_id"]
 
 
@@ -88,7 +90,7 @@ def _(i):
     right = log.where("state = 'click'").select(
         *KEYS, "timestamp", F.col("event_id").alias("right_id"),
         F.col("value").alias("right_value"))
-    return views.as_of_join(left, right, KEYS, ["right_id", "right_value"])
+    return views.as_of_join(left, right, KEYS, ["right_id", "right_value"], hot_rows=HOT)
 
 
 @query("state_until_next_change", """
@@ -115,7 +117,7 @@ def _(i):
 def _(i):
     return ordered.next_value(
         i.hotlog.select(*KEYS, "timestamp"), KEYS, "timestamp",
-        {"next_ts": F.col("timestamp")})
+        {"next_ts": F.col("timestamp")}, hot_rows=HOT)
 
 
 @query("previous_state", """
@@ -125,7 +127,7 @@ def _(i):
 def _(i):
     return ordered.previous_value(
         i.hotlog.select(*KEYS, "timestamp", "state"), KEYS, "timestamp",
-        {"before": F.col("state")})
+        {"before": F.col("state")}, hot_rows=0)
 
 
 @query("forward_fill", """
@@ -138,7 +140,7 @@ def _(i):
     click = F.when(F.col("state") == "click", F.col("event_id"))
     return ordered.fill_forward(
         i.hotlog.select(*KEYS, "timestamp", "event_id", "state"), KEYS, "timestamp",
-        {"last_click": click}).drop("state")
+        {"last_click": click}, hot_rows=HOT).drop("state")
 
 
 @query("running_total", """
@@ -149,7 +151,7 @@ def _(i):
 def _(i):
     return ordered.running_sum(
         i.hotlog.select(*KEYS, "timestamp", "event_id"), KEYS, "timestamp",
-        F.col("event_id"), "total").drop("event_id")
+        F.col("event_id"), "total", hot_rows=HOT).drop("event_id")
 
 
 @query("mac_move_count", """
@@ -360,7 +362,7 @@ def _(i):
 
 
 @query("search_terms", """
-    with terms as (select distinct 'mac' as kind, macaddr as value from macs where vlan = 3
+    with terms as (select distinct 'mac' as kind, macaddr as value from macs
                    union select 'mtu', '1500')
     select t.kind, t.value, m.namespace, m.hostname, 'macaddr' as "column"
     from terms t join macs m on t.kind = 'mac' and t.value = m.macaddr
@@ -368,7 +370,7 @@ def _(i):
     select t.kind, t.value, f.namespace, f.hostname, 'mtu' as "column"
     from terms t join ifs f on t.kind = 'mtu' and t.value = cast(f.mtu as varchar)""")
 def _(i):
-    terms = i.macs.where("vlan = 3").select(
+    terms = i.macs.select(
         F.lit("mac").alias("kind"), F.col("macaddr").alias("value")).unionByName(
         i.ifs.where("mtu = 1500").select(
             F.lit("mtu").alias("kind"), F.col("mtu").cast("string").alias("value"))).distinct()
@@ -485,17 +487,12 @@ def _(i):
 
 
 @query("natural_order", """
-    select hostname, row_number() over (
-      order by regexp_extract(hostname, '^[a-z]+'),
-               cast(regexp_extract(hostname, '[0-9]+') as bigint)) as pos
+    select hostname, concat(regexp_extract(hostname, '^[a-z]+'),
+           lpad(regexp_extract(hostname, '[0-9]+'), 20, '0')) as position
     from (select distinct hostname from ifs) t""")
 def _(i):
-    from pyspark.sql import Window
-
-    hosts = i.ifs.select("hostname").distinct()
-    # The position is asked for only to compare the order.
-    return hosts.withColumn("pos", F.row_number().over(
-        Window.orderBy(text.natkey("hostname"))).cast("bigint"))
+    hosts = verbs.natural_sort(i.ifs.select("hostname").distinct(), ["hostname"])
+    return hosts.withColumn("position", text.natkey("hostname"))
 
 
 @query("failing_objects", """

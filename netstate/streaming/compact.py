@@ -7,6 +7,7 @@ in it, the key's last earlier row.  So the last block alone answers "latest".
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -87,9 +88,27 @@ def newest_block(spark: SparkSession, root: str, table: str) -> int | None:
     return max((b for _, b in found), default=None)
 
 
+def consumed_files(raw: DataFrame, period_ms: int, now_ms: int) -> list[str]:
+    """Raw files all of whose rows lie in complete blocks (as many rows as files)."""
+    last = with_block(raw, period_ms).groupBy(F.input_file_name().alias("file")).agg(
+        F.max("block_start").alias("last"))
+    return [r.file for r in last.where(F.col("last") + period_ms <= now_ms).collect()]
+
+
+def _delete_files(spark: SparkSession, files: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, False)
+
+
 def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h",
-                  now_ms: int | None = None) -> dict:
-    """Write the blocks completed since the last run, and late rows of older ones."""
+                  now_ms: int | None = None, remove_consumed: bool = False) -> dict:
+    """Write the blocks completed since the last run, and late rows of older ones.
+
+    With ``remove_consumed`` raw files are deleted once their rows are written;
+    without it they stay and readers drop the doubles.
+    """
     started = time.time()
     spec, span = table_spec(table), timefn.period_ms(period)
     now_ms = int(started * 1000) if now_ms is None else now_ms
@@ -98,42 +117,48 @@ def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h"
              "fileCount": 0, "recCount": 0, "timestamp": now_ms, "active": True}
     if raw is None:
         return stats
+    every = with_block(raw, span)
+    present = written_blocks(every.where(F.col("block_start") + span <= now_ms))
     last = newest_block(spark, root, table)
-    fresh = with_block(raw, span)
-    late = None
-    if last is not None:
-        old = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
-        late = fresh.where(F.col("block_start") <= last).join(
-            old.select(*spec.keys, "timestamp").distinct(), [*spec.keys, "timestamp"],
-            "left_anti")
-        fresh = fresh.where(F.col("block_start") > last)
-    state = compaction_state(spark, root, table)
-    blocks = written_blocks(fresh.where(F.col("block_start") + span <= now_ms))
-    out = compact_rows(fresh.drop("block_start"), spec.keys, span, spec.kind, now_ms, state, blocks)
-    if late is not None:
-        out = out.unionByName(late.select(*out.columns))
-    if blocks or late is not None:
+    blocks = [b for b in present if last is None or b > last]
+    older = [b for b in present if last is not None and b <= last]
+    parts = []
+    if blocks:
+        fresh = every.where(F.col("block_start").isin(blocks)).drop("block_start")
+        state = compaction_state(spark, root, table)
+        parts.append(compact_rows(fresh, spec.keys, span, spec.kind, now_ms, state, blocks))
+    if older:
+        # Only the blocks that late rows fall in are read again.
+        done = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
+        known = done.where(F.col("block_start").isin(older)).select(*spec.keys, "timestamp")
+        parts.append(every.where(F.col("block_start").isin(older)).join(
+            known.distinct(), [*spec.keys, "timestamp"], "left_anti"))
+    if parts:
         from netstate.session import cut_lineage
 
         # The compacted directory is both read and appended to.
-        out = cut_lineage(out)
-        stats["recCount"] = out.count()
+        names = parts[0].columns
+        out = cut_lineage(reduce(
+            lambda a, b: a.unionByName(b), [p.select(*names) for p in parts]))
+        files = consumed_files(raw, span, now_ms)
+        stats["recCount"], stats["fileCount"] = out.count(), len(files)
         if stats["recCount"]:
             write.write_compacted(out, root, table)
-        stats["fileCount"] = len(raw.inputFiles())
+        if remove_consumed:
+            _delete_files(spark, files)
     stats["execTime"] = int(time.time() - started)
     return stats
 
 
 def compact_all(spark: SparkSession, root: str, period: str = "1h",
-                now_ms: int | None = None) -> list[dict]:
+                now_ms: int | None = None, remove_consumed: bool = False) -> list[dict]:
     """All tables, in any order; one that fails does not stop the others."""
     stats, present = [], read.stored_tables(spark, root)
     for table in [t for t in table_names(stored_only=True) if t in present]:
         if table == "sqCoalescer":
             continue
         try:
-            stats.append(compact_table(spark, root, table, period, now_ms))
+            stats.append(compact_table(spark, root, table, period, now_ms, remove_consumed))
         except Exception as exc:
             stats.append({"namespace": "", "service": table, "period": period, "execTime": -1,
                           "fileCount": 0, "recCount": 0, "timestamp": now_ms or 0,

@@ -94,6 +94,15 @@ def test_open_block_is_left_out(spark, tmp_path):
     assert stats["recCount"] == 3
 
 
+def test_consumed_files_may_be_removed(spark, tmp_path):
+    root = str(tmp_path)
+    write.write_raw(log_rows(spark), root, "interfaces")
+    before = answers(spark, root)
+    compact.compact_table(spark, root, "interfaces", "1h", T0 + 10 * HOUR, remove_consumed=True)
+    assert not list((tmp_path / "interfaces").rglob("*.parquet"))
+    assert answers(spark, root) == before
+
+
 def test_conform(spark):
     df = spark.createDataFrame([("h", "x9", ["1", "z"])], "hostname string, mtu string, vlan array<string>")
     got = write.conform_for_write(df.withColumn("ipAddressList", F.lit("1.1.1.1/32")).drop("vlan"),
