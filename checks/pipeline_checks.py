@@ -97,7 +97,8 @@ def _(i):
            n = 1 or not (n - ok between 1 and 2) as commit
     from q""")
 def _(i):
-    return cdc.failure_streaks(i.polls).select(
+    # Every key is cut into chunks here, as a hot one would be.
+    return cdc.failure_streaks(i.polls, hot_rows=0).select(
         *KEYS, "service", "timestamp", "streak", "commit")
 
 

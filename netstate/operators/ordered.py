@@ -23,10 +23,14 @@ HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 10_000
 
 
-def _by_heat(df: DataFrame, keys: list[str], hot_rows: int, chunk_ms: int | None,
-             plain: Callable[[DataFrame], DataFrame],
-             chunked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Plain window for cold keys, chunks for hot ones."""
+def by_heat(df: DataFrame, keys: list[str], hot_rows: int, chunk_ms: int | None,
+            plain: Callable[[DataFrame], DataFrame],
+            chunked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``plain`` for cold keys, ``chunked`` for hot ones; the keys are counted once.
+
+    Several ordered steps in a row share one count and, on cold keys, one
+    shuffle when they are put into the two functions together.
+    """
     if chunk_ms is None:
         return plain(df)
     if not hot_rows:
@@ -83,7 +87,7 @@ def _neighbour(
             *[F.col(c) for c in df.columns],
             *[F.col("__got")[n].alias(n) for n in values])
 
-    return _by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)
+    return by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)
 
 
 def previous_value(df, keys, ts, values, extra_order=None, chunk_ms=HOUR_MS,
@@ -124,7 +128,7 @@ def running_sum(
             *[F.col(c) for c in df.columns],
             (F.coalesce("__near", F.lit(0)) + F.coalesce("__in", F.lit(0))).alias(name))
 
-    return _by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)
+    return by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)
 
 
 def fill_forward(
@@ -162,4 +166,4 @@ def fill_forward(
             *[F.col(c) for c in df.columns],
             *[F.coalesce(f"__near_{n}", f"__in_{n}").alias(n) for n in values])
 
-    return _by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)
+    return by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)

@@ -141,11 +141,22 @@ def undirected(edges: DataFrame, graph: list[str]) -> DataFrame:
     ).distinct()
 
 
+def directed(edges: DataFrame, graph: list[str]) -> DataFrame:
+    """Every undirected edge in both directions, a self loop once."""
+    flat = undirected(edges, graph)
+    there = F.struct(F.col("src"), F.col("dst"))
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))
+    return flat.select(*graph, F.explode(both).alias("e")).select(*graph, "e.*")
+
+
 def degrees(edges: DataFrame, graph: list[str]) -> DataFrame:
-    """Node degrees; a self loop counts twice."""
+    """(graph.., node, degree, loops); a self loop counts twice in the degree."""
     ends = undirected(edges, graph).select(
-        *graph, F.explode(F.array("src", "dst")).alias("node"))
-    return ends.groupBy(*graph, "node").agg(F.count(F.lit(1)).alias("degree"))
+        *graph, (F.col("src") == F.col("dst")).alias("loop"),
+        F.explode(F.array("src", "dst")).alias("node"))
+    return ends.groupBy(*graph, "node").agg(
+        F.count(F.lit(1)).alias("degree"), F.count(F.when(F.col("loop"), 1)).alias("loops"))
 
 
 def degree_histogram(edges: DataFrame, graph: list[str]) -> DataFrame:
@@ -155,13 +166,13 @@ def degree_histogram(edges: DataFrame, graph: list[str]) -> DataFrame:
 
 
 def graph_counts(edges: DataFrame, graph: list[str]) -> DataFrame:
-    flat = undirected(edges, graph)
-    counts = flat.groupBy(*graph).agg(
-        F.count(F.lit(1)).alias("number_of_edges"),
-        F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"))
-    nodes = degrees(edges, graph).groupBy(*graph).agg(
-        F.count(F.lit(1)).alias("number_of_nodes"))
-    return nodes.join(counts, graph)
+    """Nodes, edges and self loops, all from the degrees."""
+    def half(c):
+        return F.expr(f"cast(sum({c}) div 2 as bigint)")
+
+    return degrees(edges, graph).groupBy(*graph).agg(
+        F.count(F.lit(1)).alias("number_of_nodes"), half("degree").alias("number_of_edges"),
+        half("loops").alias("self_loops"))
 
 
 def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
@@ -172,9 +183,7 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
     long chains take logarithmically many rounds.  Minima are combined before
     they are shuffled.
     """
-    flat = undirected(edges, graph)
-    both = cut_lineage(flat.unionByName(
-        flat.select(*graph, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = cut_lineage(directed(edges, graph))
     nodes = both.groupBy(*graph, F.col("src").alias("node")).agg(F.min("dst").alias("low"))
     state = cut_lineage(nodes.select(
         *graph, "node", F.least("node", "low").alias("f")))
@@ -214,11 +223,8 @@ def distance_sums(edges: DataFrame, graph: list[str]) -> DataFrame:
     source of the batch, a level is one join on edges and a bitwise OR, and the
     sum grows by (new bits x level).  Rows are nodes, never pairs of nodes.
     """
-    flat = undirected(edges, graph).where("src != dst")
-    both = cut_lineage(flat.unionByName(
-        flat.select(*graph, F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    nodes = undirected(edges, graph).select(
-        *graph, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    both = cut_lineage(directed(edges, graph))
+    nodes = both.select(*graph, F.col("src").alias("node")).distinct()
     hashed = nodes.withColumn("__h", F.xxhash64("node"))
     numbered = cut_lineage(ordered.running_sum(
         hashed, graph, "__h", F.lit(1), "n", extra_order=["node"], chunk_ms=1 << 56,

@@ -135,10 +135,17 @@ def move_count(log: DataFrame, scope: Scope | None = None,
             df = df.where(F.col("timestamp") > bound - window_ms)
     port = F.concat(F.coalesce("oif", F.lit("")), F.lit("-"),
                     F.coalesce("remoteVtepIp", F.lit("")))
-    df = ordered.previous_value(df, key, "timestamp", {"__before": port})
     moved = F.when(F.col("__before").isNotNull() & (F.col("__before") != port), 1).otherwise(0)
-    df = ordered.running_sum(df.withColumn("__moved", moved), key, "timestamp",
-                             F.col("__moved"), "moveCount").drop("__before", "__moved")
+
+    def count(part: DataFrame, **how) -> DataFrame:
+        seen = ordered.previous_value(part, key, "timestamp", {"__before": port}, **how)
+        return ordered.running_sum(
+            seen.withColumn("__moved", moved), key, "timestamp", F.col("__moved"), "moveCount",
+            **how).drop("__before", "__moved")
+
+    df = ordered.by_heat(
+        df, key, ordered.HOT_ROWS, ordered.HOUR_MS,
+        lambda part: count(part, chunk_ms=None), lambda part: count(part, hot_rows=0))
     if past:
         return df
     return filters.active_only(views.latest(df, key))

@@ -101,7 +101,8 @@ def stamp_sessions(rows: DataFrame, prev: DataFrame, boots: DataFrame) -> DataFr
 
 
 def failure_streaks(polls: DataFrame, keys: list[str] | None = None,
-                    chunk_ms: int | None = ordered.HOUR_MS) -> DataFrame:
+                    chunk_ms: int | None = ordered.HOUR_MS,
+                    hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """Add ``streak`` (failures in a row up to this poll) and ``commit``.
 
     One or two failures in a row are not committed; the third is, and counts as
@@ -109,14 +110,20 @@ def failure_streaks(polls: DataFrame, keys: list[str] | None = None,
     """
     keys = keys or [*NS_HOST, "service"]
     good = F.col("status").isin(0, 200)
-    df = ordered.running_sum(polls, keys, "timestamp", F.lit(1), "__n", chunk_ms=chunk_ms)
     first = F.col("__n") == 1
-    # The first poll does not start a streak.
-    df = ordered.fill_forward(
-        df, keys, "timestamp", {"__last_ok": F.when(good | first, F.col("__n"))},
-        chunk_ms=chunk_ms)
-    streak = (F.col("__n") - F.col("__last_ok")).cast("bigint")
-    return df.withColumn("streak", streak).withColumn(
+
+    def number(part: DataFrame, **how) -> DataFrame:
+        counted = ordered.running_sum(part, keys, "timestamp", F.lit(1), "__n", **how)
+        # The first poll does not start a streak.
+        return ordered.fill_forward(
+            counted, keys, "timestamp", {"__last_ok": F.when(good | first, F.col("__n"))}, **how)
+
+    df = ordered.by_heat(
+        polls, keys, hot_rows, chunk_ms, lambda part: number(part, chunk_ms=None),
+        lambda part: number(part, chunk_ms=chunk_ms, hot_rows=0))
+    return df.withColumn(
+        "streak", (F.col("__n") - F.col("__last_ok")).cast("bigint")
+    ).withColumn(
         "commit", first | ~F.col("streak").between(1, HYSTERESIS_FAILURES - 1)
     ).drop("__n", "__last_ok")
 
