@@ -37,7 +37,7 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
 def cdc_diff(
     prev: DataFrame, new: DataFrame, keys: list[str], ignore: list[str] | None = None,
     table: str | None = None, kind: str = "record", rewrite: DataFrame | None = None,
-    deleted_at: int | None = None,
+    deleted_at: int | None = None, prev_is_latest: bool = False,
 ) -> DataFrame:
     """Rows to append: additions and changes as they are, vanished keys as tombstones.
 
@@ -45,11 +45,14 @@ def cdc_diff(
     the keys, so each side is shuffled once.  Hashes are compared within a key
     only.  ``rewrite`` names the (namespace, hostname) pairs of which every row
     is written again (restarted devices).  Tombstones of a host share one
-    timestamp: that of its new rows, else ``deleted_at``.
+    timestamp: that of its new rows, else ``deleted_at``.  ``prev_is_latest`` says
+    that ``prev`` already has one row per key.
     """
     cols = [c for c in compared_columns(new, table, ignore) if c in prev.columns]
     names = new.columns
-    old = views.latest(prev.where("active"), keys)
+    old = prev.where("active")
+    if not prev_is_latest:
+        old = views.latest(old, keys)
     now = views.latest(new, keys)
     old_side = old.select(
         *keys, F.struct(*[F.col(c) for c in old.columns]).alias("__old"),
@@ -143,7 +146,7 @@ def store_changes(spark: SparkSession, root: str, table: str, snapshot: DataFram
     prev = views.latest(log.join(hosts, NS_HOST, "left_semi"), spec.keys)
     rewrite = restarted_devices(prev, boots) if boots is not None else None
     rows = cdc_diff(prev, new, spec.keys, table=table, kind=spec.kind, rewrite=rewrite,
-                    deleted_at=deleted_at)
+                    deleted_at=deleted_at, prev_is_latest=True)
     if boots is not None:
         rows = stamp_sessions(rows, prev, boots)
     # The write below lands in the directory this plan reads: settle it first.
