@@ -12,6 +12,7 @@ and as small as the number of patterns.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -31,6 +32,7 @@ KEEP_SCORE = 0.5
 MAX_KEPT = 200_000
 GOOD, BAD, NONE = 1, 0, -1
 
+_PLAIN_MARKS = frozenset(".,;:!?'\"()-…¿¡«»„“”’")
 _SENTENCE_END = re.compile(r"[.!?…]['\")\]]?$")
 
 
@@ -52,6 +54,9 @@ def measures(tokens: list[str], text: str) -> dict[str, float]:
         "decorated": sum(1 for t in tokens if len(t) > 2 and not t[-1].isalnum()
                          and not t[-2].isalnum()) / n,
         "ends": ends / n,
+        "short": sum(1 for t in tokens if len(t) < 4 and t.isalpha()) / n,
+        "symbols": sum(k for c, k in Counter(text).items() if not (
+            c.isalnum() or c.isspace() or c in _PLAIN_MARKS)) / chars,
         "length": chars / n,
     }
 
@@ -71,6 +76,9 @@ LABELLERS = {
     "decorated": lambda m: _vote(m["decorated"] > 0.3, m["words"] > 5 and m["decorated"] < 0.1),
     "sentences": lambda m: _vote(m["words"] > 60 and m["ends"] < 0.01,
                                  m["words"] > 5 and 0.02 < m["ends"] < 0.3),
+    "short": lambda m: _vote(m["words"] > 20 and m["short"] < 0.05,
+                             m["words"] > 5 and m["short"] > 0.12),
+    "symbols": lambda m: _vote(m["symbols"] > 0.05, m["words"] > 5 and m["symbols"] < 0.01),
     "length": lambda m: _vote(m["words"] > 5 and not 2 < m["length"] < 14,
                               m["words"] > 5 and 3 < m["length"] < 9),
 }
@@ -126,11 +134,10 @@ def _bucket(kind: str, value: str) -> int:
 
 
 class Features:
-    """Hashed features of a text: words, their shapes, neighbouring shapes, repeats."""
+    """Hashed features of a text: words, shapes, neighbouring shapes, how often words recur."""
 
     def __init__(self):
         self.kept: dict[str, tuple[int, int]] = {}
-        self.again = _bucket("again", "")
 
     def _of(self, token: str) -> tuple[int, int]:
         got = self.kept.get(token)
@@ -148,8 +155,13 @@ class Features:
             return np.zeros(0, np.int64)
         both = np.asarray([self._of(t) for t in tokens], np.int64)
         pairs = (both[1:, 1] * 31 + both[:-1, 1] * 17 + 7) % BUCKETS
-        repeats = int((both[1:, 0] == both[:-1, 0]).sum())
-        return np.concatenate([both.ravel(), pairs, np.full(3 * repeats, self.again)])
+        # What holds for the text as a whole weighs as one: shares in ten steps.
+        repeats = float((both[1:, 0] == both[:-1, 0]).mean()) if len(both) > 1 else 0.0
+        distinct = len(np.unique(both[:, 0])) / len(both) ** 0.9
+        whole = [_bucket(kind, str(min(10, int(10 * value)))) for kind, value in (
+            ("repeats", repeats), ("distinct", distinct))]
+        flat = np.concatenate([both.ravel(), pairs])
+        return np.concatenate([flat, np.repeat(whole, math.isqrt(len(flat)) + 1)])
 
 
 def fit_scorer(samples: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, float]:
@@ -200,7 +212,7 @@ def score_quality(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFr
     """
     n = docs.count()
     counted = label_votes(docs).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    # At most 3 ** 8 patterns.
+    # At most 3 ** 10 patterns, a few dozen in practice.
     patterns = {tuple(r["votes"]): r["n"] for r in counted.collect()}
     posterior = estimate(patterns)[3]
     share = min(1.0, fit_documents / max(1, n))
