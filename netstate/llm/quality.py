@@ -65,22 +65,22 @@ def _vote(bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else NONE
 
 
-#: The labellers, each with a name and its vote on the measures.
+#: The labellers, each with a name and its vote on the measures.  Most know one kind of
+#: junk and are silent on all else.
 LABELLERS = {
-    "letters": lambda m: _vote(m["letters"] < 0.7, m["letters"] > 0.85),
-    "shouted": lambda m: _vote(m["shouted"] > 0.5, m["words"] > 5 and m["shouted"] < 0.1),
-    "repeated": lambda m: _vote(m["repeated"] > 0.2, m["words"] > 5 and m["repeated"] < 0.05),
-    "distinct": lambda m: _vote(m["words"] > 30 and m["distinct"] < 0.25,
-                                m["words"] > 30 and m["distinct"] > 0.4),
-    "no_word": lambda m: _vote(m["no_word"] > 0.15, m["words"] > 5 and m["no_word"] < 0.03),
-    "decorated": lambda m: _vote(m["decorated"] > 0.3, m["words"] > 5 and m["decorated"] < 0.1),
+    "letters": lambda m: _vote(m["letters"] < 0.7, False),
+    "shouted": lambda m: _vote(m["shouted"] > 0.5, False),
+    "repeated": lambda m: _vote(m["repeated"] > 0.2, False),
+    "distinct": lambda m: _vote(m["words"] > 30 and m["distinct"] < 0.25, False),
+    "no_word": lambda m: _vote(m["no_word"] > 0.15, False),
+    "decorated": lambda m: _vote(m["decorated"] > 0.3, False),
+    "symbols": lambda m: _vote(m["symbols"] > 0.05, False),
+    "length": lambda m: _vote(m["words"] > 5 and not 2 < m["length"] < 14, False),
+    "short": lambda m: _vote(m["words"] > 20 and m["short"] < 0.05, m["short"] > 0.12),
     "sentences": lambda m: _vote(m["words"] > 60 and m["ends"] < 0.01,
                                  m["words"] > 5 and 0.02 < m["ends"] < 0.3),
-    "short": lambda m: _vote(m["words"] > 20 and m["short"] < 0.05,
-                             m["words"] > 5 and m["short"] > 0.12),
-    "symbols": lambda m: _vote(m["symbols"] > 0.05, m["words"] > 5 and m["symbols"] < 0.01),
-    "length": lambda m: _vote(m["words"] > 5 and not 2 < m["length"] < 14,
-                              m["words"] > 5 and 3 < m["length"] < 9),
+    "prose": lambda m: _vote(False, m["words"] > 0 and m["repeated"] < 0.05 and m["no_word"] < 0.03
+                             and m["letters"] > 0.85 and m["shouted"] < 0.1),
 }
 
 
@@ -90,32 +90,32 @@ def votes(text: str) -> list[int]:
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple:
-    """Labellers' accuracies and the posterior of each pattern, by expectation-maximisation.
+    """How labellers vote on good and bad documents, by expectation-maximisation.
 
-    patterns: votes and their number of documents.  Returns (share of good ones,
-    accuracy on good ones, accuracy on bad ones, posterior by pattern).
+    patterns: votes and their number of documents.  Returns (share of good
+    documents, accuracy of each labeller's votes, posterior by pattern).  A
+    labeller's silence is a vote too: it says little of one that is seldom heard.
     """
     keys = sorted(patterns)
     if not keys:
-        return 0.5, [], [], {}
+        return 0.5, [], {}
     v = np.asarray(keys)
     n = np.asarray([patterns[k] for k in keys], float)
-    cast = v != NONE
-    # From the majority of the votes; ties count as good.
-    good = np.where((v == GOOD).sum(1) >= (v == BAD).sum(1), 0.9, 0.1)
+    # Junk of one kind upsets few labellers, so one bad vote starts as an even chance.
+    good = np.asarray([0.95, 0.5, 0.1])[np.minimum((v == BAD).sum(1), 2)]
+    cast = np.stack([v == x for x in (NONE, BAD, GOOD)], axis=2)
     for _ in range(rounds):
         share = np.clip((n * good).sum() / n.sum(), 1e-3, 1 - 1e-3)
-        # One agreeing and one disagreeing vote are assumed before any is seen.
-        w, u = (n * good)[:, None], (n * (1 - good))[:, None]
-        right = ((w * (v == GOOD)).sum(0) + 1) / ((w * cast).sum(0) + 2)
-        right_bad = ((u * (v == BAD)).sum(0) + 1) / ((u * cast).sum(0) + 2)
-        likely = np.log(share) + (np.log(right) * (v == GOOD) + np.log1p(-right) * (
-            v == BAD)).sum(1)
-        other = np.log1p(-share) + (np.log(right_bad) * (v == BAD) + np.log1p(-right_bad) * (
-            v == GOOD)).sum(1)
-        good = 1 / (1 + np.exp(np.clip(other - likely, -50, 50)))
-    return float(share), right.tolist(), right_bad.tolist(), dict(
-        zip(keys, good.tolist(), strict=True))
+        # Each vote was seen once before any is.
+        on_good = (np.einsum("p,plv->lv", n * good, cast) + 1) / ((n * good).sum() + 3)
+        on_bad = (np.einsum("p,plv->lv", n * (1 - good), cast) + 1) / (
+            (n * (1 - good)).sum() + 3)
+        margin = np.log1p(-share) - np.log(share) + np.einsum(
+            "plv,lv->p", cast, np.log(on_bad) - np.log(on_good))
+        good = 1 / (1 + np.exp(np.clip(margin, -50, 50)))
+    heard = share * on_good[:, 1:].sum(1) + (1 - share) * on_bad[:, 1:].sum(1)
+    accuracy = (share * on_good[:, 2] + (1 - share) * on_bad[:, 1]) / heard
+    return float(share), accuracy.tolist(), dict(zip(keys, good.tolist(), strict=True))
 
 
 def _shape(token: str) -> str:
@@ -212,9 +212,9 @@ def score_quality(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFr
     """
     n = docs.count()
     counted = label_votes(docs).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    # At most 3 ** 10 patterns, a few dozen in practice.
+    # At most 9 * 2 ** 9 patterns, a few dozen in practice.
     patterns = {tuple(r["votes"]): r["n"] for r in counted.collect()}
-    posterior = estimate(patterns)[3]
+    posterior = estimate(patterns)[2]
     share = min(1.0, fit_documents / max(1, n))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
 
