@@ -3,9 +3,9 @@
 Which piece goes where depends on lengths alone, and open sequences with the
 same room are alike.  So the packing is planned on the number of pieces of
 each length: from the longest down, a segment tree over remaining capacities
-names the tightest room that still fits, and as many pieces as there are open
-sequences of that room go there at once.  The plan is as long as there are
-(length, room) pairs in use, however many pieces there are.  Pieces then find
+names the tightest room that still fits, and all open sequences of that room
+are filled at once, as they would be one after another.  The plan is as long as
+there are (length, room) pairs in use, however many pieces there are.  Pieces then find
 their sequence by their number among those of their length.
 """
 
@@ -87,11 +87,17 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
                 tree.add(capacity, sequences, new)
                 sequences += new
                 continue
-            first, count = tree.take(room, n - done)
-            steps.append((done, first, capacity - room))
-            done += count
-            if room > length:
-                tree.add(room - length, first, count)
+            # A sequence that got a piece is now the tightest, so it takes all that fit.
+            each = room // length
+            full = (n - done) // each
+            if not full:
+                each, full = n - done, 1
+            first, count = tree.take(room, full)
+            for i in range(each):
+                steps.append((done, first, capacity - room + i * length))
+                done += count
+            if room > each * length:
+                tree.add(room - each * length, first, count)
     return out
 
 
