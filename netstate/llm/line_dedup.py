@@ -8,7 +8,7 @@ loses comes back as a run-length bitmap.
 
 A line that holds a large share of all rows would fill one partition.  A sample
 of documents names such lines; their first document is found by an aggregate
-that combines before it shuffles, and their rows skip the shuffle by hash.
+that combines before it shuffles, and their later rows are dealt out evenly.
 The sample steers the plan only: the answer is the same whatever it names.
 """
 
@@ -75,23 +75,24 @@ def dropped_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     rows, hot = line_rows(docs), _hot_hashes(docs, partitions)
-    if hot:
-        is_hot = F.col("h1").isin(hot)
-        first = rows.where(is_hot).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-        # At most MAX_HOT hashes, whatever the size of the table.
-        hot_rows = rows.where(is_hot).join(F.broadcast(first), ["h1", "h2"])
-        rows = rows.where(~is_hot)
     # Hashes are uniform, so equal ranges of them are partitions of equal size.
     share = F.shiftrightunsigned("h1", 11).cast("double") / F.lit(float(1 << 53))
-    ranged = rows.withColumn("range", F.floor(share * partitions).cast("int"))
-    ranged = ranged.repartitionById(partitions, "range")
+    place, known = F.floor(share * partitions).cast("int"), F.lit(None).cast("long")
+    if hot:
+        first = rows.where(F.col("h1").isin(hot)).groupBy("h1", "h2").agg(
+            F.min("doc_id").alias("known"))
+        # At most MAX_HOT hashes, whatever the size of the table.
+        rows = rows.join(F.broadcast(first), ["h1", "h2"], "left").where(
+            "known is null or doc_id > known")
+        known = F.col("known")
+        place = F.when(known.isNotNull(), F.pmod(
+            F.xxhash64("doc_id", "pos"), F.lit(partitions)).cast("int")).otherwise(place)
+    ranged = rows.select("doc_id", "tie", "pos", "h1", "h2", known.alias("known"),
+                         place.alias("range")).repartitionById(partitions, "range")
     order = Window.partitionBy("range", "h1", "h2").orderBy("doc_id", "pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    found = ranged.withColumn("first", F.first("doc_id").over(order))
-    columns = ["doc_id", "tie", "pos"]
-    dropped = found.where("doc_id > first").select(columns)
-    if hot:
-        dropped = dropped.unionByName(hot_rows.where("doc_id > first").select(columns))
+    found = ranged.withColumn("first", F.coalesce("known", F.first("doc_id").over(order)))
+    dropped = found.where("doc_id > first").select("doc_id", "tie", "pos")
     lost = dropped.groupBy("doc_id", "tie").agg(
         F.array_distinct(F.sort_array(F.collect_list("pos"))).alias("lost"))
     return lost.select("doc_id", "tie", F.size("lost").alias("n_dropped"),
