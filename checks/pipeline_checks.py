@@ -186,16 +186,18 @@ def _(i):
     blocks = compact.compact_rows(i.log, KEYS, DAY)
     known = [(r.namespace, r.block_start) for r in blocks.select(
         "namespace", "block_start").distinct().collect()]
-    return latest(prune_blocks(blocks, DAY, blocks=known), KEYS).select(
+    return latest(prune_blocks(blocks, known, DAY), KEYS).select(
         *KEYS, "timestamp", "event_id")
 
 
 @query("compaction_of_counters", f"""
     select namespace, hostname, service, timestamp, timestamp - timestamp % {DAY} as block_start
-    from polls where timestamp - timestamp % {DAY} + {DAY} <= 200000000""")
+    from polls
+    where timestamp - timestamp % {DAY} + {DAY} <= (select max(timestamp) from polls)""")
 def _(i):
+    now = i.polls.agg(F.max("timestamp")).first()[0]
     return compact.compact_rows(
-        i.polls, [*KEYS, "service"], DAY, kind="counters", now_ms=200_000_000).select(
+        i.polls, [*KEYS, "service"], DAY, kind="counters", now_ms=now).select(
         *KEYS, "service", "timestamp", "block_start")
 
 

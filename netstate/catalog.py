@@ -245,7 +245,13 @@ KERNEL_UNREACHABLE_METRIC = 4278198272
 
 # Fields that never count as a change between two captures of a table.
 CHANGE_IGNORED_FIELDS = ["timestamp", "sqvers", "deviceSession"]
-CHANGE_IGNORED_PER_TABLE = {"routes": ["statusChangeTimestamp"]}
+CHANGE_IGNORED_PER_TABLE = {
+    "bgp": ["lastDownTime", "estdTime"],
+    "device": ["bootupTimestamp"],
+    "fs": ["usedSize", "availSize"],
+    "ospfNbr": ["lastChangeTime", "lastUpTime", "lastDownTime"],
+    "routes": ["statusChangeTimestamp"],
+}
 
 
 @dataclass(frozen=True)

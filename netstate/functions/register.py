@@ -4,11 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_V4 = (
-    "aggregate(split(substring_index({a}, '/', 1), '[.]'), 0L, "
-    "(n, o) -> n * 256 + try_cast(o AS BIGINT))"
-)
-_IS_V4 = "coalesce({a} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+(/[0-9]+)?$', false)"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for the body with a name bound to a value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _hex(a: str) -> str:
+    """SQL for an address as 8 or 32 hex digits, null for what is no address."""
+    v4 = ("CASE WHEN h rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' "
+          "AND forall(split(h, '[.]'), o -> cast(o AS INT) < 256) "
+          "THEN array_join(transform(split(h, '[.]'), o -> lpad(hex(cast(o AS INT)), 2, '0')), "
+          "'') END")
+    left = "filter(split(substring_index(h, '::', 1), ':'), x -> x <> '')"
+    right = ("CASE WHEN contains(h, '::') THEN filter(split(substring_index(h, '::', -1), ':'), "
+             "x -> x <> '') ELSE cast(array() AS ARRAY<STRING>) END")
+    fill = "greatest(0, IF(contains(h, '::'), 8 - size(l) - size(r), 0))"
+    groups = _let(left, "l", _let(right, "r", f"concat(l, array_repeat('0', {fill}), r)"))
+    v6 = _let(groups, "g", "CASE WHEN size(g) = 8 AND forall(g, x -> x rlike '^[0-9a-f]{1,4}$') "
+              "AND size(split(h, '::')) < 3 AND NOT h rlike ':::|^:[^:]|[^:]:$' "
+              "THEN upper(array_join(transform(g, x -> lpad(x, 4, '0')), '')) END")
+    # The tail of an address like ::ffff:1.2.3.4 as two groups.
+    tail = ("CASE WHEN b rlike ':[0-9]{1,3}([.][0-9]{1,3}){3}$' THEN concat("
+            "regexp_extract(b, '^(.*:)[0-9.]+$', 1), "
+            + _let("transform(split(regexp_extract(b, '([0-9.]+)$', 1), '[.]'), "
+                   "o -> cast(o AS INT))", "q",
+                   "CASE WHEN forall(q, o -> o < 256) THEN concat(lower(hex(q[0] * 256 + q[1])),"
+                   " ':', lower(hex(q[2] * 256 + q[3]))) ELSE 'x' END")
+            + ") ELSE b END")
+    bare = f"lower(substring_index({a}, '/', 1))"
+    return _let(_let(bare, "b", tail), "h", f"CASE WHEN contains(h, ':') THEN {v6} ELSE {v4} END")
+
+
+def _inside(a: str, cidr: str) -> str:
+    """SQL for whether an address lies in a prefix; a prefix without length is one address."""
+    bits = (f"CASE WHEN contains({cidr}, '/') THEN try_cast(substring_index({cidr}, '/', -1) "
+            "AS INT) ELSE 4 * length(n) END")
+    rest = ("(p % 4 = 0 OR shiftright(cast(conv(substr(m, p div 4 + 1, 1), 16, 10) AS INT), "
+            "4 - p % 4) = shiftright(cast(conv(substr(n, p div 4 + 1, 1), 16, 10) AS INT), "
+            "4 - p % 4))")
+    same = ("length(m) = length(n) AND p BETWEEN 0 AND 4 * length(n) "
+            f"AND left(m, cast(p div 4 AS INT)) = left(n, cast(p div 4 AS INT)) AND {rest}")
+    return "coalesce(" + _let(_hex(a), "m", _let(_hex(cidr), "n", _let(bits, "p", same))) \
+        + ", false)"
+
 
 SQL_FUNCTIONS = {
     "ip_version": (
@@ -17,23 +55,14 @@ SQL_FUNCTIONS = {
     ),
     "ipv4_num": (
         "(a STRING) RETURNS BIGINT",
-        f"CASE WHEN {_IS_V4.format(a='a')} THEN {_V4.format(a='a')} END",
+        _let(_hex("a"), "w", "CASE WHEN length(w) = 8 THEN cast(conv(w, 16, 10) AS BIGINT) END"),
     ),
     "in_subnet": (
-        "(a STRING, cidr STRING) RETURNS BOOLEAN",
-        "CASE WHEN " + _IS_V4.format(a="a") + " AND " + _IS_V4.format(a="cidr")
-        + f" THEN shiftright({_V4.format(a='a')}, "
-        "32 - try_cast(substring_index(cidr, '/', -1) AS INT)) = "
-        f"shiftright({_V4.format(a='cidr')}, "
-        "32 - try_cast(substring_index(cidr, '/', -1) AS INT)) ELSE false END",
+        "(a STRING, cidr STRING) RETURNS BOOLEAN", _inside("a", "cidr"),
     ),
     "any_in_subnet": (
-        "(l ARRAY<STRING>, cidr STRING) RETURNS BOOLEAN",
-        "CASE WHEN " + _IS_V4.format(a="cidr") + " THEN coalesce(exists(l, a -> "
-        + _IS_V4.format(a="a") + f" AND shiftright({_V4.format(a='a')}, "
-        "32 - try_cast(substring_index(cidr, '/', -1) AS INT)) = "
-        f"shiftright({_V4.format(a='cidr')}, "
-        "32 - try_cast(substring_index(cidr, '/', -1) AS INT))), false) ELSE false END",
+        "(s ARRAY<STRING>, cidr STRING) RETURNS BOOLEAN",
+        f"coalesce(exists(s, e -> {_inside('e', 'cidr')}), false)",
     ),
     "mac_canonical": (
         "(m STRING) RETURNS STRING",

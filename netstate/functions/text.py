@@ -80,8 +80,11 @@ def range_to_list(c) -> Column:
 def list_to_range(c) -> Column:
     """Integers to compact text: ``[1,2,3,7]`` becomes ``'1-3, 7'``."""
     nums = F.array_sort(F.array_distinct(_col(c).cast("array<bigint>")))
-    starts = F.filter(nums, lambda n: ~F.array_contains(nums, n - 1))
-    ends = F.filter(nums, lambda n: ~F.array_contains(nums, n + 1))
+    size = F.size(nums)
+    starts = F.filter(nums, lambda n, i: (i == 0) | (
+        F.element_at(nums, F.greatest(i, F.lit(1))) != n - 1))
+    ends = F.filter(nums, lambda n, i: (i == size - 1) | (
+        F.element_at(nums, F.least(i + 2, size)) != n + 1))
     spans = F.transform(
         F.arrays_zip(starts.alias("s"), ends.alias("e")),
         lambda z: F.when(z["s"] == z["e"], z["s"].cast("string")).otherwise(

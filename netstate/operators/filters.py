@@ -187,6 +187,12 @@ def filter_query(df: DataFrame, predicate: str | None) -> DataFrame:
         raise FilterError(f"bad predicate {predicate!r}: {exc}") from exc
 
 
+def predicate_names(predicate: str | None) -> set[str]:
+    """Names a predicate uses, columns among them; texts in quotes are no names."""
+    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", " ", predicate or "")
+    return set(re.findall(r"[A-Za-z_]\w*", bare))
+
+
 def active_only(df: DataFrame) -> DataFrame:
     """Drop tombstones; always after the view, never before it."""
     return df.where("active")

@@ -34,16 +34,24 @@ def _is_short(fam: Column, plen: Column) -> Column:
     return plen < F.when(fam == 6, F.lit(SHORT[6])).otherwise(F.lit(SHORT[4]))
 
 
+def spelled_prefix(routes: DataFrame, prefix: str = "prefix") -> Column:
+    """The prefix, with the word ``default`` as that of the row's family (else IPv4)."""
+    whole = F.lit("0.0.0.0/0")
+    if "ipvers" in routes.columns:
+        whole = F.when(F.col("ipvers") == 6, F.lit("::/0")).otherwise(whole)
+    return F.when(F.col(prefix) == "default", whole).otherwise(F.col(prefix))
+
+
 def with_prefix_key(routes: DataFrame, prefix: str = "prefix") -> DataFrame:
     """Add ``fam, plen, net_hi, net_lo``; rows whose prefix cannot be read are left out."""
-    fam = ip.family(prefix)
-    full = F.when(F.col(prefix).contains(":"), F.lit(128)).otherwise(F.lit(32))
-    plen = F.coalesce(ip.prefix_len(prefix), full)
-    hi, lo = ip.words(prefix)
-    df = routes.where(ip.looks_like_address(prefix) & (plen <= full)).withColumns({
-        "fam": fam, "plen": plen, "__hi": hi, "__lo": lo})
+    df = routes.withColumn("__p", spelled_prefix(routes, prefix))
+    full = F.when(F.col("__p").contains(":"), F.lit(128)).otherwise(F.lit(32))
+    plen = F.coalesce(ip.prefix_len("__p"), full)
+    hi, lo = ip.words("__p")
+    df = df.where(ip.looks_like_address("__p") & (plen <= full)).withColumns({
+        "fam": ip.family("__p"), "plen": plen, "__hi": hi, "__lo": lo})
     hi, lo = _masked(F.col("fam"), F.col("__hi"), F.col("__lo"), F.col("plen"))
-    return df.withColumns({"net_hi": hi, "net_lo": lo}).drop("__hi", "__lo")
+    return df.withColumns({"net_hi": hi, "net_lo": lo}).drop("__hi", "__lo", "__p")
 
 
 def prefix_lengths(keyed: DataFrame) -> dict[int, list[int]]:
@@ -111,7 +119,9 @@ def lpm_join(
     pairs = containing(
         wanted, keyed.select(*scope_cols, *per_cols, *kept, "fam", "plen", "net_hi", "net_lo"),
         addr, scope_cols, lengths)
-    best = keep_last(pairs, [*scope_cols, addr, *per_cols], [F.col("plen").desc()])
+    # Prefixes with host bits may name one network twice: the first text wins.
+    order = [F.col("plen").desc(), *(F.col(c) for c in ("prefix",) if c in pairs.columns)]
+    best = keep_last(pairs, [*scope_cols, addr, *per_cols], order)
     best = best.drop("fam").withColumnRenamed("plen", "matchedLen")
     return addresses.join(best, [addr, *scope_cols], how)
 
@@ -120,16 +130,17 @@ def lpm(routes: DataFrame, address: str,
         per: tuple[str, ...] = ("namespace", "hostname", "vrf")) -> DataFrame:
     """Best route of one address per (namespace, hostname, vrf): a filter and a keep-best."""
     ipaddress.ip_address(address)
-    holds = ip.looks_like_address("prefix") & (
-        ip.addr_in_cidr(F.lit(address), "prefix") | ip.is_default("prefix", address))
-    plen = F.coalesce(ip.prefix_len("prefix"), F.lit(128))
-    return keep_last(routes.where(holds), list(per), [plen.desc(), F.col("prefix").asc()])
+    df = routes.withColumn("__p", spelled_prefix(routes))
+    holds = ip.looks_like_address("__p") & (
+        ip.addr_in_cidr(F.lit(address), "__p") | ip.is_default("__p", address))
+    plen = F.coalesce(ip.prefix_len("__p"), F.lit(128))
+    return keep_last(df.where(holds), list(per), [plen.desc(), F.col("prefix").asc()]).drop(
+        "__p")
 
 
 def routes_view(routes: DataFrame) -> DataFrame:
     """Presented routes: normal prefixes, protocol and action names, derived columns."""
-    prefix = F.when(F.col("prefix") == "default", F.lit("0.0.0.0/0")).otherwise(F.col("prefix"))
-    df = routes.where("prefix != '127.0.0.0/8'").withColumn("prefix", prefix)
+    df = routes.where("prefix != '127.0.0.0/8'").withColumn("prefix", spelled_prefix(routes))
     if "protocol" in df.columns:
         df = df.withColumn("protocol", F.when(
             F.col("protocol") == "direct", F.lit("connected")).otherwise(F.col("protocol")))

@@ -173,8 +173,9 @@ def pick_normalizer(df: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("hostname").alias("__h"), F.col("devtype").alias("__d"), op.alias("__op"),
         F.nullif(bound, F.lit("")).alias("__bound"), "normalizer",
     ).withColumn("__bkey", text.version_key("__bound"))
-    mine = df.withColumns({
-        "__row": F.xxhash64(*df.columns), "__vkey": text.version_key("version")})
+    # Few devices send many records: each kind is looked up once, payloads stay put.
+    asked = ["hostname", "devtype", "version"]
+    mine = df.select(*asked).distinct().withColumn("__vkey", text.version_key("version"))
     ops = {"=": "==", "!": "!=", "!=": "!=", "<": "<", "<=": "<=", ">": ">", ">=": ">="}
     fits = F.col("__bound").isNull()
     for sign, word in ops.items():
@@ -186,9 +187,12 @@ def pick_normalizer(df: DataFrame, rules: DataFrame) -> DataFrame:
         broadcast_if_small(keyed.where("__h is null or __h = ''")),
         F.col("devtype") == F.col("__d")).where(fits).withColumn(
         "__rank", F.when(F.col("__bound").isNotNull(), 1).otherwise(2))
-    best = keep_last(by_host.unionByName(by_type), ["__row", *df.columns],
+    best = keep_last(by_host.unionByName(by_type), asked,
                      [F.col("__rank").asc(), F.col("normalizer").asc()])
-    return best.select(*df.columns, "normalizer")
+    found = best.select(*[F.col(c).alias(f"__{c}") for c in asked], "normalizer")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in asked])
+    return df.drop("normalizer").join(found, same).select(
+        *[c for c in df.columns if c != "normalizer"], "normalizer")
 
 
 def merge_commands(df: DataFrame, keys: list[str], order: str = "cmd_no") -> DataFrame:

@@ -7,12 +7,13 @@ neighbours, and the carry is joined back; its rows are shuffled once, by (key,
 chunk).  Which keys are hot is counted first, over the key columns alone and
 combined before the shuffle.  ``hot_rows=0`` chunks every key without counting;
 ``chunk_ms=None`` gives the plain window, for time lines known to be short.
-Keys must not be null (catalog keys never are).
+A null key is a key of its own, and both forms answer alike for any rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,11 +43,20 @@ def by_heat(df: DataFrame, keys: list[str], hot_rows: int, chunk_ms: int | None,
     if len(found) > MAX_HOT_KEYS:
         return chunked(df)
     listed = F.broadcast(df.sparkSession.createDataFrame(found, heat.schema))
-    hot = df.join(listed, keys, "left_semi")
-    cold = df.join(listed, keys, "left_anti")
+    hot = _join_null_safe(df, listed, keys, "left_semi")
+    cold = _join_null_safe(df, listed, keys, "left_anti")
     return plain(cold).unionByName(chunked(hot))
 
 
+def _join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """An equality join in which null keys meet; ``other`` gives its columns but the keys."""
+    named = other.select(*[
+        F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in other.columns])
+    same = reduce(lambda a, b: a & b, [
+        F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return df.join(named, same, how).drop(*[f"__k_{k}" for k in keys])
+
+
 def _order(ts: str, extra: list[str] | None, descending: bool = False) -> list[Column]:
     cols = [F.col(c) for c in [ts, *(extra or [])]]
     return [c.desc() if descending else c.asc() for c in cols]
@@ -58,7 +68,7 @@ def _chunked(df: DataFrame, ts: str, chunk_ms: int) -> DataFrame:
 
 def _carry_back(df: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
     """Join carries by (key, chunk), which is how the rows are already partitioned."""
-    return df.join(carried, [*keys, "__chunk"], "left")
+    return _join_null_safe(df, carried, [*keys, "__chunk"], "left")
 
 
 def _neighbour(
@@ -107,7 +117,7 @@ def running_sum(
     extra_order: list[str] | None = None, chunk_ms: int | None = HOUR_MS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the sum of ``value`` from the key's first row to this one."""
+    """Add the sum of ``value`` from the key's first row to this one (null while all are null)."""
     span = (Window.unboundedPreceding, Window.currentRow)
 
     def plain(part: DataFrame) -> DataFrame:
@@ -126,7 +136,7 @@ def running_sum(
         joined = _carry_back(rows, keys, carried)
         return joined.select(
             *[F.col(c) for c in df.columns],
-            (F.coalesce("__near", F.lit(0)) + F.coalesce("__in", F.lit(0))).alias(name))
+            F.coalesce(F.col("__near") + F.col("__in"), "__near", "__in").alias(name))
 
     return by_heat(df, keys, hot_rows, chunk_ms, plain, chunked)
 

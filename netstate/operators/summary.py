@@ -267,12 +267,9 @@ def quantile(df: DataFrame, column: str, q: float) -> Column:
 
 
 def default_route_coverage(routes: DataFrame) -> DataFrame:
-    """Per namespace: every device of the last VRF (by name) has the default route."""
-    per_vrf = routes.groupBy(_ON, "vrf").agg(
-        F.countDistinct(F.when(F.col("prefix") == "0.0.0.0/0", F.col("hostname"))).alias("have"),
-        F.countDistinct("hostname").alias("devices"))
-    return per_vrf.where("have > 0").groupBy(_ON).agg(
-        F.max_by(F.col("have") == F.col("devices"), "vrf").alias("deviceWithNoDefRoute"))
+    """Per namespace: in each VRF every device has the default route."""
+    return per_vrf_route_coverage(routes).groupBy(_ON).agg(
+        F.bool_and("covered").alias("deviceWithNoDefRoute"))
 
 
 def per_vrf_route_coverage(routes: DataFrame) -> DataFrame:

@@ -13,15 +13,18 @@ from netstate.operators import (
 )
 from netstate.plans import getters, summaries
 from netstate.plans.getters import Scope
-from netstate.session import cut_lineage
+from netstate.session import clear_lineage, cut_lineage
 from netstate.sources.read import Store
 
 
 class NetState:
     """``NetState(spark, root).get('routes', namespace=['dc1'], prefixlen='>24')``.
 
-    Every call returns a lazy DataFrame.  ``view``, ``start`` and ``end`` (ISO
-    text in ``tz``, or epoch ms) may be given here or per call.
+    ``get``, ``unique``, ``top`` and ``histogram`` return lazy DataFrames; calls that
+    read their rows several times or in rounds (``summarize``, ``assert_``,
+    ``find``, ``path``, ``topology``) work out intermediate tables first, which
+    ``close`` deletes.  ``view``, ``start`` and ``end`` (ISO text in ``tz``, or epoch
+    ms) may be given here or per call.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None,
@@ -38,18 +41,22 @@ class NetState:
             self.store, view or self.view, timefn.to_epoch_ms(start or self.start, self.tz),
             timefn.to_epoch_ms(end or self.end, self.tz), self.namespace)
 
+    def close(self) -> int:
+        """Delete the intermediate tables of this session; results read from them are gone."""
+        return clear_lineage(self.spark)
+
     # -- generic verbs --
 
     def get(self, table: str, columns=("default",), query_str: str = "", view=None, start=None,
             end=None, **fields) -> DataFrame:
         scope = self.scope(view, start, end)
         wants = {c for c in filters.as_list(columns)}
-        if table == "macs" and ("moveCount" in wants or wants == {"*"}):
+        asked = filters.predicate_names(query_str)
+        if table == "macs" and ("moveCount" in wants | asked or wants == {"*"}):
             fields.setdefault("moves", True)
         if table == "interfaces" and "modes" not in fields:
-            names = set(projection.field_names(table, columns))
-            fields["modes"] = bool(names & {"portmode", "vlanList", "vlan"}) or any(
-                w in query_str for w in ("portmode", "vlanList"))
+            names = set(projection.field_names(table, columns)) | asked
+            fields["modes"] = bool(names & {"portmode", "vlanList", "vlan"})
         df = filters.filter_query(getters.get(scope, table, **fields), query_str)
         names = projection.field_names(table, columns)
         return projection.add_active(df, names, scope.view, scope.start, scope.end)
@@ -59,7 +66,7 @@ class NetState:
     def summarize(self, table: str, view=None, start=None, end=None, query_str: str = "",
                   **fields) -> DataFrame:
         if table == "macs":
-            fields.setdefault("moves", False)
+            fields.setdefault("moves", "moveCount" in filters.predicate_names(query_str))
         df = filters.filter_query(
             getters.get(self.scope(view, start, end), table, **fields), query_str)
         # A sheet makes several passes over its rows; the view is worked out once.
@@ -146,8 +153,12 @@ class NetState:
         return df.select(*[c for c in projection.field_names("routes", columns)
                            if c in df.columns])
 
-    def lpm_join(self, addresses: DataFrame, address: str = "address", scope_columns=(),
+    def lpm_join(self, addresses: DataFrame, address: str = "address", scope_columns=None,
                  view=None, start=None, end=None, **fields) -> DataFrame:
+        """Best route of each address, by default in the namespace, host and VRF it names."""
+        if scope_columns is None:
+            scope_columns = [c for c in ("namespace", "hostname", "vrf")
+                             if c in addresses.columns]
         return lpm.lpm_join(
             addresses, getters.routes(self.scope(view, start, end), **fields), address,
             tuple(scope_columns))
@@ -176,7 +187,7 @@ class NetState:
         scope = self.scope(view, start, end)
         return paths.PathTables(
             getters.interfaces(scope, type=["all"], modes=False, **near),
-            getters.base(scope, "routes", **near), getters.base(scope, "arpnd", **near),
+            getters.routes(scope, **near), getters.base(scope, "arpnd", **near),
             getters.base(scope, "macs", **near), getters.base(scope, "mlag", **near))
 
     def path(self, requests=None, namespace: str = "", src: str = "", dest: str = "",

@@ -27,7 +27,6 @@ POLL_STATUS = {
     404: "Command Not Found", 405: "Incomplete Command", 408: "Timeout",
     418: "Feature Disabled", 502: "Parsing Error", -1: "Privilege Escalation Failed",
 }
-MOVE_WINDOW_MS = 3_600_000
 
 
 @dataclass(frozen=True)
@@ -95,7 +94,7 @@ def vlan(scope: Scope, **fields) -> DataFrame:
 
 
 def macs(scope: Scope, moveCount=None, local: bool = False, moves: bool = False,  # noqa: N803
-         move_window_ms: int = MOVE_WINDOW_MS, remoteVtepIp=None, vlan=None,  # noqa: N803
+         move_window_ms: int | None = None, remoteVtepIp=None, vlan=None,  # noqa: N803
          **fields) -> DataFrame:
     if not (moves or moveCount):
         df = base(scope, "macs", **fields)
@@ -118,24 +117,26 @@ def macs(scope: Scope, moveCount=None, local: bool = False, moves: bool = False,
 
 
 def move_count(log: DataFrame, scope: Scope | None = None,
-               window_ms: int | None = MOVE_WINDOW_MS) -> DataFrame:
+               window_ms: int | None = None) -> DataFrame:
     """Add ``moveCount``: how often a MAC changed its port or VTEP.
 
-    History views count on every row; the latest view counts within the last
-    window and keeps the newest row.
+    History views count on every row, the latest view keeps the newest row of
+    every MAC.  With a window only moves in the time before the newest row of
+    the table count.
     """
     key = ["namespace", "hostname", "mackey", "macaddr"]
     start, end = (scope.start, scope.end) if scope else (None, None)
     past = scope.past() if scope else True
     df = views.dedup_key_time(filters.filter_time(log, start, end), key)
+    recent = F.lit(True)
     if not past and window_ms is not None:
-        last = df.agg(F.max("timestamp").alias("__last"))
-        bound = last.first()[0]
-        if bound is not None:
-            df = df.where(F.col("timestamp") > bound - window_ms)
+        newest = df.agg(F.max("timestamp")).first()[0]
+        if newest is not None:
+            recent = F.col("timestamp") > newest - window_ms
     port = F.concat(F.coalesce("oif", F.lit("")), F.lit("-"),
                     F.coalesce("remoteVtepIp", F.lit("")))
-    moved = F.when(F.col("__before").isNotNull() & (F.col("__before") != port), 1).otherwise(0)
+    moved = F.when(
+        recent & F.col("__before").isNotNull() & (F.col("__before") != port), 1).otherwise(0)
 
     def count(part: DataFrame, **how) -> DataFrame:
         seen = ordered.previous_value(part, key, "timestamp", {"__before": port}, **how)

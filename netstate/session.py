@@ -19,6 +19,10 @@ RECOMMENDED_CONF = {
 }
 
 
+# Tables written by this process under the checkpoint folder.
+_written: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -47,10 +51,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/netstate-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_lineage(spark: SparkSession) -> int:
+    """Delete what ``cut_lineage`` has written so far, once nothing reads it any more."""
+    n, conf = 0, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only where the optimizer's size estimate is below the limit."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

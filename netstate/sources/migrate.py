@@ -125,8 +125,10 @@ def migrate_table(spark: SparkSession, root: str, table: str,
     """Rewrite every older version of a table under the current version directory.
 
     An old directory is removed, if asked for, only after its rows are written;
-    until then both are read and the time view drops the doubles.
+    until then both are read and the time view drops the doubles.  Rows that an
+    earlier run has written are not written again.
     """
+    from netstate.session import cut_lineage
     from netstate.sources import read, write
 
     done = []
@@ -137,6 +139,11 @@ def migrate_table(spark: SparkSession, root: str, table: str,
                 continue
             old = read.read_version(spark, path, table, v)
             new = migrate(old, table, v, keep=["block_start"])
+            spec = table_spec(table)
+            if spec.version in read.versions(spark, path):
+                now = read.read_version(spark, path, table, spec.version)
+                marks = [*spec.keys, "timestamp", *(["block_start"] if compacted else [])]
+                new = cut_lineage(new.join(now.select(*marks).distinct(), marks, "left_anti"))
             if compacted:
                 write.write_compacted(new, root, table)
             else:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -39,6 +40,11 @@ def _list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [str(s.getPath().getName()) for s in fs.listStatus(hadoop) if s.isDirectory()]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def versions(spark: SparkSession, path: str) -> list[str]:
     """Schema versions present, newest last."""
     found = [d.split("=", 1)[1] for d in _list_dirs(spark, path) if d.startswith("sqvers=")]
@@ -115,21 +121,25 @@ def block_condition(
     return reduce(lambda a, b: a | b, terms) if terms else F.lit(False)
 
 
-def list_blocks(df: DataFrame) -> list[tuple[str, int]]:
-    """(namespace, block_start) directories of a compacted table, from its file names."""
+def list_blocks(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(namespace, block_start) directories of a compacted table; no file is listed."""
     found = set()
-    for name in df.inputFiles():
-        parts = dict(p.split("=", 1) for p in name.split("/") if "=" in p)
-        if "block_start" in parts:
-            found.add((parts.get("namespace", ""), int(parts["block_start"])))
+    for version in _list_dirs(spark, path):
+        if not version.startswith("sqvers="):
+            continue
+        for space in _list_dirs(spark, f"{path}/{version}"):
+            if not space.startswith("namespace="):
+                continue
+            name = unquote(space.split("=", 1)[1])
+            found |= {(name, int(b.split("=", 1)[1])) for b in _list_dirs(
+                spark, f"{path}/{version}/{space}") if b.startswith("block_start=")}
     return sorted(found)
 
 
-def prune_blocks(df: DataFrame, period_ms: int, start: int | None = None,
-                 end: int | None = None, view: str | None = None,
-                 blocks: list[tuple[str, int]] | None = None) -> DataFrame:
+def prune_blocks(df: DataFrame, blocks: list[tuple[str, int]], period_ms: int,
+                 start: int | None = None, end: int | None = None,
+                 view: str | None = None) -> DataFrame:
     """Keep the blocks a time window needs, as a filter on partition columns."""
-    blocks = list_blocks(df) if blocks is None else blocks
     cond = block_condition(blocks, period_ms, start, end, view)
     return df if cond is None else df.where(cond)
 
@@ -146,13 +156,18 @@ def read_log(
     end: int | None = None, view: str | None = None, period: str = "1h",
     version: str | None = None, ignore_corrupt: bool = False,
 ) -> DataFrame:
-    """The change log of a table: raw and needed compacted blocks, not yet a view."""
+    """The change log of a table: raw and needed compacted blocks, not yet a view.
+
+    Compaction takes away the raw files it has consumed, so raw rows are those
+    since the newest block and late ones.
+    """
     raw = read_versions(spark, table_path(root, table), table, version, ignore_corrupt)
     path = table_path(root, table, compacted=True)
     compacted = read_versions(spark, path, table, version, ignore_corrupt)
     if compacted is not None:
         compacted = prune_blocks(
-            compacted, timefn.period_ms(period), start, end, view).drop("block_start")
+            compacted, list_blocks(spark, path), timefn.period_ms(period), start, end,
+            view).drop("block_start")
     if raw is None and compacted is None:
         return spark.createDataFrame([], table_spec(table).schema)
     return union_raw_and_compacted(raw, compacted)

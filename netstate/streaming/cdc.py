@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from netstate.catalog import (
     CHANGE_IGNORED_FIELDS, CHANGE_IGNORED_PER_TABLE, table_spec,
@@ -131,16 +131,38 @@ def failure_streaks(polls: DataFrame, keys: list[str] | None = None,
     ).drop("__n", "__last_ok")
 
 
+def continued_streaks(polls: DataFrame, before: DataFrame) -> DataFrame:
+    """``failure_streaks`` of some polls of hosts that go on from earlier ones.
+
+    ``polls`` has (namespace, hostname, timestamp, ok), few per host; ``before``
+    the streak of each host after its last earlier poll.
+    """
+    order = Window.partitionBy(*NS_HOST).orderBy("timestamp")
+    df = polls.join(before.select(*NS_HOST, F.col("streak").alias("__before")), NS_HOST, "left")
+    first = F.col("__before").isNull() & (F.col("__n") == 1)
+    df = df.withColumn("__n", F.row_number().over(order))
+    reset = F.max(F.when(F.col("ok") | first, F.col("__n"))).over(order)
+    streak = F.when(reset.isNotNull(), F.col("__n") - reset).otherwise(
+        F.col("__before") + F.col("__n"))
+    return df.withColumn("streak", streak.cast("bigint")).withColumn(
+        "commit", ~F.col("streak").between(1, HYSTERESIS_FAILURES - 1)).drop("__n", "__before")
+
+
 def store_changes(spark: SparkSession, root: str, table: str, snapshot: DataFrame,
                   boots: DataFrame | None = None, polled: DataFrame | None = None,
                   deleted_at: int | None = None) -> DataFrame:
     """Diff a capture of some hosts against the stored state and append the changes.
 
     Only hosts in ``polled`` (by default those with rows in the capture) are
-    compared, so hosts that were not asked do not vanish.
+    compared, so hosts that were not asked do not vanish.  If ``polled`` has a
+    column ``commit`` (``failure_streaks``), hosts where it is false are left as
+    they are: their poll failed for the first or second time in a row.
     """
     spec = table_spec(table)
     new = write.conform_for_write(snapshot, table)
+    if polled is not None and "commit" in polled.columns:
+        polled = polled.where("commit")
+        new = new.join(polled.select(*NS_HOST).distinct(), NS_HOST, "left_semi")
     hosts = (polled if polled is not None else new).select(*NS_HOST).distinct()
     log = read.read_log(spark, root, table)
     prev = views.latest(log.join(hosts, NS_HOST, "left_semi"), spec.keys)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from netstate.catalog import table_names, table_spec
 from netstate.functions import timefn
 from netstate.operators import views
+from netstate.session import cut_lineage
 from netstate.sources import read, write
 
 
@@ -72,42 +73,79 @@ def compact_rows(
     return rows.unionByName(carried_rows(known, keys, blocks).select(*rows.columns))
 
 
+def stored_blocks(spark: SparkSession, root: str, table: str) -> list[tuple[str, int]]:
+    """(namespace, block_start) of the blocks written so far."""
+    return read.list_blocks(spark, read.table_path(root, table, compacted=True))
+
+
 def compaction_state(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     """Last row per key of the newest block of each namespace."""
     spec = table_spec(table)
     done = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
     if done is None:
         return None
-    newest = read.prune_blocks(done, 1)
+    newest = read.prune_blocks(done, stored_blocks(spark, root, table), 1)
     return views.latest(newest.drop("block_start"), spec.keys)
 
 
-def newest_block(spark: SparkSession, root: str, table: str) -> int | None:
-    done = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
-    found = read.list_blocks(done) if done is not None else []
-    return max((b for _, b in found), default=None)
-
+def late_rows(every: DataFrame, done: DataFrame, keys: list[str], kind: str,
+              written: list[int], older: list[int]) -> DataFrame:
+    """What rows of blocks up to the newest one add to the compacted table.
 
-def consumed_files(raw: DataFrame, period_ms: int, now_ms: int) -> list[str]:
-    """Raw files all of whose rows lie in complete blocks (as many rows as files)."""
+    ``every`` has rows with ``block_start``, of which those of ``older`` blocks
+    count; ``done`` is the compacted table.  A row that is not there yet goes to
+    its own block, and as the state of its key to each later block that has it
+    from an older row.  Only blocks from the oldest late one on are read, and of
+    these the keys concerned.
+    """
+    key_time = [*keys, "timestamp"]
+    mine = every.where(F.col("block_start").isin(older))
+    known = done.where(F.col("block_start").isin(older)).select(*key_time).distinct()
+    new = cut_lineage(mine.join(known, key_time, "left_anti"))
+    if kind == "counters":
+        return new
+    touched = written_blocks(new)
+    if not touched:
+        return new
+    span = done.where(F.col("block_start") >= touched[0])
+    own = span.where(F.col("timestamp") >= F.col("block_start"))
+    before = [b for b in written if b < touched[0]]
+    if set(touched) <= set(written):
+        own = own.join(new.select(*keys).distinct(), keys, "left_semi")
+    elif before:
+        # A block that had no row at all gets the whole state, like any other.
+        state = views.latest(done.where(F.col("block_start") == before[-1]), keys)
+        own = own.unionByName(state.withColumn("block_start", F.lit(None).cast("bigint")))
+    blocks = sorted({*touched, *[b for b in written if b >= touched[0]]})
+    carried = carried_rows(own.unionByName(new.select(*own.columns)), keys, blocks)
+    there = span.select(*key_time, "block_start").distinct()
+    return new.unionByName(carried.select(*new.columns).join(
+        there, [*key_time, "block_start"], "left_anti"))
+
+
+def consumed_files(raw: DataFrame, period_ms: int, now_ms: int) -> DataFrame:
+    """(file): raw files all of whose rows lie in complete blocks."""
     last = with_block(raw, period_ms).groupBy(F.input_file_name().alias("file")).agg(
         F.max("block_start").alias("last"))
-    return [r.file for r in last.where(F.col("last") + period_ms <= now_ms).collect()]
+    return last.where(F.col("last") + period_ms <= now_ms).select("file")
 
 
-def _delete_files(spark: SparkSession, files: list[str]) -> None:
-    conf = spark._jsc.hadoopConfiguration()
-    for name in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, False)
+def _delete_files(spark: SparkSession, files: DataFrame) -> int:
+    """Delete files one by one; names come to the driver a partition at a time."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    for row in files.toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(row.file)
+        n += bool(path.getFileSystem(conf).delete(path, False))
+    return n
 
 
 def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h",
-                  now_ms: int | None = None, remove_consumed: bool = False) -> dict:
+                  now_ms: int | None = None, remove_consumed: bool = True) -> dict:
     """Write the blocks completed since the last run, and late rows of older ones.
 
-    With ``remove_consumed`` raw files are deleted once their rows are written;
-    without it they stay and readers drop the doubles.
+    Raw files are deleted once all their rows are written, so that a run reads
+    what is new and a view reads the blocks it needs.  ``remove_consumed=False``
+    keeps them: answers stay the same, but runs and views read them again.
     """
     started = time.time()
     spec, span = table_spec(table), timefn.period_ms(period)
@@ -119,29 +157,28 @@ def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h"
         return stats
     every = with_block(raw, span)
     present = written_blocks(every.where(F.col("block_start") + span <= now_ms))
-    last = newest_block(spark, root, table)
-    blocks = [b for b in present if last is None or b > last]
-    older = [b for b in present if last is not None and b <= last]
-    parts = []
+    written = sorted({b for _, b in stored_blocks(spark, root, table)})
+    blocks = [b for b in present if not written or b > written[-1]]
+    older = [b for b in present if written and b <= written[-1]]
+    parts, late = [], None
+    if older:
+        done = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
+        late = cut_lineage(late_rows(every, done, spec.keys, spec.kind, written, older))
+        parts.append(late)
     if blocks:
         fresh = every.where(F.col("block_start").isin(blocks)).drop("block_start")
         state = compaction_state(spark, root, table)
+        if late is not None:
+            state = views.latest(state.unionByName(
+                late.drop("block_start").select(*state.columns)), spec.keys)
         parts.append(compact_rows(fresh, spec.keys, span, spec.kind, now_ms, state, blocks))
-    if older:
-        # Only the blocks that late rows fall in are read again.
-        done = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
-        known = done.where(F.col("block_start").isin(older)).select(*spec.keys, "timestamp")
-        parts.append(every.where(F.col("block_start").isin(older)).join(
-            known.distinct(), [*spec.keys, "timestamp"], "left_anti"))
     if parts:
-        from netstate.session import cut_lineage
-
         # The compacted directory is both read and appended to.
         names = parts[0].columns
         out = cut_lineage(reduce(
             lambda a, b: a.unionByName(b), [p.select(*names) for p in parts]))
-        files = consumed_files(raw, span, now_ms)
-        stats["recCount"], stats["fileCount"] = out.count(), len(files)
+        files = cut_lineage(consumed_files(raw, span, now_ms))
+        stats["recCount"], stats["fileCount"] = out.count(), files.count()
         if stats["recCount"]:
             write.write_compacted(out, root, table)
         if remove_consumed:
@@ -151,7 +188,7 @@ def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h"
 
 
 def compact_all(spark: SparkSession, root: str, period: str = "1h",
-                now_ms: int | None = None, remove_consumed: bool = False) -> list[dict]:
+                now_ms: int | None = None, remove_consumed: bool = True) -> list[dict]:
     """All tables, in any order; one that fails does not stop the others."""
     stats, present = [], read.stored_tables(spark, root)
     for table in [t for t in table_names(stored_only=True) if t in present]:

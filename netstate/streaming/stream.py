@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netstate.session import cut_lineage
+from netstate.sources import read
 from netstate.sources.capture import parse_capture_text
 from netstate.streaming import cdc, stats
 
@@ -39,10 +42,15 @@ def cdc_stream(
     """Append the changes each micro-batch of captures makes to a table.
 
     The stored table is the state, so a restarted job goes on where it was and
-    a batch that is run again finds nothing left to add.
+    a batch that is run again finds nothing left to add.  Captures with a
+    ``status`` are held back while a host's poll failed once or twice in a row;
+    the third failure counts as an empty answer.  The failures of each host
+    lie beside the checkpoint, one folder per micro-batch.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
+        if "status" in batch.columns:
+            batch = _committed(batch, f"{checkpoint.rstrip('/')}-failures", number)
         # Captures of one host are applied in time order: round n holds every
         # host's n-th capture, so the rounds are as many as one host has files.
         turn = F.dense_rank().over(
@@ -63,6 +71,26 @@ def cdc_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+STREAKS = "namespace string, hostname string, streak long"
+
+
+def _committed(batch: DataFrame, folder: str, number: int) -> DataFrame:
+    """Captures of a micro-batch that are to be stored; the new streaks are written."""
+    spark = batch.sparkSession
+    polls = cut_lineage(batch.groupBy(*cdc.NS_HOST, "timestamp").agg(
+        F.bool_and(F.col("status").isin(0, 200)).alias("ok")))
+    if number and read.path_exists(spark, f"{folder}/{number - 1}"):
+        before = spark.read.schema(STREAKS).parquet(f"{folder}/{number - 1}")
+    else:
+        before = spark.createDataFrame([], STREAKS)
+    known = cut_lineage(cdc.continued_streaks(polls, before))
+    last = known.groupBy(*cdc.NS_HOST).agg(F.max_by("streak", "timestamp").alias("streak"))
+    unseen = before.join(last, cdc.NS_HOST, "left_anti")
+    last.unionByName(unseen).write.mode("overwrite").parquet(f"{folder}/{number}")
+    return batch.join(known.where("commit").select(*cdc.NS_HOST, "timestamp"),
+                      [*cdc.NS_HOST, "timestamp"], "left_semi")
+
+
 def raw_stream_sink(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of change rows to a raw table directory."""
     return (changes.writeStream.format("parquet").partitionBy("sqvers", "namespace", "hostname")
@@ -86,18 +114,20 @@ def poll_stats_stream(polls: DataFrame, period_ms: int = 60_000, delay: str = "1
 
 def _streaks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
              ) -> Iterator[pd.DataFrame]:
-    streak = state.get[0] if state.exists else -1
-    rows = pd.concat(list(batches)).sort_values("timestamp")
-    out = []
-    for r in rows.itertuples():
-        good = r.status in (0, 200)
-        first = streak < 0
-        streak = 0 if good or first else streak + 1
-        out.append((*key, r.timestamp, r.status, streak,
-                    first or not 0 < streak < cdc.HYSTERESIS_FAILURES))
-    state.update((streak,))
-    yield pd.DataFrame(out, columns=[
-        "namespace", "hostname", "service", "timestamp", "status", "streak", "commit"])
+    rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
+    # Polls since the last one that set the streak to zero; the very first one does.
+    reset = rows["status"].isin((0, 200)).to_numpy()
+    if not state.exists:
+        reset[0] = True
+    number = np.arange(len(rows))
+    last = np.maximum.accumulate(np.where(reset, number, -1))
+    streak = np.where(last >= 0, number - last, number + 1 + (
+        state.get[0] if state.exists else 0))
+    state.update((int(streak[-1]),))
+    yield pd.DataFrame({
+        "namespace": key[0], "hostname": key[1], "service": key[2],
+        "timestamp": rows["timestamp"].to_numpy(), "status": rows["status"].to_numpy(),
+        "streak": streak, "commit": (streak == 0) | (streak >= cdc.HYSTERESIS_FAILURES)})
 
 
 def hysteresis_stream(polls: DataFrame) -> DataFrame:

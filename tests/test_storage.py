@@ -70,11 +70,11 @@ def test_compaction_does_not_change_answers(spark, root):
     assert answers(spark, root) == before
     path = read.table_path(root, "interfaces", compacted=True)
     done = read.read_versions(spark, path, "interfaces")
-    blocks = read.list_blocks(done)
+    blocks = read.list_blocks(spark, path)
     assert len(blocks) == 6
-    last = read.prune_blocks(done, HOUR)
+    last = read.prune_blocks(done, blocks, HOUR)
     assert len({(r.namespace, r.block_start) for r in last.collect()}) == 2
-    two = read.prune_blocks(done, HOUR, end=T0 + 2 * HOUR + 10)
+    two = read.prune_blocks(done, blocks, HOUR, end=T0 + 2 * HOUR + 10)
     assert len({(r.namespace, r.block_start) for r in two.collect()}) == 4
     again = compact.compact_all(spark, root, "1h", now + 1)
     assert next(s for s in again if s["service"] == "interfaces")["recCount"] == 0
