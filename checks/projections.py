@@ -326,3 +326,11 @@ projection("bgp_v1", """
            case when s_nationkey % 4 = 0 then 'extended' when s_nationkey % 4 = 1 then 'standard'
                 else 'extendedAndStandard' end as evpnSendCommunity
     from supplier""")
+
+# The log as interfaces of few hosts, to be stored by host.
+projection("slog", """
+    select concat('ns', user_id % 5) as namespace, concat('h', user_id % 12) as hostname,
+           concat('swp', user_id) as ifname, event_type as state,
+           cast(event_id as bigint) as numChanges, @ms(ts) as timestamp,
+           event_type <> 'error' as active, event_id % 10 = 0 as late
+    from events""")

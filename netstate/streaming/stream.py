@@ -112,31 +112,33 @@ def poll_stats_stream(polls: DataFrame, period_ms: int = 60_000, delay: str = "1
     return stats.poll_stats(timed, period_ms, "ts")
 
 
-def _streaks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-             ) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
-    # Polls since the last one that set the streak to zero; the very first one does.
-    reset = rows["status"].isin((0, 200)).to_numpy()
-    if not state.exists:
-        reset[0] = True
-    number = np.arange(len(rows))
-    last = np.maximum.accumulate(np.where(reset, number, -1))
-    streak = np.where(last >= 0, number - last, number + 1 + (
-        state.get[0] if state.exists else 0))
-    state.update((int(streak[-1]),))
-    yield pd.DataFrame({
-        "namespace": key[0], "hostname": key[1], "service": key[2],
-        "timestamp": rows["timestamp"].to_numpy(), "status": rows["status"].to_numpy(),
-        "streak": streak, "commit": (streak == 0) | (streak >= cdc.HYSTERESIS_FAILURES)})
-
-
 def hysteresis_stream(polls: DataFrame) -> DataFrame:
     """``failure_streaks`` of a stream; the state is one counter per service.
 
     A micro-batch holds few polls of one service, so the group is small.
     """
+    limit = cdc.HYSTERESIS_FAILURES
+
+    # A local function travels by value: executors need not have this package.
+    def streaks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+                ) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
+        # Polls since the last one that set the streak to zero; the very first one does.
+        reset = rows["status"].isin((0, 200)).to_numpy().copy()
+        if not state.exists:
+            reset[0] = True
+        number = np.arange(len(rows))
+        last = np.maximum.accumulate(np.where(reset, number, -1))
+        streak = np.where(last >= 0, number - last, number + 1 + (
+            state.get[0] if state.exists else 0))
+        state.update((int(streak[-1]),))
+        yield pd.DataFrame({
+            "namespace": key[0], "hostname": key[1], "service": key[2],
+            "timestamp": rows["timestamp"].to_numpy(), "status": rows["status"].to_numpy(),
+            "streak": streak, "commit": (streak == 0) | (streak >= limit)})
+
     return polls.groupBy("namespace", "hostname", "service").applyInPandasWithState(
-        _streaks, HYSTERESIS_OUTPUT, "streak long", "append", GroupStateTimeout.NoTimeout)
+        streaks, HYSTERESIS_OUTPUT, "streak long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_now(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None
