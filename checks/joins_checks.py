@@ -79,6 +79,17 @@ def _(i):
                       F.get("rx", F.lit(1)).alias("hi"), F.get("rx", F.lit(2)).alias("mid"))
 
 
+@query("summary_spread_with_outliers", """
+    select namespace, min(v) as lo, max(v) as hi, cast(median(v) as double) as mid
+    from (select namespace, cast(case when timestamp % 97 = 0 then 1e15 else timestamp % 1000 end
+          as double) as v from macs) t group by 1""")
+def _(i):
+    value = F.when(F.col("timestamp") % 97 == 0, F.lit(1e15)).otherwise(F.col("timestamp") % 1000)
+    got = S.spread_rows(i.macs.select("namespace", value.alias("value")), ["namespace"])
+    return got.select("namespace", F.col("min").alias("lo"), F.col("max").alias("hi"),
+                      F.col("median").alias("mid"))
+
+
 @query("summary_drops_empty", """
     select namespace, count(case when state = 'NotEstd' then peer end) as failed,
            'bgp' as service

@@ -759,6 +759,25 @@ def _(i):
         {"hostname": "host", "macaddr": "mac", "ipAddressList": "ip"}, "s")
 
 
+@query("pseudonymised_columns_alike", r"""
+    select namespace, count(*) as n, count(distinct hostname) as hosts,
+           count(distinct macaddr) as macs, count(distinct ipAddressList[1]) as addresses,
+           count(distinct regexp_extract(ipAddressList[1], '^[0-9]+[.][0-9]+[.]')) as sixteens,
+           sum(cast(string_split(ipAddressList[1], '/')[2] as bigint)) as lengths
+    from ifs group by 1""")
+def _(i):
+    """What is equal stays equal, also the first sixteen bits; lengths stay."""
+    got = P.pseudonymize(
+        i.ifs.select(*KEYS, "macaddr", "ipAddressList"),
+        {"hostname": "host", "macaddr": "mac", "ipAddressList": "ip"}, "s")
+    first = F.get("ipAddressList", F.lit(0))
+    return got.groupBy("namespace").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("hostname").alias("hosts"),
+        F.countDistinct("macaddr").alias("macs"), F.countDistinct(first).alias("addresses"),
+        F.countDistinct(F.regexp_extract(first, r"^[0-9]+[.][0-9]+[.]", 0)).alias("sixteens"),
+        F.sum(F.substring_index(first, "/", -1).cast("bigint")).alias("lengths"))
+
+
 @query("pseudonymised_texts", """
     select doc_id, cast(len(regexp_extract_all(text,
            '(?:^|[^0-9.])((?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}'

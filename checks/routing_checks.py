@@ -254,7 +254,24 @@ def _(i):
     return topo.distance_sums(i.chain, GRAPH)
 
 
-@query("graph_centers")
+@query("graph_centers", """
+    with recursive e as (
+      select distinct namespace, service, src, dst from (
+        select namespace, service, src, dst from edges
+        union all select namespace, service, dst, src from edges) x),
+    reach as (
+      select distinct namespace, service, src as node, src as other, 0 as d from e
+      union
+      select r.namespace, r.service, r.node, e.dst, r.d + 1
+      from reach r join e on e.namespace = r.namespace and e.service = r.service
+           and e.src = r.other where r.d < 12),
+    near as (select namespace, service, node, other, min(d) as d from reach group by 1, 2, 3, 4),
+    sums as (select namespace, service, node, cast(sum(d) as bigint) as total, count(*) as n
+             from near group by 1, 2, 3),
+    whole as (select namespace, service, min(total) as least from sums group by 1, 2
+              having min(n) = count(*))
+    select namespace, service, node, total
+    from sums join whole using (namespace, service) where total = least""")
 def _(i):
     return topo.centers(i.edges, GRAPH)
 

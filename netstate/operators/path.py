@@ -438,7 +438,14 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         errors = _add_error(F.col("errors"), F.col("d_mtu") != F.col("srcMtu"),
                             "Dst MTU != Src MTU")
         errors = _add_error(errors, F.col("rev").isNull() & ~F.col("isL2"), "no reverse path")
-        arrived = _attach(ended, found, "src", "d_vrf", "rev").withColumn("errors", errors)
+        # Delivered on a link by a device that neither routes back nor knows the target.
+        known = t.arp_any.select(*NS_HOST, "ipAddress", F.lit(True).alias("__known"))
+        arrived = _lookup(_attach(ended, found, "src", "d_vrf", "rev"), known, {
+            "namespace": "namespace", "device": "hostname", "dest": "ipAddress"})
+        errors = _add_error(
+            errors, F.col("rev").isNull() & F.col("isL2") & F.col("__known").isNull()
+            & ~F.col("first"), "no reverse path, possible flood")
+        arrived = arrived.withColumn("errors", errors).drop("__known")
         arrived = _with_hop(arrived, oif=F.col("d_ifname"), vrf=F.col("d_vrf"),
                             isL2=F.lit(False), outMtu=F.col("d_mtu"))
         done.append(arrived.select("req", "namespace", "hops", F.lit("arrived").alias("end")))
