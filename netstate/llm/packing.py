@@ -118,8 +118,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2,
         part = TaskContext.get().partitionId()
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "ids_crc32",
                                "part", "k")}
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            ids = np.frombuffer(enc.encode(text.decode("utf-8", "replace")) + tail, "<u4")
+        texts = [t.decode("utf-8", "replace") for t in batch["text"]]
+        for doc, data in zip(batch["doc_id"], enc.encode(texts), strict=True):
+            ids = np.frombuffer(data + tail, "<u4")
             first = len(ids) % capacity or capacity
             edges = [0, *range(first, len(ids) + 1, capacity)]
             for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -4,7 +4,8 @@ Encoding a text costs about a microsecond per byte, nearly all of it spent on wo
 seen before.  Both tokenizers used here cut a text into pieces that are merged
 alone, and a blank or newline that stands between two other characters always
 lies on such a cut.  So a text is split there, and the ids of a chunk are kept.
-A chunk of plain Latin text that is not kept yet is cut by the tokenizer's own
+In plain Latin text a full stop or comma between a word and a blank is split off
+too.  A chunk of plain text that is not kept yet is cut by the tokenizer's own
 pattern and merged by its model, any other goes through the whole tokenizer.
 Texts with two white-space characters in a row are split by a pattern that
 looks at both neighbours.
@@ -19,17 +20,26 @@ import numpy as np
 
 from netstate.llm.common import worker_state
 
-MAX_KEPT = 250_000
+MAX_KEPT = 300_000
 MAX_KEPT_LENGTH = 48
+MAX_PLAIN = 4_096
+GROUP = 512
 _TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# Characters of plain text; classes of its bytes: word, blank, stop or comma, other.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_PLAIN = re.compile(rf"[ \n]?[!-~{_LATIN}]*\Z")
+_NOT_PLAIN = re.compile(rf"[^\n -~{_LATIN}]")
+_IN_WORD = bytes(b for b in range(256) if re.match(rf"[0-9{_LATIN}]", chr(b)))
+_PLAIN_BYTES = bytes([0x0A, *range(0x20, 0x7F), *(b for b in _IN_WORD if b > 0x7F)])
+_CLASSES = bytes(ord("a" if b in _IN_WORD else " " if b in b" \n" else "." if b in b".," else "x")
+                 for b in range(256))
+# Stands before a chunk that has no blank before it.
+_BARE = "\x01"
 # How each kind of tokenizer cuts a text, here for plain Latin text.
 _CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
 _CUTS = {
     "words": re.compile(rf"{_CLITICS}|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+"),
-    "bytes": re.compile(rf"{_CLITICS}| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+"),
+    "bytes": re.compile(rf"{_CLITICS}| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+"),
 }
 
 
@@ -62,18 +72,19 @@ class Memo(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes | None:
-        got = self.older.get(key)
-        if got is not None:
-            self.keep(key, got)
-        return got
-
-    def keep(self, key: str, value: bytes) -> None:
-        if len(key) <= MAX_KEPT_LENGTH:
-            if len(self) >= MAX_KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that are not kept; those of the older half move to the newer one."""
+        if len(self) >= MAX_KEPT:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for key in keys.difference(self):
+            got = self.older.get(key)
+            if got is None:
+                out.append(key)
+            else:
+                self[key] = got
+        return out
 
 
 class Encoder:
@@ -83,56 +94,99 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
         self.kind = _kind(path)
         self.cut = _CUTS.get(self.kind)
+        # The same model over pieces that are cut and spelled in letters already.
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = _byte_letters()
         self.letters = [letters[b] for b in range(256)]
-        self.chunks, self.pieces = Memo(), Memo()
+        self.end = self.model.encode(self.letters[0], add_special_tokens=False).ids[0]
+        self.chunks = Memo()
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces[piece]
-        if got is None:
-            if piece.isascii() and piece[0] > " ":
-                mapped = piece
-            else:
-                mapped = "".join([self.letters[b] for b in piece.encode()])
-            got = np.asarray([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            self.pieces.keep(piece, got)
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        """ids of a chunk; one without a leading newline stands behind a blank."""
-        text = chunk if chunk[:1] == "\n" else " " + chunk
-        if len(text) < 4096 and _PLAIN.match(text):
-            if self.kind == "words":
-                text = text.lower()
-            got = b"".join([self._piece(p) for p in self.cut.findall(text)])
-        else:
-            got = self.whole(text)
-        self.chunks.keep(chunk, got)
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if self.kind is None or not text:
-            return self.whole(text) if text else b""
-        if _TWO_BLANKS.search(text):
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of plain text, each byte of one as a letter."""
+        found = self.cut.findall(text.lower() if self.kind == "words" else text)
+        return [p if p.isascii() and p[0] > " " else "".join(
+            [self.letters[b] for b in p.encode()]) for p in found]
+
+    def _merge(self, pieces: list[str]) -> tuple[bytes, np.ndarray]:
+        """ids of pieces, one after another, and how many each piece has.
+
+        The letter of byte zero, which plain text can't hold, ends each piece.
+        """
+        end = self.letters[0]
+        groups = [f" {end} ".join([*pieces[i:i + GROUP], ""]) for i in range(
+            0, len(pieces), GROUP)]
+        found = self.model.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.asarray(x.ids, "<u4") for x in found)])
+        ends = np.flatnonzero(ids == self.end)
+        return ids[ids != self.end].tobytes(), np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, keys: list[str]) -> None:
+        """Keep the ids of chunks; one stands behind a blank unless it starts with a mark
+        or a newline."""
+        known, pieces, counts = [], [], []
+        for key in keys:
+            text = key[1:] if key[:1] == _BARE else key if key[:1] == "\n" else " " + key
+            if len(text) >= MAX_PLAIN or _NOT_PLAIN.search(text):
+                self.chunks[key] = self.whole(text)
+                continue
+            cut = self._pieces(text)
+            known.append(key)
+            counts.append(len(cut))
+            pieces += cut
+        data, sizes = self._merge(pieces)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])] * 4
+        for key, a, b in zip(known, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            self.chunks[key] = data[a:b]
+
+    def _split(self, text: str) -> list[str]:
+        """Chunks of a text, as keys of the memo."""
+        try:
+            raw = text.encode("latin-1")
+            plain = not raw.translate(None, _PLAIN_BYTES)
+        except UnicodeEncodeError:
+            plain = False
+        kinds = raw.translate(_CLASSES) if plain else b""
+        if b"  " in kinds or not plain and _TWO_BLANKS.search(text):
             parts = _CUT.split(text)
-            rest = [p if p[0] == "\n" else p[1:] for p in parts[1:]]
+            parts[1:] = [p if p[0] == "\n" else p[1:] for p in parts[1:]]
         else:
+            if plain:
+                if self.kind == "words":
+                    text = text.lower()
+                # A stop or comma is split off if each of them stands behind a word.
+                if not (kinds[:2] == b". " or b" . " in kinds or b"x. " in kinds
+                        or b".. " in kinds):
+                    for mark in ".,":
+                        for blank in " \n":
+                            text = text.replace(mark + blank, f" {_BARE}{mark}{blank}")
             parts = text.replace("\n", " \n").split(" ")
-            rest = parts[1:]
-        first = self.whole(parts[0]) if parts[0] else b""
-        kept, own = self.chunks, self._chunk
-        return first + b"".join([kept[c] or own(c) for c in rest])
+        parts[0] = _BARE + parts[0]
+        return parts
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text."""
+        alone = [self.kind is None or _BARE in t for t in texts]
+        parts = [[] if one or not t else self._split(t)
+                 for t, one in zip(texts, alone, strict=True)]
+        self._learn(self.chunks.missing(set().union(*parts)))
+        out = [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
+        # Long chunks are not worth keeping.
+        for key in {c for p in parts for c in p if len(c) > MAX_KEPT_LENGTH}:
+            del self.chunks[key]
+        return [self.whole(t) if one else x for t, x, one in zip(texts, out, alone, strict=True)]
 
 
 def encoder(path: str) -> Encoder:

@@ -197,15 +197,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
 
     def encode(batch):
         enc, tail = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
-        ids = [np.frombuffer(enc.encode(t.decode("utf-8", "replace")) + tail, "<u4").astype(
-            dtype) for t in batch["text"]]
+        ids = [np.frombuffer(x + tail, "<u4").astype(dtype) for x in enc.encode(
+            [t.decode("utf-8", "replace") for t in batch["text"]])]
         yield {"doc_id": batch["doc_id"], "row": batch["row"],
                "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
-    return per_batch(rows, "doc_id long, row long, n_tokens long, ids binary", encode)
+    return per_batch(rows, "doc_id long, row long, n_tokens long, ids binary", encode, rows=256)
 
 
 def write_wavelets(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
