@@ -9,12 +9,14 @@ prediction is the language with the largest share in that set.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netstate.llm.common import per_batch, text_bytes
+from netstate.llm.common import text_bytes
 
 NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -23,9 +25,8 @@ SMOOTHING = 0.05
 FIT_DOCUMENTS = 4_000
 ROUNDS = 8
 MAX_LANGUAGES = 4
-PENALTY = 2.0
-MAX_WORD = 40
-MAX_KEPT = 200_000
+PENALTY = 6.0
+MAX_KEPT = 300_000
 BATCH_WORDS = 1 << 19
 UNKNOWN = "und"
 
@@ -35,26 +36,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def letters(token: str) -> str:
-    """The letters of a token, lower-case; "" if it has none."""
-    if token.isalpha():
-        return token.lower()
-    return "".join(filter(str.isalpha, token)).lower()
+#: Runs of letters; a very long one in pieces, so that it is not one vote.
+_WORD = re.compile(r"[^\W\d_]{1,40}")
+_MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of the n-grams of a word with its ends marked."""
-    marked = f"<{word}>"
-    return [xxhash.xxh32_intdigest(marked[i:i + n].encode("utf-8", "replace")) % BUCKETS
-            for n in NGRAMS for i in range(len(marked) - n + 1)]
+def words(text: str) -> list[str]:
+    """The words of a text in lower case; none if it has no letters."""
+    # A pattern can't tell letters from signs like superscript numbers.
+    return _WORD.findall(text.lower()) if any(map(str.isalpha, text)) else []
 
 
-def pieces(text: str) -> list[str]:
-    """Tokens between white space; a very long one in pieces, so that it is not one vote."""
-    out = text.split()
-    if any(len(t) > MAX_WORD for t in out):
-        out = [t[i:i + MAX_WORD] for t in out for i in range(0, len(t), MAX_WORD)]
-    return out
+def buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of words with their ends marked, and each one's word."""
+    text = "".join([f"<{w}>" for w in found])
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    word = np.repeat(np.arange(len(found)), sizes)
+    left = np.cumsum(sizes)[word] - np.arange(len(code))
+    out, of = [], []
+    for n in NGRAMS:
+        whole = np.flatnonzero(left >= n)
+        key = np.full(len(whole), n, np.uint32)
+        for i in range(n):
+            key = (key ^ code[whole + i]) * np.uint32(_MIX[i])
+            key ^= key >> np.uint32(15)
+        out.append((key >> np.uint32(7)) % np.uint32(BUCKETS))
+        of.append(word[whole])
+    return np.concatenate(out), np.concatenate(of)
 
 
 class Model:
@@ -88,21 +97,13 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
         "lang", text_bytes().alias("text"))
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
         total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                row = total[number[lang.as_py()]]
-                flat: list[int] = []
-                for token in pieces(text.as_py().decode("utf-8", "replace")):
-                    got = seen.get(token)
-                    if got is None:
-                        word = letters(token)
-                        got = buckets(word) if word else []
-                        if len(seen) < MAX_KEPT:
-                            seen[token] = got
-                    flat += got
-                row += np.bincount(np.asarray(flat, np.int64), minlength=BUCKETS)
+                found = words(text.as_py().decode("utf-8", "replace"))
+                for at in range(0, len(found), BATCH_WORDS):
+                    total[number[lang.as_py()]] += np.bincount(
+                        buckets(found[at:at + BATCH_WORDS])[0], minlength=BUCKETS)
         which, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({
             "lang": pa.array(which.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int32)),
@@ -126,38 +127,35 @@ class Scorer:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.languages)), np.float32)
-        self.used = 0
-
-    def _row(self, token: str) -> int:
-        """The row of a token, -1 if it has no letters."""
-        got = self.rows.get(token)
-        if got is None:
-            word, got = letters(token), -1
-            if word:
-                value = self.model.log_p[buckets(word)].sum(0)
-                if self.used == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                got, self.used = self.used, self.used + 1
-                self.table[got] = value
-            self.rows[token] = got
-        return got
+        self.table = np.zeros((0, len(self.model.languages)), np.float32)
+
+    def _learn(self, found: Iterable[list[str]]) -> None:
+        """Keep the log-likelihoods of words that are new."""
+        if len(self.rows) > MAX_KEPT:
+            self.forget()
+        new = list(set().union(*found).difference(self.rows))
+        if not new:
+            return
+        bucket, word = buckets(new)
+        values = np.stack([
+            np.bincount(word, self.model.log_p[bucket, i], len(new))
+            for i in range(len(self.model.languages))], axis=1)
+        self.rows.update(zip(new, range(len(self.table), len(self.table) + len(new)),
+                             strict=True))
+        self.table = np.concatenate([self.table, values.astype(np.float32)])
 
     def score(self, texts: list[str]) -> list[tuple[str, float, list[str], list[float]]]:
         """(prediction, score, languages, shares) of each text."""
-        if self.used > MAX_KEPT:
-            self.forget()
-        found = []
-        for text in texts:
-            rows = np.fromiter(map(self._row, pieces(text)), np.int64)
-            found.append(rows[rows >= 0])
-        sizes = np.asarray([len(x) for x in found])
-        some = np.flatnonzero(sizes)
         out = [(UNKNOWN, 0.0, [], [])] * len(texts)
+        found = [words(t) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        some = np.flatnonzero(sizes)
         if not len(some) or not self.model.languages:
             return out
-        log_p = self.table[np.concatenate(found)]
-        chosen, shares = choose(log_p, sizes[some])
+        self._learn(found)
+        rows = np.fromiter((i for w in found for i in map(self.rows.__getitem__, w)), np.int64,
+                           int(sizes.sum()))
+        chosen, shares = choose(self.table[rows], sizes[some])
         names = self.model.languages
         for i, picked, share in zip(some.tolist(), chosen, shares, strict=True):
             order = sorted(picked, key=lambda x: (-share[x], names[x]))
@@ -188,38 +186,60 @@ def mixture(log_p: np.ndarray, at: np.ndarray, sizes: np.ndarray, allowed: np.nd
 
 
 def choose(log_p: np.ndarray, sizes: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
-    """Per document the languages of the best penalised likelihood, and all shares."""
+    """Per document the languages of the best penalised likelihood, and all shares.
+
+    A document that one language explains so well that no mixture can earn its
+    penalty is settled without fitting one: the likelihood of a mixture is at
+    most that of the best language of each word, and, being concave in the
+    shares, at most the slope towards another language above that of one alone.
+    """
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     n = log_p.shape[1]
-    allowed = np.ones((len(sizes), n), np.float32)
-    full, _ = mixture(log_p, at, sizes, allowed)
-    order = np.argsort(-full, axis=1, kind="stable")
     alone = np.add.reduceat(log_p.astype(np.float64), at, axis=0)
-    first = alone.argmax(1)
-    best = alone.max(1)
-    share = np.zeros_like(full)
+    first, best = alone.argmax(1), alone.max(1)
+    share = np.zeros((len(sizes), n), np.float32)
     share[np.arange(len(sizes)), first] = 1
     chosen = [[int(x)] for x in first]
     # One word more may be due to chance: each further language must earn this much.
     price = PENALTY * np.log(sizes + 1.0) + 4.0
-    # The mixture is fitted again only where its set can still win.
+    own = np.take_along_axis(log_p, np.repeat(first, sizes)[:, None], axis=1)
+    better = log_p - own
+    gain = np.add.reduceat(better.max(1).astype(np.float64), at)
+    slope = np.add.reduceat(np.exp(np.minimum(better, 60)).astype(np.float64), at, axis=0)
+    gain = np.minimum(gain, slope.max(1) - sizes)
+    open_ = np.flatnonzero(gain > price)
+    if not len(open_) or n == 1:
+        return chosen, share
+    log_p, starts = _rows_of(log_p, at, sizes, open_)
+    full, _ = mixture(log_p, starts, sizes[open_], np.ones((len(open_), n), np.float32))
+    order = np.argsort(-full, axis=1, kind="stable")
     for k in range(2, min(n, MAX_LANGUAGES) + 1):
-        try_ = np.flatnonzero(full[np.arange(len(sizes)), order[:, k - 1]] * sizes > 0.5)
-        if not len(try_):
+        # A language with less than half a word is not worth a try.
+        tried = np.flatnonzero(
+            full[np.arange(len(open_)), order[:, k - 1]] * sizes[open_] > 0.5)
+        if not len(tried):
             break
-        words = np.concatenate([np.arange(at[i], at[i] + sizes[i]) for i in try_])
-        own = np.zeros((len(try_), n), np.float32)
-        np.put_along_axis(own, order[try_, :k], 1, axis=1)
-        starts = np.concatenate([[0], np.cumsum(sizes[try_])[:-1]])
-        got, likely = mixture(log_p[words], starts, sizes[try_], own)
-        likely = likely - price[try_] * (k - 1)
-        for j, i in enumerate(try_.tolist()):
+        docs = open_[tried]
+        allowed = np.zeros((len(tried), n), np.float32)
+        np.put_along_axis(allowed, order[tried, :k], 1, axis=1)
+        part, begins = _rows_of(log_p, starts, sizes[open_], tried)
+        got, likely = mixture(part, begins, sizes[docs], allowed)
+        likely = likely - price[docs] * (k - 1)
+        for j, i in enumerate(docs.tolist()):
             if likely[j] > best[i]:
                 best[i], share[i] = likely[j], got[j]
-                chosen[i] = [int(x) for x in order[i, :k]]
+                chosen[i] = [int(x) for x in order[tried[j], :k]]
     return chosen, share
 
 
+def _rows_of(log_p: np.ndarray, at: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> tuple:
+    """The rows of some documents and where each of them starts."""
+    n = sizes[picked]
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    rows = np.repeat(at[picked] - starts, n) + np.arange(n.sum())
+    return log_p[rows], starts
+
+
 def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame:
     """``docs`` with a struct column: lang, score, languages and shares of the whole text.
 
