@@ -22,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from netstate.llm.common import (
     LOWER, UPPER, cut_lineage, new_folder, open_input, open_output, text_bytes, worker_state)
@@ -252,9 +252,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, into: str = "hits",
         ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
         ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     kept = docs.drop(into)
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-        + [f"`{into}` {HITS}"])
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(f"`{into}` {HITS}").fields])
     return kept.withColumn("__text", text_bytes()).mapInArrow(search, schema)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from netstate.llm.common import text_bytes
 
@@ -268,8 +268,7 @@ def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), found],
                 names=[*batch.schema.names[:-1], into])
 
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-        + [f"`{into}` struct<lang: string, score: double, languages: array<string>, "
-           "shares: array<double>>"])
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(
+        f"`{into}` struct<lang: string, score: double, languages: array<string>, "
+        "shares: array<double>>").fields])
     return kept.withColumn("__text", text_bytes()).mapInArrow(run, schema)

@@ -136,8 +136,13 @@ class Encoder:
     def _learn(self, keys: list[str]) -> None:
         """Keep the ids of chunks; one stands behind a blank unless it starts with a mark
         or a newline."""
-        known, pieces, counts = [], [], []
+        known, pieces, counts, blank = [], [], [], self.letters[0x20]
         for key in keys:
+            if key.isalpha() and key.isascii():
+                known.append(key)
+                counts.append(1)
+                pieces.append(key.lower() if self.kind == "words" else blank + key)
+                continue
             text = key[1:] if key[:1] == _BARE else key if key[:1] == "\n" else " " + key
             if len(text) >= MAX_PLAIN or _NOT_PLAIN.search(text):
                 self.chunks[key] = self.whole(text)
@@ -181,11 +186,13 @@ class Encoder:
         alone = [self.kind is None or _BARE in t for t in texts]
         parts = [[] if one or not t else self._split(t)
                  for t, one in zip(texts, alone, strict=True)]
-        self._learn(self.chunks.missing(set().union(*parts)))
+        new = self.chunks.missing(set().union(*parts))
+        self._learn(new)
         out = [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
         # Long chunks are not worth keeping.
-        for key in {c for p in parts for c in p if len(c) > MAX_KEPT_LENGTH}:
-            del self.chunks[key]
+        for key in new:
+            if len(key) > MAX_KEPT_LENGTH:
+                del self.chunks[key]
         return [self.whole(t) if one else x for t, x, one in zip(texts, out, alone, strict=True)]
 
 
