@@ -88,6 +88,28 @@ def test_compaction_does_not_change_answers(spark, root):
     assert third["recCount"] == 1
 
 
+@pytest.mark.parametrize("remove", [True, False])
+def test_late_rows_reach_later_blocks(spark, tmp_path, remove):
+    root = str(tmp_path)
+    write.write_raw(log_rows(spark), root, "interfaces")
+    compact.compact_table(spark, root, "interfaces", "1h", T0 + 10 * HOUR, remove)
+    late = frame(spark, "interfaces", [
+        dict(namespace="dc2", hostname="b1", ifname="eth0", state="late", timestamp=T0 + 6),
+        dict(namespace="dc1", hostname="c1", ifname="eth0", state="lost", timestamp=T0 + 7),
+        dict(namespace="dc1", hostname="a1", ifname="eth0", state="gap", timestamp=T0 + 5 * HOUR)])
+    write.write_raw(late, root, "interfaces")
+    before = answers(spark, root)
+    compact.compact_table(spark, root, "interfaces", "1h", T0 + 10 * HOUR, remove)
+    assert bool(list((tmp_path / "interfaces").rglob("*.parquet"))) != remove
+    assert answers(spark, root) == before
+    states = {(h, s) for _, h, _, s, _, _ in before["latest"]}
+    assert states == {("a1", "gap"), ("b1", "up"), ("c1", "lost")}
+    again = compact.compact_table(spark, root, "interfaces", "1h", T0 + 10 * HOUR, remove)
+    assert again["recCount"] == 0
+    asof = read.read_table(spark, root, "interfaces", end=T0 + HOUR + 30)
+    assert {("b1", "late"), ("c1", "lost")} <= {(r.hostname, r.state) for r in asof.collect()}
+
+
 def test_open_block_is_left_out(spark, tmp_path):
     write.write_raw(log_rows(spark), str(tmp_path), "interfaces")
     stats = compact.compact_table(spark, str(tmp_path), "interfaces", "1h", T0 + HOUR + 100)
@@ -231,6 +253,34 @@ def test_change_capture_stream(spark, tmp_path):
         (2, "active", 20, False)]
 
 
+def test_failed_polls_are_held_back(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def run(ts, status, entries=()):
+        body = [dict(record("h1", ts, json.dumps(list(entries)), status))]
+        (source / f"{ts}.output").write_text(json.dumps(body))
+        stream.cdc_stream(stream.capture_stream(spark, str(source)), root, "vlan",
+                          str(tmp_path / "cp"), normalise).awaitTermination()
+        log = read.read_table(spark, root, "vlan", view="all", only_active=False)
+        return rows(log, "vlan", "timestamp", "active")
+
+    def normalise(batch):
+        ok = batch.where("status in (0, 200)")
+        parsed = ok.select("namespace", "hostname", "timestamp", F.explode(F.from_json(
+            "data", "array<struct<vlan:bigint>>")).alias("v"))
+        return parsed.select("namespace", "hostname", "timestamp", "v.*", F.concat(
+            F.lit("vlan"), "v.vlan").alias("vlanName"))
+
+    first = [(1, 10, True)]
+    assert run(10, 0, [{"vlan": 1}]) == first
+    assert run(20, 2011) == first
+    assert run(30, 2011) == first
+    assert run(40, 0, [{"vlan": 1}]) == first
+    assert run(50, 2011) == first and run(60, 2011) == first
+    assert run(70, 2011) == [*first, (1, 70, False)]
+
+
 POLL = ("namespace string, hostname string, service string, timestamp bigint, status bigint, "
         "totalTime bigint, gatherTime bigint")
 
