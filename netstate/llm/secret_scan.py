@@ -2,10 +2,12 @@
 
 A worklist starts with the text itself.  Each layer is scanned, then unwrapped:
 percent escapes and Unicode escapes give one new layer each with every escape
-decoded in place, a run of base64 gives a layer of its own, decompressed where
-it holds compressed data.  Layers are unwrapped until nothing new appears; a
-layer seen before is not taken up again, so cycles end.  Each character of a
-layer knows the piece of the original text it came from.
+decoded in place, a run of base64 gives a layer of its own, and so does each compressed
+stream in a decoded layer, up to its end, its cut or its first bad byte.
+Decoded bytes are kept whatever they are: a byte that is no UTF-8 becomes a
+surrogate (PEP 383), from which it can be had back.  Layers are unwrapped until
+nothing new appears; a layer seen before is not taken up again, so cycles end.
+Each character of a layer knows the piece of the original text it came from.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
@@ -40,8 +41,17 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}"
                      r"|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-COMPRESSED = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress,
-              b"\xfd7zXZ\x00": lzma.decompress}
+#: Starts of compressed streams in decoded text; the second byte of zlib's may have become
+#: a letter with the byte behind it.
+COMPRESSED = re.compile(
+    "(?P<gzip>\x1f\udc8b)|(?P<bz2>BZh[1-9])|(?P<xz>\udcfd7zXZ\x00)"
+    "|(?P<zlib>x[\x01^\udc9c\udcda\u0680-\u06bf])")
+DECOMPRESSORS = {"gzip": lambda: zlib.decompressobj(31), "bz2": bz2.BZ2Decompressor,
+                 "xz": lzma.LZMADecompressor, "zlib": lambda: zlib.decompressobj(15)}
+BROKEN = (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError)
+NO_BYTE = re.compile("[\ud800-\udc7f\udd00-\udfff]")
+#: Characters of a compressed stream taken at a time, at first and later.
+FIRST_STEP, STEP = 1 << 10, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -62,12 +72,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A decoded text; first and last[i] bound the original piece of character i.
 
-    Both are None where the layer is the original itself.
+    Both are None where the layer is the original itself.  tail is the end of the
+    run that holds a base64 layer, with its padding.
     """
 
     def __init__(self, text: str, first: np.ndarray | None = None,
-                 last: np.ndarray | None = None):
-        self.text, self.first, self.last = text, first, last
+                 last: np.ndarray | None = None, tail: int | None = None):
+        self.text, self.first, self.last, self.tail = text, first, last, tail
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.first is None:
@@ -103,11 +114,20 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), np.concatenate(first), np.concatenate(last))
 
 
-def _percent(run: str) -> str | None:
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _bytes(text: str) -> bytes:
+    """The bytes of a decoded text."""
     try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+        return text.encode("utf-8", "surrogateescape")
+    except UnicodeEncodeError:
+        return NO_BYTE.sub("?", text).encode("utf-8", "surrogateescape")
+
+
+def _percent(run: str) -> str:
+    return _text(bytes.fromhex(run.replace("%", "")))
 
 
 def _unicode(run: str) -> str | None:
@@ -115,43 +135,71 @@ def _unicode(run: str) -> str | None:
         if run[:2] == "&#":
             return chr(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]))
         if run[:2] == "\\x":
-            return bytes.fromhex(run.replace("\\x", "")).decode()
+            return _text(bytes.fromhex(run.replace("\\x", "")))
         if run[:3] == "\\u{":
             return chr(int(run[3:-1], 16))
         if run[:2] == "\\U":
             return chr(int(run[2:], 16))
         units = bytes.fromhex(run.replace("\\u", ""))
-        return units.decode("utf-16-be")
+        return units.decode("utf-16-be", "surrogatepass")
     except (ValueError, OverflowError):
         return None
 
 
-def _readable(data: bytes) -> str | None:
-    """Data as text if it is UTF-8 without control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() \
-        else None
-
-
-def _inflated(data: bytes) -> str | None:
-    """Compressed data as text, through any number of compressions."""
-    seen = 0
-    while True:
-        for magic, decompress in COMPRESSED.items():
-            if data.startswith(magic):
-                break
-        else:
-            if data[:1] != b"\x78" or len(data) < 2 or (data[0] << 8 | data[1]) % 31:
-                return _readable(data) if seen else None
-            decompress = zlib.decompress
+def _stream(make, text: str, at: int) -> tuple[bytes, int, bool]:
+    """What the one stream at a place holds, where it ends, and whether it is complete."""
+    stream, out, fed, step = make(), [], [], FIRST_STEP
+    while at < len(text):
+        data = _bytes(text[at:at + step])
         try:
-            data = decompress(data)
-        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-            return _readable(data) if seen else None
-        seen += 1
+            out.append(stream.decompress(data))
+        except BROKEN:
+            break
+        if stream.eof:
+            used = data[:len(data) - len(stream.unused_data)]
+            return b"".join(out), min(at + len(_text(used)), len(text)), True
+        fed.append(data)
+        at, step = at + step, STEP
+    else:
+        return b"".join(out), len(text), False
+    # Once more, byte by byte up to the bad one.
+    stream, used = make(), 0
+    for before in fed:
+        stream.decompress(before)
+    try:
+        while used < len(data) and not stream.eof:
+            out.append(stream.decompress(data[used:used + 1]))
+            used += 1
+    except BROKEN:
+        pass
+    return b"".join(out), min(at + len(_text(data[:used])), len(text)), False
+
+
+def _inflated(layer: Layer) -> list[Layer]:
+    """A layer for each compressed stream, one with those of its kind right behind it."""
+    out, at = [], 0
+    while m := COMPRESSED.search(layer.text, at):
+        make, parts, end, more = DECOMPRESSORS[m.lastgroup], [], m.start(), True
+        while more:
+            data, end, more = _stream(make, layer.text, end)
+            parts.append(data)
+            behind = COMPRESSED.match(layer.text, end)
+            more = more and behind is not None and behind.lastgroup == m.lastgroup
+        at, text = m.start() + 1, _text(b"".join(parts))
+        if text:
+            a, b = layer.span(m.start(), max(end, m.end()))
+            if layer.tail is not None and (m.start() == 0 or end == len(layer.text)):
+                b = layer.tail
+            out.append(Layer(text, np.full(len(text), a, np.int64),
+                             np.full(len(text), b, np.int64)))
+    return out
+
+
+def _sizes(text: str) -> np.ndarray:
+    """How many bytes each character of a decoded text comes from."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    wide = (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    return np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, wide + 1)
 
 
 def _from_base64(layer: Layer) -> list[Layer]:
@@ -164,21 +212,14 @@ def _from_base64(layer: Layer) -> list[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        text = _readable(data)
-        if text is None:
-            text = _inflated(data)
-            if text:
-                a, b = layer.span(*m.span())
-                out.append(Layer(text, np.full(len(text), a, np.int64),
-                                 np.full(len(text), b, np.int64)))
-            continue
+        text = _text(data)
         # Byte j comes from the characters that hold its bits.
-        sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
+        sizes = _sizes(text)
         stop = np.cumsum(sizes)
         begin = stop - sizes
         left, right = m.start() + begin * 4 // 3, m.start() + ((stop - 1) * 8 + 7) // 6
         whole = layer.whole()
-        out.append(Layer(text, whole[0][left], whole[1][right]))
+        out.append(Layer(text, whole[0][left], whole[1][right], layer.span(*m.span())[1]))
     return out
 
 
@@ -189,6 +230,8 @@ def unwrap(layer: Layer) -> list[Layer]:
         out.append(_replaced(layer, PERCENT, _percent))
     if "\\" in layer.text or "&#" in layer.text:
         out.append(_replaced(layer, UNICODE, _unicode))
+    if layer.first is not None:
+        out += _inflated(layer)
     return [x for x in out if x is not None] + _from_base64(layer)
 
 

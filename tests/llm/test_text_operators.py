@@ -3,6 +3,7 @@
 import base64
 import bz2
 import gzip
+import lzma
 import random
 import re
 import zlib
@@ -162,6 +163,43 @@ def test_wrapped_secrets(wrap):
         assert kind == "assign" and 4 <= start < end <= 4 + len(hidden)
 
 
+def escaped(data, mark):
+    return "".join(f"{mark}{b:02x}" for b in data)
+
+
+@pytest.mark.parametrize("odd", [b"\xef\xbb\xbf", b"\xc2\xa0", b"\xe2\x80\x8b", b"\x1b[31m",
+                                 b"\x00", b"\x0c", b"\xff", b"\xe9t\xe9 "])
+@pytest.mark.parametrize("wrap", [
+    lambda b: base64.b64encode(b).decode(),
+    lambda b: base64.b64encode(gzip.compress(b)).decode(),
+    lambda b: base64.b64encode(b"\x00tar\x00" + lzma.compress(b) + b"\x00").decode(),
+    lambda b: base64.b64encode(gzip.compress(b"a\n") + gzip.compress(b)).decode(),
+    lambda b: escaped(b, "%"), lambda b: escaped(gzip.compress(b), "%"),
+    lambda b: quote(zlib.compress(b), safe=""), lambda b: quote(zlib.compress(b, 9), safe=""),
+    lambda b: escaped(b, "\\x"), lambda b: escaped(bz2.compress(b), "\\x"),
+])
+def test_odd_bytes_hide_nothing(odd, wrap):
+    hidden = wrap(odd + b"some text, " + SECRET.encode() + odd + b" end")
+    base, spans = secret_scan.scan(f"Été {hidden} fin")
+    assert base == [] and spans
+    for kind, start, end in spans:
+        assert kind == "assign" and 4 <= start < end <= 4 + len(hidden)
+
+
+def test_broken_streams_give_what_they_hold():
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ghijklmn \n") for _ in range(5000))
+    whole = gzip.compress((SECRET + " " + noise).encode())
+    bad_sum = whole[:-8] + bytes(8)
+    for data in (whole[:-9], whole[:len(whole) // 2], bad_sum):
+        hidden = base64.b64encode(data).decode()
+        assert secret_scan.scan(f"x {hidden} y")[1] == [("assign", 2, 2 + len(hidden))]
+    late = gzip.compress((noise + SECRET).encode())
+    hidden = base64.b64encode(late[:-8] + bytes(8)).decode()
+    assert secret_scan.scan(f"x {hidden} y")[1] == [("assign", 2, 2 + len(hidden))]
+    assert secret_scan.scan(r"\ud83d" + "".join(f"\\u{ord(c):04x}" for c in SECRET))[1]
+
+
 def test_positions_of_url_and_base64():
     text = f"x={quote(SECRET, safe='')} y"
     (kind, start, end), = secret_scan.scan(text)[1]
