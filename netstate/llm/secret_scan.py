@@ -2,8 +2,11 @@
 
 A worklist starts with the text itself.  Each layer is scanned, then unwrapped:
 percent escapes and Unicode escapes give one new layer each with every escape
-decoded in place, a run of base64 gives a layer of its own, and so does each compressed
-stream in a decoded layer, up to its end, its cut or its first bad byte.
+decoded in place, a run of base64 gives layers of its own, and so does each compressed
+stream in a decoded layer, up to its end, its cut or its first bad byte.  Words
+may stand before base64 without a blank ('/data/cGFz...'), so a run is decoded
+from each of its first four characters: whatever place the base64 begins at, one
+of these holds it.  Runs on lines that follow each other are also taken together.
 Decoded bytes are kept whatever they are: a byte that is no UTF-8 becomes a
 surrogate (PEP 383), from which it can be had back.  Layers are unwrapped until
 nothing new appears; a layer seen before is not taken up again, so cycles end.
@@ -12,7 +15,6 @@ Each character of a layer knows the piece of the original text it came from.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -20,6 +22,7 @@ import lzma
 import re
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -41,6 +44,15 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}"
                      r"|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++"
+                     r"(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LEAST_BASE64 = 16
+STANDARD = bytes.maketrans(b"-_", b"+/")
+#: Decoded bytes without any of these hold neither a secret nor a layer.
+WORTH = re.compile(
+    rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#"
+    rb"|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]"
+    rb"|\x1f\x8b|BZh[1-9]|\xfd7zXZ\x00|x[\x01^\x9c\xda]")
 #: Starts of compressed streams in decoded text; the second byte of zlib's may have become
 #: a letter with the byte behind it.
 COMPRESSED = re.compile(
@@ -204,22 +216,29 @@ def _sizes(text: str) -> np.ndarray:
 
 def _from_base64(layer: Layer) -> list[Layer]:
     out = []
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
+    runs = [BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        runs.append(WRAPPED.finditer(layer.text))
+    for m in chain.from_iterable(runs):
+        run = m[0].encode().translate(STANDARD, b" \t\r\n=")
+        if len(run) < LEAST_BASE64:
             continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        text = _text(data)
-        # Byte j comes from the characters that hold its bits.
-        sizes = _sizes(text)
-        stop = np.cumsum(sizes)
-        begin = stop - sizes
-        left, right = m.start() + begin * 4 // 3, m.start() + ((stop - 1) * 8 + 7) // 6
-        whole = layer.whole()
-        out.append(Layer(text, whole[0][left], whole[1][right], layer.span(*m.span())[1]))
+        for skip in range(4):
+            size = len(run) - skip
+            size -= size % 4 == 1
+            data = binascii.a2b_base64(run[skip:skip + size] + b"=" * (-size % 4))
+            if not WORTH.search(data):
+                continue
+            text = _text(data)
+            # Byte j comes from the characters that hold its bits.
+            sizes = _sizes(text)
+            stop = np.cumsum(sizes)
+            begin = stop - sizes
+            at = m.start() + np.flatnonzero(~np.isin(
+                np.frombuffer(m[0].encode(), np.uint8), np.frombuffer(b" \t\r\n=", np.uint8)))
+            left, right = at[skip + begin * 4 // 3], at[skip + ((stop - 1) * 8 + 7) // 6]
+            whole = layer.whole()
+            out.append(Layer(text, whole[0][left], whole[1][right], layer.span(*m.span())[1]))
     return out
 
 

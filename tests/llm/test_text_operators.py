@@ -9,6 +9,7 @@ import re
 import zlib
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,60 @@ def test_broken_streams_give_what_they_hold():
     assert secret_scan.scan(r"\ud83d" + "".join(f"\\u{ord(c):04x}" for c in SECRET))[1]
 
 
+def wrapped(data, width, mark="\n"):
+    text = base64.b64encode(data).decode()
+    return mark.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("mark", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [10, 64, 76])
+def test_wrapped_lines_are_joined(width, mark):
+    rng = random.Random(9)
+    noise = "".join(rng.choice("ghijklmn ") for _ in range(400))
+    for at in range(0, 120, 7):
+        plain = (noise[:at] + " " + SECRET + " " + noise).encode()
+        for data in (plain, gzip.compress(plain), bz2.compress(plain)):
+            hidden = wrapped(data, width, mark)
+            for text in (f"see:\n{hidden}\n\nend", f"a word\n{hidden}\nend"):
+                base, spans = secret_scan.scan(text)
+                inside = text.index(hidden), text.index(hidden) + len(hidden)
+                assert base == [] and spans
+                assert all(inside[0] <= a < b <= inside[1] for _, a, b in spans)
+                if data is plain:
+                    first = inside[0] + (at + 1) * 4 // 3 // width * len(mark) + (at + 1) * 4 // 3
+                    last = (at + len(SECRET)) * 8 + 7
+                    end = inside[0] + last // 6 // width * len(mark) + last // 6 + 1
+                    assert ("assign", first, end) in spans
+
+
+@pytest.mark.parametrize("glue", ["/data/", "/", "a_", "my-", "x", "ab", "key_id-", "text/"])
+@pytest.mark.parametrize("shape", [
+    lambda b: b, gzip.compress, bz2.compress, lambda b: base64.b64encode(b)])
+def test_glued_base64(glue, shape):
+    hidden = base64.b64encode(shape(b"some text, " + SECRET.encode() + b" and more ")).decode()
+    for behind in ("", "/next"):
+        if behind:
+            hidden = hidden.rstrip("=")
+        text = f"<{glue}{hidden}{behind}>"
+        base, spans = secret_scan.scan(text)
+        assert base == [] and spans
+        assert all(1 + len(glue) <= a < b <= len(text) - 1 for _, a, b in spans)
+
+
+def test_what_is_skipped_holds_nothing():
+    rng = random.Random(12)
+    parts = [b"password=abcdef", b"secret", b"ToKen:'abcdefgh", b"AKIA", b"ABCDEFGH12345678",
+             b"0123456789abcdef", b"%4", b"1", b"\\x41", b"&#65;", b"\n", b"\r", b" ", b"x", b"\x9c",
+             b"\xda\x80", b"\x1f", b"\x8b", b"BZh9", b"abcdefgh", b"\xff", b"\xc3\xa9", b"\x00"]
+    for _ in range(5000):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(6)))
+        if not secret_scan.WORTH.search(data):
+            text = data.decode("utf-8", "surrogateescape")
+            here = np.arange(len(text))
+            layer = secret_scan.Layer(text, here, here + 1)
+            assert secret_scan.base_spans(text) == [] and secret_scan.unwrap(layer) == []
+
+
 def test_positions_of_url_and_base64():
     text = f"x={quote(SECRET, safe='')} y"
     (kind, start, end), = secret_scan.scan(text)[1]
