@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netstate.llm import queries
+from netstate.llm import near_copies, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": [f"{a}{b}" for a in ("the", "and", "with", "this", "there") for b in (
@@ -56,6 +56,60 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
     assert set(range(60)) - {8} <= left[3]
 
 
+def edited(rng, words, least, most):
+    """A copy with replaced words whose similarity lies between two bounds."""
+    def shingles(w):
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    out, own = list(words), shingles(words)
+    while True:
+        other = shingles(out)
+        similarity = len(own & other) / len(own | other)
+        if similarity <= most:
+            return " ".join(out) if similarity >= least else edited(rng, words, least, most)
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(3)
+    rows, near = [], set()
+    for i in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 400))]
+        rows.append((i, " ".join(words)))
+        low = [0.82, 0.88, 0.95, 0.70][i % 4]
+        rows.append((1000 + i, edited(rng, words, low - 0.02, low + 0.02)
+                     if low > 0.8 else edited(rng, words, low - 0.05, low + 0.05)))
+        if low > 0.8:
+            near.add(1000 + i)
+    # A large group of copies of one text, and a chain: each near the next, its ends not.
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows += [(2000 + i, edited(rng, words, 0.86, 0.92)) for i in range(120)]
+    chain = words[::-1]
+    for i in range(8):
+        rows.append((3000 + i, " ".join(chain)))
+        chain = edited(rng, chain, 0.84, 0.9).split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert left == {i for i, _ in rows} - near - set(range(2001, 2120)) - set(range(3001, 3008))
+
+
+def test_links_are_exact(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    docs = spark.createDataFrame(
+        [*enumerate(texts), (None, "x"), (60, None), (61, " "), (62, "X"), (62, "x y")],
+        "doc_id long, text string")
+    got = near_copies.near_copies(docs).collect()
+    assert len(got) == 65
+    sets = {i: set(near_copies.shingle_hashes(t.encode()).tolist()) for i, t in enumerate(texts)}
+    group = {r.doc_id: r.component_id for r in got if r.doc_id is not None and r.doc_id < 60}
+    for i, x in sets.items():
+        near = [j for j, y in sets.items() if len(x & y) >= 0.8 * len(x | y)]
+        assert all(group[j] == group[i] for j in near) and group[i] <= min(near)
+    assert {r.component_id for r in got if r.doc_id in (60, 61)} == {60}
+    assert {r.component_id for r in got if r.doc_id is None} == {62}
+
+
 def test_pipeline_runs(spark, folder):
     got = queries.QUERIES["pipeline"](spark, folder)
     rows = got.collect()
