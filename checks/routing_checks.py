@@ -32,6 +32,19 @@ def _(i):
     return got.select("o_orderkey", *KEYS, "vrf", "prefix", "matchedLen")
 
 
+@query("lpm_in_one_ordered_pass", """
+    select o_orderkey, prefix, protocol, "matchedLen" from (
+      select a.o_orderkey, r.prefix, r.protocol, r.plen as "matchedLen",
+             row_number() over (partition by o_orderkey order by r.plen desc) as rn
+      from addresses a join routes r on r.namespace = a.namespace and r.hostname = a.hostname
+           and r.vrf = a.vrf and a.num - a.num % cast(pow(2, 32 - r.plen) as bigint) = r.net) t
+    where rn = 1""")
+def _(i):
+    got = lpm.lpm_join(i.addresses.drop("num"), i.routes.select(
+        *KEYS, "vrf", "prefix", "protocol"), merge=True)
+    return got.select("o_orderkey", "prefix", "protocol", "matchedLen")
+
+
 @query("lpm_in_every_table", """
     select address, namespace, hostname, vrf, prefix from (
       select a.address, r.namespace, r.hostname, r.vrf, r.prefix,

@@ -1,10 +1,19 @@
 """Longest-prefix match of addresses against route tables.
 
-A prefix is keyed by (family, length, network words).  An address has one
-candidate network per prefix length in use, so the match is an equi-join on
-that key, never a range join or a cross join.  Short prefixes (the default
-route above all) are matched by every address of a scope; their candidates are
-salted so that no task gets them all.
+Many addresses meet a table in one ordered pass per block of addresses (a /16 of
+IPv4, a /64 of IPv6).  Prefixes inside a block are nested or apart, like brackets:
+each opens at its network and closes at its last address.  A running sum gives the
+depth at each place, and the prefix that an address lies in is the last one opened
+at the address's depth.  So an address stays one row, whatever lengths are in use,
+and a block can't outgrow a task: an IPv4 block holds 65,536 addresses at most.
+Prefixes shorter than a block cover it whole; the best of them is looked up once per
+block and opens it.
+
+A few addresses, or addresses looked up in every table, are matched by equality
+instead: one candidate network per prefix length in use, joined with (family,
+length, network words).  The few addresses are then what moves, not the tables.
+Short prefixes (the default route above all) are matched by every address of a
+scope; their candidates are salted so that no task gets them all.
 """
 
 from __future__ import annotations
@@ -12,13 +21,18 @@ from __future__ import annotations
 import ipaddress
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netstate.functions import ip
 from netstate.operators.views import keep_last
+from netstate.session import estimated_bytes
 
 SALTS = 16
 SHORT = {4: 12, 6: 20}
+#: Bits that the addresses of a block share.
+BLOCK = {4: 16, 6: 64}
+#: Addresses of a smaller estimated size are sent to the tables.
+FEW_BYTES = 64 << 20
 
 
 def _masked(fam: Column, hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
@@ -72,15 +86,21 @@ def containing(
     ``with_prefix_key``.  Pairs are bounded by the prefix lengths, not by the
     tables.
     """
-    lengths = lengths or prefix_lengths(prefixes)
+    hi, lo = ip.words(addr)
+    rows = addresses.where(ip.looks_like_address(addr)).select(
+        *scope, addr, ip.family(addr).alias("fam"), hi.alias("__hi"), lo.alias("__lo"))
+    return _by_equality(rows, prefixes, [*scope, addr], scope,
+                        lengths or prefix_lengths(prefixes))
+
+
+def _by_equality(rows: DataFrame, prefixes: DataFrame, kept: list[str], scope: list[str],
+                 lengths: dict[int, list[int]]) -> DataFrame:
+    """Every (row, prefix) where the prefix holds the row's (fam, __hi, __lo)."""
 
     def literal(values: list[int]) -> Column:
         return F.array(*map(F.lit, values)).cast("array<int>") if values else F.array().cast(
             "array<int>")
 
-    hi, lo = ip.words(addr)
-    rows = addresses.where(ip.looks_like_address(addr)).select(
-        *scope, addr, ip.family(addr).alias("fam"), hi.alias("__hi"), lo.alias("__lo"))
     candidates = F.when(F.col("fam") == 6, literal(lengths[6])).otherwise(literal(lengths[4]))
     rows = rows.withColumn("plen", F.explode(candidates))
     hi, lo = _masked(F.col("fam"), F.col("__hi"), F.col("__lo"), F.col("plen"))
@@ -89,7 +109,7 @@ def containing(
         "net_hi": hi, "net_lo": lo,
         "__salt": F.when(short, F.pmod(F.xxhash64("__hi", "__lo"), F.lit(SALTS)).cast("int"))
         .otherwise(F.lit(0)),
-    }).drop("__hi", "__lo")
+    }).select(*kept, "fam", "plen", "net_hi", "net_lo", "__salt")
     spread = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0)))
     keyed = prefixes.withColumn("__salt", F.explode(spread))
@@ -98,24 +118,117 @@ def containing(
     return rows.join(keyed, on).drop("__salt", "net_hi", "net_lo")
 
 
+def _is_wide(fam: Column, plen: Column) -> Column:
+    """Shorter than a block."""
+    return plen < F.when(fam == 6, F.lit(BLOCK[6])).otherwise(F.lit(BLOCK[4]))
+
+
+def _block_start(fam: Column, hi: Column, lo: Column) -> tuple[Column, Column]:
+    bits = F.when(fam == 6, F.lit(BLOCK[6])).otherwise(F.lit(BLOCK[4]))
+    return _masked(fam, hi, lo, bits)
+
+
+def _last_address(fam: Column, hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
+    """The highest address of a network."""
+    host4 = F.call_function("shiftright", F.bitwise_not(ip.mask64(plen)), F.lit(32)).bitwiseAND(
+        F.lit(0xFFFFFFFF))
+    return (
+        F.when(fam == 6, hi.bitwiseOR(F.bitwise_not(ip.mask64(plen)))).otherwise(hi),
+        F.when(fam == 6, lo.bitwiseOR(F.bitwise_not(ip.mask64(plen - 64)))).otherwise(lo.bitwiseOR(host4)),
+    )
+
+
+def merged(
+    addresses: DataFrame, prefixes: DataFrame, addr: str, scope: list[str],
+    lengths: dict[int, list[int]] | None = None,
+) -> DataFrame:
+    """(scope.., addr, plen, columns of the prefix) of the longest prefix of each address.
+
+    ``addresses`` has distinct (scope.., addr); ``prefixes`` comes from
+    ``with_prefix_key``.  Null scopes meet nothing.  Networks named twice differ
+    by their text: the first one wins.
+    """
+    own = [c for c in prefixes.columns if c not in (*scope, "fam", "plen", "net_hi", "net_lo")]
+    found = F.struct("plen", *own)
+    hi, lo = ip.words(addr)
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scope],
+                    ip.looks_like_address(addr))
+    points = addresses.where(usable).select(
+        *scope, addr, ip.family(addr).alias("fam"), hi.alias("__hi"), lo.alias("__lo"))
+
+    # The best wide prefix of each block that has addresses.
+    fam = F.col("fam")
+    wide = prefixes.where(_is_wide(fam, F.col("plen")))
+    lengths = {f: [n for n in found if n < BLOCK[f]] for f, found in (
+        lengths or prefix_lengths(wide)).items()}
+    block_hi, block_lo = _block_start(fam, F.col("__hi"), F.col("__lo"))
+    blocks = points.select(*scope, "fam", block_hi.alias("__hi"), block_lo.alias("__lo")).distinct()
+    keys = ["__hi", "__lo"]
+    covers = _by_equality(blocks, wide, [*scope, *keys], scope, lengths)
+    text = [F.col("prefix")] if "prefix" in own else []
+    covers = keep_last(covers, [*scope, "fam", *keys], [F.col("plen").desc(), *text])
+
+    # What opens (0), is asked for (1) and closes (2), in the order of places.
+    none = F.lit(None)
+    opened = covers.select(
+        *scope, "fam", *keys, F.lit(0).alias("__kind"), F.lit(-1).alias("__rank"),
+        F.lit(1).alias("__step"), found.alias("__found"))
+    inside = prefixes.where(~_is_wide(fam, F.col("plen")))
+    end_hi, end_lo = _last_address(fam, F.col("net_hi"), F.col("net_lo"), F.col("plen"))
+    sides = F.array(
+        F.struct(F.col("net_hi").alias("__hi"), F.col("net_lo").alias("__lo"),
+                 F.lit(0).alias("__kind"), F.lit(1).alias("__step"), found.alias("__found")),
+        F.struct(end_hi.alias("__hi"), end_lo.alias("__lo"), F.lit(2).alias("__kind"),
+                 F.lit(-1).alias("__step"), F.when(F.lit(False), found).alias("__found")))
+    brackets = inside.select(*scope, "fam", F.col("plen").alias("__rank"), *text, F.inline(sides))
+    asked = points.withColumns({"__kind": F.lit(1), "__rank": F.lit(0), "__step": F.lit(0)})
+    rows = asked.unionByName(brackets, True).unionByName(opened, True)
+    # Of an address all bits but a block's own are the same in a block.
+    rows = rows.withColumn("__block", F.when(fam == 6, F.col("__hi")).otherwise(
+        F.call_function("shiftright", F.col("__lo"), F.lit(32 - BLOCK[4]))))
+    rows = rows.withColumn("__place", ip.unsigned_key(F.col("__lo")))
+    group = ["__block", *reversed(scope), "fam"]
+    # Of equal networks the first text is opened last.
+    order = ["__place", "__kind", "__rank", *[c.desc() for c in text]]
+    rows = rows.withColumn("__depth", F.sum("__step").over(
+        Window.partitionBy(*group).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.where("__kind < 2")
+    rows = rows.withColumn("__best", F.last("__found", ignorenulls=True).over(
+        Window.partitionBy(*group, "__depth").orderBy("__place", "__kind").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)))
+    hits = rows.where("__kind = 1 and __depth > 0")
+    return hits.select(*scope, addr, F.col("__best.plen").alias("plen"),
+                       *[F.col("__best")[c].alias(c) for c in own])
+
+
 def lpm_join(
     addresses: DataFrame, routes: DataFrame, addr: str = "address",
     scope: tuple[str, ...] = ("namespace", "hostname", "vrf"),
     per: tuple[str, ...] = ("namespace", "hostname", "vrf"),
     columns: list[str] | None = None, lengths: dict[int, list[int]] | None = None,
-    how: str = "inner",
+    how: str = "inner", merge: bool | None = None,
 ) -> DataFrame:
     """Best route of each address.
 
     ``scope`` are columns both sides share (an address is looked up in its own
     scope only); ``per`` are the route columns within which one best route is
-    wanted.  Equal addresses of a scope are looked up once.
+    wanted.  Equal addresses of a scope are looked up once.  ``merge`` chooses
+    between the ordered pass and the match by equality; left out, the estimated
+    size of the addresses does.  The answer is the same.
     """
     keyed = routes if "net_lo" in routes.columns else with_prefix_key(routes)
     scope_cols, per_cols = list(scope), [c for c in per if c not in scope]
     kept = [c for c in (columns or [c for c in routes.columns if c not in (
         "fam", "plen", "net_hi", "net_lo")]) if c not in scope_cols and c not in per_cols]
     wanted = addresses.select(*scope_cols, addr).distinct()
+    if merge is None:
+        merge = estimated_bytes(wanted) > FEW_BYTES
+    if merge and scope_cols and not per_cols:
+        best = merged(wanted, keyed.select(
+            *scope_cols, *kept, "fam", "plen", "net_hi", "net_lo"), addr, scope_cols, lengths)
+        best = best.withColumnRenamed("plen", "matchedLen")
+        return addresses.join(best, [addr, *scope_cols], how)
     pairs = containing(
         wanted, keyed.select(*scope_cols, *per_cols, *kept, "fam", "plen", "net_hi", "net_lo"),
         addr, scope_cols, lengths)

@@ -67,6 +67,9 @@ def clear_lineage(spark: SparkSession) -> int:
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only where the optimizer's size estimate is below the limit."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    small = size <= limit_bytes
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

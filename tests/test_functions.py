@@ -88,6 +88,69 @@ def test_lpm_join_against_brute_force(spark):
         assert lens.get((h, a)) == best, a
 
 
+def _best_prefixes(routes, addresses):
+    """{(host, address): (prefix, tag)}: longest, then first by text."""
+    nets = [(h, ipaddress.ip_network(p, strict=False), p, tag) for _, h, _, p, tag in routes]
+    out = {}
+    for _, h, _, a in addresses:
+        held = [(-n.prefixlen, p, tag) for rh, n, p, tag in nets
+                if rh == h and ipaddress.ip_address(a) in n]
+        if held:
+            out[h, a] = min(held)[1:]
+    return out
+
+
+def test_lpm_in_one_pass_against_brute_force(spark):
+    import random
+
+    from netstate.operators import lpm
+
+    rng = random.Random(8)
+
+    def v4(base, spread):
+        return str(ipaddress.ip_address(base + rng.randrange(spread)))
+
+    hot = int(ipaddress.ip_address("10.7.0.0"))
+    hosts = ["h0", "h0", "h1"]
+    # Most routes and addresses lie in one /16 of one table.
+    routes = {(rng.choice(hosts), f"{v4(hot, 1 << 16)}/{rng.randrange(9, 33)}") for _ in range(400)}
+    routes |= {("h1", f"{v4(1 << 28, 1 << 30)}/{rng.randrange(1, 33)}") for _ in range(60)}
+    six = int(ipaddress.ip_address("2001:db8::"))
+    routes |= {("h0", f"{ipaddress.ip_address(six + rng.randrange(1 << 70))}/"
+                      f"{rng.randrange(20, 129)}") for _ in range(80)}
+    routes |= {("h0", "default"), ("h1", "::/0"), ("h0", "10.7.1.9/24"), ("h0", "10.7.1.200/24"),
+               ("h0", "10.7.255.255/32"), ("h0", "10.7.0.0/32"), ("h0", "255.255.255.255/32"),
+               ("h0", "ffff::/16"), ("h0", "not a prefix"), ("h1", "10.0.0.0/40")}
+    routes = [("ns", h, "v", p, i) for i, (h, p) in enumerate(sorted(routes))]
+    addresses = [("ns", rng.choice(hosts), "v", v4(hot, 1 << 16)) for _ in range(500)]
+    addresses += [("ns", "h1", "v", v4(1 << 28, 1 << 30)) for _ in range(60)]
+    addresses += [("ns", rng.choice(hosts), "v", str(ipaddress.ip_address(
+        six + rng.randrange(1 << 70)))) for _ in range(80)]
+    addresses += [("ns", "h0", "v", a) for a in (
+        "10.7.1.1", "10.7.1.1", "0.0.0.0", "255.255.255.255", "10.7.0.0", "10.7.255.255",
+        "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "::")]
+    usable = [(*r[:3], "0.0.0.0/0" if r[3] == "default" else r[3], r[4]) for r in routes
+              if r[3] not in ("not a prefix", "10.0.0.0/40")]
+    want = _best_prefixes(usable, addresses)
+    cols = "namespace string, hostname string, vrf string, "
+    asked = spark.createDataFrame(addresses + [("ns", None, "v", "10.7.0.1"), (
+        "ns", "h0", "v", None), ("ns", "h0", "v", "nowhere"), ("ns", "h9", "v", "10.7.0.1")],
+        cols + "address string")
+    table = spark.createDataFrame(routes, cols + "prefix string, tag int")
+    for merge in (True, False):
+        got = lpm.lpm_join(asked, table, merge=merge).collect()
+        assert len(got) == sum((h, a) in want for _, h, _, a in addresses), merge
+        for r in got:
+            prefix, tag = want[r.hostname, r.address]
+            assert r.tag == tag, (merge, r)
+            length = ipaddress.ip_network(prefix, strict=False).prefixlen
+            assert r.matchedLen == length, (merge, r)
+    left = lpm.lpm_join(asked, table, merge=True, how="left")
+    assert left.count() == len(addresses) + 4
+    assert lpm.lpm_join(asked, table.limit(0), merge=True).count() == 0
+    assert lpm.lpm_join(asked.limit(0), table, merge=True).count() == 0
+
+
 def test_ordered_chunks_equal_plain_windows(spark):
     df = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
