@@ -254,6 +254,39 @@ projection("arpnd", """
            as state, k % 10 = 0 as remote, k as timestamp, true as active
     from (select o_custkey % 150 as c, o_orderkey as k, o_custkey % 7 as n from orders) g""")
 
+# Histories of addresses on a bridged network: a third of the events are ARP entries, the
+# others MAC entries, half of which are those of one MAC that moves among four ports.
+_MAC = ("concat('00:00:00:00:', lpad(cast({u} % 100 as string), 2, '0'), ':', "
+        "lpad(cast(@div({u}, 100) as string), 2, '0'))")
+projection("arp_log", f"""
+    select concat('ns', user_id % 3) as namespace, concat('h', user_id) as hostname,
+           concat('10.20.', cast(@div(user_id, 200) as string), '.',
+                  cast(user_id % 200 as string)) as ipAddress,
+           'vlan10' as oif, {_MAC.format(u="user_id")} as macaddr,
+           case when event_id % 7 = 0 then 'permanent' else 'reachable' end as state,
+           false as remote, event_type <> 'error' as active, @ms(ts) as timestamp
+    from events where event_id % 3 = 0""")
+
+projection("mac_moves", """
+    select case when event_id % 2 = 0 then 7 else user_id end as u, event_id % 4 as port,
+           event_type, @ms(ts) as timestamp
+    from events where event_id % 3 <> 0""")
+
+projection("mac_log", f"""
+    select concat('ns', u % 3) as namespace, concat('h', u) as hostname,
+           {_MAC.format(u="u")} as macaddr, 10 as vlan,
+           concat('swp', cast(port as string)) as oif,
+           case when event_type = 'view' then 'remote' else 'dynamic' end as flags,
+           event_type <> 'error' as active, timestamp
+    from mac_moves""")
+
+projection("svi_log", """
+    select distinct concat('ns', user_id % 3) as namespace, concat('h', user_id) as hostname,
+           'vlan10' as ifname, 'vlan' as type, 10 as vlan, 'red' as master,
+           @list('10.20.0.1/16') as ipAddressList, @list('fe80::1/64') as ip6AddressList,
+           cast(0 as bigint) as timestamp
+    from events""")
+
 
 # Chains: supplier k is linked to k+3 where its balance is positive.
 projection("chain", """

@@ -106,6 +106,27 @@ def _(i):
     return got.select(*KEYS, "ipAddress", "vlan", "vrf", "ifname", "type", "l2miss")
 
 
+@query("endpoints_through_time", """
+    with a as (select *, lead(timestamp) over (partition by namespace, hostname, "ipAddress"
+                                               order by timestamp) as until from arp_log),
+    p as (select a.namespace, a.hostname, a."ipAddress", a.timestamp, m.oif as port,
+                 arg_max(m.active, m.timestamp) as alive, max(m.timestamp) as seen
+          from a left join (select * from mac_log where flags <> 'remote') m
+            on m.namespace = a.namespace and m.hostname = a.hostname and m.macaddr = a.macaddr
+               and (a.until is null or m.timestamp <= a.until)
+          group by 1, 2, 3, 4, 5)
+    select p.namespace, p.hostname, p."ipAddress", a.active,
+           case when port is not null and not alive then seen else p.timestamp end as timestamp,
+           case when alive then port else 'vlan10' end as ifname,
+           not coalesce(alive, false) as l2miss
+    from p join a on a.namespace = p.namespace and a.hostname = p.hostname
+         and a."ipAddress" = p."ipAddress" and a.timestamp = p.timestamp""")
+def _(i):
+    addresses = i.arp_log.select(F.col("ipAddress").alias("address")).distinct()
+    got = locate.find_by_arp(addresses, i.arp_log, i.svi_log, i.mac_log, past=True)
+    return got.select(*KEYS, "ipAddress", "active", "timestamp", "ifname", "l2miss")
+
+
 @query("endpoints_by_interface", """
     select x.address as query, f.namespace, f.hostname, f.ifname,
            case when f.master = '' then 'default' else f.master end as vrf

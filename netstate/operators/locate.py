@@ -63,7 +63,8 @@ def find_by_arp(
 
     With ``past`` the frames are histories: each ARP row looks at interfaces
     and MACs as they were until the entry changed again, and an entry that goes
-    from local to remote is reported as gone.
+    from local to remote is reported as gone.  A MAC that was on several ports by
+    then is reported on each.
     """
     hits = arp_hits(addresses, arp)
     key = ["query", *NS_HOST, "ipAddress"]
@@ -107,20 +108,12 @@ def find_by_arp(
         *NS_HOST, "macaddr", F.col("vlan").cast("bigint").alias("vlan"),
         F.col("oif").alias("__oif"), F.col("active").alias("__mac_active"),
         F.col("timestamp").alias("__mac_ts"))
-    joined = stays.withColumn("vlan", F.col("vlan").cast("bigint")).withColumn(
-        "__row", F.xxhash64("query", *NS_HOST, "ipAddress", "oif", "timestamp")
-    ).join(entries, [*NS_HOST, "macaddr", "vlan"], "left")
+    stays = stays.withColumn("vlan", F.col("vlan").cast("bigint"))
+    keys = [*NS_HOST, "macaddr", "vlan"]
     if past:
-        # Entries younger than the ARP row's window do not count; the newest of each
-        # port within it does.
-        late = F.col("__mac_ts") > F.col("next_ts")
-        joined = joined.withColumns({
-            c: F.when(late, None).otherwise(F.col(c)) for c in ("__oif", "__mac_active",
-                                                                "__mac_ts")})
-        joined = keep_last(joined, ["__row", "query", *NS_HOST, "ipAddress", "__oif"],
-                           [F.col("__mac_ts").desc_nulls_last()])
-        counted = joined.groupBy("__row").agg(F.count("__oif").alias("__n"))
-        joined = joined.join(counted, "__row").where("__oif is not null or __n = 0")
+        joined = _ports_until(stays, entries, keys)
+    else:
+        joined = stays.join(entries, keys, "left")
     alive = F.coalesce("__mac_active", F.lit(False))
     bridged = joined.select(
         *[c for c in base if c != "timestamp"],
@@ -131,6 +124,28 @@ def find_by_arp(
     return routed.unionByName(moved).unionByName(bridged)
 
 
+def _ports_until(hits: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the last MAC entry of each port up to ``next_ts`` (null: up to now).
+
+    A row meets the ports its MAC was ever seen on, not the MAC's history; the state of
+    each port then comes from one ordered pass, however often the MAC has moved.
+    Rows whose MAC was on no port by then have null entries.
+    """
+    ports = entries.select(*keys, "__oif").distinct()
+    own = [c for c in hits.columns if c not in keys]
+    asked = hits.withColumn("__probe", F.coalesce("next_ts", F.lit(1 << 62))).withColumn(
+        "__row", F.monotonically_increasing_id())
+    asked = cut_lineage(asked)
+    met = asked.join(ports, keys)
+    states = entries.withColumn("__probe", F.col("__mac_ts").cast("bigint"))
+    seen = views.as_of_join(met, states, [*keys, "__oif"], ["__mac_active", "__mac_ts"],
+                            ts="__probe").where("__mac_ts is not null")
+    seen = cut_lineage(seen)
+    unseen = asked.join(seen.select("__row").distinct(), "__row", "left_anti")
+    kept = [*keys, *own, "__oif", "__mac_active", "__mac_ts"]
+    return seen.select(*kept).unionByName(unseen.select(*keys, *own), True)
+
+
 def find_by_interface(addresses: DataFrame, ifs: DataFrame) -> DataFrame:
     """Endpoints that are interfaces of polled devices."""
     q = normalise_queries(addresses)

@@ -98,3 +98,29 @@ def test_endpoint_that_moves(spark):
         ("h1", 100, True, "swp1", "bridged", False),
         ("h1", 200, False, "vlan10", "bridged", False),
         ("h2", 200, True, "swp7", "bridged", False)]
+
+
+def test_endpoint_on_several_ports(spark):
+    """Each ARP row has the last state of each port up to its end, later moves left out."""
+    mac = "00:00:00:00:00:aa"
+    svi = dict(hostname="h1", ifname="vlan10", type="vlan", vlan=10, master="red",
+               ipAddressList=["10.0.0.1/24"], timestamp=1)
+    entry = dict(hostname="h1", ipAddress="10.0.0.9", oif="vlan10", macaddr=mac,
+                 state="reachable")
+    arp = frame(spark, "arpnd", [dict(entry, timestamp=t) for t in (100, 200, 300)]
+                + [dict(entry, ipAddress="10.0.0.8", macaddr="00:00:00:00:00:bb", timestamp=5)])
+    moves = [(150, "swp1", True), (160, "swp2", True), (200, "swp1", False), (250, "swp1", True),
+             (310, "swp2", False), (400, "swp3", True)]
+    macs = frame(spark, "macs", [dict(
+        hostname="h1", mackey="10", macaddr=mac, vlan=10, oif=port, timestamp=t, active=on)
+        for t, port, on in moves])
+    wanted = spark.createDataFrame([("10.0.0.9",), ("10.0.0.8",)], "address string")
+    got = locate.find_by_arp(wanted, arp, frame(spark, "interfaces", [svi]), macs, past=True)
+    assert rows(got, "ipAddress", "timestamp", "ifname", "l2miss") == sorted([
+        ("10.0.0.8", 5, "vlan10", True),
+        # Up to 200: swp1 has just gone, swp2 is there.
+        ("10.0.0.9", 200, "vlan10", True), ("10.0.0.9", 100, "swp2", False),
+        ("10.0.0.9", 200, "swp1", False), ("10.0.0.9", 200, "swp2", False),
+        # Up to now.
+        ("10.0.0.9", 300, "swp1", False), ("10.0.0.9", 310, "vlan10", True),
+        ("10.0.0.9", 300, "swp3", False)], key=str)
