@@ -287,6 +287,13 @@ projection("svi_log", """
            cast(0 as bigint) as timestamp
     from events""")
 
+# Polls of the VLANs of a host; a fifth of them fail.
+projection("vlan_polls", """
+    select concat('ns', user_id % 3) as namespace, concat('h', user_id) as hostname,
+           @ms(ts) as timestamp, case when event_type = 'error' then 2011 else 0 end as status,
+           event_id, user_id
+    from events""")
+
 
 # Chains: supplier k is linked to k+3 where its balance is positive.
 projection("chain", """

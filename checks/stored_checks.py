@@ -11,7 +11,7 @@ from netstate.operators import asserts, summary as S
 from netstate.plans import NetState, summaries
 from netstate.session import ensure_checkpoint_dir
 from netstate.sources import migrate, read, write
-from netstate.streaming import cdc, compact, stream
+from netstate.streaming import cdc, compact, stateful, stream
 
 KEYS = ["namespace", "hostname"]
 IF_KEYS = [*KEYS, "ifname"]
@@ -439,6 +439,49 @@ def _(i):
     return i.spark.read.parquet(out).select(*KEYS, "service", "timestamp", "streak", "commit")
 
 
+@query("streamed_changes", """
+    with p as (select *, row_number() over (partition by namespace, hostname
+                      order by timestamp) as n from vlan_polls),
+    q as (select *, max(case when status = 0 or n = 1 then n end) over (
+            partition by namespace, hostname order by timestamp) as ok from p),
+    c as (select * from q where not (n - ok between 1 and 2)),
+    e as (select namespace, hostname, timestamp, v as vlan,
+                 case when status = 0 and (event_id + v) % 5 < 3
+                      then case when (event_id // 7 + v) % 3 = 0 then 'suspend' else 'active' end
+                      end as state
+          from c, range(1, 7) t(v)
+          union all
+          select distinct namespace, hostname, cast(0 as bigint), v,
+                 case when v < 4 then 'active' end
+          from vlan_polls, range(1, 7) t(v) where user_id % 2 = 0),
+    d as (select *, lag(state) over (partition by namespace, hostname, vlan
+                                     order by timestamp) as before from e)
+    select namespace, hostname, timestamp, vlan, state is not null as active,
+           coalesce(state, before) as state
+    from d where timestamp > 0 and state is distinct from before""")
+def _(i):
+    """All polls of all hosts in one micro-batch, from a stored state of every second host."""
+    path, out, mark = _root(i, "polls"), _root(i, "changes"), _root(i, "mark")
+    entry = F.filter(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda v: F.struct(
+        v.cast("bigint").alias("vlan"), F.when((F.expr("event_id div 7") + v) % 3 == 0, F.lit(
+            "suspend")).otherwise(F.lit("active")).alias("state"),
+        (F.col("event_id") + v).alias("statusChangeTimestamp"))),
+        lambda e: (F.col("event_id") + e["vlan"]) % 5 < 3)
+    polls = i.vlan_polls.select(*KEYS, "timestamp", "status", F.when(
+        F.col("status") == 0, entry).alias("entries"))
+    polls.write.parquet(path)
+    held = i.vlan_polls.where("user_id % 2 = 0").select(*KEYS).distinct().select(
+        *KEYS, F.explode(F.expr("sequence(1L, 3L)")).alias("vlan"),
+        F.lit("active").alias("state"), F.lit(0).cast("bigint").alias("statusChangeTimestamp"))
+    source = i.spark.readStream.schema(polls.schema).parquet(path)
+    changes = stateful.captured_changes(
+        source, ["vlan"], ignore=["statusChangeTimestamp"], before=held)
+    changes.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.parquet(out).select(
+        *KEYS, "timestamp", "vlan", "active", "state")
+
+
 # -- functions --------------------------------------------------------------
 
 @query("text_validators", r"""

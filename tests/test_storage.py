@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from netstate.plans import NetState
 from netstate.sources import capture, read, write
 from netstate.sources.migrate import migrate_generic, migrate_table, rename_legacy
-from netstate.streaming import cdc, compact, stream
+from netstate.streaming import cdc, compact, stateful, stream
 from tests.conftest import rows
 from tests.fixture_network import NS, T0, frame
 
@@ -281,6 +281,77 @@ def test_failed_polls_are_held_back(spark, tmp_path):
     assert run(70, 2011) == [*first, (1, 70, False)]
 
 
+CAPTURE = ("namespace string, hostname string, timestamp long, status long, "
+           "entries array<struct<vlanName:string,vlan:bigint,state:string,interfaces:array<string>>>")
+
+
+def vlan(n, state="active", members=()):
+    return (f"vlan{n}", n, state, list(members))
+
+
+def test_stateful_change_capture(spark, tmp_path):
+    """Captures of many micro-batches, or all in one, give the changes one by one gives."""
+    captures = [
+        ("h1", 10, 0, [vlan(1, members=["a", "b"]), vlan(2)]),
+        ("h1", 20, 0, [vlan(1, members=["b", "a", "a"]), vlan(3), vlan(3, "suspended")]),
+        ("h1", 30, 2011, None), ("h1", 40, 2011, [vlan(9)]), ("h1", 50, 200, [vlan(1)]),
+        ("h1", 60, 2011, []), ("h1", 70, 2011, []), ("h1", 80, 2011, []), ("h1", 90, 2011, []),
+        ("h1", 100, None, [vlan(1)]), ("h1", 110, 0, None),
+        ("h2", 10, 2011, [vlan(5)]), ("h2", 20, 0, [vlan(5)]), ("h2", 15, 0, [vlan(6)]),
+    ]
+    want = [
+        ("h1", 10, "vlan1", True), ("h1", 10, "vlan2", True), ("h1", 20, "vlan2", False),
+        ("h1", 20, "vlan3", True), ("h1", 50, "vlan1", True), ("h1", 50, "vlan3", False),
+        ("h1", 80, "vlan1", False), ("h1", 100, "vlan1", True), ("h1", 110, "vlan1", False),
+        ("h2", 10, "vlan8", False), ("h2", 20, "vlan5", True)]
+    for split in (1, 4, len(captures)):
+        source, root = str(tmp_path / f"in{split}"), str(tmp_path / f"out{split}")
+        write.write_raw(spark.createDataFrame(
+            [("ns", "h2", "vlan8", 8, 1)],
+            "namespace string, hostname string, vlanName string, vlan long, timestamp long"),
+            root, "vlan")
+        size = -(-len(captures) // split)
+        for at in range(0, len(captures), size):
+            spark.createDataFrame([("ns", *c) for c in captures[at:at + size]], CAPTURE).coalesce(
+                1).write.mode("append").parquet(source)
+            stream_in = spark.readStream.schema(CAPTURE).parquet(source)
+            stateful.store_captured_changes(
+                stream_in, root, "vlan", str(tmp_path / f"cp{split}")).awaitTermination()
+        log = read.read_table(spark, root, "vlan", view="all", only_active=False)
+        # In its own micro-batch a capture older than the last one is left out.
+        late = [] if split == len(captures) else [
+            ("h2", 15, "vlan6", True), ("h2", 20, "vlan6", False)]
+        got = rows(log.where("timestamp > 1"), "hostname", "timestamp", "vlanName", "active")
+        assert got == sorted(want + late, key=str), split
+
+
+def test_silent_hosts(spark, tmp_path):
+    """A host that is not polled any more is named once the watermark has passed its time."""
+    source = str(tmp_path / "in")
+    minute = 60_000
+
+    def drop(*captures):
+        spark.createDataFrame([("ns", h, T0 + t * minute, 0, [vlan(1)]) for h, t in captures],
+                              CAPTURE).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream_in = spark.readStream.schema(CAPTURE).parquet(source)
+        changes = stateful.captured_changes(
+            stream_in, ["vlanName"], silent_ms=30 * minute, delay="1 minute")
+        changes.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(
+            availableNow=True).start().awaitTermination()
+
+    drop(("gone", 0), ("there", 0))
+    run()
+    drop(("there", 20))
+    run()
+    drop(("there", 45))
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).where("silent")
+    assert [r.hostname for r in got.collect()] == ["gone"]
+
+
 POLL = ("namespace string, hostname string, service string, timestamp bigint, status bigint, "
         "totalTime bigint, gatherTime bigint")
 
