@@ -355,6 +355,117 @@ projection("path_requests", f"""
            least(k + s_nationkey % 4, top) as dk
     from rows4 where pos = 0""")
 
+# Fabrics: up to four leaves (l) and an exit (e) each, a polled server (s) and an unpolled
+# host behind every leaf.  Kind 0 has an anycast gateway, kind 1 one address with a MAC per
+# leaf, kind 2 a central gateway on the exit.
+projection("leaves", """
+    select k, g, pos, g % 3 as kind, g * 4 as k0, concat('f', cast(g as string)) as namespace,
+           concat('l', cast(k as string)) as leaf, concat('e', cast(g as string)) as exit,
+           concat('s', cast(k as string)) as server,
+           concat('10.1.0.', cast(10 + pos as string)) as server_ip,
+           concat('10.1.0.', cast(50 + pos as string)) as host_ip,
+           concat('10.9.0.', cast(1 + pos as string)) as vtep,
+           case when g % 3 = 1 then concat('gw:', cast(k as string)) else 'gw' end as gw,
+           k < top and pos < 3 as followed, pos > 0 or (k < top and pos < 3) as several
+    from rows4 where k >= 0""")
+
+projection("fabric_ifs", f"""
+    select namespace, leaf as hostname, 'lo' as ifname, 'loopback' as type, '' as master,
+           0 as vlan, @list(concat(vtep, '/32')) as ips, concat('lo:', leaf) as macaddr
+    from leaves
+    union all
+    select namespace, leaf, 'vlan10', 'vlan', case when kind = 2 then '' else 'red' end, 10,
+           @list(case when kind = 2 then '' else '10.1.0.1/24' end),
+           case when kind = 2 then concat('svi:', leaf) else gw end from leaves
+    union all
+    select namespace, leaf, concat('swp', cast(n as string)), 'ethernet', 'bridge', 10, @list(''),
+           concat('swp', cast(n as string), ':', leaf)
+    from leaves cross join (select 1 as n union all select 2) x
+    union all
+    select namespace, leaf, 'up', 'ethernet', '', 0, @list(concat({RIGHT.format(n="k", k="k")}, '/31')),
+           concat('up:', leaf) from leaves
+    union all
+    select namespace, exit, concat('d', cast(pos as string)), 'ethernet', '', 0,
+           @list(concat({LEFT.format(n="k", k="k")}, '/31')), concat('d:', leaf) from leaves
+    union all
+    select namespace, server, 'eth0', 'ethernet', '', 0, @list(concat(server_ip, '/24')),
+           concat('s:', server) from leaves
+    union all
+    select namespace, exit, 'lo', 'loopback', '', 0, @list('10.9.0.9/32'), 'lo:e'
+    from leaves where pos = 0
+    union all
+    select namespace, exit, 'dest', 'loopback', '', 0, @list('8.8.8.8/32'), 'dest:e'
+    from leaves where pos = 0
+    union all
+    select namespace, exit, 'vlan10', 'vlan', 'red', 10, @list('10.1.0.1/24'), 'gw'
+    from leaves where pos = 0 and kind = 2""")
+
+projection("fabric_routes", f"""
+    select namespace, server as hostname, 'default' as vrf, '0.0.0.0/0' as prefix,
+           'static' as protocol, @list('10.1.0.1') as nexthopIps, @list('eth0') as oifs
+    from leaves
+    union all
+    select namespace, server, 'default', '10.1.0.0/24', 'connected', @list(''), @list('eth0')
+    from leaves
+    union all
+    select namespace, leaf, 'red', '0.0.0.0/0', 'bgp', @list({LEFT.format(n="k", k="k")}), @list('up')
+    from leaves where kind < 2
+    union all
+    select namespace, leaf, 'red', '10.1.0.0/24', 'connected', @list(''), @list('vlan10')
+    from leaves where kind < 2
+    union all
+    select namespace, leaf, 'default', '10.9.0.0/24', 'ospf', @list({LEFT.format(n="k", k="k")}),
+           @list('up') from leaves
+    union all
+    select namespace, leaf, 'default', '0.0.0.0/0', 'ospf', @list({LEFT.format(n="k", k="k")}),
+           @list('up') from leaves
+    union all
+    select namespace, exit, 'default', concat(vtep, '/32'), 'ospf',
+           @list({RIGHT.format(n="k", k="k")}), @list(concat('d', cast(pos as string))) from leaves
+    union all
+    select namespace, exit, 'default', p, 'bgp', @list({RIGHT.format(n="k", k="k")}), @list('d0')
+    from leaves cross join (select '10.1.0.0/24' as p union all select '9.9.9.0/24') x
+    where pos = 0""")
+
+projection("fabric_neighbours", """
+    select a.namespace, a.leaf, a.kind, a.k = b.k as own, b.vtep, 1 as port,
+           b.server_ip as ip, concat('s:', b.server) as mac
+    from leaves a join leaves b on a.g = b.g
+    union all
+    select a.namespace, a.leaf, a.kind, a.k = b.k, b.vtep, 2, b.host_ip, concat('u:', b.server)
+    from leaves a join leaves b on a.g = b.g""")
+
+projection("fabric_arp", f"""
+    select namespace, leaf as hostname, 'vlan10' as oif, ip as ipAddress, mac as macaddr,
+           not own as remote from fabric_neighbours
+    union all
+    select namespace, leaf, 'up', {LEFT.format(n="k", k="k")}, concat('d:', leaf), false from leaves
+    union all
+    select namespace, exit, concat('d', cast(pos as string)), {RIGHT.format(n="k", k="k")},
+           concat('up:', leaf), false from leaves
+    union all
+    select namespace, server, 'eth0', '10.1.0.1', gw, false from leaves""")
+
+projection("fabric_macs", """
+    select namespace, leaf as hostname, mac as macaddr, 10 as vlan,
+           case when own then concat('swp', cast(port as string)) else 'vxlan' end as oif,
+           case when own then '' else vtep end as remoteVtepIp
+    from fabric_neighbours
+    union all
+    select namespace, leaf, 'gw', 10, 'vxlan', '10.9.0.9' from leaves where kind = 2""")
+
+projection("fabric_requests", """
+    select concat('out', cast(k as string)) as req, namespace, server_ip as src, '8.8.8.8' as dest
+    from leaves
+    union all
+    select concat('host', cast(k as string)), namespace, host_ip, '8.8.8.8' from leaves
+    where kind < 2
+    union all
+    select concat('link', cast(k as string)), namespace, host_ip,
+           concat('10.1.0.', cast(11 + pos as string)) from leaves where kind < 2 and followed
+    union all
+    select concat('loop', cast(k as string)), namespace, server_ip, '9.9.9.9' from leaves""")
+
 # BGP rows of the first schema version: one row, a column group per family.
 projection("bgp_v1", """
     select s_suppkey as timestamp, concat('h', s_suppkey) as hostname, '1.0' as sqvers,

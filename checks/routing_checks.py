@@ -325,6 +325,70 @@ def _(i):
     return got.select("req", "hopCount", "hostname", "iif", "oif", "ipLookup", "nexthopIp")
 
 
+@query("paths_across_a_fabric", """
+    with first as (
+      select 'out' as what, l.*, '10.9.0.9' as far from leaves l
+      union all select 'loop', l.*, '10.9.0.9' from leaves l),
+    h as (
+      -- A polled server goes by its own leaf alone: routed there, or bridged to the exit.
+      select concat(what, k) as req, 0 as n, server as hostname, 'eth0' as iif, 'eth0' as oif,
+             kind = 2 or (kind = 1 and several) as l2, false as overlay, '' as vtep,
+             case when kind = 1 and several then 'Possible anycast IP without anycast MAC'
+                  else '' end as error
+      from first
+      union all
+      select concat(what, k), 1, leaf, 'swp1', 'up', false, kind = 2,
+             case when kind = 2 then far else '' end, '' from first
+      union all
+      select concat('out', k), 2, exit, concat('d', pos), 'dest', false, false, '', '' from leaves
+      union all
+      select concat('loop', k), 2, exit, concat('d', pos), 'd0', false, false, '', '' from leaves
+      union all
+      select concat('loop', k), 3, concat('l', k0), 'up', 'up', false, false, '', '' from leaves
+      union all
+      select concat('loop', k), 4, exit, 'd0', '', false, false, '', 'L3 loop' from leaves
+      -- An unpolled host starts at the leaf that knows it, in its VRF.
+      union all
+      select concat('host', k), 0, leaf, 'swp2', 'up', false, false, '', '' from leaves
+      where kind < 2
+      union all
+      select concat('host', k), 1, exit, concat('d', pos), 'dest', false, false, '', ''
+      from leaves where kind < 2
+      -- To the next leaf on the same network by a tunnel over the exit.
+      union all
+      select concat('link', k), i, case i when 0 then leaf when 1 then exit
+                                     when 2 then concat('l', k + 1) else concat('s', k + 1) end,
+             case i when 0 then 'swp2' when 1 then concat('d', pos) when 2 then 'up'
+                    else 'eth0' end,
+             case i when 0 then 'up' when 1 then concat('d', pos + 1) when 2 then 'swp1'
+                    else 'eth0' end,
+             false, i < 2, case when i < 2 then concat('10.9.0.', 2 + pos) else '' end, ''
+      from leaves cross join (select unnest(range(0, 4)) as i) x where kind < 2 and followed)
+    select req, cast(n as int) as "hopCount", hostname, iif, oif, l2 as "isL2", overlay,
+           vtep as "vtepLookup", error as "hopError"
+    from h""")
+def _(i):
+    """Anycast and central gateways, unpolled ends, VRFs, tunnels and loops."""
+    got = path.path(i.fabric_requests, _fabric_tables(i))
+    return got.select("req", "hopCount", "hostname", "iif", "oif", "isL2", "overlay",
+                      "vtepLookup", "hopError")
+
+
+def _fabric_tables(i):
+    none, one = F.array().cast("array<string>"), F.lit(1).cast("bigint")
+    blank = F.array(F.lit(""))
+
+    def filled(c):
+        return F.when(F.col(c) == blank, none).otherwise(F.col(c))
+
+    ifs = i.fabric_ifs.withColumns({
+        "state": F.lit("up"), "mtu": F.lit(9000).cast("bigint"), "ip6AddressList": none,
+        "ipAddressList": filled("ips"), "timestamp": one}).drop("ips")
+    routes = i.fabric_routes.withColumns({"nexthopIps": filled("nexthopIps"), "timestamp": one})
+    arp = i.fabric_arp.withColumns({"state": F.lit("reachable"), "timestamp": one})
+    return path.PathTables(ifs, routes, arp, i.fabric_macs.withColumn("timestamp", one))
+
+
 @query("path_summaries", """
     select req, cast(1 as bigint) as "totalPaths", cast(dk - k as int) as "maxPathLength",
            dk - k + 1 as "uniqueDevices", false as "usesOverlay"

@@ -26,6 +26,7 @@ IGNORED_MAC_PORTS = ["bridge", "Vxlan1"]
 SVI_PATTERN = r"^(Vlan|vlan|irb\.)"
 NEXTHOP_VRF = "_nexthopVrf:"
 UNDERLAY_VRF = "default"
+ANYCAST_ERROR = "Possible anycast IP without anycast MAC"
 PEER_LINK_PORT = "vPC Peer"
 SUPERVISOR_PORT = "sup-eth1"
 RECURSION = 2
@@ -93,6 +94,14 @@ class PathTables:
         self.mac_vtep = unique_by(
             macs.where("coalesce(remoteVtepIp, '') != ''"), [*NS_HOST, "macaddr"],
             macVtep="remoteVtepIp")
+        # Owners of an address, of a MAC and of both, as a digest of their names: whether an
+        # address is anycast is told without meeting its owners.
+        owners = self.addresses.select("namespace", "hostname", "ip", "macaddr").distinct()
+        held = self.ifs.where("type != 'bond_slave'").select(
+            "namespace", "hostname", "macaddr").distinct()
+        self.by_address = cut_lineage(_owner_sets(owners, ["namespace", "ip"]))
+        self.by_mac = cut_lineage(_owner_sets(held, ["namespace", "macaddr"]))
+        self.by_both = cut_lineage(_owner_sets(owners, ["namespace", "ip", "macaddr"]))
         links = mlag.select(*NS_HOST, "systemId", "peerLink") if mlag is not None else None
         self.peer_links = cut_lineage(mlag_peers(links).select(
             *NS_HOST, F.col("peerLink").alias("__link"))) if mlag is not None else None
@@ -123,6 +132,17 @@ class PathTables:
             "namespace", "hostname", "vrf", "addr", F.struct(*fields).alias("route")))
 
 
+def _owner_sets(owners: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key digests of the sets of its hosts and of its MACs."""
+    hosts = owners.select(*keys, "hostname").distinct().groupBy(*keys).agg(
+        F.bit_xor(F.xxhash64("hostname")).alias("hosts"))
+    if "macaddr" in keys:
+        return hosts
+    macs = owners.select(*keys, "macaddr").distinct().groupBy(*keys).agg(
+        F.bit_xor(F.xxhash64("macaddr")).alias("macs"))
+    return hosts.join(macs, keys)
+
+
 def _attach(df: DataFrame, found: DataFrame, addr: str, vrf: str, name: str) -> DataFrame:
     return _lookup(df, found.withColumnRenamed("route", name), {
         "namespace": "namespace", "device": "hostname", vrf: "vrf", addr: "addr"})
@@ -255,12 +275,80 @@ def _resolve_recursive(hops: DataFrame, t: PathTables) -> DataFrame:
     return done
 
 
-def _peers(rows: DataFrame, t: PathTables) -> DataFrame:
-    """Next hop to peer device and interface: by ARP and MAC owner, else address owner."""
+def _peers(rows: DataFrame, t: PathTables, routers: DataFrame) -> DataFrame:
+    """Next hop to peer device and interface: by ARP and MAC owner, else address owner.
+
+    On a source that is not itself a first-hop router, only its first-hop routers are
+    next: of an anycast gateway those the source is attached to.  Where none of
+    them has the next hop's address (a central gateway), the packet is bridged to it by
+    way of them.  Such rows meet their few routers, not all owners of the address.
+    """
     rows = rows.withColumn("__nh", F.when(F.col("nhip") == "", F.col("target")).otherwise(
         F.col("nhip")))
     rows = _lookup(rows.drop("arpMac", "arpRemote", "arpVrf"), t.arp, {
         "namespace": "namespace", "device": "hostname", "__nh": "ipAddress", "nh_arp_oif": "port"})
+    rows = rows.withColumn("arpMac", F.when(
+        (F.col("via") != "") & (F.col("vtep") == ""), F.col("viaMac")).otherwise(F.col("arpMac")))
+    rows = _owner_facts(rows, t)
+    own = routers.select("req", F.col("device"), F.lit(True).alias("__router"))
+    rows = rows.join(own.distinct(), ["req", "device"], "left").join(
+        routers.select("req", F.lit(True).alias("__routed")).distinct(), "req", "left")
+    behind = F.col("first") & F.col("__routed").isNotNull() & F.col("__router").isNull()
+    rows = cut_lineage(rows.withColumn("__behind", behind).drop("__router", "__routed"))
+    attached = _by_routers(rows.where("__behind").drop("__behind"), t, routers)
+    facts = ["__rank", "__anycast"]
+    free = _by_owners(rows.where("not __behind").drop("__behind", *facts), t)
+    free = free.withColumns({"l2hop": F.lit(False), "anycast": F.lit(False)})
+    return free.unionByName(attached)
+
+
+def _owner_facts(rows: DataFrame, t: PathTables) -> DataFrame:
+    """Add how a next hop is owned: __rank 0 by MAC and address, 1 by MAC, 2 by address
+    (null: by nobody), and __anycast where the owners by address are others."""
+    for name, table, on in (
+        ("both", t.by_both, {"__nh": "ip", "arpMac": "macaddr"}),
+        ("mac", t.by_mac, {"arpMac": "macaddr"}), ("ip", t.by_address, {"__nh": "ip"}),
+    ):
+        named = table.select(*[F.col(c) for c in table.columns if c not in ("hosts", "macs")],
+                             *[F.col(c).alias(f"__{name}_{c}") for c in ("hosts", "macs")
+                               if c in table.columns])
+        rows = _lookup(rows, named, {"namespace": "namespace", **on})
+    by_mac = F.coalesce("__both_hosts", "__mac_hosts")
+    rank = F.when(F.col("__both_hosts").isNotNull(), 0).when(
+        F.col("__mac_hosts").isNotNull(), 1).when(F.col("__ip_hosts").isNotNull(), 2)
+    other = (by_mac != F.col("__ip_hosts")) & (F.xxhash64("arpMac") != F.col("__ip_macs"))
+    return rows.withColumns({
+        "__rank": rank, "__anycast": F.coalesce(other, F.lit(False))}).drop(
+        "__both_hosts", "__mac_hosts", "__ip_hosts", "__ip_macs")
+
+
+def _by_routers(rows: DataFrame, t: PathTables, routers: DataFrame) -> DataFrame:
+    """Peers of rows on a source: its first-hop routers."""
+    ports = routers.select("req", F.col("device").alias("peer"), F.col("ifname").alias("peerIf"),
+                           F.col("mtu").alias("peerMtu"))
+    met = rows.where("__rank is not null").join(ports, "req")
+    owned = t.addresses.select(*NS_HOST, "ip", F.lit(True).alias("__by_ip"))
+    both = t.addresses.select(*NS_HOST, "ip", "macaddr", F.lit(True).alias("__by_both"))
+    macs = t.ifs.where("type != 'bond_slave'").select(
+        *NS_HOST, "macaddr", F.lit(True).alias("__by_mac"))
+    host = {"namespace": "namespace", "peer": "hostname"}
+    met = _lookup(met, both.distinct(), {**host, "__nh": "ip", "arpMac": "macaddr"})
+    met = _lookup(met, macs.distinct(), {**host, "arpMac": "macaddr"})
+    met = _lookup(met, owned.distinct(), {**host, "__nh": "ip"})
+    is_owner = F.coalesce(F.when(F.col("__rank") == 0, F.col("__by_both")).when(
+        F.col("__rank") == 1, F.col("__by_mac")).otherwise(F.col("__by_ip")), F.lit(False))
+    met = cut_lineage(met.withColumn("__owner", is_owner).drop("__by_ip", "__by_both", "__by_mac"))
+    hop_key = ["req", "pathkey", "nhip", "nh_oif"]
+    some = met.where("__owner").select(*hop_key).distinct().withColumn("__some", F.lit(True))
+    met = met.join(some, hop_key, "left").where("__owner or __some is null")
+    bridged = F.col("__some").isNull() | F.col("__anycast")
+    return met.withColumns({
+        "peerMac": F.col("arpMac"), "l2hop": bridged, "anycast": F.col("__anycast")}).drop(
+        "__nh", "__rank", "__anycast", "__owner", "__some", "arpMac", "arpRemote", "arpVrf")
+
+
+def _by_owners(rows: DataFrame, t: PathTables) -> DataFrame:
+    """Peers of rows in transit: all owners of the next hop."""
     owner = t.addresses.select(
         "namespace", F.col("ip").alias("o_ip"), F.col("hostname").alias("peer"),
         F.col("ifname").alias("peerIf"), F.col("mtu").alias("peerMtu"),
@@ -296,7 +384,7 @@ def _peers(rows: DataFrame, t: PathTables) -> DataFrame:
     return picked.drop("__myip", "__backport", "__nh", "rank", "arpMac", "arpRemote", "arpVrf")
 
 
-def _next_hops(rows: DataFrame, t: PathTables) -> DataFrame:
+def _next_hops(rows: DataFrame, t: PathTables, routers: DataFrame) -> DataFrame:
     """All next hops of live rows (with ``route`` attached), with peer and link facts.
 
     Adds nhip, nh_oif, vtep, macLookup, protocol, ipLookup and the peer columns.
@@ -329,7 +417,12 @@ def _next_hops(rows: DataFrame, t: PathTables) -> DataFrame:
     # Delivery on the link: ARP for the target, then the MAC table of its VLAN.
     local = _lookup(routed.where(~by_route), t.arp_any, {
         "namespace": "namespace", "device": "hostname", "target": "ipAddress"})
-    local = local.withColumn("__svi", F.regexp_replace("arpOif", r"-v0$", ""))
+    # Bridged to a gateway whose MAC is known: without ARP, in the VLAN it came in on.
+    bridged = F.col("via") != ""
+    local = local.withColumns({
+        "__svi": F.coalesce(F.regexp_replace("arpOif", r"-v0$", ""), F.when(
+            bridged, F.col("iif"))),
+        "arpMac": F.when(bridged, F.col("viaMac")).otherwise(F.col("arpMac"))})
     local = _lookup(local, t.ports.select(
         *NS_HOST, "ifname", F.col("vlan").cast("bigint").alias("__vlan")), {
         "namespace": "namespace", "device": "hostname", "__svi": "ifname"})
@@ -354,7 +447,7 @@ def _next_hops(rows: DataFrame, t: PathTables) -> DataFrame:
         under = _attach(entering, found, "vtep", "lookupVrf", "route").where("route is not null")
         under = _expand(under).withColumn("nh_arp_oif", F.col("nh_oif"))
         both = cut_lineage(both.where("vtep = ''").unionByName(under.select(*both.columns)))
-    return _peers(both, t)
+    return _peers(both, t, routers)
 
 
 def _lookup_vrf(rows: DataFrame, t: PathTables) -> DataFrame:
@@ -407,8 +500,15 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         F.col("timestamp").alias("ts"), F.lit(False).alias("decap"),
         F.array().cast("array<string>").alias("visited"),
         F.array().cast(f"array<{HOP}>").alias("hops"), F.col("device").alias("pathkey"),
-        F.lit(True).alias("first"))
+        F.lit(True).alias("first"), same.alias("linkL2"), F.lit("").alias("via"),
+        F.lit("").alias("viaMac"))
     frontier = cut_lineage(frontier)
+    # Devices that a polled source is attached to.
+    polled = requests.join(starts.where("not viaArp").select("req").distinct(), "req")
+    routers = cut_lineage(first_hop_router(polled, "src", t))
+    gateways = t.addresses.select(
+        "namespace", F.col("hostname").alias("device"), F.col("ip").alias("via"),
+        F.col("macaddr").alias("viaMac"), F.lit(True).alias("__gateway")).distinct()
     owns = t.addresses.select(
         "namespace", F.col("hostname").alias("device"), F.col("ip").alias("overlay"),
         F.lit(True).alias("__own")).distinct()
@@ -420,13 +520,20 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         rows = rows.withColumns({
             "decap": out, "overlay": F.when(out, F.lit("")).otherwise(F.col("overlay"))}
         ).drop("__own")
+        # On the gateway a bridged packet goes on as it would have from its link.
+        rows = rows.join(gateways, ["namespace", "device", "via", "viaMac"], "left")
+        there = (F.col("via") != "") & (F.coalesce("__gateway", F.lit(False)) | F.col("decap"))
+        rows = rows.withColumns({
+            "isL2": F.when(there, F.col("linkL2")).otherwise(F.col("isL2")),
+            "via": F.when(there, F.lit("")).otherwise(F.col("via"))}).drop("__gateway")
         rows = _lookup_vrf(finish_at_destination(rows, dests), t)
         transit = F.col("overlay") != ""
         spot = F.concat_ws("|", "device", F.when(transit, F.lit("underlay")).otherwise(
             F.col("vrf")), F.col("isL2").cast("string"))
         rows = cut_lineage(rows.withColumns({
             "spot": spot, "looped": F.array_contains("visited", spot),
-            "target": F.when(transit, F.col("overlay")).otherwise(F.col("dest")),
+            "target": F.when(transit, F.col("overlay")).when(
+                F.col("via") != "", F.col("via")).otherwise(F.col("dest")),
             "lookupVrf": F.when(transit, F.lit(UNDERLAY_VRF)).otherwise(F.col("vrf")),
         }))
         ended = rows.where("d_ifname is not null")
@@ -462,7 +569,7 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         live = live.withColumn("errors", _add_error(
             F.col("errors"), F.col("rev").isNull() & ~F.col("first") & ~F.col("isL2")
             & (F.col("overlay") == ""), "no reverse path")).drop("rev")
-        nexts = _next_hops(live, t)
+        nexts = _next_hops(live, t, routers)
         nexts = t.real_ports(t.real_ports(nexts, "device", "nh_oif"), "peer", "peerIf")
         my = t.ports.select(*NS_HOST, "ifname", F.col("mtu").alias("outMtu"))
         nexts = cut_lineage(_lookup(nexts, my, {
@@ -474,14 +581,18 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
 
         tunnel = F.when(transit, F.col("overlay")).otherwise(F.col("vtep"))
         nh = F.when(F.col("nhip") == "", F.col("target")).otherwise(F.col("nhip"))
-        is_l2 = (F.col("nhip") == "") & (F.col("protocol") == "l2") & (tunnel == "")
+        is_l2 = ((F.col("nhip") == "") & (F.col("protocol") == "l2") | F.col("l2hop")) & (
+            tunnel == "")
+        via = F.when(F.col("l2hop"), nh).otherwise(F.col("via"))
+        warned = F.max("anycast").over(Window.partitionBy("req", "pathkey"))
+        nexts = nexts.withColumn("__warned", warned)
         hopped = _with_hop(
             nexts.withColumn("visited", F.concat("visited", F.array("spot"))),
             oif=F.col("nh_oif"), isL2=is_l2, overlay=tunnel != "", protocol=F.col("protocol"),
             outMtu=F.coalesce("outMtu", "inMtu"),
             ipLookup=F.when(F.col("protocol") == "l2", F.lit("")).otherwise(F.col("ipLookup")),
             vtepLookup=tunnel, macLookup=F.when(is_l2, F.col("macLookup")).otherwise(F.lit("")),
-            nexthopIp=nh)
+            nexthopIp=nh, hopError=_add_error(F.col("errors"), F.col("__warned"), ANYCAST_ERROR))
         low = (F.col("peerMtu") < F.col("srcMtu")) | (F.col("outMtu") < F.col("srcMtu"))
         frontier = cut_lineage(hopped.select(
             "req", "namespace", "src", "dest", F.col("peer").alias("device"), "srcMtu", "vrf",
@@ -491,7 +602,9 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
             _add_error(F.lit(""), low, "Hop MTU < Src Mtu").alias("errors"),
             "ts", F.lit(False).alias("decap"), "visited", "hops",
             F.sha2(F.concat_ws("|", "pathkey", "peer", "peerIf", "nh_oif", "nhip"), 256)
-            .alias("pathkey"), F.lit(False).alias("first")))
+            .alias("pathkey"), F.lit(False).alias("first"), "linkL2", via.alias("via"),
+            F.when(F.col("l2hop"), F.coalesce("peerMac", F.lit(""))).otherwise(F.col("viaMac"))
+            .alias("viaMac")))
     if not done:
         return assemble(frontier.select("req", "namespace", "hops", F.lit("dead").alias("end")))
     return assemble(reduce(DataFrame.unionByName, done))
