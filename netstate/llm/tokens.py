@@ -8,7 +8,8 @@ In plain Latin text a full stop or comma between a word and a blank is split off
 too.  A chunk of plain text that is not kept yet is cut by the tokenizer's own
 pattern and merged by its model, any other goes through the whole tokenizer.
 Texts with two white-space characters in a row are split by a pattern that
-looks at both neighbours.
+looks at both neighbours.  A text that holds the name of an added token (such as
+``<|endoftext|>``) goes through the whole tokenizer, which gives it that token's id.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ class Memo(dict):
 
     def missing(self, keys: set[str]) -> list[str]:
         """Keys that are not kept; those of the older half move to the newer one."""
+        if not self.older and len(self) < MAX_KEPT:
+            return list(keys.difference(self))
         if len(self) >= MAX_KEPT:
             self.older = dict(self)
             self.clear()
@@ -97,17 +100,25 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = _kind(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # Added tokens that are looked for in normalised text can be spelled in other ways.
+        self.kind = None if any(t.normalized for t in added) else _kind(path)
         self.cut = _CUTS.get(self.kind)
         # The same model over pieces that are cut and spelled in letters already.
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = _byte_letters()
         self.letters = [letters[b] for b in range(256)]
         self.end = self.model.encode(self.letters[0], add_special_tokens=False).ids[0]
+        # Ids that tell where a word ends, or begins, among those of many words.
+        vocabulary = self.model.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        for token, i in vocabulary.items():
+            self.edge[i] = (token.endswith(suffix) if self.kind == "words" and suffix
+                            else self.kind == "bytes" and token[0] == self.letters[0x20])
         self.chunks = Memo()
 
     def whole(self, text: str) -> bytes:
@@ -133,15 +144,35 @@ class Encoder:
         ends = np.flatnonzero(ids == self.end)
         return ids[ids != self.end].tobytes(), np.diff(ends, prepend=-1) - 1
 
+    def _merge_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """``_merge`` of whole words, whose ids tell them apart: a word has one edge."""
+        groups = [" ".join(words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
+        found = self.model.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.asarray(x.ids, "<u4") for x in found)])
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self._merge(words)
+        sizes = np.diff(at, prepend=-1) if self.kind == "words" else np.diff(at, append=len(ids))
+        return ids.tobytes(), sizes
+
+    def _keep(self, keys: list[str], data: bytes, sizes: np.ndarray) -> None:
+        ends = np.cumsum(sizes) * 4
+        self.chunks.update(zip(keys, map(data.__getitem__, map(
+            slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+
     def _learn(self, keys: list[str]) -> None:
         """Keep the ids of chunks; one stands behind a blank unless it starts with a mark
         or a newline."""
-        known, pieces, counts, blank = [], [], [], self.letters[0x20]
+        blank = self.letters[0x20] if self.kind == "bytes" else ""
+        words = [k for k in keys if k.isalpha() and k.isascii()]
+        if words:
+            spelled = words if self.kind == "words" else [blank + k for k in words]
+            if self.kind == "words":
+                spelled = [k.lower() for k in words]
+            self._keep(words, *self._merge_words(spelled))
+        known, pieces, counts = [], [], []
         for key in keys:
             if key.isalpha() and key.isascii():
-                known.append(key)
-                counts.append(1)
-                pieces.append(key.lower() if self.kind == "words" else blank + key)
                 continue
             text = key[1:] if key[:1] == _BARE else key if key[:1] == "\n" else " " + key
             if len(text) >= MAX_PLAIN or _NOT_PLAIN.search(text):
@@ -152,9 +183,9 @@ class Encoder:
             counts.append(len(cut))
             pieces += cut
         data, sizes = self._merge(pieces)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])] * 4
-        for key, a, b in zip(known, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            self.chunks[key] = data[a:b]
+        totals = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
+        if known:
+            self._keep(known, data, np.diff(totals))
 
     def _split(self, text: str) -> list[str]:
         """Chunks of a text, as keys of the memo."""
@@ -183,7 +214,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        alone = [self.kind is None or _BARE in t for t in texts]
+        alone = [self.kind is None or _BARE in t or any(a in t for a in self.added)
+                 for t in texts]
         parts = [[] if one or not t else self._split(t)
                  for t, one in zip(texts, alone, strict=True)]
         new = self.chunks.missing(set().union(*parts))

@@ -21,13 +21,13 @@ DOCS = [
     (3, "One two three, two one.\nThree  two\t one", "x"), (1, None, "x"), (2, "", None),
     (7, "word " * 3000, "x"), (5, "ünï çødé 中文 <|endoftext|>   x", "x"),
     (None, "no id", "x"), (9, "same", "x"), (9, "same", "x"), (9, "other", "x"),
+    (11, "a <|endoftext|> b<|startoftext|>", "x"), (12, "<|startoftext|><|ENDOFTEXT|>", "x"),
 ]
 SCHEMA = "doc_id long, text string, path string"
 
 
 def ids_of(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -40,6 +40,11 @@ def docs(spark):
     return spark.createDataFrame(DOCS, SCHEMA).repartition(3)
 
 
+@functools.cache
+def library(path):
+    return Tokenizer.from_file(path)
+
+
 @functools.cache
 def encoder_of(path):
     return Encoder(path)
@@ -47,10 +52,19 @@ def encoder_of(path):
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(alphabet=" \n\t'ab Ssrél09½²_-.,!$| 　́​İΣß中<>", max_size=40))
+@given(text=st.one_of(st.lists(st.sampled_from([
+    "<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "\n", "endoftext", "It's", "ÉTÉ", "9"]),
+    max_size=8).map("".join), st.text(alphabet=" \n\t'ab Ssrél09½²_-.,!$| 　́​İΣß中<>", max_size=40)))
 def test_word_by_word_equals_whole_text(path, text):
     known = encoder_of(path)
-    assert known.encode([text, text]) == [known.whole(text)] * 2
+    plain = library(path).encode(text, add_special_tokens=False).ids
+    assert known.encode([text, text]) == [np.asarray(plain, "<u4").tobytes()] * 2
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_given_ids_of_added_tokens(path):
+    ids = np.frombuffer(encoder_of(path).encode(["a <|endoftext|> b"])[0], "<u4")
+    assert len(ids) == {WORDS: 3, BYTES: 4}[path]
 
 
 def test_wavelet_rows(spark, docs):
@@ -60,7 +74,7 @@ def test_wavelet_rows(spark, docs):
     ordered = sorted(got, key=lambda r: r.start)
     assert [r.start for r in ordered] == np.cumsum(
         [0, *[r.n_tokens for r in ordered]]).tolist()[:-1]
-    assert [r.doc_id for r in ordered] == [None, 1, 2, 3, 5, 7, 9, 9, 9]
+    assert [r.doc_id for r in ordered] == [None, 1, 2, 3, 5, 7, 9, 9, 9, 11, 12]
     want = sorted((str(d), len(encode(t)), crc(encode(t))) for d, t, _ in DOCS)
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == want
 
