@@ -24,7 +24,6 @@ SMOOTHING = 0.05
 #: The model is fitted on about so many labelled documents of each language.
 FIT_DOCUMENTS = 4_000
 ROUNDS = 8
-MAX_LANGUAGES = 4
 PENALTY = 6.0
 MAX_KEPT = 300_000
 BATCH_WORDS = 1 << 19
@@ -213,7 +212,7 @@ def choose(log_p: np.ndarray, sizes: np.ndarray) -> tuple[list[list[int]], np.nd
     log_p, starts = _rows_of(log_p, at, sizes, open_)
     full, _ = mixture(log_p, starts, sizes[open_], np.ones((len(open_), n), np.float32))
     order = np.argsort(-full, axis=1, kind="stable")
-    for k in range(2, min(n, MAX_LANGUAGES) + 1):
+    for k in range(2, n + 1):
         # A language with less than half a word is not worth a try.
         tried = np.flatnonzero(
             full[np.arange(len(open_)), order[:, k - 1]] * sizes[open_] > 0.5)

@@ -25,7 +25,6 @@ from netstate.llm.common import per_batch, text_bytes
 BUCKETS = 1 << 15
 #: The scorer is fitted on so many documents at most, chosen by the hash of their row.
 FIT_DOCUMENTS = 6_000
-FIT_WORDS = 400
 EPOCHS = 12
 RATE = 0.5
 KEEP_SCORE = 0.5
@@ -164,17 +163,20 @@ class Features:
         return np.concatenate([flat, np.repeat(whole, math.isqrt(len(flat)) + 1)])
 
 
-def fit_scorer(samples: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic scorer on mean features, by full-batch AdaGrad."""
+def fit_scorer(samples: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic scorer, by full-batch AdaGrad.
+
+    A sample has its features, how often it has each, and its label.  As in scoring, a
+    text's counts are divided by the root of their sum.
+    """
     weights, offset = np.zeros(BUCKETS), 0.0
-    samples = [(f, y) for f, y in samples if len(f)]
+    samples = [s for s in samples if len(s[0])]
     if not samples:
         return weights, offset
-    sizes = np.asarray([len(f) for f, _ in samples])
-    y = np.asarray([y for _, y in samples])
-    flat = np.concatenate([f for f, _ in samples])
-    row = np.repeat(np.arange(len(samples)), sizes)
-    value = np.repeat(1 / np.sqrt(sizes), sizes)
+    y = np.asarray([y for _, _, y in samples])
+    flat = np.concatenate([f for f, _, _ in samples])
+    row = np.repeat(np.arange(len(samples)), [len(f) for f, _, _ in samples])
+    value = np.concatenate([n / np.sqrt(n.sum()) for _, n, _ in samples])
     # Both classes weigh the same.
     good = max(y.sum(), 1e-9)
     bad = max((1 - y).sum(), 1e-9)
@@ -221,19 +223,18 @@ def score_quality(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFr
     def sample(batch):
         make = Features()
         texts = [t.decode("utf-8", "replace") for t in batch["text"]]
-        feats = [make(t) for t in texts]
-        # A long text counts with evenly spaced features, so that the sample is bounded.
-        feats = [f if len(f) <= 3 * FIT_WORDS else f[np.linspace(
-            0, len(f) - 1, 3 * FIT_WORDS).astype(np.int64)] for f in feats]
-        yield {"f": [f.astype("<i4").tobytes() for f in feats],
+        # A whole text, however long, has at most BUCKETS features with their counts.
+        feats = [np.unique(make(t), return_counts=True) for t in texts]
+        yield {"f": [f.astype("<i4").tobytes() for f, _ in feats],
+               "n": [n.astype("<i4").tobytes() for _, n in feats],
                "y": [posterior.get(tuple(votes(t)), 0.5) for t in texts]}
 
     fit_rows = docs.where(place < share).select(text_bytes().alias("text"))
-    found = per_batch(fit_rows, "f binary, y double", sample).limit(
+    found = per_batch(fit_rows, "f binary, n binary, y double", sample).limit(
         2 * fit_documents).collect()
     weights, offset = fit_scorer(
-        [(np.frombuffer(r["f"], "<i4").astype(np.int64), r["y"]) for r in sorted(
-            found, key=lambda r: bytes(r["f"]))])
+        [(np.frombuffer(r["f"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i4"), r["y"])
+         for r in sorted(found, key=lambda r: (bytes(r["f"]), bytes(r["n"])))])
     weights = weights.astype(np.float32)
 
     def score(batch):

@@ -50,6 +50,47 @@ def test_languages(spark, labelled):
             assert r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_a_document_of_five_languages(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    voices = {f"x{i}": ["".join(rng.choice(letters[5 * i:5 * i + 6]) for _ in range(
+        rng.randrange(3, 8))) for _ in range(40)] for i in range(5)}
+    rows = [(100 * n + i, " ".join(rng.choice(words) for _ in range(60)), lang)
+            for n, (lang, words) in enumerate(voices.items()) for i in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = " ".join(rng.choice(words) for words in voices.values() for _ in range(40))
+    got = language.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model)
+    found = got.first().language
+    assert sorted(found.languages) == sorted(voices)
+    assert all(abs(s - 0.2) < 0.05 for s in found.shares)
+
+
+def slow_mixture(log_p, allowed):
+    """Expectation-maximisation of one document, word by word."""
+    share = [1 / sum(allowed) if a else 0.0 for a in allowed]
+    for _ in range(language.ROUNDS):
+        total = [0.0] * len(share)
+        for row in log_p:
+            parts = [s * np.exp(x) for s, x in zip(share, row, strict=True)]
+            for i, p in enumerate(parts):
+                total[i] += p / sum(parts)
+        share = [t / len(log_p) for t in total]
+    return share, sum(np.log(sum(s * np.exp(x) for s, x in zip(share, row, strict=True)))
+                      for row in log_p)
+
+
+def test_mixture_equals_a_slow_one():
+    rng = np.random.default_rng(5)
+    sizes = np.asarray([1, 7, 30])
+    log_p = rng.normal(-9, 3, (sizes.sum(), 4)).astype(np.float32)
+    at = np.asarray([0, 1, 8])
+    allowed = np.asarray([[1, 1, 1, 1], [1, 0, 1, 1], [0, 1, 1, 0]], np.float32)
+    share, likely = language.mixture(log_p, at, sizes, allowed)
+    for i, (a, n) in enumerate(zip(at, sizes, strict=True)):
+        want, value = slow_mixture(log_p[a:a + n].astype(float).tolist(), allowed[i].tolist())
+        assert np.allclose(share[i], want, atol=1e-4) and abs(likely[i] - value) < 1e-2
+
+
 def test_mixed_languages(spark, labelled):
     rng = random.Random(6)
     model = language.fit(labelled)
