@@ -365,6 +365,67 @@ def _(i):
     return S.default_route_coverage(i.routes)
 
 
+@query("default_routes_of_both_families", """
+    with r as (select namespace, vrf, hostname, prefix from routes
+               union all
+               select namespace, vrf, hostname,
+                      case when metric % 3 = 0 then '::/0' else '2001:db8::/32' end
+               from routes where metric % 2 = 0),
+    h as (select namespace, vrf, hostname,
+                 bool_or(prefix = '0.0.0.0/0') or not bool_or(prefix not like '%:%') as four,
+                 bool_or(prefix = '::/0') or not bool_or(prefix like '%:%') as six
+          from r group by 1, 2, 3)
+    select namespace, vrf, count(case when four and six then 1 end) as "devicesWithDefault",
+           count(*) as devices, bool_and(four and six) as covered
+    from h group by 1, 2""")
+def _(i):
+    six = i.routes.where("metric % 2 = 0").withColumn("prefix", F.when(
+        F.col("metric") % 3 == 0, F.lit("::/0")).otherwise(F.lit("2001:db8::/32")))
+    return S.per_vrf_route_coverage(i.routes.unionByName(six))
+
+
+@query("config_lines_in_sql", """
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as x,
+                      generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
+               from documents),
+    h as (select doc_id, pos, x, max(case when pos % 3 = 0 then pos end) over (
+            partition by doc_id order by pos) as head from l),
+    k as (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n
+          from l where pos % 3 = 0 and regexp_matches(x, '^[A-E]'))
+    select h.doc_id::varchar as device, h.pos::bigint as place, k.n::int as section,
+           case when h.pos % 3 = 0 then concat('L', x) else concat('  ', x) end as line
+    from h join k on k.doc_id = h.doc_id and k.pos = h.head
+    where trim(x) <> '' or h.pos % 3 = 0""")
+def _(i):
+    """Lines of matching sections by a table function, one configuration per partition."""
+    register_sql_functions(i.spark)
+    lines = i.documents.select(
+        F.col("doc_id").cast("string").alias("device"),
+        F.posexplode(F.split("text", "\n")).alias("place", "x"))
+    lines.select("device", F.col("place").cast("bigint").alias("place"), F.when(
+        F.col("place") % 3 == 0, F.concat(F.lit("L"), "x")).otherwise(
+        F.concat(F.lit("  "), "x")).alias("line")).createOrReplaceTempView("lines_of_documents")
+    return i.spark.sql("""
+        select device, place, section, line from section_lines(
+          '^L[A-E]', TABLE(lines_of_documents) PARTITION BY device ORDER BY place)
+        where trim(line) <> ''""")
+
+
+@query("interfaces_without_neighbours", """
+    select 'No LLDP peering info' as reason, 'fail' as result, count(*) > 0 as checked
+    from ifs where state = 'up'
+    union all select 'No data', 'fail', false""")
+def _(i):
+    """One failing row says that there is nothing to compare with, or nothing to check."""
+    ifs = i.ifs.withColumns({"portmode": F.lit("routed"),
+                             "vlanList": F.array().cast("array<bigint>")})
+    unnamed = i.lldp.withColumn("peerIfname", F.lit("-"))
+    unnamed = asserts.assert_interfaces(ifs, unnamed).withColumn("checked", F.lit(True))
+    nothing = asserts.assert_interfaces(ifs.where("state = 'nowhere'"), i.lldp)
+    return unnamed.unionByName(nothing.withColumn("checked", F.lit(False))).select(
+        F.get("assertReason", F.lit(0)).alias("reason"), "result", "checked")
+
+
 _RESULTS = LINKS + """
     , r as (select namespace, hostname, ifname, list_filter([
         case when "adminState" = 'down' or ("adminState" = 'up' and state = 'up') then null

@@ -98,8 +98,58 @@ TABLE_FUNCTIONS = {
 }
 
 
+def section_lines():
+    """Table function over configuration lines: those of matching sections.
+
+    ``section_lines('pattern', TABLE(t) PARTITION BY device ORDER BY place)`` reads the columns
+    device, place and line and returns (device, place, line, section): each
+    line that matches and the deeper indented ones below it, numbered by section.  A section
+    inside another is part of it, a blank line belongs to the section around it.
+    Configurations that come line by line, however long, are read as a stream; nothing is
+    kept between batches but the section that is open.
+    """
+    import re
+
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udtf
+
+    @arrow_udtf(returnType="device string, place bigint, line string, section int")
+    class SectionLines:
+        def __init__(self):
+            self.open, self.number, self.blanks = None, 0, []
+
+        def eval(self, pattern: pa.Array, table: pa.RecordBatch):
+            wanted = re.compile(pattern[0].as_py())
+            found = []
+            for device, place, line in zip(*(
+                    table.column(c).to_pylist() for c in ("device", "place", "line")),
+                    strict=True):
+                line = line or ""
+                if not line.strip():
+                    # Part of a section only if the section goes on behind it.
+                    if self.open is not None:
+                        self.blanks.append((device, place, line, self.number))
+                    continue
+                depth = len(line) - len(line.lstrip(" \t"))
+                if self.open is not None and depth <= self.open:
+                    self.open = None
+                if self.open is None and wanted.search(line):
+                    self.open, self.number, self.blanks = depth, self.number + 1, []
+                if self.open is not None:
+                    found += [*self.blanks, (device, place, line, self.number)]
+                self.blanks = []
+            columns = zip(*found, strict=True) if found else ([],) * 4
+            yield pa.Table.from_arrays([
+                pa.array(list(c), t) for c, t in zip(columns, (
+                    pa.string(), pa.int64(), pa.string(), pa.int32()), strict=True)],
+                names=["device", "place", "line", "section"])
+
+    return SectionLines
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Create (or replace) the temporary functions of this session."""
     for name, (signature, body) in {**SQL_FUNCTIONS, **TABLE_FUNCTIONS}.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{signature} RETURN {body}")
-    return sorted([*SQL_FUNCTIONS, *TABLE_FUNCTIONS])
+    spark.udtf.register("section_lines", section_lines())
+    return sorted([*SQL_FUNCTIONS, *TABLE_FUNCTIONS, "section_lines"])

@@ -48,7 +48,11 @@ def assert_interfaces(
     ifs: DataFrame, lldp: DataFrame, mlag: DataFrame | None = None, result: str = "all",
     ignore_missing_peer: bool = False, iftype=None, state: str = "up",
 ) -> DataFrame:
-    """Both ends of every link agree.  ``ifs`` carries ``portmode`` and ``vlanList``."""
+    """Both ends of every link agree.  ``ifs`` carries ``portmode`` and ``vlanList``.
+
+    Without any interface to check, or without any neighbour that LLDP names a port of,
+    the answer is one failing row that says so.
+    """
     base = prepare_interfaces(ifs, iftype, state)
     df = enrich.interface_peers(base, lldp)
     hosts = base.select("namespace", F.col("hostname").alias("peerHostname")).distinct()
@@ -99,9 +103,20 @@ def assert_interfaces(
     if result not in ("all", "pass", "fail"):
         raise FilterError(f"unknown result filter: {result!r}")
     out = df if result == "all" else df.where(F.col("result") == result)
-    return out.select(
+    out = out.select(
         *NS_HOST, "ifname", "state", "peerHostname", "peerIfname", "result", "assertReason",
         "timestamp")
+    named = lldp.where("peerIfname is null or peerIfname != '-'")
+    has = [d.limit(1).agg(F.count(F.lit(1)) > 0).scalar() for d in (base, named)]
+    out = out.where(has[0] & has[1])
+    if result == "pass":
+        return out
+    why = F.when(~has[0], F.lit("No data")).when(~has[1], F.lit("No LLDP peering info"))
+    none = ifs.sparkSession.range(1).select(why.alias("__why")).where("__why is not null")
+    values = {"result": F.lit("fail"), "assertReason": F.array("__why")}
+    return out.unionByName(none.select(*[
+        values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in out.schema.fields]))
 
 
 def assert_mtu(ifs: DataFrame, values: list[int], result: str = "all") -> DataFrame:

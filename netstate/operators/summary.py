@@ -272,11 +272,16 @@ def default_route_coverage(routes: DataFrame) -> DataFrame:
 
 
 def per_vrf_route_coverage(routes: DataFrame) -> DataFrame:
-    """(namespace, vrf): do all devices have the default route."""
-    return routes.groupBy(_ON, "vrf").agg(
-        F.countDistinct(F.when(F.col("prefix") == "0.0.0.0/0", F.col("hostname")))
-        .alias("devicesWithDefault"),
-        F.countDistinct("hostname").alias("devices"),
+    """(namespace, vrf): do all devices have the default route of each family they route."""
+    six = F.col("prefix").contains(":")
+    by_host = routes.groupBy(_ON, "vrf", "hostname").agg(*[
+        F.coalesce(F.bool_or(F.col("prefix") == default), F.lit(False))
+        .alias(f"__default{n}") for n, default in ((4, "0.0.0.0/0"), (6, "::/0"))],
+        F.coalesce(F.bool_or(~six), F.lit(False)).alias("__any4"),
+        F.coalesce(F.bool_or(six), F.lit(False)).alias("__any6"))
+    ok = (F.col("__default4") | ~F.col("__any4")) & (F.col("__default6") | ~F.col("__any6"))
+    return by_host.groupBy(_ON, "vrf").agg(
+        F.count(F.when(ok, 1)).alias("devicesWithDefault"), F.count("hostname").alias("devices"),
     ).withColumn("covered", F.col("devicesWithDefault") == F.col("devices"))
 
 
