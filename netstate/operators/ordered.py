@@ -17,9 +17,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from netstate.session import estimated_bytes
+
 HOUR_MS = 3_600_000
 # Rows of one key that a single task may order.
 HOT_ROWS = 5_000_000
+# Inputs of a smaller estimated size are not counted: one task can order all of it.
+SMALL_BYTES = 32 << 20
 # Hot keys that are told apart by a lookup; with more of them all keys are chunked.
 MAX_HOT_KEYS = 10_000
 
@@ -36,6 +40,8 @@ def by_heat(df: DataFrame, keys: list[str], hot_rows: int, chunk_ms: int | None,
         return plain(df)
     if not hot_rows:
         return chunked(df)
+    if hot_rows >= HOT_ROWS and estimated_bytes(df) <= SMALL_BYTES:
+        return plain(df)
     heat = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
     found = heat.limit(MAX_HOT_KEYS + 1).collect()
     if not found:

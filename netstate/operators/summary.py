@@ -115,22 +115,25 @@ def spread_rows(values: DataFrame, group: list[str], value: str = "value") -> Da
     bucket = F.when(F.col("v") < F.get("mid", F.lit(0)), 0).when(
         F.col("v") <= F.get("mid", F.lit(1)), 1).otherwise(2)
     placed = counts.join(ends, group).withColumn("b", bucket)
-    totals = placed.groupBy(*group, "b").agg(F.sum("c").alias("bc"), F.first("n").alias("bn"))
-    across = Window.partitionBy(*group).orderBy("b").rowsBetween(
+    n, low = F.col("n"), F.col("c0")
+    middle = low + F.col("c1")
+    lo_rank, hi_rank = F.floor((n - 1) / 2), F.floor(n / 2)
+
+    def holder(rank):
+        return F.when(rank < low, 0).when(rank < middle, 1).otherwise(2)
+
+    # One row per group says which bounds hold the middle and what lies before them; nearly
+    # always these are the inner ones.
+    chosen = placed.groupBy(*group).agg(
+        F.first("n").alias("n"),
+        *[F.sum(F.when(F.col("b") == b, F.col("c")).otherwise(0)).alias(f"c{b}") for b in (0, 1)])
+    chosen = chosen.select(
+        *group, holder(lo_rank).alias("from"), holder(hi_rank).alias("to"),
+        F.when(lo_rank < low, 0).when(lo_rank < middle, low).otherwise(middle).alias("before"))
+    inside = placed.join(chosen, group).where("b between from and to")
+    upto = Window.partitionBy(*group).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    upto = totals.withColumn("before", F.sum("bc").over(across) - F.col("bc"))
-    low_rank = F.floor((F.col("bn") - 1) / 2)
-    high_rank = F.floor(F.col("bn") / 2)
-
-    def holds(rank):
-        return (rank >= F.col("before")) & (rank < F.col("before") + F.col("bc"))
-
-    chosen = upto.where(holds(low_rank) | holds(high_rank)).select(*group, "b", "before")
-    inside = Window.partitionBy(*group, "b").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(chosen, [*group, "b"]).withColumn(
-        "first", F.col("before") + F.sum("c").over(inside) - F.col("c"))
-    lo_rank, hi_rank = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    ranked = inside.withColumn("first", F.col("before") + F.sum("c").over(upto) - F.col("c"))
 
     def at(rank):
         return F.max(F.when(

@@ -178,32 +178,51 @@ def graph_counts(edges: DataFrame, graph: list[str]) -> DataFrame:
 def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
     """(graph.., node, component): component is the smallest node name in it.
 
-    Each round hooks a node and its parent to the smallest grandparent among
-    its neighbours, then halves the trees (the published FastSV scheme), so
-    long chains take logarithmically many rounds.  Minima are combined before
+    Nodes get numbers.  Each round every node goes to the neighbour that comes first in an
+    order drawn anew, or stays if it comes first itself; edges are renamed accordingly, and
+    those inside one node go.  So edges and nodes shrink by a factor each round,
+    long chains as well, until no edge is left.  Choices are combined before
     they are shuffled.
     """
     both = cut_lineage(directed(edges, graph))
-    nodes = both.groupBy(*graph, F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    state = cut_lineage(nodes.select(
-        *graph, "node", F.least("node", "low").alias("f")))
-    while True:
-        parents = state.select(*graph, F.col("node").alias("f"), F.col("f").alias("gf"))
-        known = state.join(parents, ["f", *graph])
-        neighbour = known.select(*graph, F.col("node").alias("dst"), F.col("gf").alias("ngf"))
-        hooked = both.join(neighbour, ["dst", *graph]).groupBy(
-            *graph, F.col("src").alias("node")).agg(F.min("ngf").alias("m"))
-        with_low = known.join(hooked, ["node", *graph])
-        proposals = with_low.select(*graph, F.col("f").alias("node"), F.col("m").alias("p"))
-        best = proposals.groupBy(*graph, "node").agg(F.min("p").alias("p"))
-        nxt = with_low.join(best, ["node", *graph], "left").select(
-            *graph, "node", F.least("f", "gf", "m", F.coalesce("p", "f")).alias("nf"),
-            F.col("f").alias("old"))
-        nxt = cut_lineage(nxt)
-        moved = nxt.where("nf != old").limit(1).count()
-        state = nxt.select(*graph, "node", F.col("nf").alias("f"))
-        if not moved:
-            return state.select(*graph, "node", F.col("f").alias("component"))
+    nodes = both.select(*graph, F.col("src").alias("node")).distinct()
+    nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
+
+    def number(end: str) -> DataFrame:
+        return nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}"))
+
+    live = cut_lineage(both.where("src != dst").join(number("src"), [*graph, "src"]).join(
+        number("dst"), [*graph, "dst"]).select(
+        F.col("__src").alias("src"), F.col("__dst").alias("dst")))
+    steps = []
+    while live.limit(1).count():
+        turn = F.lit(len(steps))
+        best = live.groupBy("src").agg(
+            F.min_by("dst", F.xxhash64(turn, "dst")).alias("to"),
+            F.min(F.xxhash64(turn, "dst")).alias("first"))
+        step = cut_lineage(best.select(F.col("src").alias("id"), F.when(
+            F.col("first") < F.xxhash64(turn, "src"), F.col("to")).otherwise(
+            F.col("src")).alias("to")))
+        steps.append(step)
+        live = live.join(step.select(F.col("id").alias("src"), F.col("to").alias("__src")), "src")
+        live = live.join(step.select(F.col("id").alias("dst"), F.col("to").alias("__dst")), "dst")
+        live = cut_lineage(live.where("__src != __dst").select(
+            F.col("__src").alias("src"), F.col("__dst").alias("dst")).distinct())
+    # Where each node ends: from the last round, which has the fewest nodes, back to the first.
+    ends = None
+    for step in reversed(steps):
+        if ends is None:
+            ends = step.select("id", F.col("to").alias("root"))
+            continue
+        later = ends.select(F.col("id").alias("to"), "root")
+        ends = step.join(later, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+    if ends is None:
+        return nodes.select(*graph, "node", F.col("node").alias("component"))
+    named = nodes.join(ends, "id", "left").select(
+        *graph, "node", F.coalesce("root", "id").alias("root"))
+    named = cut_lineage(named)
+    least = named.groupBy("root").agg(F.min("node").alias("component"))
+    return named.join(least, "root").select(*graph, "node", "component")
 
 
 def component_counts(components: DataFrame, graph: list[str]) -> DataFrame:

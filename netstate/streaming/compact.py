@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from netstate.catalog import table_names, table_spec
 from netstate.functions import timefn
@@ -173,14 +173,15 @@ def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h"
                 late.drop("block_start").select(*state.columns)), spec.keys)
         parts.append(compact_rows(fresh, spec.keys, span, spec.kind, now_ms, state, blocks))
     if parts:
-        # The compacted directory is both read and appended to.
         names = parts[0].columns
-        out = cut_lineage(reduce(
-            lambda a, b: a.unionByName(b), [p.select(*names) for p in parts]))
+        out = reduce(lambda a, b: a.unionByName(b), [p.select(*names) for p in parts])
         files = cut_lineage(consumed_files(raw, span, now_ms))
-        stats["recCount"], stats["fileCount"] = out.count(), files.count()
-        if stats["recCount"]:
-            write.write_compacted(out, root, table)
+        # Rows are counted as they are written.  Each block comes from few tasks, large ones
+        # from several.  The plan may read the directory it appends to: its files are listed.
+        seen = Observation()
+        out = out.observe(seen, F.count(F.lit(1)).alias("n"))
+        write.write_compacted(out.hint("rebalance", "namespace", "block_start"), root, table)
+        stats["recCount"], stats["fileCount"] = seen.get["n"], files.count()
         if remove_consumed:
             _delete_files(spark, files)
     stats["execTime"] = int(time.time() - started)
