@@ -164,7 +164,8 @@ def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h"
     if older:
         done = read.read_versions(spark, read.table_path(root, table, compacted=True), table)
         late = cut_lineage(late_rows(every, done, spec.keys, spec.kind, written, older))
-        parts.append(late)
+        if blocks or late.limit(1).count():
+            parts.append(late)
     if blocks:
         fresh = every.where(F.col("block_start").isin(blocks)).drop("block_start")
         state = compaction_state(spark, root, table)
@@ -172,18 +173,19 @@ def compact_table(spark: SparkSession, root: str, table: str, period: str = "1h"
             state = views.latest(state.unionByName(
                 late.drop("block_start").select(*state.columns)), spec.keys)
         parts.append(compact_rows(fresh, spec.keys, span, spec.kind, now_ms, state, blocks))
+    files = cut_lineage(consumed_files(raw, span, now_ms))
+    stats["fileCount"] = files.count()
     if parts:
         names = parts[0].columns
         out = reduce(lambda a, b: a.unionByName(b), [p.select(*names) for p in parts])
-        files = cut_lineage(consumed_files(raw, span, now_ms))
         # Rows are counted as they are written.  Each block comes from few tasks, large ones
         # from several.  The plan may read the directory it appends to: its files are listed.
         seen = Observation()
         out = out.observe(seen, F.count(F.lit(1)).alias("n"))
         write.write_compacted(out.hint("rebalance", "namespace", "block_start"), root, table)
-        stats["recCount"], stats["fileCount"] = seen.get["n"], files.count()
-        if remove_consumed:
-            _delete_files(spark, files)
+        stats["recCount"] = seen.get["n"]
+    if remove_consumed:
+        _delete_files(spark, files)
     stats["execTime"] = int(time.time() - started)
     return stats
 
