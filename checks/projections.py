@@ -355,8 +355,8 @@ projection("path_requests", f"""
            least(k + s_nationkey % 4, top) as dk
     from rows4 where pos = 0""")
 
-# Fabrics: up to four leaves (l) and an exit (e) each, a polled server (s) and an unpolled
-# host behind every leaf.  Kind 0 has an anycast gateway, kind 1 one address with a MAC per
+# Fabrics: up to four leaves (l) and an exit (e) each; behind every leaf a polled server (s),
+# an unpolled host and a polled host that has no routes and knows no neighbour (q).  Kind 0 has an anycast gateway, kind 1 one address with a MAC per
 # leaf, kind 2 a central gateway on the exit.
 projection("leaves", """
     select k, g, pos, g % 3 as kind, g * 4 as k0, concat('f', cast(g as string)) as namespace,
@@ -364,6 +364,8 @@ projection("leaves", """
            concat('s', cast(k as string)) as server,
            concat('10.1.0.', cast(10 + pos as string)) as server_ip,
            concat('10.1.0.', cast(50 + pos as string)) as host_ip,
+           concat('q', cast(k as string)) as quiet,
+           concat('10.1.0.', cast(90 + pos as string)) as quiet_ip,
            concat('10.9.0.', cast(1 + pos as string)) as vtep,
            case when g % 3 = 1 then concat('gw:', cast(k as string)) else 'gw' end as gw,
            k < top and pos < 3 as followed, pos > 0 or (k < top and pos < 3) as several
@@ -380,7 +382,10 @@ projection("fabric_ifs", f"""
     union all
     select namespace, leaf, concat('swp', cast(n as string)), 'ethernet', 'bridge', 10, @list(''),
            concat('swp', cast(n as string), ':', leaf)
-    from leaves cross join (select 1 as n union all select 2) x
+    from leaves cross join (select 1 as n union all select 2 union all select 3) x
+    union all
+    select namespace, quiet, 'eth0', 'ethernet', '', 0, @list(concat(quiet_ip, '/24')),
+           concat('q:', server) from leaves
     union all
     select namespace, leaf, 'up', 'ethernet', '', 0, @list(concat({RIGHT.format(n="k", k="k")}, '/31')),
            concat('up:', leaf) from leaves
@@ -433,7 +438,9 @@ projection("fabric_neighbours", """
     from leaves a join leaves b on a.g = b.g
     union all
     select a.namespace, a.leaf, a.kind, a.k = b.k, b.vtep, 2, b.host_ip, concat('u:', b.server)
-    from leaves a join leaves b on a.g = b.g""")
+    from leaves a join leaves b on a.g = b.g
+    union all
+    select namespace, leaf, kind, true, vtep, 3, quiet_ip, concat('q:', server) from leaves""")
 
 projection("fabric_arp", f"""
     select namespace, leaf as hostname, 'vlan10' as oif, ip as ipAddress, mac as macaddr,
@@ -464,6 +471,9 @@ projection("fabric_requests", """
     select concat('link', cast(k as string)), namespace, host_ip,
            concat('10.1.0.', cast(11 + pos as string)) from leaves where kind < 2 and followed
     union all
+    select concat('flood', cast(k as string)), namespace, host_ip, quiet_ip from leaves
+    where kind < 2
+    union all
     select concat('loop', cast(k as string)), namespace, server_ip, '9.9.9.9' from leaves""")
 
 # BGP rows of the first schema version: one row, a column group per family.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.projections import LEFT, LOOP
 from checks.registry import query
 from netstate.operators import locate, lpm, path, topology as topo
+from netstate.session import cut_lineage
 
 KEYS = ["namespace", "hostname"]
 GRAPH = ["namespace", "service"]
@@ -363,17 +364,48 @@ def _(i):
              case i when 0 then 'up' when 1 then concat('d', pos + 1) when 2 then 'swp1'
                     else 'eth0' end,
              false, i < 2, case when i < 2 then concat('10.9.0.', 2 + pos) else '' end, ''
-      from leaves cross join (select unnest(range(0, 4)) as i) x where kind < 2 and followed)
+      from leaves cross join (select unnest(range(0, 4)) as i) x where kind < 2 and followed
+      -- To a host on the same leaf that answers nobody.
+      union all
+      select concat('flood', k), 0, leaf, 'swp2', 'swp3', true, false, '', '' from leaves
+      where kind < 2
+      union all
+      select concat('flood', k), 1, quiet, 'eth0', 'eth0', false, false, '',
+             'no reverse path, possible flood' from leaves where kind < 2)
     select req, cast(n as int) as "hopCount", hostname, iif, oif, l2 as "isL2", overlay,
            vtep as "vtepLookup", error as "hopError"
     from h""")
 def _(i):
-    """Anycast and central gateways, unpolled ends, VRFs, tunnels and loops."""
+    """Anycast and central gateways, unpolled ends, VRFs, tunnels, loops and a flood."""
     got = path.path(i.fabric_requests, _fabric_tables(i))
     return got.select("req", "hopCount", "hostname", "iif", "oif", "isL2", "overlay",
                       "vtepLookup", "hopError")
 
 
+@query("path_evidence_rows", """
+    with e as (
+      select concat('host', k) as req, 0 as n, leaf as hostname,
+             unnest(['route', 'arpnd', 'interface']) as evidence from leaves where kind < 2
+      union all
+      select concat('flood', k), 0, leaf, unnest(['mac', 'interface']) from leaves where kind < 2
+      union all
+      select concat('link', k), 0, leaf, unnest(['underlay', 'arpnd', 'interface'])
+      from leaves where kind < 2 and followed
+      union all
+      select concat('link', k), 1, exit, unnest(['underlay', 'arpnd', 'interface'])
+      from leaves where kind < 2 and followed
+      union all
+      select concat('link', k), 2, concat('l', k + 1), unnest(['route', 'interface'])
+      from leaves where kind < 2 and followed)
+    select req, cast(n as int) as "hopCount", hostname, evidence from e""")
+def _(i):
+    """The rows behind each hop of routed, bridged and tunnelled paths."""
+    tables = _fabric_tables(i)
+    asked = i.fabric_requests.where("req not like 'out%' and req not like 'loop%'")
+    hops = cut_lineage(path.path(asked, tables))
+    return path.path_evidence(hops, tables).select("req", "hopCount", "hostname", "evidence")
+
+
 def _fabric_tables(i):
     none, one = F.array().cast("array<string>"), F.lit(1).cast("bigint")
     blank = F.array(F.lit(""))
