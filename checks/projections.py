@@ -476,6 +476,52 @@ projection("fabric_requests", """
     union all
     select concat('loop', cast(k as string)), namespace, server_ip, '9.9.9.9' from leaves""")
 
+# Rows of up to four bridges; an endpoint sits behind the last, its MAC is known along the
+# row.  Kind 1 lacks it on the third bridge; kind 2 starts with a bond, and every other row of
+# these lacks it on the second bridge.  The second bridge's loopback is a neighbour of the first.
+projection("bridges", """
+    select k, g, pos, g * 4 as k0, g % 3 as kind, concat('w', cast(g as string)) as namespace,
+           concat('w', cast(k as string)) as hostname, pos < 3 and k < top as followed,
+           concat('e:', cast(g as string)) as mac,
+           concat('10.60.', cast(@div(g, 200) as string), '.', cast(g % 200 as string)) as endpoint,
+           concat('10.61.', cast(@div(k, 200) as string), '.', cast(k % 200 as string)) as loopback,
+           concat('10.61.', cast(@div(k + 1, 200) as string), '.', cast((k + 1) % 200 as string))
+           as next_loopback,
+           not (g % 3 = 1 and pos = 2) and not (g % 3 = 2 and g % 2 = 0 and pos = 1) as knows,
+           case when pos = 3 or k = top then 'edge' when g % 3 = 2 and pos = 0 then 'bond1'
+                else 'right' end as port
+    from rows4""")
+
+projection("bridge_ifs", """
+    select namespace, hostname, 'lo' as ifname, 'loopback' as type, '' as master, 0 as vlan,
+           @list(concat(loopback, '/32')) as ips, concat('lo:', hostname) as macaddr from bridges
+    union all
+    select namespace, hostname, 'vlan10', 'vlan', '', 10, @list('10.60.0.1/16'),
+           concat('svi:', hostname) from bridges
+    union all
+    select namespace, hostname, p, case when p = 'right' and port = 'bond1' then 'bond_slave'
+                                        else 'ethernet' end,
+           case when p = 'right' and port = 'bond1' then 'bond1' else '' end, 0, @list(''),
+           concat(p, ':', hostname)
+    from bridges cross join (select 'left' as p union all select 'right' union all select 'edge') x
+    union all
+    select namespace, hostname, 'bond1', 'bond', '', 0, @list(''), concat('bond1:', hostname)
+    from bridges where port = 'bond1'""")
+
+projection("bridge_arp", """
+    select namespace, hostname, 'vlan10' as oif, endpoint as ipAddress, mac as macaddr
+    from bridges where pos = 0
+    union all
+    select namespace, hostname, 'right', next_loopback, 'aa' from bridges
+    where pos = 0 and followed""")
+
+projection("bridge_lldp", """
+    select namespace, hostname, 'right' as ifname, concat('w', cast(k + 1 as string)) as peerHostname,
+           'left' as peerIfname from bridges where followed
+    union all
+    select namespace, hostname, 'left', concat('w', cast(k - 1 as string)), 'right'
+    from bridges where pos > 0""")
+
 # BGP rows of the first schema version: one row, a column group per family.
 projection("bgp_v1", """
     select s_suppkey as timestamp, concat('h', s_suppkey) as hostname, '1.0' as sqvers,

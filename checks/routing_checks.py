@@ -148,6 +148,39 @@ def _(i):
         "query", *KEYS, "ifname", "vrf", "vlan", "type", "l2miss", "bondMembers")
 
 
+@query("endpoints_along_bridges", """
+    with reached as (
+      select b.*, (select min(n.k) from bridges n where n.g = b.g and
+                   (n.port = 'edge' or not exists (select 1 from bridges f
+                    where f.g = n.g and f.k = n.k + 1 and f.knows))) as final
+      from bridges b where pos = 0)
+    select r.endpoint as query, r.namespace, f.hostname, f.port as ifname, 'default' as vrf,
+           cast(10 as bigint) as vlan, 'bridged' as type,
+           case when f.port = 'bond1' then 'right' else '' end as "bondMembers", r.mac as macaddr
+    from reached r join bridges f on f.k = r.final
+    union all
+    select next_loopback, namespace, concat('w', k + 1), unnest(['left', 'lo']), 'default', 0,
+           unnest(['routed', 'interface']), '', unnest(['aa', '00:00:00:00:00:00'])
+    from bridges where pos = 0 and followed
+    union all
+    select loopback, namespace, hostname, 'lo', 'default', 0, 'interface', '',
+           concat('lo:', hostname) from bridges where pos <> 1""")
+def _(i):
+    """A MAC followed from bridge to bridge, unnumbered neighbours with their loopback, owners."""
+    none = F.array().cast("array<string>")
+    one = {"timestamp": F.lit(1).cast("bigint"), "active": F.lit(True)}
+    ifs = i.bridge_ifs.withColumns({
+        **one, "ip6AddressList": none, "ipAddressList": F.when(
+            F.col("ips") == F.array(F.lit("")), none).otherwise(F.col("ips"))}).drop("ips")
+    arp = i.bridge_arp.withColumns({**one, "remote": F.lit(False)})
+    macs = i.bridges.where("knows").select(
+        *KEYS, F.col("mac").alias("macaddr"), F.lit(10).alias("vlan"), F.col("port").alias("oif"),
+        F.lit("dynamic").alias("flags")).withColumns(one)
+    asked = i.bridges.select(F.explode(F.array("endpoint", "loopback")).alias("address")).distinct()
+    got = locate.find(asked, arp, ifs, macs, i.bridge_lldp)
+    return got.select("query", *KEYS, "ifname", "vrf", "vlan", "type", "bondMembers", "macaddr")
+
+
 @query("bgp_rows_of_asns", "select namespace, hostname, peer from bgp where asn in (65001, 65003)")
 def _(i):
     return locate.find_asn(i.bgp, [65001, "65003"]).select(*KEYS, "peer")
