@@ -21,7 +21,7 @@ import numpy as np
 
 from netstate.llm.common import worker_state
 
-MAX_KEPT = 300_000
+MAX_KEPT = 500_000
 MAX_KEPT_LENGTH = 48
 MAX_PLAIN = 4_096
 GROUP = 512
@@ -111,6 +111,7 @@ class Encoder:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = _byte_letters()
         self.letters = [letters[b] for b in range(256)]
+        self.spelling = {b: x for b, x in letters.items() if b != 0x0A}
         self.end = self.model.encode(self.letters[0], add_special_tokens=False).ids[0]
         # Ids that tell where a word ends, or begins, among those of many words.
         vocabulary = self.model.get_vocab()
@@ -163,16 +164,20 @@ class Encoder:
     def _learn(self, keys: list[str]) -> None:
         """Keep the ids of chunks; one stands behind a blank unless it starts with a mark
         or a newline."""
-        blank = self.letters[0x20] if self.kind == "bytes" else ""
-        words = [k for k in keys if k.isalpha() and k.isascii()]
+        words = [k for k in keys if k.isalpha() and (k.isascii() or not _NOT_PLAIN.search(k))]
         if words:
-            spelled = words if self.kind == "words" else [blank + k for k in words]
-            if self.kind == "words":
-                spelled = [k.lower() for k in words]
+            text = "\n".join(words)
+            text = text.lower() if self.kind == "words" else text
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.spelling)
+            spelled = text.split("\n")
+            if self.kind == "bytes":
+                spelled = [self.letters[0x20] + k for k in spelled]
             self._keep(words, *self._merge_words(spelled))
+        alone = set(words)
         known, pieces, counts = [], [], []
         for key in keys:
-            if key.isalpha() and key.isascii():
+            if key in alone:
                 continue
             text = key[1:] if key[:1] == _BARE else key if key[:1] == "\n" else " " + key
             if len(text) >= MAX_PLAIN or _NOT_PLAIN.search(text):

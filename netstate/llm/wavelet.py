@@ -264,14 +264,13 @@ def read_wavelets(manifest: DataFrame) -> DataFrame:
     checksum is taken over the ids as little-endian unsigned 32-bit integers.
     """
     def read(batch):
-        for part, seq, path in zip(batch["part"], batch["seq"], batch["path"], strict=True):
+        for path, before in zip(batch["path"], batch["before"], strict=True):
             with open_input(path) as file:
                 shard = Shard(file)
                 ids, texts = shard.ids().astype("<u4"), shard.documents
             ends = np.cumsum(texts["n_tokens"])
             starts = ends - texts["n_tokens"]
-            yield {"part": [part] * len(ends), "seq": [seq] * len(ends),
-                   "doc_id": texts["doc_id"], "inside": starts.tolist(),
+            yield {"doc_id": texts["doc_id"], "start": (starts + before).tolist(),
                    "n_tokens": texts["n_tokens"], "ids_crc32": [
                        zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]}
 
@@ -280,11 +279,8 @@ def read_wavelets(manifest: DataFrame) -> DataFrame:
     parts = parts.select("part", (F.sum("t").over(
         Window.orderBy("part")) - F.col("t")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq"))
-    offsets = manifest.withColumn("within", within - F.col("n_tokens")).join(
-        parts, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("before"))
+    shards = manifest.withColumn("within", within - F.col("n_tokens")).join(
+        parts, "part").select("path", (F.col("before") + F.col("within")).alias("before"))
     n = max(1, manifest.count())
-    texts = per_batch(
-        manifest.select("part", "seq", "path").repartition(n),
-        "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long", read, rows=1)
-    return texts.join(offsets, ["part", "seq"]).select(
-        "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return per_batch(shards.repartition(n), "doc_id long, start long, n_tokens long, "
+                     "ids_crc32 long", read, rows=1)
