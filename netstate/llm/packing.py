@@ -135,7 +135,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2,
 
     counters: dict[int, dict[int, int]] = {}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return cut_lineage(per_batch(rows, PIECE_SCHEMA, cut, rows=256))
+    return cut_lineage(per_batch(rows, PIECE_SCHEMA, cut))
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -18,6 +18,8 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from netstate.llm.common import worker_state
 
@@ -25,6 +27,8 @@ MAX_KEPT = 500_000
 MAX_KEPT_LENGTH = 48
 MAX_PLAIN = 4_096
 GROUP = 512
+#: So many characters of text are split and looked up at once.
+AT_ONCE = 1 << 22
 _TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 # Characters of plain text; classes of its bytes: word, blank, stop or comma, other.
@@ -192,8 +196,8 @@ class Encoder:
         if known:
             self._keep(known, data, np.diff(totals))
 
-    def _split(self, text: str) -> list[str]:
-        """Chunks of a text, as keys of the memo."""
+    def _split(self, text: str) -> str | list[str]:
+        """Chunks of a text, as keys of the memo: between blanks, or listed if they hold some."""
         try:
             raw = text.encode("latin-1")
             plain = not raw.translate(None, _PLAIN_BYTES)
@@ -203,34 +207,69 @@ class Encoder:
         if b"  " in kinds or not plain and _TWO_BLANKS.search(text):
             parts = _CUT.split(text)
             parts[1:] = [p if p[0] == "\n" else p[1:] for p in parts[1:]]
-        else:
-            if plain:
-                if self.kind == "words":
-                    text = text.lower()
-                # A stop or comma is split off if each of them stands behind a word.
-                if not (kinds[:2] == b". " or b" . " in kinds or b"x. " in kinds
-                        or b".. " in kinds):
-                    for mark in ".,":
-                        for blank in " \n":
-                            text = text.replace(mark + blank, f" {_BARE}{mark}{blank}")
-            parts = text.replace("\n", " \n").split(" ")
-        parts[0] = _BARE + parts[0]
-        return parts
+            parts[0] = _BARE + parts[0]
+            return parts
+        if plain:
+            if self.kind == "words":
+                text = text.lower()
+            # A stop or comma is split off if each of them stands behind a word.
+            if not (kinds[:2] == b". " or b" . " in kinds or b"x. " in kinds
+                    or b".. " in kinds):
+                for mark in ".,":
+                    for blank in " \n":
+                        text = text.replace(mark + blank, f" {_BARE}{mark}{blank}")
+        return _BARE + text.replace("\n", " \n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
+        out, at, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= AT_ONCE or i == len(texts) - 1:
+                out += self._encode(texts[at:i + 1])
+                at, size = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of texts that are held at once.
+
+        Arrow splits all of them and numbers their distinct chunks; the ids of these are
+        looked up once, and those of the texts taken from them.
+        """
         alone = [self.kind is None or _BARE in t or any(a in t for a in self.added)
                  for t in texts]
-        parts = [[] if one or not t else self._split(t)
+        parts = [None if one or not t else self._split(t)
                  for t, one in zip(texts, alone, strict=True)]
-        new = self.chunks.missing(set().union(*parts))
+        listed = [p for p in parts if isinstance(p, list)]
+        joined = [p for p in parts if isinstance(p, str)]
+        flat = pc.split_pattern(pa.array([" ".join(joined)] if joined else [], pa.large_string()),
+                                " ").flatten()
+        numbered = pa.concat_arrays([flat, pa.array(
+            [c for p in listed for c in p], pa.large_string())]).dictionary_encode()
+        chunks, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        new = self.chunks.missing(set(chunks))
         self._learn(new)
-        out = [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
+        data = [self.chunks[c] for c in chunks]
+        sizes = np.fromiter(map(len, data), np.int32, len(data)) // 4
+        pool = np.frombuffer(b"".join(data), "<u4")
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         # Long chunks are not worth keeping.
         for key in new:
             if len(key) > MAX_KEPT_LENGTH:
                 del self.chunks[key]
-        return [self.whole(t) if one else x for t, x, one in zip(texts, out, alone, strict=True)]
+        wide = sizes[number]
+        ends = np.cumsum(wide, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool.take(np.repeat(begins[number] - (ends - wide), wide) + np.arange(
+            total, dtype=np.int32))
+        # Where each text ends among the chunks, and so among the ids.
+        last = np.cumsum([p.count(" ") + 1 for p in joined] + [len(p) for p in listed], dtype=int)
+        stops = np.concatenate([[0], ends[last - 1]]) if len(last) else np.zeros(1, int)
+        found = [ids[a:b].tobytes() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        plain, apart = iter(found[:len(joined)]), iter(found[len(joined):])
+        return [self.whole(t) if one else b"" if p is None else next(
+            plain if isinstance(p, str) else apart)
+            for t, p, one in zip(texts, parts, alone, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
