@@ -26,7 +26,7 @@ FIT_DOCUMENTS = 4_000
 ROUNDS = 8
 PENALTY = 6.0
 MAX_KEPT = 300_000
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 18
 UNKNOWN = "und"
 
 
