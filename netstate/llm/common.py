@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from netstate.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "new_folder", "open_input", "open_output", "per_batch",
-           "shuffle_partitions", "text_bytes", "worker_state"]
+           "release_memory", "shuffle_partitions", "text_bytes", "worker_state"]
 
 #: Byte tables for lower-casing A-Z.
 UPPER, LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
@@ -63,6 +63,19 @@ def worker_state(name: str, make: Callable):
     return getattr(holder, name)
 
 
+def release_memory() -> None:
+    """Give back what a worker's large objects held: workers outlive the stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """URI of a fresh folder under ``spark.checkpoint.dir``, which all machines see."""
     return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from netstate.llm.common import text_bytes
+from netstate.llm.common import release_memory, text_bytes
 
 NGRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -266,6 +266,8 @@ def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), found],
                 names=[*batch.schema.names[:-1], into])
+        scorer.forget()
+        release_memory()
 
     schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(
         f"`{into}` struct<lang: string, score: double, languages: array<string>, "
