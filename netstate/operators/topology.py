@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from netstate.operators import ordered
 from netstate.operators.enrich import NS_HOST, _lookup, unique_by
 from netstate.session import cut_lineage
 
@@ -233,63 +232,75 @@ def component_counts(components: DataFrame, graph: list[str]) -> DataFrame:
 
 WORDS = 8
 BITS = 63 * WORDS
+# Nodes that one task numbers, levels whose sums are added up at once.
+NUMBERED, LEVELS = 50_000, 16
 
 
 def distance_sums(edges: DataFrame, graph: list[str]) -> DataFrame:
     """(graph.., node, total): sum of shortest distances to all reachable nodes.
 
-    Breadth-first search from many sources at once: each node keeps one bit per
-    source of the batch, a level is one join on edges and a bitwise OR, and the
-    sum grows by (new bits x level).  Rows are nodes, never pairs of nodes.
+    Breadth-first search from all nodes at once.  ``BITS`` sources make a slot; a row is a
+    node and a slot with a bit for each source that has just reached it, so rows stand only
+    where a search goes on.  A level is one join on edges and one bitwise OR.  Edges
+    run both ways: what arrives at a node was there at this level or the one before, or
+    is new, so no more than two levels are kept.  Nodes whose names sort together share
+    slots, which often brings searches of one region together; sums do not depend on it.
     """
     both = cut_lineage(directed(edges, graph))
-    nodes = both.select(*graph, F.col("src").alias("node")).distinct()
-    hashed = nodes.withColumn("__h", F.xxhash64("node"))
-    numbered = cut_lineage(ordered.running_sum(
-        hashed, graph, "__h", F.lit(1), "n", extra_order=["node"], chunk_ms=1 << 56,
-        hot_rows=0).select(*graph, "node", (F.col("n") - 1).alias("n")))
-    batches = (numbered.agg(F.max("n")).first()[0] or 0) // BITS + 1
-    total = numbered.select(*graph, "node", F.lit(0).cast("bigint").alias("total"))
-    words = [f"w{i}" for i in range(WORDS)]
-    fresh = [f"x{i}" for i in range(WORDS)]
-    for b in range(batches):
-        slot = F.col("n") - b * BITS
-
-        def bit(i):
-            at = slot - 63 * i
-            return F.when(at.between(0, 62), F.call_function(
-                "shiftleft", F.lit(1).cast("bigint"), at.cast("int"))).otherwise(
-                F.lit(0).cast("bigint"))
-
-        state = numbered.select(
-            *graph, "node", *[bit(i).alias(w) for i, w in enumerate(words)],
-            *[bit(i).alias(x) for i, x in enumerate(fresh)],
-            F.lit(0).cast("bigint").alias("sum"))
-        level = 0
-        while True:
-            level += 1
-            active = reduce(lambda a, c: a | c, [F.col(x) != 0 for x in fresh])
-            sent = state.where(active).select(
-                *graph, F.col("node").alias("src"), *fresh)
-            got = both.join(sent, [*graph, "src"]).groupBy(
-                *graph, F.col("dst").alias("node")).agg(
-                *[F.bit_or(x).alias(f"g{i}") for i, x in enumerate(fresh)])
-            merged = state.drop(*fresh).join(got, [*graph, "node"], "left")
-            new = [F.coalesce(f"g{i}", F.lit(0)).bitwiseAND(F.bitwise_not(w))
-                   for i, w in enumerate(words)]
-            merged = merged.select(
-                *graph, "node", "sum", *[c.alias(fresh[i]) for i, c in enumerate(new)], *words)
-            count = reduce(lambda a, c: a + c, [F.bit_count(x) for x in fresh])
-            state = cut_lineage(merged.select(
-                *graph, "node", (F.col("sum") + count * level).cast("bigint").alias("sum"),
-                *[F.col(w).bitwiseOR(F.col(x)).alias(w) for w, x in zip(words, fresh)],
-                *fresh))
-            if not state.where(active).limit(1).count():
-                break
-        total = cut_lineage(total.join(
-            state.select(*graph, "node", "sum"), [*graph, "node"]).select(
-            *graph, "node", (F.col("total") + F.col("sum")).alias("total")))
-    return total
+    nodes = cut_lineage(both.select(*graph, F.col("src").alias("node")).dropna().distinct())
+    parts = nodes.count() // NUMBERED + 1
+    nodes = cut_lineage(nodes.repartitionByRange(parts, *graph, "node").sortWithinPartitions(
+        *graph, "node").withColumn("id", F.monotonically_increasing_id()))
+
+    def number(end: str) -> DataFrame:
+        return nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}"))
+
+    links = cut_lineage(both.where("src != dst").join(number("src"), [*graph, "src"]).join(
+        number("dst"), [*graph, "dst"]).select(
+        F.col("__src").alias("id"), F.col("__dst").alias("to")))
+    words, old = [f"x{i}" for i in range(WORDS)], [f"p{i}" for i in range(WORDS)]
+    none = F.lit(0).cast("bigint")
+    # Ids count up in each part from a multiple of 2^33.
+    place = F.expr(f"(id & {(1 << 33) - 1}) % {BITS}")
+
+    def bit(i):
+        at = (F.col("place") - 63 * i).cast("int")
+        return F.when(at.between(0, 62), F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"), at)).otherwise(none)
+
+    def held(df: DataFrame) -> DataFrame:
+        return df.select("id", "slot", *[none.alias(w) for w in words],
+                         *[F.col(w).alias(p) for w, p in zip(words, old)])
+
+    def weighed(df: DataFrame, level: int) -> DataFrame:
+        count = reduce(lambda a, c: a + c, [F.bit_count(w) for w in words])
+        return df.select("id", (count * F.lit(level).cast("bigint")).alias("total"))
+
+    fresh = cut_lineage(nodes.select("id", place.alias("place")).select(
+        "id", (F.col("id") - F.col("place")).alias("slot"),
+        *[bit(i).alias(w) for i, w in enumerate(words)]))
+    sums = nodes.select("id", none.alias("total"))
+    before, found, level = fresh.limit(0), [], 0
+    while fresh.limit(1).count():
+        level += 1
+        sent = fresh.join(links.hint("merge"), "id").select(
+            F.col("to").alias("id"), "slot", *words, *[none.alias(p) for p in old])
+        met = sent.unionByName(held(fresh)).unionByName(held(before)).groupBy("id", "slot").agg(
+            *[F.bit_or(c).alias(c) for c in [*words, *old]])
+        new = met.select("id", "slot", *[
+            F.col(w).bitwiseAND(F.bitwise_not(p)).alias(w) for w, p in zip(words, old)])
+        before, fresh = fresh, cut_lineage(
+            new.where(reduce(lambda a, c: a | c, [F.col(w) != 0 for w in words])))
+        found.append(weighed(fresh, level))
+        if len(found) == LEVELS:
+            sums = cut_lineage(_added(sums, found))
+            found = []
+    return nodes.join(_added(sums, found), "id").select(*graph, "node", "total")
+
+
+def _added(sums: DataFrame, found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, found, sums).groupBy("id").agg(
+        F.sum("total").cast("bigint").alias("total"))
 
 
 def centers(edges: DataFrame, graph: list[str], components: DataFrame | None = None) -> DataFrame:
