@@ -79,18 +79,21 @@ def range_to_list(c) -> Column:
 
 def list_to_range(c) -> Column:
     """Integers to compact text: ``[1,2,3,7]`` becomes ``'1-3, 7'``."""
+    def spans(nums: Column) -> Column:
+        size = F.size(nums)
+        starts = F.filter(nums, lambda n, i: (i == 0) | (
+            F.element_at(nums, F.greatest(i, F.lit(1))) != n - 1))
+        ends = F.filter(nums, lambda n, i: (i == size - 1) | (
+            F.element_at(nums, F.least(i + 2, size)) != n + 1))
+        return F.transform(
+            F.arrays_zip(starts.alias("s"), ends.alias("e")),
+            lambda z: F.when(z["s"] == z["e"], z["s"].cast("string")).otherwise(
+                F.concat(z["s"].cast("string"), F.lit("-"), z["e"].cast("string"))),
+        )
+
+    # The sorted numbers are bound once: the filters ask for them again for each number.
     nums = F.array_sort(F.array_distinct(_col(c).cast("array<bigint>")))
-    size = F.size(nums)
-    starts = F.filter(nums, lambda n, i: (i == 0) | (
-        F.element_at(nums, F.greatest(i, F.lit(1))) != n - 1))
-    ends = F.filter(nums, lambda n, i: (i == size - 1) | (
-        F.element_at(nums, F.least(i + 2, size)) != n + 1))
-    spans = F.transform(
-        F.arrays_zip(starts.alias("s"), ends.alias("e")),
-        lambda z: F.when(z["s"] == z["e"], z["s"].cast("string")).otherwise(
-            F.concat(z["s"].cast("string"), F.lit("-"), z["e"].cast("string"))),
-    )
-    return F.array_join(spans, ", ")
+    return F.array_join(F.get(F.transform(F.array(nums), spans), F.lit(0)), ", ")
 
 
 def expand_ifname(c, nos: str) -> Column:

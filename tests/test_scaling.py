@@ -55,3 +55,16 @@ def _depths(edges):
             edge = {n for e in edge for n in near[e]} - seen
             seen |= edge
         yield level
+
+
+def test_range_text_reads_its_numbers_once(spark):
+    from netstate.functions import text
+    from pyspark.sql import functions as F
+
+    def plan(column):
+        return column._jc.toString().count("array_distinct")
+
+    assert plan(text.list_to_range(F.col("n"))) == 1
+    df = spark.createDataFrame([([3, 1, 2, 7, 2],), ([],), (None,), ([5],)], "n array<bigint>")
+    got = [r[0] for r in df.select(text.list_to_range("n")).collect()]
+    assert got == ["1-3, 7", "", None, "5"]
