@@ -294,9 +294,12 @@ def addr_in_cidr(addr, cidr) -> Column:
             a, F.coalesce(prefix_len(cidr), full_len(a))))
         return masked == network(cidr)
 
-    v6 = addr.contains(":") | cidr.contains(":")
+    v6 = addr.contains(":") & cidr.contains(":")
+    mixed = addr.contains(":") != cidr.contains(":")
     plen = F.coalesce(prefix_len(cidr), F.lit(32))
-    inside = F.when(v6, v6_inside()).otherwise(_same_v4_network(addr, cidr, plen))
+    # Nothing is parsed where the families differ.
+    inside = F.when(mixed, F.lit(False)).when(v6, v6_inside()).otherwise(
+        _same_v4_network(addr, cidr, plen))
     return F.coalesce(inside & (cidr != "0.0.0.0/0"), F.lit(False))
 
 

@@ -68,3 +68,14 @@ def test_range_text_reads_its_numbers_once(spark):
     df = spark.createDataFrame([([3, 1, 2, 7, 2],), ([],), (None,), ([5],)], "n array<bigint>")
     got = [r[0] for r in df.select(text.list_to_range("n")).collect()]
     assert got == ["1-3, 7", "", None, "5"]
+
+
+def test_prefixes_of_the_other_family_hold_no_address(spark):
+    from netstate.functions import ip
+
+    rows = [("10.1.2.3", "fe80::1/64", False), ("fe80::1", "10.1.2.0/24", False),
+            ("10.1.2.3", "10.1.2.0/24", True), ("fe80::9", "fe80::1/64", True),
+            ("::ffff:10.1.2.3", "::/0", True), (None, "::/0", False), ("10.1.2.3", None, False)]
+    got = spark.createDataFrame(rows, "a string, c string, held boolean").select(
+        "held", ip.addr_in_cidr("a", "c").alias("got"))
+    assert all(r.held == r.got for r in got.collect())
