@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netstate.llm import decontaminate, language, line_dedup, near_copies, packing
+from netstate.llm import decontaminate, language, line_dedup, near_copies, packing, simhash
 from netstate.llm.common import cut_lineage
 from netstate.llm.queries import END_ID, vocabulary
 
@@ -32,9 +32,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the document with the smallest id of each group of near copies: texts whose
     five-word shingles have a Jaccard similarity of 0.8 or more.
 
+    Operator 9 names pairs by their fingerprints (three or fewer differing bits), an exact
+    check of similarity follows; bands of MinHashes name those that fingerprints miss.
     Rows without a doc_id stay; of rows that share a doc_id one stays.
     """
-    groups = near_copies.near_copies(docs)
+    linked = simhash.near_duplicates(docs).where("doc_id != component_id").select(
+        F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    groups = near_copies.near_copies(docs, linked)
     gone = groups.where("doc_id != component_id").select(
         F.col("doc_id").alias("__gone")).distinct()
     named = docs.where("doc_id is not null")

@@ -170,9 +170,11 @@ def _all_pairs(of: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("o.node").alias("b"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) for documents (doc_id, text).
 
+    ``linked`` has further pairs (a, b) of doc_ids to verify, such as another method finds.
+
     component_id is the smallest doc_id reachable over pairs of similar texts, the own
     one included.  Texts without words are alike.  Rows without a doc_id link
     others but are nobody's component; a component of such rows alone has a null id.
@@ -208,6 +210,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
         else:
             kept = kept.limit(0)
 
+    if linked is not None:
+        ends = rows.select("doc_id", "node")
+        named = linked.join(ends.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a")
+        named = named.join(ends.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b")
+        named = named.where("x != y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = links.unionByName(verified(named, rows))
+
     found = _components(links)
     of = rows.select("doc_id", "node").join(found, "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("component"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netstate.llm import near_copies, queries
+from netstate.llm import near_copies, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": [f"{a}{b}" for a in ("the", "and", "with", "this", "there") for b in (
@@ -93,6 +93,23 @@ def test_edited_copies_go(spark):
     assert left == {i for i, _ in rows} - near - set(range(2001, 2120)) - set(range(3001, 3008))
 
 
+def test_operator_9_names_pairs(spark, monkeypatch):
+    """Without bands only fingerprints name pairs; what is not similar enough stays."""
+    shared = near_copies._shared
+    monkeypatch.setattr(near_copies, "_shared", lambda kept: shared(kept).limit(0))
+    rng = random.Random(11)
+    words = [[f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "xy"]
+    fill = ["all", "work", "and", "no", "play"] * 400
+    long = [f"w{rng.randrange(3000)}" for _ in range(3000)]
+    rows = [(1, " ".join(words[0] + fill)), (2, " ".join(words[1] + fill)), (3, " ".join(long)),
+            (4, " ".join([*long, "end"])), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert groups[2] == 1 and groups[4] == 3
+    left = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left, key=str) == [1, 2, 3, None]
+
+
 def test_copies_of_texts_with_a_common_frame(spark):
     """600 texts share two thirds of their words: every band value holds most of them."""
     rng = random.Random(7)
