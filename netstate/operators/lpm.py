@@ -9,9 +9,13 @@ and a block can't outgrow a task: an IPv4 block holds 65,536 addresses at most.
 Prefixes shorter than a block cover it whole; the best of them is looked up once per
 block and opens it.
 
-A few addresses, or addresses looked up in every table, are matched by equality
-instead: one candidate network per prefix length in use, joined with (family,
-length, network words).  The few addresses are then what moves, not the tables.
+Where addresses are looked up in every table, the same pass finds the innermost network
+of any table that each lies in.  All addresses in it (and in no network inside it) have
+the same best routes, so the tables are asked once per network, not per address.
+
+A few addresses are matched by equality instead: one candidate network per prefix
+length in use, joined with (family, length, network words).  The few addresses are
+then what moves, not the tables.
 Short prefixes (the default route above all) are matched by every address of a
 scope; their candidates are salted so that no task gets them all.
 """
@@ -94,14 +98,19 @@ def containing(
 
 
 def _by_equality(rows: DataFrame, prefixes: DataFrame, kept: list[str], scope: list[str],
-                 lengths: dict[int, list[int]]) -> DataFrame:
-    """Every (row, prefix) where the prefix holds the row's (fam, __hi, __lo)."""
+                 lengths: dict[int, list[int]], longest: Column | None = None) -> DataFrame:
+    """Every (row, prefix) where the prefix holds the row's (fam, __hi, __lo).
+
+    ``longest`` bounds the length of the prefixes wanted.
+    """
 
     def literal(values: list[int]) -> Column:
         return F.array(*map(F.lit, values)).cast("array<int>") if values else F.array().cast(
             "array<int>")
 
     candidates = F.when(F.col("fam") == 6, literal(lengths[6])).otherwise(literal(lengths[4]))
+    if longest is not None:
+        candidates = F.filter(candidates, lambda n: n <= longest)
     rows = rows.withColumn("plen", F.explode(candidates))
     hi, lo = _masked(F.col("fam"), F.col("__hi"), F.col("__lo"), F.col("plen"))
     short = _is_short(F.col("fam"), F.col("plen"))
@@ -202,6 +211,42 @@ def merged(
                        *[F.col("__best")[c].alias(c) for c in own])
 
 
+def _in_every_table(
+    addresses: DataFrame, wanted: DataFrame, prefixes: DataFrame, addr: str, scope: list[str],
+    per: list[str], lengths: dict[int, list[int]] | None, how: str,
+) -> DataFrame:
+    """Best route of each address in each table (``per``), by way of its innermost network."""
+    lengths = lengths or prefix_lengths(prefixes)
+    networks = prefixes.select(*scope, "fam", "plen", "net_hi", "net_lo").distinct()
+    name = ["__fam", "__len", "__hi", "__lo"]
+    named = networks.withColumns({
+        "__fam": F.col("fam"), "__len": F.col("plen"), "__nhi": F.col("net_hi"),
+        "__nlo": F.col("net_lo")})
+    # Short networks hold many addresses: theirs are dealt out.
+    short = _is_short(F.col("__fam"), F.col("__len"))
+    places = merged(wanted, named, addr, scope, lengths).select(
+        *scope, addr, "__fam", "__len", F.col("__nhi").alias("__hi"), F.col("__nlo").alias("__lo"),
+        F.when(short, F.pmod(F.xxhash64(addr), F.lit(SALTS)).cast("int")).otherwise(
+            F.lit(0)).alias("__salt"))
+    rows = networks.select(
+        *scope, "fam", F.col("fam").alias("__fam"), F.col("plen").alias("__len"),
+        F.col("net_hi").alias("__hi"), F.col("net_lo").alias("__lo"))
+    pairs = _by_equality(rows, prefixes, [*scope, *name], scope, lengths, F.col("__len"))
+    best = keep_last(pairs, [*scope, *name, *per], _order(pairs))
+    best = best.drop("fam").withColumnRenamed("plen", "matchedLen").withColumn(
+        "__salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+            F.array(F.lit(0)))))
+    found = addresses.join(places, [addr, *scope], how)
+    return found.join(best, ["__lo", "__hi", "__len", "__fam", "__salt", *scope], how).select(
+        addr, *scope, *[c for c in addresses.columns if c not in (addr, *scope)],
+        *[c for c in best.columns if c not in (*scope, *name, "__salt")])
+
+
+def _order(pairs: DataFrame) -> list[Column]:
+    """Longest first; prefixes with host bits may name one network twice: the first text wins."""
+    return [F.col("plen").desc(), *(F.col(c) for c in ("prefix",) if c in pairs.columns)]
+
+
 def lpm_join(
     addresses: DataFrame, routes: DataFrame, addr: str = "address",
     scope: tuple[str, ...] = ("namespace", "hostname", "vrf"),
@@ -229,12 +274,12 @@ def lpm_join(
             *scope_cols, *kept, "fam", "plen", "net_hi", "net_lo"), addr, scope_cols, lengths)
         best = best.withColumnRenamed("plen", "matchedLen")
         return addresses.join(best, [addr, *scope_cols], how)
-    pairs = containing(
-        wanted, keyed.select(*scope_cols, *per_cols, *kept, "fam", "plen", "net_hi", "net_lo"),
-        addr, scope_cols, lengths)
-    # Prefixes with host bits may name one network twice: the first text wins.
-    order = [F.col("plen").desc(), *(F.col(c) for c in ("prefix",) if c in pairs.columns)]
-    best = keep_last(pairs, [*scope_cols, addr, *per_cols], order)
+    keyed = keyed.select(*scope_cols, *per_cols, *kept, "fam", "plen", "net_hi", "net_lo")
+    if merge and per_cols:
+        return _in_every_table(
+            addresses, wanted, keyed, addr, scope_cols, per_cols, lengths, how)
+    pairs = containing(wanted, keyed, addr, scope_cols, lengths)
+    best = keep_last(pairs, [*scope_cols, addr, *per_cols], _order(pairs))
     best = best.drop("fam").withColumnRenamed("plen", "matchedLen")
     return addresses.join(best, [addr, *scope_cols], how)
 

@@ -79,3 +79,48 @@ def test_prefixes_of_the_other_family_hold_no_address(spark):
     got = spark.createDataFrame(rows, "a string, c string, held boolean").select(
         "held", ip.addr_in_cidr("a", "c").alias("got"))
     assert all(r.held == r.got for r in got.collect())
+
+
+def test_tables_are_asked_once_per_innermost_network(spark, monkeypatch):
+    import ipaddress
+
+    from netstate.operators import lpm
+
+    rng = random.Random(3)
+    hot, six = int(ipaddress.ip_address("10.7.0.0")), int(ipaddress.ip_address("2001:db8::"))
+
+    def v4():
+        return str(ipaddress.ip_address(hot + rng.randrange(1 << 16)))
+
+    def v6():
+        return str(ipaddress.ip_address(six + rng.randrange(1 << 70)))
+
+    hosts = ["h0", "h1", "h2", None]
+    routes = {(rng.choice(hosts), f"{v4()}/{rng.randrange(6, 33)}") for _ in range(300)}
+    routes |= {(rng.choice(hosts), f"{v6()}/{rng.randrange(16, 129)}") for _ in range(80)}
+    routes |= {("h0", "0.0.0.0/0"), ("h1", "::/0"), ("h2", "10.7.1.9/24"), ("h2", "10.7.1.7/24"),
+               ("h3", "10.7.1.7/24"), ("h3", "no prefix")}
+    asked = [v4() for _ in range(200)] + [v6() for _ in range(80)]
+    asked += ["10.7.1.1", "10.7.1.1", "99.0.0.1", "fe80::1", None, "nowhere"]
+    want = []
+    nets = [(h, p, ipaddress.ip_network(p, strict=False)) for h, p in routes if p != "no prefix"]
+    for a in asked[:-2]:
+        at, best = ipaddress.ip_address(a), {}
+        for h, p, n in nets:
+            if at in n:
+                best[h] = min(best.get(h, (0, "~")), (-n.prefixlen, p))
+        want += [(a, h, p, -n) for h, (n, p) in best.items()]
+    table = spark.createDataFrame(list(routes), "hostname string, prefix string")
+    addresses = spark.createDataFrame([(a,) for a in asked], "address string")
+
+    def found(merge, how="inner"):
+        got = lpm.lpm_join(addresses, table, scope=(), per=("hostname",), merge=merge, how=how)
+        return sorted(map(tuple, got.select(
+            "address", "hostname", "prefix", "matchedLen").collect()), key=str)
+
+    assert found(False) == sorted(want, key=str)
+    some = found(False, "left")
+    # Addresses themselves never meet the tables.
+    monkeypatch.setattr(lpm, "containing", None)
+    assert found(True) == sorted(want, key=str)
+    assert found(True, "left") == some
