@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from netstate.llm.common import (
-    LOWER, UPPER, cut_lineage, new_folder, open_input, open_output, text_bytes, worker_state)
+    LOWER, UPPER, cut_lineage, new_folder, open_input, open_output, release_memory,
+    text_bytes, worker_state)
 
 WINDOW = 10
 SHINGLE = 3
 #: Windows of one block of the benchmark index, about 100 MB while it is used.
 BLOCK_WINDOWS = 500_000
-BATCH_WORDS = 1 << 20
+#: Words searched at a time, about 20 MB with their arrays.
+BATCH_WORDS = 1 << 17
 #: Bytes that are no part of a word become blanks, A-Z become a-z.
 _NO_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _WORDS = bytearray(bytes.maketrans(_NO_WORD, b" " * len(_NO_WORD)))
@@ -180,6 +182,7 @@ def _flat(block: Block, found: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
 def _document_frequency(docs: DataFrame, path: str) -> dict[int, int]:
     """In how many documents each shingle of a block occurs."""
     def count(batches):
+        release_memory()  # of the stage before, in whose worker this runs
         shingles = _load(path).shingles()
         total = np.zeros(len(shingles), np.int64)
         for batch in batches:
@@ -239,6 +242,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, into: str = "hits",
     paths = index_benchmark(docs, benchmark, block_windows)
 
     def search(batches):
+        release_memory()  # of the stage before, in whose worker this runs
         for batch in batches:
             rows = []
             for _, _, found in _batches(batch, "__text"):

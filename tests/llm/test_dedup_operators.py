@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -198,3 +199,12 @@ def test_benchmark_hits_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.benchmark_hits(docs, none).first().hits.n_hit == 0
     assert decontaminate.benchmark_hits(docs.where("false"), none).count() == 0
+
+
+def test_words_of_a_batch_are_searched_in_small_pieces():
+    texts = [" ".join(f"w{(i * j) % 977}" for j in range(1000)).encode() for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    pieces = list(decontaminate._batches(batch, "text"))
+    assert [p[0] for p in pieces] == [0, *(p[1] for p in pieces[:-1])] and pieces[-1][1] == 300
+    assert [w for p in pieces for w in p[2]] == [decontaminate.words(t) for t in texts]
+    assert max(sum(map(len, p[2])) for p in pieces) < (1 << 17) + 1000
