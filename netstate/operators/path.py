@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netstate.functions import ip
-from netstate.operators import lpm
-from netstate.operators.enrich import NS_HOST, _lookup, arpnd_with_vrf, mlag_peers, unique_by
+from netstate.operators import enrich, lpm
+from netstate.operators.enrich import NS_HOST, arpnd_with_vrf, mlag_peers, unique_by
 from netstate.operators.views import keep_last
-from netstate.session import cut_lineage
+from netstate.session import cut_lineage, shuffle_if_large
 
 # Fixed values.
 MAX_MTU = 9216
@@ -47,6 +47,15 @@ def _empty_if_null(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def _join(df: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a table that may be large: every round does, so not by way of the driver."""
+    return df.join(shuffle_if_large(right), on, how)
+
+
+def _lookup(df: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
+    return enrich._lookup(df, shuffle_if_large(right), on)
+
+
 def _vrf_of(master: Column) -> Column:
     return F.when(master.isin("", "bridge"), F.lit("default")).otherwise(master)
 
@@ -79,7 +88,7 @@ class PathTables:
             *NS_HOST, "vrf", "prefix", "nexthopIps", "oifs", "protocol", "timestamp",
             "fam", "plen", "net_hi", "net_lo"))
         self.lengths = lpm.prefix_lengths(self.routes)
-        with_vrf = cut_lineage(arpnd_with_vrf(arp, ifs))
+        with_vrf = cut_lineage(arpnd_with_vrf(arp, shuffle_if_large(ifs)))
         self.arp = cut_lineage(unique_by(
             with_vrf.withColumn("port", F.regexp_replace("oif", r"-v0$", "")),
             [*NS_HOST, "ipAddress", "port"], arpMac="macaddr", arpRemote="remote", arpVrf="vrf"))
@@ -102,7 +111,8 @@ class PathTables:
         self.by_address = cut_lineage(_owner_sets(owners, ["namespace", "ip"]))
         self.by_mac = cut_lineage(_owner_sets(held, ["namespace", "macaddr"]))
         self.by_both = cut_lineage(_owner_sets(owners, ["namespace", "ip", "macaddr"]))
-        links = mlag.select(*NS_HOST, "systemId", "peerLink") if mlag is not None else None
+        links = shuffle_if_large(
+            mlag.select(*NS_HOST, "systemId", "peerLink")) if mlag is not None else None
         self.peer_links = cut_lineage(mlag_peers(links).select(
             *NS_HOST, F.col("peerLink").alias("__link"))) if mlag is not None else None
 
@@ -127,7 +137,7 @@ class PathTables:
                       F.col(addr).alias("addr"))
             for df, addr, vrf in wanted]).where("addr is not null and addr != ''").distinct()
         fields = ["prefix", "nexthopIps", "oifs", "protocol", "timestamp"]
-        found = lpm.lpm_join(keys, self.routes, "addr", columns=fields, lengths=self.lengths)
+        found = lpm.lpm_join(shuffle_if_large(keys), self.routes, "addr", columns=fields, lengths=self.lengths)
         return cut_lineage(found.select(
             "namespace", "hostname", "vrf", "addr", F.struct(*fields).alias("route")))
 
@@ -140,7 +150,7 @@ def _owner_sets(owners: DataFrame, keys: list[str]) -> DataFrame:
         return hosts
     macs = owners.select(*keys, "macaddr").distinct().groupBy(*keys).agg(
         F.bit_xor(F.xxhash64("macaddr")).alias("macs"))
-    return hosts.join(macs, keys)
+    return _join(hosts, macs, keys)
 
 
 def _attach(df: DataFrame, found: DataFrame, addr: str, vrf: str, name: str) -> DataFrame:
@@ -152,11 +162,11 @@ def _attach(df: DataFrame, found: DataFrame, addr: str, vrf: str, name: str) ->
 
 def first_hop_router(requests: DataFrame, addr: str, t: PathTables) -> DataFrame:
     """Switch ports behind which an address sits: one MAC in local ARP, then local MACs."""
-    local = requests.join(
-        t.arp_any.withColumnRenamed("ipAddress", addr), ["namespace", addr]
+    local = _join(
+        requests, t.arp_any.withColumnRenamed("ipAddress", addr), ["namespace", addr]
     ).where("not arpRemote")
     one = local.groupBy("req").agg(F.countDistinct("arpMac").alias("__n")).where("__n = 1")
-    local = local.join(one.select("req"), "req")
+    local = _join(local, one.select("req"), "req")
     entries = t.macs.where(
         (F.coalesce("remoteVtepIp", F.lit("")) == "") & (F.col("vlan") != 0)
         & ~F.col("oif").isin(IGNORED_MAC_PORTS))
@@ -181,13 +191,13 @@ def svi_owners(requests: DataFrame, addr: str, t: PathTables) -> DataFrame:
         t.addresses.where(F.col("ifname").rlike(SVI_PATTERN)), "cidr")
     wanted = requests.select("namespace", F.col(addr).alias("__a")).distinct()
     pairs = lpm.containing(
-        wanted, svis.select("namespace", "hostname", "ifname", "mtu", "master", "cidr",
+        shuffle_if_large(wanted), svis.select("namespace", "hostname", "ifname", "mtu", "master", "cidr",
                             "timestamp", "fam", "plen", "net_hi", "net_lo"),
         "__a", ["namespace"]).where("plen > 0")
     few = pairs.groupBy("namespace", "__a").agg(
         F.countDistinct("hostname").alias("__n")).where("__n <= 2").drop("__n")
-    pairs = pairs.join(few, ["namespace", "__a"])
-    rows = requests.join(pairs.withColumnRenamed("__a", addr), ["namespace", addr])
+    pairs = _join(pairs, few, ["namespace", "__a"])
+    rows = _join(requests, pairs.withColumnRenamed("__a", addr), ["namespace", addr])
     return rows.select(
         "req", F.col("hostname").alias("device"), "ifname", "mtu",
         _vrf_of(F.col("master")).alias("vrf"), F.lit(True).alias("viaArp"), "cidr", "timestamp")
@@ -195,7 +205,7 @@ def svi_owners(requests: DataFrame, addr: str, t: PathTables) -> DataFrame:
 
 def resolve_end(requests: DataFrame, addr: str, t: PathTables, svis: bool) -> DataFrame:
     """Devices an address starts or ends at: owner, else first-hop router, else SVI."""
-    own = requests.join(t.addresses.withColumnRenamed("ip", addr), ["namespace", addr])
+    own = _join(requests, t.addresses.withColumnRenamed("ip", addr), ["namespace", addr])
     own = keep_last(own, ["req", "hostname"], [
         (F.col("type") == "loopback").desc(), F.col("ifname").asc()])
     found = own.select(
@@ -204,7 +214,7 @@ def resolve_end(requests: DataFrame, addr: str, t: PathTables, svis: bool) -> Da
         "timestamp")
     makers = [first_hop_router] + ([svi_owners] if svis else [])
     for maker in makers:
-        rest = requests.join(found.select("req").distinct(), "req", "left_anti")
+        rest = _join(requests, found.select("req").distinct(), "req", "left_anti")
         if not rest.limit(1).count():
             break
         found = cut_lineage(found.unionByName(maker(rest, addr, t)))
@@ -239,7 +249,7 @@ def finish_at_destination(frontier: DataFrame, dests: DataFrame) -> DataFrame:
     ends = dests.select(
         "req", F.col("device"), F.col("ifname").alias("d_ifname"), F.col("mtu").alias("d_mtu"),
         F.col("vrf").alias("d_vrf"))
-    return frontier.join(ends, ["req", "device"], "left")
+    return _join(frontier, ends, ["req", "device"], "left")
 
 
 def _expand(rows: DataFrame) -> DataFrame:
@@ -291,8 +301,9 @@ def _peers(rows: DataFrame, t: PathTables, routers: DataFrame) -> DataFrame:
         (F.col("via") != "") & (F.col("vtep") == ""), F.col("viaMac")).otherwise(F.col("arpMac")))
     rows = _owner_facts(rows, t)
     own = routers.select("req", F.col("device"), F.lit(True).alias("__router"))
-    rows = rows.join(own.distinct(), ["req", "device"], "left").join(
-        routers.select("req", F.lit(True).alias("__routed")).distinct(), "req", "left")
+    rows = _join(rows, own.distinct(), ["req", "device"], "left")
+    rows = _join(
+        rows, routers.select("req", F.lit(True).alias("__routed")).distinct(), "req", "left")
     behind = F.col("first") & F.col("__routed").isNotNull() & F.col("__router").isNull()
     rows = cut_lineage(rows.withColumn("__behind", behind).drop("__router", "__routed"))
     attached = _by_routers(rows.where("__behind").drop("__behind"), t, routers)
@@ -326,7 +337,7 @@ def _by_routers(rows: DataFrame, t: PathTables, routers: DataFrame) -> DataFrame
     """Peers of rows on a source: its first-hop routers."""
     ports = routers.select("req", F.col("device").alias("peer"), F.col("ifname").alias("peerIf"),
                            F.col("mtu").alias("peerMtu"))
-    met = rows.where("__rank is not null").join(ports, "req")
+    met = _join(rows.where("__rank is not null"), ports, "req")
     owned = t.addresses.select(*NS_HOST, "ip", F.lit(True).alias("__by_ip"))
     both = t.addresses.select(*NS_HOST, "ip", "macaddr", F.lit(True).alias("__by_both"))
     macs = t.ifs.where("type != 'bond_slave'").select(
@@ -340,7 +351,7 @@ def _by_routers(rows: DataFrame, t: PathTables, routers: DataFrame) -> DataFrame
     met = cut_lineage(met.withColumn("__owner", is_owner).drop("__by_ip", "__by_both", "__by_mac"))
     hop_key = ["req", "pathkey", "nhip", "nh_oif"]
     some = met.where("__owner").select(*hop_key).distinct().withColumn("__some", F.lit(True))
-    met = met.join(some, hop_key, "left").where("__owner or __some is null")
+    met = _join(met, some, hop_key, "left").where("__owner or __some is null")
     bridged = F.col("__some").isNull() | F.col("__anycast")
     return met.withColumns({
         "peerMac": F.col("arpMac"), "l2hop": bridged, "anycast": F.col("__anycast")}).drop(
@@ -353,7 +364,7 @@ def _by_owners(rows: DataFrame, t: PathTables) -> DataFrame:
         "namespace", F.col("ip").alias("o_ip"), F.col("hostname").alias("peer"),
         F.col("ifname").alias("peerIf"), F.col("mtu").alias("peerMtu"),
         F.col("macaddr").alias("peerMac"))
-    by_ip = rows.join(owner.withColumnRenamed("o_ip", "__nh"), ["namespace", "__nh"], "left")
+    by_ip = _join(rows, owner.withColumnRenamed("o_ip", "__nh"), ["namespace", "__nh"], "left")
     by_ip = by_ip.where("peer is null or peer != device")
     both = F.col("arpMac").isNotNull() & (F.col("arpMac") == F.col("peerMac"))
     by_ip = by_ip.withColumn("rank", F.when(both, 0).when(F.col("peer").isNotNull(), 2))
@@ -361,15 +372,16 @@ def _by_owners(rows: DataFrame, t: PathTables) -> DataFrame:
         "namespace", F.col("macaddr").alias("o_mac"), F.col("hostname").alias("peer"),
         F.col("ifname").alias("peerIf"), F.col("mtu").alias("peerMtu"),
         F.col("macaddr").alias("peerMac"))
-    by_mac = rows.where("arpMac is not null").join(
-        mac_owner.withColumnRenamed("o_mac", "arpMac"), ["namespace", "arpMac"])
+    by_mac = _join(
+        rows.where("arpMac is not null"), mac_owner.withColumnRenamed("o_mac", "arpMac"),
+        ["namespace", "arpMac"])
     by_mac = by_mac.where("peer != device").withColumn("rank", F.lit(1))
     cols = [*rows.columns, "peer", "peerIf", "peerMtu", "peerMac", "rank"]
     every = cut_lineage(
         by_ip.where("rank is not null").select(*cols).unionByName(by_mac.select(*cols)))
     hop_key = ["req", "pathkey", "nhip", "nh_oif"]
     best = every.groupBy(*hop_key).agg(F.min("rank").alias("__best"))
-    every = every.join(best, hop_key).where("rank = __best").drop("__best")
+    every = _join(every, best, hop_key).where("rank = __best").drop("__best")
     # Several interfaces of one peer share the MAC or the address (unnumbered
     # links): the peer's ARP entry for my own address names the right one.
     mine = unique_by(t.addresses, [*NS_HOST, "ifname"], __myip="ip")
@@ -484,15 +496,15 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
     requests = cut_lineage(requests)
     starts = cut_lineage(resolve_end(requests, "src", t, svis=True))
     dests = cut_lineage(resolve_end(requests, "dest", t, svis=False))
-    begin = requests.join(starts, "req")
+    begin = _join(requests, starts, "req")
     in_arp = t.arp_any.select(
         "namespace", F.col("hostname").alias("device"), F.col("ipAddress").alias("dest"),
         F.lit(True).alias("__arp"))
-    begin = begin.join(in_arp, ["namespace", "device", "dest"], "left")
+    begin = _join(begin, in_arp, ["namespace", "device", "dest"], "left")
     same = F.when(F.col("viaArp"), F.coalesce("__arp", F.lit(False))).otherwise(
         ip.addr_in_cidr("dest", "cidr"))
     smallest = starts.groupBy("req").agg(F.min("mtu").alias("srcMtu"))
-    frontier = begin.join(smallest, "req").select(
+    frontier = _join(begin, smallest, "req").select(
         "req", "namespace", "src", "dest", "device", "srcMtu",
         F.coalesce(F.nullif("wantedVrf", F.lit("")), "vrf").alias("vrf"),
         F.col("ifname").alias("iif"), F.col("mtu").alias("inMtu"), same.alias("isL2"),
@@ -504,7 +516,7 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         F.lit("").alias("viaMac"))
     frontier = cut_lineage(frontier)
     # Devices that a polled source is attached to.
-    polled = requests.join(starts.where("not viaArp").select("req").distinct(), "req")
+    polled = _join(requests, starts.where("not viaArp").select("req").distinct(), "req")
     routers = cut_lineage(first_hop_router(polled, "src", t))
     gateways = t.addresses.select(
         "namespace", F.col("hostname").alias("device"), F.col("ip").alias("via"),
@@ -515,13 +527,13 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
     done = []
     while frontier.limit(1).count():
         # Leave the tunnel on the device that owns its far end.
-        rows = frontier.join(owns, ["namespace", "device", "overlay"], "left")
+        rows = _join(frontier, owns, ["namespace", "device", "overlay"], "left")
         out = F.coalesce("__own", F.lit(False))
         rows = rows.withColumns({
             "decap": out, "overlay": F.when(out, F.lit("")).otherwise(F.col("overlay"))}
         ).drop("__own")
         # On the gateway a bridged packet goes on as it would have from its link.
-        rows = rows.join(gateways, ["namespace", "device", "via", "viaMac"], "left")
+        rows = _join(rows, gateways, ["namespace", "device", "via", "viaMac"], "left")
         there = (F.col("via") != "") & (F.coalesce("__gateway", F.lit(False)) | F.col("decap"))
         rows = rows.withColumns({
             "isL2": F.when(there, F.col("linkL2")).otherwise(F.col("isL2")),
@@ -574,8 +586,8 @@ def path(requests: DataFrame, t: PathTables) -> DataFrame:
         my = t.ports.select(*NS_HOST, "ifname", F.col("mtu").alias("outMtu"))
         nexts = cut_lineage(_lookup(nexts, my, {
             "namespace": "namespace", "device": "hostname", "nh_oif": "ifname"}))
-        dead = live.join(nexts.select("req", "pathkey").distinct(), ["req", "pathkey"],
-                         "left_anti")
+        dead = _join(live, nexts.select("req", "pathkey").distinct(), ["req", "pathkey"],
+                     "left_anti")
         done.append(_with_hop(dead).select(
             "req", "namespace", "hops", F.lit("dead").alias("end")))
 
@@ -617,7 +629,7 @@ def assemble(paths: DataFrame) -> DataFrame:
     came to an end.
     """
     ended = paths.where("end != 'dead'").select("req").distinct()
-    broken = paths.where("end = 'dead'").join(ended, "req", "left_anti")
+    broken = _join(paths.where("end = 'dead'"), ended, "req", "left_anti")
     paths = paths.where("end != 'dead'").unionByName(broken)
     distinct = paths.withColumn("sig", F.to_json("hops")).dropDuplicates(["req", "sig"])
     # Paths of one request, numbered by signature: few rows per window.
@@ -644,7 +656,7 @@ def path_summary(paths: DataFrame) -> DataFrame:
         F.max("overlay").alias("usesOverlay"),
         F.least(F.min(F.when(real, F.col("inMtu"))), F.min(F.when(real, F.col("outMtu"))))
         .alias("pathMtu"))
-    return lengths.join(width, "req", "left").join(facts, "req")
+    return _join(_join(lengths, width, "req", "left"), facts, "req")
 
 
 def path_evidence(paths: DataFrame, t: PathTables, failed: DataFrame | None = None) -> DataFrame:
@@ -658,7 +670,7 @@ def path_evidence(paths: DataFrame, t: PathTables, failed: DataFrame | None = No
 
     routes = t.routes.select(*NS_HOST, "vrf", F.col("prefix").alias("ipLookup"), "nexthopIps",
                              "oifs", "protocol")
-    parts = [found(hops.join(routes, [*NS_HOST, "vrf", "ipLookup"]), "route",
+    parts = [found(_join(hops, routes, [*NS_HOST, "vrf", "ipLookup"]), "route",
                    ["vrf", "ipLookup", "nexthopIps", "oifs", "protocol"])]
     tunnels = hops.where("vtepLookup != ''").select(
         *key, F.col("vtepLookup").alias("vtep"), F.lit(UNDERLAY_VRF).alias("u_vrf"),
@@ -669,17 +681,18 @@ def path_evidence(paths: DataFrame, t: PathTables, failed: DataFrame | None = No
     parts.append(found(under, "underlay", ["vtep", "underlay"]))
     arp = t.arp.select(*NS_HOST, F.col("ipAddress").alias("nexthopIp"),
                        F.col("port").alias("oif"), "arpMac", "arpRemote")
-    with_arp = hops.join(arp, [*NS_HOST, "nexthopIp", "oif"])
+    with_arp = _join(hops, arp, [*NS_HOST, "nexthopIp", "oif"])
     parts.append(found(with_arp, "arpnd", ["nexthopIp", "oif", "arpMac", "arpRemote"]))
     owner = t.addresses.select(
         "namespace", F.col("ip").alias("nexthopIp"), F.col("hostname").alias("ownerHost"),
         "ifname", "mtu", "macaddr")
-    parts.append(found(hops.join(owner, ["namespace", "nexthopIp"]), "interface",
+    parts.append(found(_join(hops, owner, ["namespace", "nexthopIp"]), "interface",
                        ["nexthopIp", "ownerHost", "ifname", "mtu", "macaddr"]))
     macs = t.macs.select(*NS_HOST, F.col("macaddr").alias("macLookup"), "vlan",
                          F.col("oif").alias("macOif"), "remoteVtepIp")
-    parts.append(found(hops.where("macLookup != ''").join(macs, [*NS_HOST, "macLookup"]), "mac",
+    with_mac = _join(hops.where("macLookup != ''"), macs, [*NS_HOST, "macLookup"])
+    parts.append(found(with_mac, "mac",
                        ["macLookup", "vlan", "macOif", "remoteVtepIp"]))
     if failed is not None:
-        parts.append(found(hops.join(failed, NS_HOST), "failed", ["table", "object", "state"]))
+        parts.append(found(_join(hops, failed, NS_HOST), "failed", ["table", "object", "state"]))
     return reduce(DataFrame.unionByName, parts)

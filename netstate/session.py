@@ -70,6 +70,15 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
+def shuffle_if_large(df: DataFrame, limit_bytes: int = 64 << 10) -> DataFrame:
+    """Hint a join by shuffle unless the optimizer's size estimate is within the limit.
+
+    A broadcast passes through the driver, at several times the size of compressed
+    files; an operator that joins its tables again in every round sums that up.
+    """
+    return df if estimated_bytes(df) <= limit_bytes else df.hint("merge")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

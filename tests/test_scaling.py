@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from netstate import session
-from netstate.operators import topology as topo
+from netstate.operators import path, topology as topo
 
 
 def _sums(edges):
@@ -172,3 +174,27 @@ def test_shared_prefixes_are_hashed_once(spark):
     # No loop over the bits of each row is left in the plan.
     plan = df.select(P.anon_address("a", "s"))._jdf.queryExecution().toString()
     assert "sha2" not in plan and "aggregate(" not in plan
+
+
+def test_a_trace_sends_no_large_table_through_the_driver(spark):
+    """Tables below the limit of broadcasts, once compressed, are joined by shuffle."""
+    number = F.col("id").cast("string")
+    table = session.cut_lineage(spark.range(20000).select(
+        F.lit("ns").alias("namespace"), F.concat(F.lit("h"), number).alias("hostname"),
+        F.sha2(number, 256).alias("ipAddress"), number.alias("arpMac")))
+    assert 64 << 10 < session.estimated_bytes(table) < 10 << 20
+    rows = spark.range(0, 20000, 7).select(
+        F.lit("ns").alias("namespace"), F.concat(F.lit("h"), F.col("id")).alias("device"),
+        F.sha2(F.col("id").cast("string"), 256).alias("nhip"), F.col("id").alias("req"))
+    on = {"namespace": "namespace", "device": "hostname", "nhip": "ipAddress"}
+    found = path._lookup(rows, table, on)
+    ends = table.select(
+        F.col("arpMac").cast("long").alias("req"), F.col("hostname").alias("device"),
+        F.lit("lo").alias("ifname"), F.lit(9000).alias("mtu"), F.lit("default").alias("vrf"))
+    ended = path.finish_at_destination(rows, ends)
+    for df, told in ((found, "arpMac = req"), (ended, "d_ifname = 'lo'")):
+        assert df.where(told).count() == df.count() == rows.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
+    few = path._lookup(rows, session.cut_lineage(table.limit(100)), on)
+    assert few.where("arpMac is not null").count() == 15
