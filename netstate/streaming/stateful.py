@@ -1,9 +1,11 @@
 """Change capture as one stateful operator: captures in, changes out, in one pass.
 
-The state of a host is a map from the key of each row to its content, on disk in
-the state store (RocksDB).  A micro-batch may hold any number of captures of a
-host; they are applied one after another in time order, so no round trips are
-made between them.  A stored table gives the state to start from.
+The state of a host is one value, its rows with their keys and hashes, on disk in
+the state store (RocksDB): as large as a capture of the host, and read and written
+by one call each, as every call from a Python worker is a round trip.  A micro-batch
+may hold any number of captures of a host; they are applied one after another in
+time order, so no round trips are made between them.  A stored table gives the state
+to start from.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ START = "namespace string, hostname string, keys string, hashes bigint, rows str
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Streams that are started from now on keep map states; running ones are not touched."""
+    """Streams started from now on keep their state on disk; running ones are not touched."""
     spark.conf.set(PROVIDER, ROCKSDB)
 
 
@@ -135,19 +137,32 @@ def _processor(limit: int, always: bool, silent_ms: int | None):
     class Changes(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.rows = handle.getMapState("rows", "key string", "hash long, row string")
-            self.polls = handle.getValueState("polls", "streak long, last long")
+            self.host = handle.getValueState(
+                "host", "streak long, last long, keys array<string>, hashes array<long>, "
+                        "rows array<string>")
+
+        def _get(self) -> tuple:
+            """Failed polls in a row, time of the last poll, {key: (hash, row)}."""
+            state = self.host.get()
+            if state is None:
+                return None, -1, {}
+            streak, last, keys, hashes, found = state
+            return streak, last, dict(zip(keys, zip(hashes, found, strict=True), strict=True))
+
+        def _put(self, streak, last, held: dict) -> None:
+            self.host.update((streak, last, list(held), [h for h, _ in held.values()],
+                              [r for _, r in held.values()]))
 
         def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+            streak, last, held = self._get()
             for k, h, r in zip(*(initialState[c] for c in ("keys", "hashes", "rows")), strict=True):
-                self.rows.updateValue((k,), (int(h), r))
+                held[k] = (int(h), r)
+            self._put(streak, last, held)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
             captures = pd.concat(list(rows)).sort_values("timestamp", kind="stable")
-            state = self.polls.get()
-            streak, last = state if state is not None else (None, -1)
-            held = {k[0]: tuple(v) for k, v in self.rows.iterator()}
-            stored, out = dict(held), []
+            streak, last, held = self._get()
+            out = []
             for capture in captures.itertuples(index=False):
                 at = int(capture.timestamp)
                 if at <= last:
@@ -166,14 +181,9 @@ def _processor(limit: int, always: bool, silent_ms: int | None):
                         if always or k not in held or held[k][0] != h]
                 out += [(at, False, r) for k, (_, r) in held.items() if k not in now]
                 held = now
-            for k, v in held.items():
-                if stored.get(k) != v:
-                    self.rows.updateValue((k,), v)
-            for k in stored.keys() - held.keys():
-                self.rows.removeKey((k,))
             if last < 0:
                 return
-            self.polls.update((streak or 0, last))
+            self._put(streak or 0, last, held)
             if silent_ms is not None:
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)

@@ -325,6 +325,42 @@ def test_stateful_change_capture(spark, tmp_path):
         assert got == sorted(want + late, key=str), split
 
 
+def test_state_calls_of_a_host():
+    """Every call to the state is a round trip: one reads a host's rows, one writes them."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Value())
+
+    processor = stateful._processor(3, False, None)
+    processor.init(Handle())
+    held = pd.DataFrame({"keys": ["a", "b"], "hashes": [1, 2], "rows": ["ra", "rb"]})
+    processor.handleInitialState(("ns", "h"), held, None)
+    calls.clear()
+    captures = pd.DataFrame({
+        "timestamp": [20, 10, 30], "status": [0, 0, 2011],
+        "keys": [["a", "c"], ["a", "b"], []], "hashes": [[5, 3], [1, 2], []],
+        "rows": [["ra2", "rc"], ["ra", "rb"], []]})
+    out = pd.concat(processor.handleInputRows(("ns", "h"), iter([captures]), None))
+    assert calls == ["get", "update"]
+    assert list(zip(out.timestamp, out.active, out.row)) == [
+        (20, True, "ra2"), (20, True, "rc"), (20, False, "rb")]
+    assert processor.host.now == (1, 30, ["a", "c"], [5, 3], ["ra2", "rc"])
+
+
 def test_silent_hosts(spark, tmp_path):
     """A host that is not polled any more is named once the watermark has passed its time."""
     source = str(tmp_path / "in")
