@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netstate.llm import decontaminate, language, line_dedup, near_copies, packing, simhash
-from netstate.llm.common import cut_lineage
+from netstate.llm.common import cut_lineage, small_batches
 from netstate.llm.queries import END_ID, vocabulary
 
 #: The share its main language must have in a document that stays.
 MIN_LANGUAGE_SHARE = 0.3
+#: Chunks of text whose ids a worker keeps: the stages before leave the executor little memory.
+KEPT_CHUNKS = 50_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and those in which no language has a fair share."""
+    small_batches(spark)
     found = language.identify(docs, language.fit(docs), into="__language")
     return found.where(
         (F.col("__language.lang") != language.UNKNOWN)
@@ -36,6 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     check of similarity follows; bands of MinHashes name those that fingerprints miss.
     Rows without a doc_id stay; of rows that share a doc_id one stays.
     """
+    small_batches(spark)
     linked = simhash.near_duplicates(docs).where("doc_id != component_id").select(
         F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     groups = near_copies.near_copies(docs, linked)
@@ -49,6 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of a benchmark item."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     found = decontaminate.benchmark_hits(docs, benchmark, into="__hits")
     return found.where(F.col("__hits.n_hit") == 0).select(*docs.columns)
@@ -56,7 +61,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, each with its place in a sequence."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), END_ID)
+    small_batches(spark)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), END_ID, kept_chunks=KEPT_CHUNKS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from netstate.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["cut_lineage", "new_folder", "open_input", "open_output", "per_batch",
-           "release_memory", "shuffle_partitions", "text_bytes", "worker_state"]
+           "release_memory", "shuffle_partitions", "small_batches", "text_bytes", "worker_state"]
 
 #: Byte tables for lower-casing A-Z.
 UPPER, LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
@@ -29,6 +29,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows; a smaller limit stays.
+
+    Executors and workers hold whole batches: 10,000 texts are tens of megabytes in each.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def per_batch(
     df: DataFrame, schema: str, fn: Callable[[dict[str, list]], Iterable[dict[str, list]]],
     rows: int = 1024,
@@ -63,6 +74,15 @@ def worker_state(name: str, make: Callable):
     return getattr(holder, name)
 
 
+def forget_others(name: str) -> None:
+    """Drop what other stages keep in this worker, and give its memory back."""
+    holder = sys.modules.get("netstate_llm_worker")
+    for other in [n for n in vars(holder or types.SimpleNamespace()) if not n.startswith("__")]:
+        if other != name:
+            delattr(holder, other)
+    release_memory()
+
+
 def release_memory() -> None:
     """Give back what a worker's large objects held: workers outlive the stage."""
     import ctypes

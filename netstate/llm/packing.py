@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netstate.llm.common import cut_lineage, per_batch, text_bytes
-from netstate.llm.tokens import encoder, id_type
+from netstate.llm.tokens import MAX_KEPT, encoder, id_type
 
 CAPACITY = 1024
 PIECE_SCHEMA = ("doc_id long, piece int, start long, length long, ids binary, ids_crc32 long,"
@@ -102,18 +102,19 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2,
-               capacity: int = CAPACITY) -> DataFrame:
+               capacity: int = CAPACITY, kept_chunks: int = MAX_KEPT) -> DataFrame:
     """Encoded documents cut into pieces of at most ``capacity`` tokens, as a written table.
 
     Columns: doc_id, piece, start, length, ids (binary, little-endian, of
     ``id_type(vocabulary)``), ids_crc32, part and k (number among the pieces of its
     length and part).  Only documents longer than the capacity are cut, so that
-    the first piece takes what is over and all others are full.
+    the first piece takes what is over and all others are full.  ``kept_chunks`` bounds
+    the memo of a worker: fewer take less memory and more time.
     """
     dtype = id_type(vocabulary)
 
     def cut(batch):
-        enc, tail = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        enc, tail = encoder(vocabulary, kept_chunks), np.asarray([end_id], "<u4").tobytes()
         seen = counters.setdefault(TaskContext.get().taskAttemptId(), {})
         part = TaskContext.get().partitionId()
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "ids_crc32",
@@ -172,10 +173,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2,
-         capacity: int = CAPACITY) -> DataFrame:
+         capacity: int = CAPACITY, kept_chunks: int = MAX_KEPT) -> DataFrame:
     """Pack documents (doc_id, text): one row per piece with its ids and its place.
 
     A null text is empty (the end id alone), null and repeated doc_ids are packed
     row by row, an empty table gives no pieces; other columns are ignored.
     """
-    return place(cut_pieces(docs, vocabulary, end_id, capacity), capacity)
+    return place(cut_pieces(docs, vocabulary, end_id, capacity, kept_chunks), capacity)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from netstate.llm.common import worker_state
+from netstate.llm.common import forget_others, release_memory, worker_state
 
 MAX_KEPT = 500_000
 MAX_KEPT_LENGTH = 48
@@ -71,17 +71,18 @@ def _kind(path: str) -> str | None:
 
 
 class Memo(dict):
-    """A bounded memo: what was not asked for while MAX_KEPT others came is forgotten."""
+    """A bounded memo: what was not asked for while ``kept`` others came is forgotten."""
 
-    def __init__(self):
+    def __init__(self, kept: int):
         super().__init__()
+        self.kept = kept
         self.older: dict[str, bytes] = {}
 
     def missing(self, keys: set[str]) -> list[str]:
         """Keys that are not kept; those of the older half move to the newer one."""
-        if not self.older and len(self) < MAX_KEPT:
+        if not self.older and len(self) < self.kept:
             return list(keys.difference(self))
-        if len(self) >= MAX_KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         out = []
@@ -97,7 +98,7 @@ class Memo(dict):
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = MAX_KEPT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,7 +125,7 @@ class Encoder:
         for token, i in vocabulary.items():
             self.edge[i] = (token.endswith(suffix) if self.kind == "words" and suffix
                             else self.kind == "bytes" and token[0] == self.letters[0x20])
-        self.chunks = Memo()
+        self.chunks = Memo(kept)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -272,12 +273,18 @@ class Encoder:
             for t, p, one in zip(texts, parts, alone, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+def encoder(path: str, kept: int = MAX_KEPT) -> Encoder:
+    """The worker's encoder for a vocabulary file; its memo keeps about ``kept`` chunks twice.
+
+    Before one is made, the worker gives back what stages before it held, and then
+    what reading the vocabulary took.
+    """
     known = worker_state("encoders", dict)
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    if (path, kept) not in known:
+        forget_others("encoders")
+        known[path, kept] = Encoder(path, kept)
+        release_memory()
+    return known[path, kept]
 
 
 def id_type(path: str) -> str:

@@ -12,8 +12,8 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from netstate.llm import packing, wavelet
-from netstate.llm.common import open_input
-from netstate.llm.tokens import Encoder
+from netstate.llm.common import open_input, small_batches, worker_state
+from netstate.llm.tokens import Encoder, encoder
 
 WORDS = str(public_tokenizers.path("word_bpe_49k.json"))
 BYTES = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,6 +67,33 @@ def test_given_ids_of_added_tokens(path):
     assert len(ids) == {WORDS: 3, BYTES: 4}[path]
 
 
+def test_a_small_memo_gives_the_same_ids_and_stays_small():
+    texts = [" ".join(f"w{i * 7 + j}x" for j in range(40)) for i in range(200)]
+    small = Encoder(BYTES, kept=100)
+    for text in texts:
+        assert small.encode([text]) == encoder_of(BYTES).encode([text])
+        assert len(small.chunks) + len(small.chunks.older) <= 2 * (100 + 40)
+
+
+def test_an_encoder_takes_the_place_of_what_other_stages_kept():
+    worker_state("benchmark_block", dict)["block"] = [0]
+    assert encoder(BYTES, 100) is encoder(BYTES, 100)
+    assert worker_state("benchmark_block", dict) == {}
+    assert encoder(BYTES, 100) is not encoder(BYTES, 200)
+
+
+def test_small_batches_keep_a_smaller_limit(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1024"), ("0", "1024"), ("100", "100")):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_wavelet_rows(spark, docs):
     encode = ids_of(WORDS)
     got = wavelet.read_wavelets(wavelet.write_wavelets(docs, WORDS)).collect()
