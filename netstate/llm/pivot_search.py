@@ -9,7 +9,9 @@ evaluated in the order of that bound, until the bound of the next one is no
 better than the k-th best score; scores are exact integers.
 
 Points are held in blocks of bounded size, grouped by their nearest pivot, and
-queries in blocks too.  Each block of queries meets each block of points; what
+queries in blocks too.  Each block of queries meets each block of points: the task
+that holds a block of points reads the written blocks of queries one by one, so
+that queries are neither copied for each block nor sent through the driver.  What
 comes out is k rows per query and block, and the best of these are the answer.
 """
 
@@ -20,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netstate.llm.common import cut_lineage, per_batch
+from netstate.llm.common import cut_lineage, open_input, per_batch
 
 SCALE = 256.0
 #: Pivots and first thresholds are taken from so many vectors at most.
@@ -29,6 +31,8 @@ PIVOTS = 48
 BLOCK = 2_048
 QUERY_BLOCK = 256
 FIRST = 32
+#: Tasks that search blocks of points, at most.
+TASKS = 1 << 12
 
 
 def valid(column: str = "embedding"):
@@ -152,12 +156,27 @@ def _space(points: DataFrame) -> Space | None:
     longest, width = points.agg(F.max("norm"), F.max(F.octet_length("v"))).first()
     if longest is None:
         return None
-    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(FIT_VECTORS).select(
-        "vec_id", "v").toPandas()
+    sample = _first_by_hash(points.select("vec_id", "v"), FIT_VECTORS).toPandas()
     return Space(sample["vec_id"].to_numpy(), matrix(list(sample["v"]), width // 8),
                  float(longest))
 
 
+def _first_by_hash(points: DataFrame, count: int) -> DataFrame:
+    """The ``count`` rows with the least hashes of vec_id, written.
+
+    Only rows below a bound are ordered, twice as many as wanted on average: ordering
+    takes ``count`` rows of each part, which sum up to the whole table.
+    """
+    order, share = F.xxhash64("vec_id"), 2 * count / max(1, points.count())
+    while share < 1:
+        below = points.where(order < int(share * 2 ** 64) - 2 ** 63)
+        first = cut_lineage(below.orderBy(order, "vec_id", "v").limit(count))
+        if first.count() == count:
+            return first
+        share *= 4
+    return cut_lineage(points.orderBy(order, "vec_id", "v").limit(count))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k best of all other vectors.
 
@@ -209,33 +228,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pd.DataFrame({"ids": [ids.tobytes()], "v": [v.tobytes()],
                              "floor": [floor_.astype("<f8").tobytes()]})
 
-    blocks = dealt.groupBy("near", "piece").applyInPandas(
-        gather, "ids binary, v binary, table binary")
     n_asked = asked.count()
     deals = max(1, -(-n_asked // QUERY_BLOCK))
     query_blocks = cut_lineage(asked.select(
         "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(deals)).alias("deal")).groupBy(
         "deal").applyInPandas(ask, "ids binary, v binary, floor binary"))
-    blocks = cut_lineage(blocks)
-    lanes = min(max(1, blocks.count()), 1 << 12)
-
-    # Each block of queries goes to each lane once, where the blocks of that lane pass it.
-    lane = F.pmod(F.xxhash64("ids"), F.lit(lanes)).alias("lane")
-    left = blocks.select(lane, F.struct("ids", "v", "table").alias("block"))
-    right = query_blocks.select(
-        F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"),
-        F.struct("ids", "v", "floor").alias("query"))
+    files = query_blocks.inputFiles()
 
     def search(batches):
+        from pyarrow import parquet
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = search_block(space, batch.column(1)[i].as_py(),
-                                     batch.column(0)[i].as_py(), k)
-                yield pa.RecordBatch.from_pydict(
-                    {n: pa.array(v, pa.int64()) for n, v in found.items()})
-
-    found = left.join(right, "lane").select("block", "query").mapInArrow(
-        search, "query_id long, vec_id long, score long")
+            for block in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+                for file in files:
+                    with open_input(file) as opened:
+                        for asked_now in parquet.ParquetFile(opened).iter_batches(1):
+                            found = search_block(space, asked_now.to_pylist()[0], block, k)
+                            yield pa.RecordBatch.from_pydict(
+                                {n: pa.array(v, pa.int64()) for n, v in found.items()})
+
+    # A task for each block, as far as that is sensible: each one meets all queries.
+    tasks = min(TASKS, sum(-(-n // BLOCK) for n in sizes.values()))
+    blocks = dealt.repartition(tasks, "near", "piece").groupBy("near", "piece").applyInPandas(
+        gather, "ids binary, v binary, table binary")
+    found = blocks.mapInArrow(search, "query_id long, vec_id long, score long")
     # Ranks are limited to k in each part before rows of a query meet.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(
