@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netstate.llm.common import ASCII_LOWER, cut_lineage, per_batch, text_bytes
 from netstate.operators.topology import connected_components
+from netstate.session import shuffle_if_large
 
 SEED = 42
 WIDTH = 5
@@ -112,16 +113,16 @@ def further_bands(sets: DataFrame, level: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    """One row of each wanted node."""
+    """One row of each wanted node; what is wanted may come from an explode."""
     return rows.select("node", *columns).join(
-        wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        wanted.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Pairs with a column of both nodes, as x and y."""
     left = sets.select(F.col("node").alias("a"), F.col(name).alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col(name).alias("y"))
-    return pairs.join(left, "a").join(right, "b")
+    return pairs.join(shuffle_if_large(left), "a").join(shuffle_if_large(right), "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def _shared(kept: DataFrame) -> DataFrame:
     """(node, value) under values of several nodes, with their number and smallest node."""
     groups = kept.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
-    return kept.join(groups, "value")
+    return kept.join(groups.hint("merge"), "value")
 
 
 def _all_pairs(of: DataFrame) -> DataFrame:
@@ -190,12 +191,12 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
         links = cut_lineage(first if links is None else links.unionByName(first))
 
         found = cut_lineage(_components(links).select("node", "component"))
-        of = kept.select("node", "value").join(found, "node", "left").select(
+        of = kept.select("node", "value").join(shuffle_if_large(found), "node", "left").select(
             "node", "value", F.coalesce("component", "node").alias("component"))
         groups = of.groupBy("value").agg(
             F.count(F.lit(1)).alias("n"), F.min("component").alias("low"),
             F.max("component").alias("high")).where("low != high").select("value", "n")
-        of = cut_lineage(of.join(groups, "value"))
+        of = cut_lineage(of.join(groups.hint("merge"), "value"))
         links = cut_lineage(links.unionByName(
             verified(_all_pairs(of.where(F.col("n") <= SMALL)), rows)))
 
@@ -204,7 +205,7 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
         if large.limit(1).count():
             found = cut_lineage(_components(links).select("node", "component"))
             more = further_bands(_sets(rows, large, "shingles"), level)
-            parts = large.join(cut_lineage(more), "node").select(
+            parts = large.join(cut_lineage(more).hint("merge"), "node").select(
                 "node", F.xxhash64("value", "further").alias("value")).distinct()
             kept = cut_lineage(_shared(parts))
         else:
@@ -212,22 +213,23 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
 
     if linked is not None:
         ends = rows.select("doc_id", "node")
-        named = linked.join(ends.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a")
-        named = named.join(ends.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b")
-        named = named.where("x != y").select(
+        for end, node in (("a", "x"), ("b", "y")):
+            linked = linked.join(ends.select(
+                F.col("doc_id").alias(end), F.col("node").alias(node)).hint("merge"), end)
+        named = linked.where("x != y").select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         links = links.unionByName(verified(named, rows))
 
     found = _components(links)
-    of = rows.select("doc_id", "node").join(found, "node", "left").select(
+    of = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return of.join(least, "component").select("doc_id", "component_id")
+    return of.join(least.hint("merge"), "component").select("doc_id", "component_id")
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs that no component joins yet."""
     for end in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(
-            f"__{end}")), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", end))
+        pairs = pairs.join(shuffle_if_large(found.select(F.col("node").alias(end), F.col(
+            "component").alias(f"__{end}"))), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", end))
     return pairs.where("__a != __b").select("a", "b")

@@ -5,7 +5,8 @@ at most one in one of the segments, so two linked fingerprints either share a
 segment or differ there in one bit.  For the latter, each segment is indexed
 with each of its bits left out: an equality join brings a fingerprint with a
 zero at that place to those with a one there, each pair once.  The join
-verifies the whole distance, so that only links leave it.
+verifies the whole distance, so that only links leave it.  These joins go by
+shuffle: a fingerprint has 32 rows in each segment, which no estimate of size counts.
 
 Equal fingerprints are one row from the start, groups of exact copies cost
 nothing later.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netstate.llm.common import ASCII_LOWER, cut_lineage, per_batch, text_bytes
 from netstate.operators.topology import connected_components
+from netstate.session import shuffle_if_large
 
 SEED = 42
 WIDTH = 3
@@ -71,7 +73,7 @@ def links(prints: DataFrame) -> DataFrame:
                  F.shiftrightunsigned("fp", SEGMENT).alias("value")))).alias("h"))
     halves = halves.select("fp", "h.segment", "h.value")
     left, right = halves.withColumnRenamed("fp", "a"), halves.withColumnRenamed("fp", "b")
-    same = left.join(right, ["segment", "value"]).where(
+    same = left.join(right.hint("merge"), ["segment", "value"]).where(
         (F.col("a") < F.col("b")) & near(F.col("a"), F.col("b")))
 
     # Without bit i; one number holds segment, i and the value.
@@ -84,7 +86,7 @@ def links(prints: DataFrame) -> DataFrame:
             F.col("value").bitwiseAND(F.expr("~shiftleft(1L, i)")))).alias("key"))
     zeros = variants.where("not bit").select("key", F.col("fp").alias("a"))
     ones = variants.where("bit").select("key", F.col("fp").alias("b"))
-    other = zeros.join(ones, "key").where(near(F.col("a"), F.col("b")))
+    other = zeros.join(ones.hint("merge"), "key").where(near(F.col("a"), F.col("b")))
     pairs = same.select("a", "b").unionByName(
         other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return pairs.distinct()
@@ -105,8 +107,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Components over fingerprints, then their smallest document.
     components = connected_components(
         found.select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
-    of = prints.join(components.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+    components = shuffle_if_large(components.withColumnRenamed("node", "fp"))
+    of = cut_lineage(prints.join(components, "fp", "left").select(
+        "fp", "doc_id", F.coalesce("component", "fp").alias("component")))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = of.join(least, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = of.join(shuffle_if_large(least), "component").select("fp", "component_id")
+    return rows.join(shuffle_if_large(ids), "fp").select("doc_id", "fp", "component_id")

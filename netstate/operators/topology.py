@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from netstate.operators.enrich import NS_HOST, _lookup, unique_by
-from netstate.session import cut_lineage
+from netstate.session import cut_lineage, shuffle_if_large
 
 EDGE_KEY = ["namespace", "hostname", "peerHostname"]
 SERVICES = ["lldp", "arpnd", "bgp", "ospf"]
@@ -181,14 +181,16 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
     order drawn anew, or stays if it comes first itself; edges are renamed accordingly, and
     those inside one node go.  So edges and nodes shrink by a factor each round,
     long chains as well, until no edge is left.  Choices are combined before
-    they are shuffled.
+    they are shuffled.  Tables of nodes are joined by shuffle unless they are tiny: their
+    numbers take a few bytes in a file and many times that in a broadcast.
     """
     both = cut_lineage(directed(edges, graph))
     nodes = both.select(*graph, F.col("src").alias("node")).distinct()
     nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
 
     def number(end: str) -> DataFrame:
-        return nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}"))
+        return shuffle_if_large(
+            nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}")))
 
     live = cut_lineage(both.where("src != dst").join(number("src"), [*graph, "src"]).join(
         number("dst"), [*graph, "dst"]).select(
@@ -203,8 +205,9 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
             F.col("first") < F.xxhash64(turn, "src"), F.col("to")).otherwise(
             F.col("src")).alias("to")))
         steps.append(step)
-        live = live.join(step.select(F.col("id").alias("src"), F.col("to").alias("__src")), "src")
-        live = live.join(step.select(F.col("id").alias("dst"), F.col("to").alias("__dst")), "dst")
+        for end in ("src", "dst"):
+            live = live.join(shuffle_if_large(
+                step.select(F.col("id").alias(end), F.col("to").alias(f"__{end}"))), end)
         live = cut_lineage(live.where("__src != __dst").select(
             F.col("__src").alias("src"), F.col("__dst").alias("dst")).distinct())
     # Where each node ends: from the last round, which has the fewest nodes, back to the first.
@@ -214,14 +217,14 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
             ends = step.select("id", F.col("to").alias("root"))
             continue
         later = ends.select(F.col("id").alias("to"), "root")
-        ends = step.join(later, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+        ends = step.join(shuffle_if_large(later), "to", "left").select("id", F.coalesce("root", "to").alias("root"))
     if ends is None:
         return nodes.select(*graph, "node", F.col("node").alias("component"))
-    named = nodes.join(ends, "id", "left").select(
+    named = nodes.join(shuffle_if_large(ends), "id", "left").select(
         *graph, "node", F.coalesce("root", "id").alias("root"))
     named = cut_lineage(named)
     least = named.groupBy("root").agg(F.min("node").alias("component"))
-    return named.join(least, "root").select(*graph, "node", "component")
+    return named.join(shuffle_if_large(least), "root").select(*graph, "node", "component")
 
 
 def component_counts(components: DataFrame, graph: list[str]) -> DataFrame:

@@ -4,13 +4,19 @@ import random
 
 from pyspark.sql import functions as F
 
-from netstate.llm import pivot_search
+from netstate.llm import near_copies, pivot_search, simhash
+from netstate.operators import topology
+from netstate.session import cut_lineage
 
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _steps(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_queries_meet_blocks_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(pivot_search, "BLOCK", 20)
     monkeypatch.setattr(pivot_search, "QUERY_BLOCK", 6)
@@ -38,3 +44,31 @@ def test_a_sample_orders_few_rows(spark):
     assert got == want
     few = pivot_search._first_by_hash(points.limit(40), 50)
     assert few.count() == 40
+
+
+def test_variants_of_fingerprints_are_not_broadcast(spark):
+    prints = cut_lineage(spark.createDataFrame([(0,), (1,), (7,), (15,), (1 << 40,)], "fp long"))
+    found = simhash.links(prints)
+    assert "Broadcast" not in _steps(found) and "SortMergeJoin" in _steps(found)
+    values = [0, 1, 7, 15, 1 << 40]
+    want = [(a, b) for i, a in enumerate(values) for b in values[i + 1:]
+            if bin(a ^ b).count("1") <= 3]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_exploded_nodes_are_not_broadcast(spark):
+    rows = cut_lineage(spark.createDataFrame([(1, 5), (1, 5), (2, 6), (3, 7)], "node long, x int"))
+    pairs = cut_lineage(spark.createDataFrame([(1, 2), (1, 9)], "a long, b long"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    found = near_copies._sets(rows, ends, "x")
+    assert "Broadcast" not in _steps(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 5), (2, 6)]
+
+
+def test_numbers_of_many_nodes_are_not_broadcast(spark):
+    edges = spark.range(0, 60_000, 3).select(
+        F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = topology.connected_components(edges, [])
+    assert "Broadcast" not in _steps(found)
+    assert found.count() == 40_000
+    assert found.where("component != node - node % 3").count() == 0
