@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = groups.where("doc_id != component_id").select(
         F.col("doc_id").alias("__gone")).distinct()
     named = docs.where("doc_id is not null")
-    kept = named.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = named.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netstate.llm.common import ASCII_LOWER, cut_lineage, per_batch, text_bytes
+from netstate.operators import topology
 from netstate.operators.topology import connected_components
 from netstate.session import shuffle_if_large
 
@@ -115,14 +116,19 @@ def further_bands(sets: DataFrame, level: int) -> DataFrame:
 def _sets(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
     """One row of each wanted node; what is wanted may come from an explode."""
     return rows.select("node", *columns).join(
-        wanted.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+        _small(wanted.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table that may be broadcast if it is small."""
+    return shuffle_if_large(df, topology.NODE_BYTES)
 
 
 def _both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Pairs with a column of both nodes, as x and y."""
     left = sets.select(F.col("node").alias("a"), F.col(name).alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col(name).alias("y"))
-    return pairs.join(shuffle_if_large(left), "a").join(shuffle_if_large(right), "b")
+    return pairs.join(_small(left), "a").join(_small(right), "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def _shared(kept: DataFrame) -> DataFrame:
     """(node, value) under values of several nodes, with their number and smallest node."""
     groups = kept.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
-    return kept.join(groups.hint("merge"), "value")
+    return kept.join(_small(groups), "value")
 
 
 def _all_pairs(of: DataFrame) -> DataFrame:
@@ -191,12 +197,12 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
         links = cut_lineage(first if links is None else links.unionByName(first))
 
         found = cut_lineage(_components(links).select("node", "component"))
-        of = kept.select("node", "value").join(shuffle_if_large(found), "node", "left").select(
+        of = kept.select("node", "value").join(_small(found), "node", "left").select(
             "node", "value", F.coalesce("component", "node").alias("component"))
         groups = of.groupBy("value").agg(
             F.count(F.lit(1)).alias("n"), F.min("component").alias("low"),
             F.max("component").alias("high")).where("low != high").select("value", "n")
-        of = cut_lineage(of.join(groups.hint("merge"), "value"))
+        of = cut_lineage(of.join(_small(groups), "value"))
         links = cut_lineage(links.unionByName(
             verified(_all_pairs(of.where(F.col("n") <= SMALL)), rows)))
 
@@ -221,7 +227,7 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
         links = links.unionByName(verified(named, rows))
 
     found = _components(links)
-    of = rows.select("doc_id", "node").join(found.hint("merge"), "node", "left").select(
+    of = rows.select("doc_id", "node").join(_small(found), "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return of.join(least.hint("merge"), "component").select("doc_id", "component_id")
@@ -230,6 +236,6 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs that no component joins yet."""
     for end in ("a", "b"):
-        pairs = pairs.join(shuffle_if_large(found.select(F.col("node").alias(end), F.col(
+        pairs = pairs.join(_small(found.select(F.col("node").alias(end), F.col(
             "component").alias(f"__{end}"))), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", end))
     return pairs.where("__a != __b").select("a", "b")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netstate.llm.common import ASCII_LOWER, cut_lineage, per_batch, text_bytes
-from netstate.operators.topology import connected_components
+from netstate.operators.topology import NODE_BYTES, connected_components
 from netstate.session import shuffle_if_large
 
 SEED = 42
@@ -107,9 +107,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Components over fingerprints, then their smallest document.
     components = connected_components(
         found.select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
-    components = shuffle_if_large(components.withColumnRenamed("node", "fp"))
+    components = shuffle_if_large(components.withColumnRenamed("node", "fp"), NODE_BYTES)
     of = cut_lineage(prints.join(components, "fp", "left").select(
         "fp", "doc_id", F.coalesce("component", "fp").alias("component")))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = of.join(shuffle_if_large(least), "component").select("fp", "component_id")
-    return rows.join(shuffle_if_large(ids), "fp").select("doc_id", "fp", "component_id")
+    ids = of.join(shuffle_if_large(least, NODE_BYTES), "component").select("fp", "component_id")
+    return rows.join(shuffle_if_large(ids, NODE_BYTES), "fp").select("doc_id", "fp", "component_id")

@@ -174,6 +174,10 @@ def graph_counts(edges: DataFrame, graph: list[str]) -> DataFrame:
         half("loops").alias("self_loops"))
 
 
+# Estimated bytes of a table of nodes that may be broadcast.
+NODE_BYTES = 1 << 20
+
+
 def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
     """(graph.., node, component): component is the smallest node name in it.
 
@@ -181,7 +185,7 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
     order drawn anew, or stays if it comes first itself; edges are renamed accordingly, and
     those inside one node go.  So edges and nodes shrink by a factor each round,
     long chains as well, until no edge is left.  Choices are combined before
-    they are shuffled.  Tables of nodes are joined by shuffle unless they are tiny: their
+    they are shuffled.  Tables of nodes are joined by shuffle unless they are small: their
     numbers take a few bytes in a file and many times that in a broadcast.
     """
     both = cut_lineage(directed(edges, graph))
@@ -190,7 +194,7 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
 
     def number(end: str) -> DataFrame:
         return shuffle_if_large(
-            nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}")))
+            nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}")), NODE_BYTES)
 
     live = cut_lineage(both.where("src != dst").join(number("src"), [*graph, "src"]).join(
         number("dst"), [*graph, "dst"]).select(
@@ -207,7 +211,7 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
         steps.append(step)
         for end in ("src", "dst"):
             live = live.join(shuffle_if_large(
-                step.select(F.col("id").alias(end), F.col("to").alias(f"__{end}"))), end)
+                step.select(F.col("id").alias(end), F.col("to").alias(f"__{end}")), NODE_BYTES), end)
         live = cut_lineage(live.where("__src != __dst").select(
             F.col("__src").alias("src"), F.col("__dst").alias("dst")).distinct())
     # Where each node ends: from the last round, which has the fewest nodes, back to the first.
@@ -217,14 +221,14 @@ def connected_components(edges: DataFrame, graph: list[str]) -> DataFrame:
             ends = step.select("id", F.col("to").alias("root"))
             continue
         later = ends.select(F.col("id").alias("to"), "root")
-        ends = step.join(shuffle_if_large(later), "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+        ends = step.join(shuffle_if_large(later, NODE_BYTES), "to", "left").select("id", F.coalesce("root", "to").alias("root"))
     if ends is None:
         return nodes.select(*graph, "node", F.col("node").alias("component"))
-    named = nodes.join(shuffle_if_large(ends), "id", "left").select(
+    named = nodes.join(shuffle_if_large(ends, NODE_BYTES), "id", "left").select(
         *graph, "node", F.coalesce("root", "id").alias("root"))
     named = cut_lineage(named)
     least = named.groupBy("root").agg(F.min("node").alias("component"))
-    return named.join(shuffle_if_large(least), "root").select(*graph, "node", "component")
+    return named.join(shuffle_if_large(least, NODE_BYTES), "root").select(*graph, "node", "component")
 
 
 def component_counts(components: DataFrame, graph: list[str]) -> DataFrame:

@@ -56,7 +56,8 @@ def test_variants_of_fingerprints_are_not_broadcast(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
-def test_exploded_nodes_are_not_broadcast(spark):
+def test_exploded_nodes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topology, "NODE_BYTES", 0)
     rows = cut_lineage(spark.createDataFrame([(1, 5), (1, 5), (2, 6), (3, 7)], "node long, x int"))
     pairs = cut_lineage(spark.createDataFrame([(1, 2), (1, 9)], "a long, b long"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -65,7 +66,8 @@ def test_exploded_nodes_are_not_broadcast(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 5), (2, 6)]
 
 
-def test_numbers_of_many_nodes_are_not_broadcast(spark):
+def test_numbers_of_many_nodes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topology, "NODE_BYTES", 64 << 10)
     edges = spark.range(0, 60_000, 3).select(
         F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     found = topology.connected_components(edges, [])
