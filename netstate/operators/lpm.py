@@ -37,6 +37,8 @@ SHORT = {4: 12, 6: 20}
 BLOCK = {4: 16, 6: 64}
 #: Addresses of a smaller estimated size are sent to the tables.
 FEW_BYTES = 64 << 20
+#: Candidates of a match by equality are broadcast up to this size, all their rows counted.
+FEW_BROADCAST = 1 << 20
 
 
 def _masked(fam: Column, hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
@@ -124,6 +126,9 @@ def _by_equality(rows: DataFrame, prefixes: DataFrame, kept: list[str], scope: l
     keyed = prefixes.withColumn("__salt", F.explode(spread))
     # The most selective key leads, so that sorting by it settles most comparisons.
     on = ["net_lo", "net_hi", "plen", "fam", "__salt", *scope]
+    # No estimate counts the rows that an explode makes.
+    few = estimated_bytes(rows) * max(1, *map(len, lengths.values())) <= FEW_BROADCAST
+    rows = F.broadcast(rows) if few else rows.hint("merge")
     return rows.join(keyed, on).drop("__salt", "net_hi", "net_lo")
 
 
@@ -236,8 +241,9 @@ def _in_every_table(
     best = best.drop("fam").withColumnRenamed("plen", "matchedLen").withColumn(
         "__salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
             F.array(F.lit(0)))))
-    found = addresses.join(places, [addr, *scope], how)
-    return found.join(best, ["__lo", "__hi", "__len", "__fam", "__salt", *scope], how).select(
+    # Estimates of places and routes are those of small tables before an explode.
+    found = addresses.join(places.hint("merge"), [addr, *scope], how)
+    return found.join(best.hint("merge"), ["__lo", "__hi", "__len", "__fam", "__salt", *scope], how).select(
         addr, *scope, *[c for c in addresses.columns if c not in (addr, *scope)],
         *[c for c in best.columns if c not in (*scope, *name, "__salt")])
 
