@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netstate.operators.enrich import NS_HOST, _lookup, unique_by
@@ -241,30 +244,130 @@ WORDS = 8
 BITS = 63 * WORDS
 # Nodes that one task numbers, levels whose sums are added up at once.
 NUMBERED, LEVELS = 50_000, 16
+# Edges of a graph that a task may hold, of several small graphs together, and sources of a task.
+HELD_EDGES, PACK_EDGES, SOURCES = 4_000_000, 1_000_000, 4_096
 
 
 def distance_sums(edges: DataFrame, graph: list[str]) -> DataFrame:
     """(graph.., node, total): sum of shortest distances to all reachable nodes.
 
-    Breadth-first search from all nodes at once.  ``BITS`` sources make a slot; a row is a
-    node and a slot with a bit for each source that has just reached it, so rows stand only
-    where a search goes on.  A level is one join on edges and one bitwise OR.  Edges
-    run both ways: what arrives at a node was there at this level or the one before, or
-    is new, so no more than two levels are kept.  Nodes whose names sort together share
-    slots, which often brings searches of one region together; sums do not depend on it.
+    Breadth-first search from all nodes.  A graph of at most ``HELD_EDGES`` edges (each
+    counted both ways) is held by a task as numbers, small graphs together, and every
+    task searches from its share of the sources; larger graphs are searched level by level
+    over tables.  Nodes whose names sort together are searched from together, which often
+    brings searches of one region together; sums do not depend on it.
     """
     both = cut_lineage(directed(edges, graph))
     nodes = cut_lineage(both.select(*graph, F.col("src").alias("node")).dropna().distinct())
     parts = nodes.count() // NUMBERED + 1
-    nodes = cut_lineage(nodes.repartitionByRange(parts, *graph, "node").sortWithinPartitions(
-        *graph, "node").withColumn("id", F.monotonically_increasing_id()))
-
-    def number(end: str) -> DataFrame:
-        return nodes.select(*graph, F.col("node").alias(end), F.col("id").alias(f"__{end}"))
-
-    links = cut_lineage(both.where("src != dst").join(number("src"), [*graph, "src"]).join(
+    # Graphs too large to be held have no pack.
+    sizes = cut_lineage(both.groupBy(*graph).agg(F.count(F.lit(1)).alias("__edges")))
+    held = sizes.where(F.col("__edges") <= HELD_EDGES).agg(F.sum("__edges")).first()[0] or 0
+    pack = F.when(F.col("__edges") <= HELD_EDGES, F.pmod(
+        F.xxhash64(*graph, F.lit(0)), F.lit(held // PACK_EDGES + 1)))
+    sized = nodes.join(sizes, graph) if graph else nodes.crossJoin(sizes)
+    nodes = cut_lineage(sized.withColumn("pack", pack).drop("__edges").repartitionByRange(
+        parts, *graph, "node").sortWithinPartitions(*graph, "node").withColumn(
+        "id", F.monotonically_increasing_id()))
+
+    def number(end: str, *more: str) -> DataFrame:
+        return nodes.select(
+            *graph, F.col("node").alias(end), F.col("id").alias(f"__{end}"), *more)
+
+    links = cut_lineage(both.where("src != dst").join(number("src", "pack"), [*graph, "src"]).join(
         number("dst"), [*graph, "dst"]).select(
-        F.col("__src").alias("id"), F.col("__dst").alias("to")))
+        F.col("__src").alias("id"), F.col("__dst").alias("to"), "pack"))
+    # Nodes without an edge to another have a sum of zero.
+    sums = nodes.select("id", F.lit(0).cast("bigint").alias("total"))
+    if held:
+        sums = sums.unionByName(_held_sums(links.where("pack is not null")))
+    apart = nodes.where("pack is null").select("id")
+    if apart.limit(1).count():
+        sums = sums.unionByName(_searched_sums(
+            apart, links.where("pack is null").select("id", "to")))
+    return nodes.join(_added(sums, []), "id").select(*graph, "node", "total")
+
+
+def _held_sums(links: DataFrame) -> DataFrame:
+    """(id, total), several rows of a node: sums over the sources of each task.
+
+    ``links`` (id, to, pack) has each edge both ways.  A task holds a pack's edges and,
+    for each node, a bit per source that has reached it.
+    """
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(rows["id"].to_numpy("<i8"))
+        a = np.searchsorted(ids, rows["id"].to_numpy("<i8")).astype("<i4")
+        b = np.searchsorted(ids, rows["to"].to_numpy("<i8")).astype("<i4")
+        order = np.lexsort((b, a))
+        starts = np.searchsorted(a[order], np.arange(len(ids) + 1)).astype("<i8")
+        return pd.DataFrame({"n": [len(ids)], "ids": [ids.tobytes()],
+                             "starts": [starts.tobytes()], "to": [b[order].tobytes()]})
+
+    def edges_of(at, starts):
+        """Places of all edges of nodes, and where those of each node begin."""
+        size = starts[at + 1] - starts[at]
+        begin = np.cumsum(size) - size
+        return np.repeat(starts[at] - begin, size) + np.arange(size.sum()), begin
+
+    def sums_from(first, last, starts, to, words=4):
+        n, total = len(starts) - 1, np.zeros(len(starts) - 1, np.int64)
+        fresh, seen = np.zeros((n, words), np.uint64), np.zeros((n, words), np.uint64)
+        for slot in range(first, last, 64 * words):
+            live = np.arange(slot, min(last, slot + 64 * words))
+            seen[:] = 0
+            fresh[live, (live - slot) // 64] = np.uint64(1) << ((live - slot) % 64).astype(np.uint64)
+            seen[live] = fresh[live]
+            level = 0
+            while len(live):
+                level += 1
+                met = to[edges_of(live, starts)[0]]
+                if len(met) * 16 < n:
+                    met = np.unique(met)
+                else:
+                    mark = np.zeros(n, bool)
+                    mark[met] = True
+                    met = np.flatnonzero(mark)
+                place, begin = edges_of(met, starts)
+                new = np.bitwise_or.reduceat(fresh[to[place]], begin, axis=0) & ~seen[met]
+                fresh[live] = 0
+                some = new.any(axis=1)
+                live, new = met[some], new[some]
+                fresh[live] = new
+                seen[live] |= new
+                total[live] += level * np.bitwise_count(new).sum(axis=1, dtype=np.int64)
+        return total
+
+    sources = SOURCES
+
+    def search(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids = np.frombuffer(row["ids"], "<i8")
+                first = row["piece"] * sources
+                total = sums_from(first, min(len(ids), first + sources),
+                                  np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["to"], "<i4"))
+                for at in range(0, len(ids), 65_536):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[at:at + 65_536]), pa.array(total[at:at + 65_536])],
+                        names=["id", "total"])
+
+    packs = cut_lineage(links.groupBy("pack").applyInPandas(
+        packed, "n long, ids binary, starts binary, to binary"))
+    last = F.floor((F.col("n") - 1) / sources)
+    tasks = packs.agg(F.sum(last + 1)).first()[0] or 1
+    pieces = packs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return pieces.repartition(min(int(tasks), 1 << 12)).mapInArrow(search, "id long, total long")
+
+
+def _searched_sums(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, total) of graphs of any size: all searches advance together, level by level.
+
+    ``BITS`` sources make a slot; a row is a node and a slot with a bit for each source
+    that has just reached it, so rows stand only where a search goes on.  A level is one
+    join on edges and one bitwise OR.  Edges run both ways: what arrives at a node was
+    there at this level or the one before, or is new, so no more than two levels are kept.
+    """
     words, old = [f"x{i}" for i in range(WORDS)], [f"p{i}" for i in range(WORDS)]
     none = F.lit(0).cast("bigint")
     # Ids count up in each part from a multiple of 2^33.
@@ -302,7 +405,7 @@ def distance_sums(edges: DataFrame, graph: list[str]) -> DataFrame:
         if len(found) == LEVELS:
             sums = cut_lineage(_added(sums, found))
             found = []
-    return nodes.join(_added(sums, found), "id").select(*graph, "node", "total")
+    return _added(sums, found)
 
 
 def _added(sums: DataFrame, found: list[DataFrame]) -> DataFrame:

@@ -45,6 +45,28 @@ def test_all_slots_of_a_search_advance_together(spark, monkeypatch):
     assert len(session._written) - before <= levels + levels // topo.LEVELS + 6
 
 
+def test_held_graphs_and_searched_ones_have_the_same_sums(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [("a", f"n{i}", f"n{i + rng.randrange(1, 4)}") for i in range(40)]
+    edges += [("b", f"m{rng.randrange(40)}", f"m{rng.randrange(40)}") for _ in range(120)]
+    edges += [(f"g{i}", "x", "y") for i in range(20)] + [("c", "self", "self")]
+    df = spark.createDataFrame(edges, "g string, src string, dst string")
+    monkeypatch.setattr(topo, "SOURCES", 70)
+    monkeypatch.setattr(topo, "PACK_EDGES", 100)
+    # The long graph is held, the wide one is not.
+    monkeypatch.setattr(topo, "HELD_EDGES", 100)
+    before = len(session._written)
+    got = {(r.g, r.node): r.total for r in topo.distance_sums(df, ["g"]).collect()}
+    assert got == _sums(edges)
+    wide = max(_depths([e for e in edges if e[0] == "b"]))
+    assert max(_depths(edges)) > wide + 2
+    # A graph that is held needs no table for each level.
+    assert len(session._written) - before <= wide + 7
+    one = [("", a, b) for g, a, b in edges if g == "a"]
+    got = {("", r.node): r.total for r in topo.distance_sums(df.where("g = 'a'"), []).collect()}
+    assert got == _sums(one)
+
+
 def _depths(edges):
     near = {}
     for g, a, b in edges:
