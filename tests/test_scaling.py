@@ -150,6 +150,22 @@ def test_tables_are_asked_once_per_innermost_network(spark, monkeypatch):
     assert found(True, "left") == some
 
 
+def test_candidates_of_many_prefix_lengths_are_not_broadcast(spark, monkeypatch):
+    from netstate.operators import lpm
+
+    table = session.cut_lineage(spark.createDataFrame(
+        [("h0", "10.0.0.0/8"), ("h0", "0.0.0.0/0"), ("h1", "10.1.0.0/16"), ("h1", "10.1.2.0/24")],
+        "hostname string, prefix string"))
+    asked = session.cut_lineage(spark.createDataFrame(
+        [("10.1.2.3",), ("10.9.9.9",)], "address string"))
+    monkeypatch.setattr(lpm, "FEW_BROADCAST", 0, raising=False)
+    found = lpm.lpm_join(asked, table, scope=(), per=("hostname",), merge=True)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.select("address", "hostname", "prefix").collect()))
+    assert got == [("10.1.2.3", "h0", "10.0.0.0/8"), ("10.1.2.3", "h1", "10.1.2.0/24"),
+                   ("10.9.9.9", "h0", "10.0.0.0/8")]
+
+
 def test_shared_prefixes_are_hashed_once(spark):
     import hashlib
     import ipaddress
